@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import embedding_dedup, mixing, ngram_join, packing, quality, secrets
+from cueloom.llm import embedding_dedup, mixing, ngram_join, packing, ppm, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(_read(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(_read(spark, sf_dir, "embeddings"))
 
