@@ -8,6 +8,7 @@ context, without the bytes already excluded by the longer one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from cueloom.llm.common import _ASCII_LOWER, stored
 from cueloom.llm.ngram_join import word_hashes
 
-ORDER = 4
+ORDER = 5
 #: Bytes that UTF-8 never holds: before the first byte of a text, and after its last.
 BEFORE, END = 0xFE, 0xFF
 #: Entries of the trie that are broadcast at a time; a larger trie is scored in several passes.
@@ -202,6 +203,16 @@ class Trie:
         return out
 
 
+_BUILT: dict[str, tuple[int, object]] = {}
+
+
+def _once(name: str, part, build):
+    """What build makes of a broadcast (name, value), made once for each Python worker and kept until the next."""
+    if _BUILT.get(name, (None,))[0] != part.value[0]:
+        _BUILT[name] = (part.value[0], build(part.value[1]))
+    return _BUILT[name][1]
+
+
 def _pair(key):
     """The two bytes before the predicted one: a trie is divided by them."""
     return (key >> 8) & 0xFFFF
@@ -282,14 +293,13 @@ def score_documents(docs: DataFrame, shard: int = SHARD, frequent: int = FREQUEN
             break
         from_step = r["step"]
     top = words.filter(step >= from_step if from_step is not None else F.lit(False)).toPandas()
-    known = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
+    known = spark.sparkContext.broadcast((uuid.uuid4().hex, (top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64))))
     norm = float(np.log10(train_tokens + 0.5 * (distinct + 1)))
 
     def first_pass(trie_tables, serves):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            trie, (names, n) = Trie(trie_tables.value), known.value
-            index = Lookup(names)
-            cost = np.append(np.log10(n + 0.5), 0.0)
+            trie = _once("trie", trie_tables, Trie)
+            index, cost = _once("words", known, lambda x: (Lookup(x[0]), np.append(np.log10(x[1] + 0.5), 0.0)))
             for batch in batches:
                 texts = [lowered(t) for t in batch["text"]]
                 score = _score_parts(texts, trie, serves)
@@ -306,7 +316,7 @@ def score_documents(docs: DataFrame, shard: int = SHARD, frequent: int = FREQUEN
 
     def later_pass(trie_tables, serves):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            trie = Trie(trie_tables.value)
+            trie = _once("trie", trie_tables, Trie)
             for batch in batches:
                 yield pd.DataFrame({"row": batch["row"], "more": _score_parts([lowered(t) for t in batch["text"]], trie, serves)})
 
@@ -314,7 +324,7 @@ def score_documents(docs: DataFrame, shard: int = SHARD, frequent: int = FREQUEN
 
     scored = None
     for tables, serves in _tries(counts.filter("kind = 0").select("key", "n"), shard):
-        part = spark.sparkContext.broadcast(tables)
+        part = spark.sparkContext.broadcast((uuid.uuid4().hex, tables))
         if scored is None:
             schema = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, rare array<long>, times array<long>, score double"
             scored = stored(rows.mapInPandas(first_pass(part, serves), schema))
