@@ -1,0 +1,66 @@
+"""Pipeline over `documents`: quality rules, near-duplicate removal, secret scans, mixing, packing.
+
+STAGES are (name, function) pairs; each function takes (spark, docs, sf_dir) and returns the next
+docs, with the columns of documents in all stages but the last. Between stages the rows are written
+to the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cueloom.llm import mixing, ngram_join, packing, quality, secrets
+from cueloom.llm.common import stored
+
+#: Texts are kept whole where a mix repeats or drops documents.
+MIX = mixing.Mix(split_documents=False)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the fitted verdict reject go."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.rate(docs, model).filter("kept").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document of the smallest doc_id stays."""
+    copies = ngram_join.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; every document stays."""
+    return secrets.redact(docs).select(*docs.columns)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.mixed_rows(docs, MIX)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_texts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("secret scans", secret_scans),
+    ("mixing to target weights", mix_to_weights),
+    ("packing", pack),
+]
+
+#: The stages aren't expressible in SQL; tests hold them against plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs)
+    return docs

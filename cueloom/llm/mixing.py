@@ -27,6 +27,7 @@ class Mix:
     most_repeats: int = 3
     blocks: int = 1024  # of each source
     shards: int = 16
+    spread: int = 64  # parts of a shard, so that more tasks than shards can write
     seed: int = 17
     split_documents: bool = True  # whether the last document drawn may give a part of its words
 
@@ -105,6 +106,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     order = F.xxhash64(F.lit(mix.seed), F.col("doc_id"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("doc_id", "source", "text").alias("row"),
         *key,
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         order.alias("shuffle"),
@@ -140,5 +142,15 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return (
         rows.join(drawn, [*by, "block"])
         .withColumn("part", part.cast("long"))
-        .select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"), F.concat(whole, last).alias("copies"))
+        .select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"), F.concat(whole, last).alias("copies"), "row")
     )
+
+
+def mixed_rows(docs: DataFrame, mix: Mix = Mix(split_documents=False)) -> DataFrame:
+    """`docs` with every row as often as the mix takes it, dealt to `mix.shards` partitions by shard and
+    shuffled inside each; rows that the mix leaves out are gone. Whole documents only."""
+    plan = mix_sources(docs, mix).filter(F.size("copies") > 0).groupBy("row").agg(F.first("copies").alias("copies"))
+    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text")))
+    placed = rows.join(plan.withColumnRenamed("row", "_row"), "_row").withColumn("_copy", F.explode("copies"))
+    spread = F.pmod(F.hash("_copy.shuffle"), F.lit(mix.spread))
+    return placed.repartition(F.col("_copy.shard"), spread).sortWithinPartitions("_copy.shard", "_copy.shuffle").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import embedding_dedup, html_blocks, mixing, ngram_join, packing, ppm, quality, secrets
+from cueloom.llm import embedding_dedup, html_blocks, mixing, ngram_join, packing, pii, ppm, quality, secrets, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(_read(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.replace_entities(_read(spark, sf_dir, "documents"), key="rotate-me")
+    return replaced.select("doc_id", "text", "n_entities", F.to_json("entities").alias("entities"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.page_responses(_read(spark, sf_dir, "pages")))
+
+
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(_read(spark, sf_dir, "documents"))
 
@@ -56,8 +65,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs.select("doc_id", "text"), model).drop("text")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {"pipeline": pipeline} | {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
