@@ -209,6 +209,28 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = (sig[-1], names[-1], bool(some[-1]) or (len(sig) == 1 and last is not None and last[2]))
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """Whether an odd number of elements falls in each of at least 2 * len(s) slots, a power of two."""
+    bits = max(256, 1 << int(2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """At most as many elements as two sets differ in: every one of them flips one slot."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs that may be similar enough by their sketches."""
+    for batch in batches:
+        most = ((batch["size_a"] + batch["size_b"]) * (DEN - NUM) // (DEN + NUM)).to_numpy()
+        differ = np.array([least_difference(x, y) for x, y in zip(batch["sketch_a"], batch["sketch_b"])], np.int64)
+        yield batch.loc[differ <= most, ["a", "b"]]
+
+
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -218,30 +240,40 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": found[:, 0] / found[:, 1], "linked": DEN * found[:, 0] >= NUM * found[:, 1]})
 
 
+def _slot(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(KEYS)).cast("int").alias("slot")
+
+
+def _prefiltered(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of df that may have a key of `wanted`, by a broadcast of at most KEYS slots: most others stay unshuffled."""
+    slots = wanted.select(_slot(wanted[wanted.columns[0]])).distinct()
+    return df.join(F.broadcast(slots), _slot(df[column]) == slots["slot"], "left_semi")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, set, size) of the wanted (class, doc_id): only those texts are shuffled and read into sets."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(KEYS)).cast("int").alias("slot")
-    slots = wanted.select(slot(F.col("doc_id"))).distinct()  # at most KEYS rows
-    near = docs.join(F.broadcast(slots), slot(F.col("doc_id")) == slots["slot"], "left_semi")
+    """(class, set, size, sketch) of the wanted (class, doc_id): only those texts are shuffled and read into sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t) for t in batch["text"]]
-            yield pd.DataFrame({"class": [set_class(s) for s in sets], "set": [s.tobytes() for s in sets], "size": [len(s) for s in sets]})
+            sets = [s for s in map(shingle_set, batch["text"]) if len(s)]
+            yield pd.DataFrame({"class": [set_class(s) for s in sets], "set": [s.tobytes() for s in sets], "size": [len(s) for s in sets], "sketch": [parity_sketch(s) for s in sets]})
 
-    own = near.mapInPandas(run, "class long, set binary, size long")  # a repeated doc_id may bring other sets
-    return stored(own.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"), F.first("size").alias("size")))
+    near = _prefiltered(docs, "doc_id", wanted.select("doc_id"))
+    own = near.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInPandas(run, "class long, set binary, size long, sketch binary")
+    # a repeated doc_id may bring other sets, and a class may come from several rows of it
+    return stored(own.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similarity, linked) of distinct pairs a < b whose sizes allow a link."""
-    sizes = sets.select("class", "size")
+    """(a, b, similarity, linked) of those distinct pairs a < b whose sizes and sketches allow a link."""
+    about = sets.select("class", "size", "sketch")
     for side in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("class").alias(side), F.col("size").alias(f"size_{side}")), side)
+        pairs = pairs.join(about.select(F.col("class").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
     fit = (DEN * F.least("size_a", "size_b") >= NUM * F.greatest("size_a", "size_b")) & (F.col("a") < F.col("b"))
-    pairs = pairs.filter(fit).select("a", "b")
+    pairs = stored(pairs.filter(fit).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInPandas(_near, "a long, b long"))
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("class").alias(side), F.col("set").alias(f"set_{side}")), side)
+        some = _prefiltered(sets, "class", pairs.select(side))
+        pairs = pairs.join(some.select(F.col("class").alias(side), F.col("set").alias(f"set_{side}")), side)
     return stored(pairs.select("a", "b", "set_a", "set_b").mapInPandas(_compared, "a long, b long, similarity double, linked boolean"))
 
 
