@@ -180,11 +180,13 @@ def join_for_speech(pieces: Column) -> Column:
 
 
 def soft_wrap(text: Column, most: int) -> Column:
+    """One line break after the soft punctuation or space nearest the middle, the first of two as near."""
     n = u16len(text)
     mid = F.floor(n / 2).cast("int")
-    cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(1)).rlike(rf"[，、；：,;:]|{WS}"))
-    best = F.array_min(F.transform(cuts, lambda i: F.struct(F.abs(i - mid).alias("d"), i.alias("i"))))["i"]
-    at = F.coalesce(best, mid)
+    soft = rf"(?:[，、；：,;:]|{WS})"
+    before = F.length(F.regexp_extract(F.substr(text, F.lit(1), mid), rf"(?s)^(.*{soft})", 1))  # the last cut up to the middle
+    after = F.length(F.regexp_extract(F.substr(text, mid + 1), rf"(?s)^(.*?{soft})", 1))  # how far on the next one is
+    at = F.when((before > 0) & ((after == 0) | (mid - before <= after)), before).when(after > 0, mid + after).otherwise(mid)
     left, right = rtrim_ws(F.substr(text, F.lit(1), at)), F.regexp_replace(F.substr(text, at + 1), f"^{WS}+", "")
     return F.when((n <= most) | (left == "") | (right == ""), text).otherwise(F.concat(left, F.lit("\n"), right))
 
