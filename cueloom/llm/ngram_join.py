@@ -37,7 +37,7 @@ SLOTS, CHUNKS = 1 << 22, 64
 COMMON_FROM = 32
 #: Classes that share a signature are all compared up to this many; beyond it with drawn centres first.
 SMALL = 8
-CENTRES = 4
+CENTRES, TURNS = 4, 2
 #: Keys of the broadcast semi-join that keeps most texts out of the exact join: at most so many rows.
 KEYS = 1 << 20
 
@@ -143,13 +143,13 @@ def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             s = shingle_set(text)
             if len(s):
                 counts[(s & np.uint64(SLOTS - 1)).astype(np.int64)] += 1
-            rows.append((None if pd.isna(doc) else int(doc), len(s), set_class(s) if len(s) else None))
-        frame = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class"])
+            rows.append((None if pd.isna(doc) else int(doc), len(s), set_class(s) if len(s) else None, parity_sketch(s) if len(s) else None))
+        frame = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class", "sketch"])
         frame[["doc_id", "class"]] = frame[["doc_id", "class"]].astype("Int64") if len(frame) else frame[["doc_id", "class"]]
         yield frame.assign(chunk=pd.array([None] * len(frame), dtype="Int32"), counts=None)
     for k, part in enumerate(np.split(np.minimum(counts, 255).astype(np.uint8), CHUNKS)):
         if part.any():
-            yield pd.DataFrame({"doc_id": pd.array([None], dtype="Int64"), "n_shingles": pd.array([0], dtype="Int64"), "class": pd.array([None], dtype="Int64"), "chunk": pd.array([k], dtype="Int32"), "counts": [zlib.compress(part.tobytes(), 1)]})
+            yield pd.DataFrame({"doc_id": pd.array([None], dtype="Int64"), "n_shingles": pd.array([0], dtype="Int64"), "class": pd.array([None], dtype="Int64"), "sketch": None, "chunk": pd.array([k], dtype="Int32"), "counts": [zlib.compress(part.tobytes(), 1)]})
 
 
 def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,26 +251,29 @@ def _prefiltered(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, set, size, sketch) of the wanted (class, doc_id): only those texts are shuffled and read into sets."""
+    """(class, set) of the wanted (class, doc_id): only those texts are shuffled and read into sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [s for s in map(shingle_set, batch["text"]) if len(s)]
-            yield pd.DataFrame({"class": [set_class(s) for s in sets], "set": [s.tobytes() for s in sets], "size": [len(s) for s in sets], "sketch": [parity_sketch(s) for s in sets]})
+            sets = list(map(shingle_set, batch["text"]))
+            own = [len(s) > 0 and set_class(s) == c for s, c in zip(sets, batch["class"])]  # a repeated doc_id may bring other texts
+            yield pd.DataFrame({"class": batch["class"][own], "set": [s.tobytes() for s, y in zip(sets, own) if y]})
 
-    near = _prefiltered(docs, "doc_id", wanted.select("doc_id"))
-    own = near.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInPandas(run, "class long, set binary, size long, sketch binary")
-    # a repeated doc_id may bring other sets, and a class may come from several rows of it
-    return stored(own.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
+    near = _prefiltered(docs, "doc_id", wanted.select("doc_id")).join(wanted.select("doc_id", "class"), "doc_id")
+    once = near.groupBy("doc_id", "class", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    return stored(once.select("class", "text").mapInPandas(run, "class long, set binary"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similarity, linked) of those distinct pairs a < b whose sizes and sketches allow a link."""
-    about = sets.select("class", "size", "sketch")
+def _near_pairs(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """Those distinct pairs a < b whose sizes and sketches allow a link."""
     for side in ("a", "b"):
         pairs = pairs.join(about.select(F.col("class").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
     fit = (DEN * F.least("size_a", "size_b") >= NUM * F.greatest("size_a", "size_b")) & (F.col("a") < F.col("b"))
-    pairs = stored(pairs.filter(fit).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInPandas(_near, "a long, b long"))
+    return stored(pairs.filter(fit).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInPandas(_near, "a long, b long"))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, similarity, linked) of pairs, from their whole sets."""
     for side in ("a", "b"):
         some = _prefiltered(sets, "class", pairs.select(side))
         pairs = pairs.join(some.select(F.col("class").alias(side), F.col("set").alias(f"set_{side}")), side)
@@ -291,36 +294,38 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     further comparison with each other; whatever is still apart afterwards is compared in full.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = stored(texts.mapInPandas(_described, "doc_id long, n_shingles long, class long, chunk int, counts binary"))
+    described = stored(texts.mapInPandas(_described, "doc_id long, n_shingles long, class long, sketch binary, chunk int, counts binary"))
     rows = described.filter("chunk IS NULL").select("doc_id", "n_shingles", "class")
     bits = _common_slots(described.filter("chunk IS NOT NULL"))
-    signed = texts.select("text").mapInPandas(_signed(bits), "sig long, class long")
+    signed = texts.filter("doc_id IS NOT NULL").select("text").mapInPandas(_signed(bits), "sig long, class long")
     shared = stored(signed.repartition("sig").sortWithinPartitions("sig", "class").mapInPandas(_shared, "sig long, class long"))
-    count = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"))
-    candidates = shared.select("class").distinct()
-    wanted = stored(rows.filter("doc_id IS NOT NULL").join(candidates, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
-    sets = _sets(texts, wanted)
-
-    few = shared.join(count.filter(F.col("n").between(3, SMALL)).select("sig"), "sig", "left_semi")
-    two = shared.join(count.filter("n = 2").select("sig", "low"), "sig").filter("class > low").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct()
-    all_few = few.alias("x").join(few.alias("y"), "sig").select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).filter("a < b").distinct()
-    links = [_verify(two.unionByName(all_few).distinct(), sets)]
-
-    large = shared.join(count.filter(F.col("n") > SMALL).select("sig"), "sig", "left_semi")
-    large = stored(large)
+    named = described.filter("chunk IS NULL AND doc_id IS NOT NULL").join(shared.select("class").distinct(), "class", "left_semi")
+    about = stored(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
+
+    count = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.min(F.struct(F.xxhash64("class"), "class"))["class"].alias("hub"))
+    ranked = shared.join(count, "sig")
+    two = ranked.filter("n = 2 AND class > low").select(F.col("low").alias("a"), F.col("class").alias("b"))
+    few = ranked.filter(F.col("n").between(3, SMALL)).select("sig", "class")
+    all_few = few.alias("x").join(few.alias("y"), "sig").select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).filter("a < b")
+    near = _near_pairs(two.unionByName(all_few).distinct(), about)
+    # Large signatures with the same lowest-ranked member have nearly the same members: one group for all of them.
+    large = stored(ranked.filter(F.col("n") > SMALL).select("hub", "class").distinct())
+    wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).unionByName(large.select("class")).distinct()
+    sets = _sets(texts, stored(about.join(wanted, "class", "left_semi").select("class", "doc_id")))
+    links = [_verify(near, sets)]
     if not large.isEmpty():
         rest = large
-        for turn in range(2):
-            drawn = rest.groupBy("sig").agg(*[F.min(F.struct(F.xxhash64(F.lit(CENTRES * turn + k), "class"), "class"))["class"].alias(f"c{k}") for k in range(CENTRES)])
-            drawn = drawn.select("sig", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("centre"))
-            tries = rest.join(drawn, "sig").filter("class <> centre")
-            seen = _verify(tries.select(*_pair(F.col("class"), F.col("centre"))).distinct(), sets)
+        for turn in range(TURNS):
+            drawn = rest.groupBy("hub").agg(*[F.min(F.struct(F.xxhash64(F.lit(CENTRES * turn + k), "class"), "class"))["class"].alias(f"c{k}") for k in range(CENTRES)])
+            drawn = drawn.select("hub", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("centre"))
+            tries = rest.join(drawn, "hub").filter("class <> centre")
+            seen = _verify(_near_pairs(tries.select(*_pair(F.col("class"), F.col("centre"))).distinct(), about), sets)
             links.append(seen)
             linked = seen.filter("linked").select("a", "b")
             both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            done = tries.join(both, (F.col("class") == F.col("a")) & (F.col("centre") == F.col("b")), "left_semi").select("sig", "class").distinct()
-            rest = stored(rest.join(done, ["sig", "class"], "left_anti"))
-        links.append(_verify(_still_apart(large, links), sets))
+            done = tries.join(both, (F.col("class") == F.col("a")) & (F.col("centre") == F.col("b")), "left_semi").select("hub", "class").distinct()
+            rest = stored(rest.join(done, ["hub", "class"], "left_anti"))
+        links.append(_verify(_near_pairs(_still_apart(large, links), about), sets))
     found = links[0]
     for more in links[1:]:
         found = found.unionByName(more)
@@ -328,17 +333,18 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _still_apart(large: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """Pairs that share a signature, lie in different components so far and haven't been compared."""
+    """Pairs of a group that lie in different components so far and haven't been compared: one of the
+    two is outside the group's largest component."""
     tried = links[0]
     for more in links[1:]:
         tried = tried.unionByName(more)
     parts = connected(tried.filter("linked").select("a", "b"))
     placed = stored(large.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
-    by_part = placed.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = by_part.groupBy("sig").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("parts > 1")
-    open_ = placed.join(main, "sig")
-    minor = open_.filter(F.col("component") != F.col("main")).select("sig", F.col("class").alias("x"), F.col("component").alias("of"))
-    pairs = minor.join(open_.select("sig", "class", "component"), "sig").filter(F.col("of") != F.col("component")).select(*_pair(F.col("x"), F.col("class"))).distinct()
+    by_part = placed.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = by_part.groupBy("hub").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("parts > 1")
+    open_ = placed.join(main, "hub")
+    minor = open_.filter(F.col("component") != F.col("main")).select("hub", F.col("class").alias("x"), F.col("component").alias("of"))
+    pairs = minor.join(open_.select("hub", "class", "component"), "hub").filter(F.col("of") != F.col("component")).select(*_pair(F.col("x"), F.col("class"))).distinct()
     return pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
