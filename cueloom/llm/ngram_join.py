@@ -144,8 +144,9 @@ def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(s):
                 counts[(s & np.uint64(SLOTS - 1)).astype(np.int64)] += 1
             rows.append((None if pd.isna(doc) else int(doc), len(s), set_class(s) if len(s) else None, parity_sketch(s) if len(s) else None))
-        frame = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class", "sketch"])
-        frame[["doc_id", "class"]] = frame[["doc_id", "class"]].astype("Int64") if len(frame) else frame[["doc_id", "class"]]
+        doc, size, name, sketch = zip(*rows) if rows else ((), (), (), ())
+        whole = lambda values: pd.array(list(values), dtype="Int64")  # noqa: E731  a float column would round the names
+        frame = pd.DataFrame({"doc_id": whole(doc), "n_shingles": whole(size), "class": whole(name), "sketch": pd.Series(list(sketch), dtype=object)})
         yield frame.assign(chunk=pd.array([None] * len(frame), dtype="Int32"), counts=None)
     for k, part in enumerate(np.split(np.minimum(counts, 255).astype(np.uint8), CHUNKS)):
         if part.any():
