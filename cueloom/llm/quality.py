@@ -17,7 +17,7 @@ from cueloom.llm.common import mix64
 SLOTS = 1 << 15
 FAMILIES = 3
 #: The classifier is fitted on at most so many labelled documents, chosen by a hash of doc_id.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 1200
 #: Fixed thresholds: a document is kept from this calibrated probability of good quality on.
 KEEP_FROM = 0.5
 MIN_WORDS, MAX_REPEATED = 20, 0.30
@@ -135,8 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[~held])) < 2:
         return None
-    row = np.repeat(np.arange(len(y)), sample["at"].map(len))
-    at, share = np.concatenate(sample["at"].to_list()), np.concatenate(sample["share"].to_list()).astype(np.float64)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), sample["at"].map(len))
+    at, share = np.concatenate(sample.pop("at").to_list()).astype(np.int32), np.concatenate(sample.pop("share").to_list())
     used = ~held[row]
     r, a, s = row[used], at[used], share[used]
     size = FAMILIES * SLOTS
