@@ -5,9 +5,13 @@ of sizes the feature domain (64-bit shingle hashes) is cut into more partitions
 band may differ in; a set's signatures are hashes of its content in single partitions. Of the
 non-empty partitions, in a fixed order, a set enumerates one more than the most it may differ from
 any partner in: the first partition that both sets have, untouched by differences, is among those
-of both, so every similar pair shares a signature. Partitions of shingles found in few documents
-come first; a document with too few of those enumerates partitions of all its shingles as well, and,
-were those too few, single shingles. A set near the upper end of its band joins the next band too.
+of both, so every similar pair shares a signature. Shingles are ranked by the number of documents they
+are found in, and a document first enumerates partitions of its shingles of the lowest rank. If those
+partitions are too few, it enumerates every one of these shingles by itself as well, and goes on to
+partitions of its shingles of the lowest two ranks, and so on. Two sets that have a shingle of the
+lower ranks in common meet there; two that have none share at most the rest of either set, which makes
+them candidates only if the smaller rest can hold the intersection of a similar pair; a document whose
+rest is too small for any partner stops. A set near the upper end of its band joins the next band too.
 
 Documents with equal sets are one class and are compared once.
 """
@@ -32,9 +36,10 @@ NUM, DEN = 75, 100
 BAND = (4 / 3) ** 3
 #: Partitions for each element by which two sets of the band may differ.
 SPREAD = 1.25
-#: Slots of the count sketch that tells shingles of few documents from common ones, and rows it comes in.
+#: Slots of the count sketch by which shingles are ranked, and rows it comes in.
 SLOTS, CHUNKS = 1 << 22, 64
-COMMON_FROM = 32
+#: Documents from which a shingle has rank 1, and the factor from one rank to the next, up to TOP.
+COMMON_FROM, STEP, TOP = 32, 4, 12
 #: Classes that share a signature are all compared up to this many; beyond it with drawn centres first.
 SMALL = 8
 CENTRES, TURNS = 4, 2
@@ -97,12 +102,20 @@ def band(size: int) -> int:
     return k
 
 
-def enumerate_signatures(s: np.ndarray, common: np.ndarray | None) -> np.ndarray:
-    """Signatures of a sorted set; common marks sketch slots of common shingles."""
-    size, found = len(s), []
+def fits(size, other, rest):
+    """Whether sets of these sizes (numbers or columns) can be similar if `rest` elements may be common."""
+    return NUM * (size + other) <= (NUM + DEN) * rest
+
+
+def enumerate_signatures(s: np.ndarray, ranks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a sorted set and, for each, how many shingles are of its rank or higher; ranks
+    has the rank of each sketch slot.
+    """
+    size, found, rests = len(s), [], []
     own = band(size)
     low_edge = BAND ** (own + 1)
-    rare = s if common is None else s[~common[(s & np.uint64(SLOTS - 1)).astype(np.int64)]]
+    rank = np.zeros(size, np.uint8) if ranks is None else ranks[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
+    held = np.bincount(rank, minlength=1)
     for b in (own, own + 1):
         if b > own and size < 0.75 * low_edge:
             break
@@ -111,19 +124,23 @@ def enumerate_signatures(s: np.ndarray, common: np.ndarray | None) -> np.ndarray
         if most == 0:
             continue  # only equal sets
         parts = np.uint64(max(2, int(SPREAD * 2 * (DEN - NUM) / (DEN + NUM) * BAND ** (b + 1))))
-        for level, of in enumerate((rare, s, s)):
-            if not len(of):
-                continue
-            if level < 2:
-                part = ((of >> np.uint64(32)) * parts) >> np.uint64(32)  # ascending, as the set is
-                first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                content = np.add.reduceat(mix64(of), first)
-            else:
-                first, content = np.arange(len(of)), mix64(of)
-            found.append(mix64(content[: most + 1] ^ np.uint64(((b * 4 + level + 1) * _ODD) & (2**64 - 1))))
+        rest = size
+        for r in np.flatnonzero(held):
+            if not fits(size, -(-size * NUM // DEN), rest):
+                break
+            of = s[rank <= r]
+            part = ((of >> np.uint64(32)) * parts) >> np.uint64(32)  # ascending, as the set is
+            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            groups = [np.add.reduceat(mix64(of), first)[: most + 1]]
+            if len(first) <= most:
+                groups.append(mix64(s[rank == r]))
+            for alone, content in enumerate(groups):
+                found.append(mix64(content ^ np.uint64((((b * (TOP + 1) + int(r)) * 2 + alone + 1) * _ODD) & (2**64 - 1))))
+                rests.append(np.full(len(content), rest, np.int32))
             if len(first) > most:
                 break
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+            rest -= int(held[r])
+    return (np.concatenate(found), np.concatenate(rests)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -163,51 +180,52 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"chunk": [chunk], "counts": [total.tobytes()]})
 
 
-def _common_slots(sketches: DataFrame) -> np.ndarray | None:
-    """Which slots of the sketch, summed over all tasks, are common: SLOTS bits."""
+def _slot_ranks(sketches: DataFrame) -> bytes | None:
+    """Ranks of the slots of the sketch, summed over all tasks: SLOTS bytes, compressed."""
     merged = sketches.select("chunk", "counts").repartition("chunk").mapInPandas(_summed, "chunk int, counts binary").collect()
     total = np.zeros((CHUNKS, SLOTS // CHUNKS), np.uint64)
     for row in merged:  # CHUNKS rows of a fixed size
         total[row["chunk"]] = np.frombuffer(row["counts"], np.uint64)
-    common = total.ravel() >= max(COMMON_FROM, 8 * total.mean())
-    return np.packbits(common) if common.any() else None
+    least = max(COMMON_FROM, 8 * total.mean())
+    ranks = np.searchsorted(least * float(STEP) ** np.arange(TOP), total.ravel(), side="right").astype(np.uint8)
+    return zlib.compress(ranks.tobytes(), 1) if ranks.any() else None
 
 
-def _signed(bits: np.ndarray | None):
+def _signed(packed: bytes | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = None if bits is None else np.unpackbits(bits).view(bool)
+        ranks = None if packed is None else np.frombuffer(zlib.decompress(packed), np.uint8)
         for batch in batches:
-            sig, names, n = [], [], []
+            sig, names, n, sizes, rests = [], [], [], [], []
             for text in batch["text"]:
                 s = shingle_set(text)
                 if len(s):
-                    x = enumerate_signatures(s, common)
+                    x, rest = enumerate_signatures(s, ranks)
                     sig.append(x)
+                    rests.append(rest)
+                    sizes.append(len(s))
                     names.append(set_class(s))
                     n.append(len(x))
             if sig:
-                yield pd.DataFrame({"sig": np.concatenate(sig).view(np.int64), "class": np.repeat(np.array(names, np.int64), n)})
+                yield pd.DataFrame({"sig": np.concatenate(sig).view(np.int64), "class": np.repeat(np.array(names, np.int64), n), "size": np.repeat(np.array(sizes, np.int32), n), "rest": np.concatenate(rests)})
 
     return run
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of rows sorted by (sig, class): those of signatures with several classes, each once."""
-    last = None  # the last distinct row, and whether it was sent
+    last, sent = None, False  # the last distinct row
     for batch in batches:
-        sig, names = batch["sig"].to_numpy(), batch["class"].to_numpy()
-        if last is not None:
-            sig, names = np.concatenate(([last[0]], sig)), np.concatenate(([last[1]], names))
+        rows = batch if last is None else pd.concat([last, batch])
+        sig, names = rows["sig"].to_numpy(), rows["class"].to_numpy()
         new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (names[1:] != names[:-1])))
-        sig, names = sig[new], names[new]
+        rows, sig = rows[new], sig[new]
         same = sig[1:] == sig[:-1]
         some = np.concatenate((same, [False])) | np.concatenate(([False], same))
         send = some.copy()
-        if last is not None and last[2]:
-            send[0] = False
+        send[0] &= not sent
         if send.any():
-            yield pd.DataFrame({"sig": sig[send], "class": names[send]})
-        last = (sig[-1], names[-1], bool(some[-1]) or (len(sig) == 1 and last is not None and last[2]))
+            yield rows[send]
+        last, sent = rows.iloc[-1:], bool(some[-1]) or (len(sig) == 1 and sent)
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
@@ -285,6 +303,13 @@ def _pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _draws(turn: int) -> list[list[Column]]:
+    """Orders by which a group's centres are drawn: one of a set with few shingles of its own, others at random."""
+    draws = [[F.xxhash64(F.lit(CENTRES * turn + k), "class").alias("draw")] for k in range(CENTRES)]
+    draws[0].insert(0, (F.col("size") - F.col("rest")).alias("own"))
+    return draws
+
+
 def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows of doc_id, n_shingles and class for `docs(doc_id, text)`, and the verified
     links (a, b) between classes, enough of them to connect every two classes that are connected.
@@ -297,29 +322,33 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = stored(texts.mapInPandas(_described, "doc_id long, n_shingles long, class long, sketch binary, chunk int, counts binary"))
     rows = described.filter("chunk IS NULL").select("doc_id", "n_shingles", "class")
-    bits = _common_slots(described.filter("chunk IS NOT NULL"))
-    signed = texts.filter("doc_id IS NOT NULL").select("text").mapInPandas(_signed(bits), "sig long, class long")
-    shared = stored(signed.repartition("sig").sortWithinPartitions("sig", "class").mapInPandas(_shared, "sig long, class long"))
+    ranks = _slot_ranks(described.filter("chunk IS NOT NULL"))
+    signed = texts.filter("doc_id IS NOT NULL").select("text").mapInPandas(_signed(ranks), "sig long, class long, size int, rest int")
+    shared = stored(signed.repartition("sig").sortWithinPartitions("sig", "class").mapInPandas(_shared, "sig long, class long, size int, rest int"))
     named = described.filter("chunk IS NULL AND doc_id IS NOT NULL").join(shared.select("class").distinct(), "class", "left_semi")
     about = stored(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
 
-    count = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.min(F.struct(F.xxhash64("class"), "class"))["class"].alias("hub"))
-    ranked = shared.join(count, "sig")
-    two = ranked.filter("n = 2 AND class > low").select(F.col("low").alias("a"), F.col("class").alias("b"))
-    few = ranked.filter(F.col("n").between(3, SMALL)).select("sig", "class")
-    all_few = few.alias("x").join(few.alias("y"), "sig").select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).filter("a < b")
+    low = F.min(F.struct("class", "size", "rest")).alias("low")
+    hub = F.min(F.struct(F.xxhash64("class"), "class"))["class"].alias("hub")
+    count = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), low, F.min("size").alias("least"), hub)
+    ranked = shared.join(count, "sig").filter(fits(F.col("size"), F.col("least"), F.col("rest")))
+    two = ranked.filter(F.expr("n = 2 AND class > low.class") & fits(F.col("size"), F.col("low.size"), F.least("rest", "low.rest"))).select(F.col("low.class").alias("a"), F.col("class").alias("b"))
+    few = ranked.filter(F.col("n").between(3, SMALL)).select("sig", "class", "size", "rest")
+    fit = fits(F.col("x.size"), F.col("y.size"), F.least("x.rest", "y.rest"))
+    all_few = few.alias("x").join(few.alias("y"), "sig").filter(F.expr("x.class < y.class") & fit).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
     near = _near_pairs(two.unionByName(all_few).distinct(), about)
-    # Large signatures with the same lowest-ranked member have nearly the same members: one group for all of them.
-    large = stored(ranked.filter(F.col("n") > SMALL).select("hub", "class").distinct())
+    # Large signatures with the same drawn member have nearly the same members: one group for all of them.
+    large = stored(ranked.filter(F.col("n") > SMALL).groupBy("hub", "class", "size").agg(F.max("rest").alias("rest")))
     wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).unionByName(large.select("class")).distinct()
     sets = _sets(texts, stored(about.join(wanted, "class", "left_semi").select("class", "doc_id")))
     links = [_verify(near, sets)]
     if not large.isEmpty():
         rest = large
         for turn in range(TURNS):
-            drawn = rest.groupBy("hub").agg(*[F.min(F.struct(F.xxhash64(F.lit(CENTRES * turn + k), "class"), "class"))["class"].alias(f"c{k}") for k in range(CENTRES)])
-            drawn = drawn.select("hub", F.explode(F.array_distinct(F.array(*[f"c{k}" for k in range(CENTRES)]))).alias("centre"))
-            tries = rest.join(drawn, "hub").filter("class <> centre")
+            drawn = rest.groupBy("hub").agg(*[F.min(F.struct(*of, "class", "size", "rest")).alias(f"c{k}") for k, of in enumerate(_draws(turn))])
+            drawn = drawn.select("hub", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"c{k}.{x}").alias(f"centre_{x}") for x in ("class", "size", "rest")]) for k in range(CENTRES)]))).alias("c"))
+            tries = rest.join(drawn.select("hub", "c.*"), "hub").withColumnRenamed("centre_class", "centre")
+            tries = tries.filter((F.col("class") != F.col("centre")) & fits(F.col("size"), F.col("centre_size"), F.least("rest", "centre_rest")))
             seen = _verify(_near_pairs(tries.select(*_pair(F.col("class"), F.col("centre"))).distinct(), about), sets)
             links.append(seen)
             linked = seen.filter("linked").select("a", "b")
@@ -344,8 +373,10 @@ def _still_apart(large: DataFrame, links: list[DataFrame]) -> DataFrame:
     by_part = placed.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("n"))
     main = by_part.groupBy("hub").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("parts > 1")
     open_ = placed.join(main, "hub")
-    minor = open_.filter(F.col("component") != F.col("main")).select("hub", F.col("class").alias("x"), F.col("component").alias("of"))
-    pairs = minor.join(open_.select("hub", "class", "component"), "hub").filter(F.col("of") != F.col("component")).select(*_pair(F.col("x"), F.col("class"))).distinct()
+    whole = open_.select("hub", "class", "component", "size", "rest")
+    minor = whole.join(main.select("hub", F.col("main").alias("component")), ["hub", "component"], "left_anti")
+    fit = fits(F.col("x.size"), F.col("y.size"), F.least("x.rest", "y.rest"))
+    pairs = minor.alias("x").join(whole.alias("y"), "hub").filter((F.col("x.component") != F.col("y.component")) & fit).select(*_pair(F.col("x.class"), F.col("y.class"))).distinct()
     return pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
