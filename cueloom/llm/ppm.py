@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -218,6 +219,12 @@ def _pair(key):
     return (key >> 8) & 0xFFFF
 
 
+def _arrays(df: DataFrame, *columns: str) -> tuple[np.ndarray, ...]:
+    """Whole-number columns of a bounded table, by Arrow whatever the session's settings."""
+    table = df.select(*[F.col(c).cast("long").alias(c) for c in columns]).toArrow()
+    return tuple(table[c].to_numpy().astype(np.int64, copy=False) for c in columns)
+
+
 def _tries(counts: DataFrame, shard: int) -> Iterator[tuple[dict, np.ndarray | None]]:
     """Parts of the trie of at most about `shard` entries, each with the byte pairs that it serves."""
     levels = [counts]
@@ -227,21 +234,19 @@ def _tries(counts: DataFrame, shard: int) -> Iterator[tuple[dict, np.ndarray | N
     for k in range(ORDER, 2, -1):
         long = long.unionByName(levels[ORDER + 1 - k].withColumn("level", F.lit(k)))
     long = stored(long.withColumn("pair", F.shiftright("key", 8).bitwiseAND(0xFFFF).cast("int")))
-    short = {k: levels[ORDER + 1 - k].toPandas() for k in (2, 1)}  # at most 65,536 and 256 rows
-    weights = long.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "pair").toPandas()  # at most 65,536
-    parts = max(1, int(np.ceil(weights["n"].sum() / shard)))
+    short = {k: _arrays(levels[ORDER + 1 - k], "key", "n") for k in (2, 1)}  # at most 65,536 and 256 rows
+    pairs, sizes = _arrays(long.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "pair"), "pair", "n")  # at most 65,536
+    parts = max(1, int(np.ceil(sizes.sum() / shard)))
     owner, load = np.zeros(1 << 16, np.int32), np.zeros(parts)
-    for pair, n in zip(weights["pair"], weights["n"]):
+    for pair, n in zip(pairs, sizes):
         owner[pair] = k = int(np.argmin(load))
         load[k] += n
     for p in range(parts):
         own = long
         if parts > 1:
-            mine = [int(x) for x in weights["pair"] if owner[x] == p]
-            own = long.join(F.broadcast(counts.sparkSession.createDataFrame(pd.DataFrame({"pair": np.array(mine, np.int32)}))), "pair", "left_semi")
-        got = own.select("level", "key", "n").toPandas()
-        tables = {k: (g["key"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for k, g in got.groupby("level")}
-        tables |= {k: (g["key"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for k, g in short.items()}
+            mine = pairs[owner[pairs] == p].astype(np.int32)
+            own = long.join(F.broadcast(counts.sparkSession.createDataFrame(pa.table({"pair": mine}))), "pair", "left_semi")
+        tables = short | {k: _arrays(own.filter(F.col("level") == k), "key", "n") for k in range(3, ORDER + 2)}
         yield tables, None if parts == 1 else owner == p
 
 
@@ -292,8 +297,8 @@ def score_documents(docs: DataFrame, shard: int = SHARD, frequent: int = FREQUEN
         if room < 0:
             break
         from_step = r["step"]
-    top = words.filter(step >= from_step if from_step is not None else F.lit(False)).toPandas()
-    known = spark.sparkContext.broadcast((uuid.uuid4().hex, (top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64))))
+    top = _arrays(words.filter(step >= from_step if from_step is not None else F.lit(False)), "key", "n")
+    known = spark.sparkContext.broadcast((uuid.uuid4().hex, top))
     norm = float(np.log10(train_tokens + 0.5 * (distinct + 1)))
 
     def first_pass(trie_tables, serves):
@@ -331,6 +336,7 @@ def score_documents(docs: DataFrame, shard: int = SHARD, frequent: int = FREQUEN
         else:
             more = rows.select("row", "text").mapInPandas(later_pass(part, serves), "row long, more double").groupBy("row").agg(F.max("more").alias("more"))
             scored = stored(scored.join(more, "row").withColumn("score", F.col("score") + F.col("more")).drop("more"))
+        part.destroy()  # what it was needed for is stored
     rare = scored.filter(F.size("rare") > 0).select("row", F.posexplode("rare").alias("k", "key"), "times").select("row", "key", F.expr("times[k]").alias("times")).distinct()
     rare = rare.join(words, "key", "left").groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
