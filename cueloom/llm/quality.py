@@ -117,7 +117,7 @@ def _sparse(docs: DataFrame) -> pd.DataFrame:
                 rows.append((doc, label, np.concatenate(at or [np.zeros(0, np.int32)]), np.concatenate(share or [np.zeros(0, np.float32)])))
             yield pd.DataFrame(rows, columns=["doc_id", "quality", "at", "share"])
 
-    return docs.select("doc_id", "quality", "text").mapInPandas(run, "doc_id long, quality int, at array<int>, share array<float>").toPandas()
+    return docs.select("doc_id", "quality", "text").mapInPandas(run, "doc_id long, quality int, at array<int>, share array<float>").toArrow().to_pandas()
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
