@@ -177,17 +177,16 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for chunk, x in zip(batch["chunk"], batch["counts"]):
             totals[chunk] = totals.get(chunk, 0) + np.frombuffer(zlib.decompress(x), np.uint8).astype(np.uint64)
     for chunk, total in totals.items():
-        yield pd.DataFrame({"chunk": [chunk], "counts": [total.tobytes()]})
+        yield pd.DataFrame({"chunk": [chunk], "total": [int(total.sum())], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
 def _slot_ranks(sketches: DataFrame) -> bytes | None:
     """Ranks of the slots of the sketch, summed over all tasks: SLOTS bytes, compressed."""
-    merged = sketches.select("chunk", "counts").repartition("chunk").mapInPandas(_summed, "chunk int, counts binary").collect()
-    total = np.zeros((CHUNKS, SLOTS // CHUNKS), np.uint64)
-    for row in merged:  # CHUNKS rows of a fixed size
-        total[row["chunk"]] = np.frombuffer(row["counts"], np.uint64)
-    least = max(COMMON_FROM, 8 * total.mean())
-    ranks = np.searchsorted(least * float(STEP) ** np.arange(TOP), total.ravel(), side="right").astype(np.uint8)
+    merged = sketches.select("chunk", "counts").repartition("chunk").mapInPandas(_summed, "chunk int, total long, counts binary").collect()
+    least = max(COMMON_FROM, 8 * sum(row["total"] for row in merged) / SLOTS)
+    edges, ranks = least * float(STEP) ** np.arange(TOP), np.zeros((CHUNKS, SLOTS // CHUNKS), np.uint8)
+    for row in merged:  # CHUNKS rows of a bounded size
+        ranks[row["chunk"]] = np.searchsorted(edges, np.frombuffer(zlib.decompress(row["counts"]), np.uint64), side="right")
     return zlib.compress(ranks.tobytes(), 1) if ranks.any() else None
 
 
