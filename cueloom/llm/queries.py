@@ -79,4 +79,42 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-ORACLE: dict[str, str] = {}
+#: A text with A-Z lower-cased and nothing else changed.
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE: dict[str, str] = {
+    "op5_embedding_dedup": """
+WITH RECURSIVE vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+sound AS (
+  SELECT vec_id, v FROM vectors WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM sound UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vectors.vec_id, CAST(coalesce(counted.n, 0) AS BIGINT) AS n_links, CAST(coalesce(named.component_id, vectors.vec_id) AS BIGINT) AS component_id,
+  vectors.vec_id = coalesce(named.component_id, vectors.vec_id) AS kept
+FROM vectors LEFT JOIN counted ON vectors.vec_id = counted.a LEFT JOIN named ON vectors.vec_id = named.a
+""",
+    "op7_ngram_join": rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM worded),
+runs AS (
+  SELECT doc_id, n, k, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS g
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+sets AS (SELECT doc_id, list_sort(list(DISTINCT g)) AS s FROM runs WHERE k <= greatest(1, n - 4) GROUP BY doc_id),
+classes AS (SELECT s, min(doc_id) AS c, len(s) AS n FROM sets GROUP BY s),
+shingles AS (SELECT c, n, unnest(s) AS g FROM classes),
+links AS (
+  SELECT a.c AS a, b.c AS b FROM shingles a JOIN shingles b ON a.g = b.g AND a.c <> b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT documents.doc_id, CAST(coalesce(len(sets.s), 0) AS BIGINT) AS n_shingles,
+  CAST(coalesce(named.component_id, documents.doc_id) AS BIGINT) AS component_id
+FROM documents LEFT JOIN sets USING (doc_id) LEFT JOIN classes USING (s) LEFT JOIN named ON classes.c = named.a
+""",
+}

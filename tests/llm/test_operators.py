@@ -4,11 +4,12 @@ import json
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cueloom.llm import components, embedding_dedup, html_blocks, mixing, ngram_join, pii, ppm, quality, secrets, warc
+from cueloom.llm import components, embedding_dedup, html_blocks, mixing, ngram_join, pii, ppm, quality, queries, secrets, warc
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one two three"), (4, "one two three"), (None, "lost words here"), (5, "x" * 50_000), (6, "naïve ＡＢ 你好 \x1c end")]
 
@@ -263,3 +264,16 @@ def test_pipeline_stages(spark, sf_dir):
     mixed = P.mix_to_weights(spark, clean, sf_dir)
     assert mixed.columns == columns and mixed.select("doc_id").subtract(clean.select("doc_id")).count() == 0
     assert [n for n, _ in P.STAGES] and P.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_gives_the_same_rows(spark, sf_dir, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
+    want = con.execute(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, sf_dir).toPandas()
+    key = want.columns[0]
+    assert sorted(got.columns) == sorted(want.columns)
+    same = [df[list(want.columns)].sort_values(key).reset_index(drop=True) for df in (got, want)]
+    assert same[0].equals(same[1])
