@@ -210,6 +210,7 @@ _BUILT: dict[str, tuple[int, object]] = {}
 def _once(name: str, part, build):
     """What build makes of a broadcast (name, value), made once for each Python worker and kept until the next."""
     if _BUILT.get(name, (None,))[0] != part.value[0]:
+        _BUILT.pop(name, None)  # never two of them in memory
         _BUILT[name] = (part.value[0], build(part.value[1]))
     return _BUILT[name][1]
 
