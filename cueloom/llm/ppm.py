@@ -255,9 +255,12 @@ def _score_parts(texts: list[bytes], trie: Trie, serves: np.ndarray | None) -> n
     out = []
     for part in _slices(texts):
         keys, starts = byte_keys(part)
-        value = trie.score(keys)
-        if serves is not None:
-            value = np.where(serves[_pair(keys)], value, 0.0)
+        if serves is None:
+            value = trie.score(keys)
+        else:
+            mine = serves[_pair(keys)]
+            value = np.zeros(len(keys))
+            value[mine] = trie.score(keys[mine])
         out.append(np.add.reduceat(value, starts))
     return np.concatenate(out) if out else np.zeros(0)
 
