@@ -32,6 +32,8 @@ SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve vo".split(),
     "cyrillic": "ба бе бо ва ве во га го да де до ка ке ко ла ле ло ма ме мо на не но па пе по ра ре ро са се со та те то".split(),
 }
+#: At most so many syllables are added: 36**24 forms, and a host label of at most 63 characters.
+MORE = 24
 
 _NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -88,12 +90,23 @@ def _pick(options: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), (F.pmod(number, F.lit(len(options))) + 1).cast("int"))
 
 
+def _syllables(script: str, seed: Column, count: Column) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(1), count), lambda k: _pick(SYLLABLES[script], _number(seed, k.cast("string")))), "")
+
+
 def surrogate_form(kind: Column, normal: Column, key: Column, attempt: Column) -> Column:
-    """Surrogate of a normal form, itself a normal form; another for every attempt."""
+    """Surrogate of a normal form, itself a normal form; another for every attempt.
+
+    Later attempts draw from larger spaces: e-mails get a host label more, names another given name
+    or a longer surname, all of syllables whose number grows with the attempt up to MORE. Numbers
+    and addresses keep their length, so their spaces are what their formats hold.
+    """
+    more = F.least(attempt, F.lit(MORE))
     seed = F.concat_ws("\0", key, kind, normal, attempt.cast("string"))
     local, domain = F.substring_index(normal, "@", 1), F.substring_index(normal, "@", -1)
     host = F.regexp_replace(domain, r"\.?[^.]+\.[^.]+$", "")
-    email = F.concat(_joined(_stream(local, seed)), F.lit("@"), F.when(host != "", F.concat(_joined(_stream(host, F.concat_ws("\0", key, F.lit("host"), domain))), F.lit("."))).otherwise(""), F.lit("example."), _pick(["com", "net", "org"], _number(key, F.lit("domain"), domain)))
+    label = F.when(attempt > 0, F.concat(_syllables("latin", F.concat_ws("\0", key, F.lit("label"), domain, attempt.cast("string")), F.greatest(more, F.lit(1))), F.lit("."))).otherwise("")
+    email = F.concat(_joined(_stream(local, seed)), F.lit("@"), label, F.when(host != "", F.concat(_joined(_stream(host, F.concat_ws("\0", key, F.lit("host"), domain))), F.lit("."))).otherwise(""), F.lit("example."), _pick(["com", "net", "org"], _number(key, F.lit("domain"), domain)))
     moved = _joined(_stream(normal, seed))
     body = F.concat(F.substring(normal, 1, 1), F.substring(moved, 2, 14))
     check = F.pmod(F.lit(10) - F.pmod(_luhn(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
@@ -106,9 +119,10 @@ def surrogate_form(kind: Column, normal: Column, key: Column, attempt: Column) -
     for (script, gender), titles in TITLES.items():
         low = [t.lower() for t in titles]
         surname_seed = F.concat_ws("\0", key, F.lit("surname"), last, F.when(F.size(words) > 2, F.lit("")).otherwise(F.when(attempt > 0, attempt.cast("string")).otherwise("")))
-        surname = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: _pick(SYLLABLES[script], _number(surname_seed, k.cast("string")))), "")
+        surname = _syllables(script, surname_seed, F.when(F.size(words) > 2, F.lit(4)).otherwise(F.lit(4) + more))
         given = _pick([g.lower() for g in GIVEN[script, gender]], _number(seed, F.lit("given")))
-        extra = F.when(attempt > 0, F.concat(F.lit("-"), _pick([g.lower() for g in GIVEN[script, gender]], _number(seed, F.lit("more"))))).otherwise("")
+        second = F.when(attempt > 1, _syllables(script, F.concat_ws("\0", seed, F.lit("more")), F.greatest(more, F.lit(1)))).otherwise(_pick([g.lower() for g in GIVEN[script, gender]], _number(seed, F.lit("more"))))
+        extra = F.when(attempt > 0, F.concat(F.lit("-"), second)).otherwise("")
         name = F.when(title.isin(low), F.concat_ws(" ", title, F.when(F.size(words) > 2, F.concat(given, extra)), surname)).otherwise(name)
     return F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip).when(kind == "name", name).otherwise(phone)
 
@@ -129,7 +143,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, normal, form) for the distinct `entities(kind, normal)`, one-to-one.
 
     Each attempt draws for all that are still open; a drawn form is taken if no entity of the texts
-    and no other taken form equals it, the smallest of equal draws first. Ends when none is open.
+    and no other taken form equals it, the smallest of equal draws first. Ends when none is open:
+    the spaces of e-mails and names grow with the attempt; only numbers and addresses, which keep
+    their length, can be more than their format has surrogates for, which is an error.
     """
     known = stored(entities.select("kind", "normal").distinct())
     open_, taken, attempt = known, None, 0
@@ -142,8 +158,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         taken = stored(fresh if taken is None else taken.unionByName(fresh))
         open_ = stored(known.join(taken.select("kind", "normal"), ["kind", "normal"], "left_anti"))
         attempt += 1
-        if attempt > 64:
-            raise ValueError("more distinct entities of a kind and format than surrogates")
+        if attempt > 64 and not open_.filter(~F.col("kind").isin("email", "name")).isEmpty():
+            raise ValueError("more distinct numbers or addresses of a format than surrogates")
     return taken if taken is not None else known.withColumn("form", F.col("normal"))
 
 

@@ -182,6 +182,19 @@ def test_surrogates_are_consistent_and_distinct(spark):
     assert sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(card)) % 10 == 0
 
 
+def test_surrogates_for_more_entities_than_the_first_space_holds(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("email", f"{letters[k % 3]}@domain{k}.com") for k in range(400)] + [("email", f"{c}@one.org") for c in letters]
+    rows += [("name", f"mr {a}{b}o smith") for a in letters for b in letters] + [("name", f"господин {a}{b}о иванов") for a in "абвгдежзик" for b in "абвгдежзик"]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, normal string"), "key").collect()
+    assert sorted((r.kind, r.normal) for r in got) == sorted(rows)
+    forms = {r.form for r in got}
+    assert len(forms) == len(rows) and not forms & {n for _, n in rows}
+    for r in got:
+        assert re.fullmatch(r"[a-z]@([a-z]+\.)?example\.(com|net|org)" if r.kind == "email" else r"(mr|господин) \w+(-\w+)? \w+", r.form)
+    assert len({r.form.split()[-1] for r in got if r.normal.endswith(" smith")}) == 1
+
+
 def test_warc_records_link_back(spark):
     pages = spark.createDataFrame([(1, "http://a/\r\nX: y", "<title>t</title><p>Hi &amp; <b>you</b>"), (2, None, None), (None, "u", "")], "page_id long, url string, html string")
     rows = warc.derive(warc.page_responses(pages)).collect()
