@@ -31,6 +31,10 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 CLOSES_P = set("address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SAME_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+# Elements of SVG and MathML: their roots, those that hold HTML, those that aren't shown, and HTML elements that end an unclosed root.
+FOREIGN, HOLDS_HTML = {"svg", "math"}, {"foreignobject", "mi", "mo", "mn", "ms", "mtext"}
+NOT_SHOWN = {"svg": {"title", "desc", "metadata"}, "math": {"annotation", "annotation-xml"}}
+ENDS_FOREIGN = CLOSES_P | {"html", "head", "body", "embed", "meta", "listing", "xmp"}
 # Names that pages give to parts, for the rebuilt training pages.
 MAIN_PARTS = ["article", "main", "div.content", "div.article", "div.post", "div.entry-content", "section.story", "div.article-body", "div.main", "div.text", "section.page-content", "div.post-body"]
 OTHER_PARTS = {
@@ -46,7 +50,8 @@ OTHER_PARTS = {
 }
 _NOT_MAIN = {"nav", "aside", "footer", "header", "form", "head", "title", "button", "select", "textarea", "noscript"} | {t for names in OTHER_PARTS.values() for n in names for t in re.split(r"[. -]", n)} - {"div", "ul", "ol", "section", "site", "top", "bottom", "body", "page", "list", "post", "posts", "text", "links", "meta", "tags", "toc", "li"}
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|iframe|noembed|noframes|xmp|svg|math)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*(?:>|\Z)|</[^A-Za-z][^>]*>""", re.S | re.I)
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|iframe|noembed|noframes|xmp)(?=[\s/>])((?:"[^"]*"|'[^']*'|[^'">])*)>(.*?)(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*(?:>|\Z)|</[^A-Za-z][^>]*>""", re.S | re.I)
+_UNQUOTED_END = re.compile(r"""=\s*[^\s"'=]*/\Z""")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORDS = re.compile(r"\w+")
@@ -70,67 +75,110 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def read_blocks(page: str | None) -> list[Block]:
-    """Text blocks of a page in order. Unclosed and stray tags are read as browsers do in common cases."""
+    """Text blocks of a page in order. Unclosed and stray tags are read as browsers do in common cases.
+
+    SVG and MathML are read as inline elements whose texts are words of the block around them; what
+    isn't shown of them (titles, descriptions, annotations) is left out. The text of xmp is literal.
+    """
     page = page or ""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...] | None]] = []  # names: none of inline elements, None of those that aren't shown
     text: list[str] = []
-    links = linked = 0
+    links = linked = foreign = hidden = 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             joined = SPACES.sub(" ", entities.unescape("".join(text))).strip(" ")
             if joined:
-                blocks.append(Block(tuple(n for tag, names in stack if tag not in INLINE for n in names), joined, linked, next((tag for tag, _ in reversed(stack) if tag not in INLINE), "")))
+                blocks.append(Block(tuple(n for _, names in stack if names for n in names), joined, linked, next((tag for tag, names in reversed(stack) if names), "")))
             text.clear()
         linked = 0
 
     def close(k: int) -> None:
-        nonlocal links
+        nonlocal links, foreign, hidden
         links -= sum(tag == "a" for tag, _ in stack[k:])
+        if foreign:
+            foreign -= sum(tag in FOREIGN for tag, _ in stack[k:])
+            hidden -= sum(names is None for _, names in stack[k:])
         del stack[k:]
 
+    def root() -> int | None:
+        """Place of the svg or math whose content the innermost element is."""
+        k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in FOREIGN or stack[k][0] in HOLDS_HTML), None)
+        return k if k is not None and stack[k][0] in FOREIGN else None
+
+    def open_block(tag: str, attributes: str) -> None:
+        flush()
+        if tag in CLOSES_P and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][1]), None)) is not None and stack[k][0] == "p":
+            close(k)
+        if tag in SAME_END:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in SCOPES[tag]:
+                    break
+                if stack[k][0] in SAME_END[tag]:
+                    close(k)
+                    break
+        if tag not in VOID:
+            stack.append((tag, _names(tag, attributes)))
+
     at = 0
     for m in _MARKUP.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not hidden:
             text.append(page[at : m.start()])
             if links:
                 linked += m.start() - at
         at = m.end()
-        if not m[3]:
+        if m[1] and m[1].lower() == "xmp":
+            if foreign and (k := root()) is not None:
+                flush()
+                close(k)
+            open_block("xmp", m[2])
+            text.append(m[3].replace("&", "&amp;"))
+            linked += len(m[3]) if links else 0
+            flush()
+            close(len(stack) - 1)
             continue
-        tag = m[3].lower()
-        if m[2]:
+        if not m[5]:
+            continue
+        tag = m[5].lower()
+        if m[4]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if tag not in INLINE:
+            ends_blocks = k is not None and any(names for _, names in stack[k:])
+            if tag in INLINE:
+                if ends_blocks:
+                    continue  # an inline end tag doesn't close blocks
+            elif ends_blocks or (k is None and tag not in FOREIGN):
                 flush()
             if k is not None:
-                if tag in INLINE and any(t not in INLINE for t, _ in stack[k:]):
-                    continue  # an inline end tag doesn't close blocks
                 close(k)
             continue
+        k = root() if foreign else None
+        if k is not None and tag in ENDS_FOREIGN:
+            flush()
+            close(k)
+            k = None
+        if tag in FOREIGN or k is not None:
+            kind = tag if tag in FOREIGN else stack[k][0]
+            if tag not in FOREIGN and tag not in INLINE and tag not in ("tspan", "textpath"):
+                text.append(" ")  # texts of different elements are different words
+            if m[6].endswith("/") and not _UNQUOTED_END.search(m[6]):
+                continue
+            if tag not in INLINE:
+                foreign += tag in FOREIGN
+                hidden += tag in NOT_SHOWN[kind]
+                stack.append((tag, None if tag in NOT_SHOWN[kind] else ()))
+                continue
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
             elif tag not in VOID:
                 if tag == "a":
                     links += 1
-                stack.append((tag, (tag,)))
+                stack.append((tag, ()))
             continue
-        flush()
-        if tag in CLOSES_P and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][0] not in INLINE), None)) is not None and stack[k][0] == "p":
-            close(k)
-        if tag in SAME_END:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SCOPES[tag]:
-                    break
-                if stack[k][0] in SAME_END[tag]:
-                    close(k)
-                    break
-        if tag not in VOID:
-            stack.append((tag, _names(tag, m[4])))
-    if at < len(page):
+        open_block(tag, m[6])
+    if at < len(page) and not hidden:
         text.append(page[at:])
     flush()
     return blocks

@@ -223,6 +223,25 @@ def test_blocks_of_untidy_pages():
     assert texts == ["a", "b", "c d e", "f<é", "g"]
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<p>a <svg-icon name=x></svg-icon>b<p>c", ["a", "b", "c"]),
+        ("<template-x>a</template-x><math-field>b</math-field><style-guide>c</style-guide><p>d", ["a", "b", "c", "d"]),
+        ("<p>a <svg width='1'/> b<p>c <math/>d<p>e", ["a b", "c d", "e"]),
+        ("<p>a <svg><title>no</title><path d='M0'/><g><text>one</text><text>t<tspan>wo</tspan></text></g><style>no</style></svg> b<p>c", ["a one two b", "c"]),
+        ("<p>if <math><semantics><mrow><mi>x</mi><mo>&lt;</mo><mn>2</mn></mrow><annotation>no</annotation></semantics></math> then<p>c", ["if x < 2 then", "c"]),
+        ("<div>a<svg><path d=M0></div><p>b</p><svg><desc>no<p>c<svg><article>d", ["a", "b", "c", "d"]),
+        ("<svg><foreignObject><p>a<div>b</div></foreignObject></svg>c", ["a", "b", "c"]),
+        ("<p>a<xmp class=x><b>1 &lt; 2</b></xmp>b<xmp>c", ["a", "<b>1 &lt; 2</b>", "b", "c"]),
+        ("<script>no</script x><p>a<svg href=x/>b</svg>c</svg> d", ["abc d"]),
+    ],
+)
+def test_foreign_elements_and_xmp_keep_their_texts(page, texts):
+    assert [b.text for b in html_blocks.read_blocks(page)] == texts
+    assert warc.plain_text(page) == "\n".join(texts)
+
+
 def test_ppm_matches_brute_force_in_parts(spark):
     texts = ["the cat sat on the mat", "The cat ran", "a mat, a hat", None, "", "zzz qqq", "the hat sat"] * 4
     rows = list(enumerate(texts)) + [(None, "the end")]
