@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -189,16 +190,26 @@ def silver_label(block: Block) -> int:
     return int(bool({"article", "main"} & set(block.path)) and not _NOT_MAIN & set(block.path))
 
 
+@lru_cache(1 << 16)
+def _word_slot(word: str) -> int:
+    """Slot of a word, past WORD_SLOTS if it counts up and not down."""
+    h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    return h % WORD_SLOTS + (WORD_SLOTS if h & (1 << 20) else 0)
+
+
 def vectors(blocks: list[Block]) -> np.ndarray:
+    """A row for each block; the words of the whole text count, as a vector of length one at most."""
     out = np.zeros((len(blocks), WIDTH), np.float32)
     n = len(blocks)
     for k, b in enumerate(blocks):
         for name in b.path:
             out[k, zlib.crc32(name.encode()) % PATH_SLOTS] = 1
-        words = _WORDS.findall(b.text[:400].lower())
+        words = _WORDS.findall(b.text.lower())
         if words:
-            slots = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words))
-            np.add.at(out[k], PATH_SLOTS + slots % WORD_SLOTS, np.where(slots & (1 << 20), 1.0, -1.0) / np.sqrt(len(words)))
+            slots = np.fromiter(map(_word_slot, words), np.int64, len(words))
+            counts = np.bincount(slots, minlength=2 * WORD_SLOTS)
+            signed = counts[WORD_SLOTS:] - counts[:WORD_SLOTS]
+            out[k, PATH_SLOTS : PATH_SLOTS + WORD_SLOTS] = signed / max(1.0, np.sqrt(signed @ signed))
         size = len(b.text)
         out[k, PATH_SLOTS + WORD_SLOTS :] = (np.log1p(size) / 6, min(1, b.linked / size), b.text.count(",") * 10 / (size + 20), b.text[-1] in ".!?", b.leaf == "p", b.leaf in ("h1", "h2", "h3"), k / n, 1)
     return out

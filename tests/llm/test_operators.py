@@ -242,6 +242,14 @@ def test_foreign_elements_and_xmp_keep_their_texts(page, texts):
     assert warc.plain_text(page) == "\n".join(texts)
 
 
+def test_words_of_whole_blocks_count():
+    same = "word " * 100
+    block = lambda text: html_blocks.Block(("html", "p"), text, 0, "p")
+    words = slice(html_blocks.PATH_SLOTS, html_blocks.PATH_SLOTS + html_blocks.WORD_SLOTS)
+    a, b, c = html_blocks.vectors([block(same + "subscribe to our letter " * 40), block(same + "rivers carry silt to seas " * 40), block(same * 300)])[:, words]
+    assert np.abs(a - b).max() > 0.1 and max(np.abs(x).max() for x in (a, b, c)) <= 1
+
+
 def test_ppm_matches_brute_force_in_parts(spark):
     texts = ["the cat sat on the mat", "The cat ran", "a mat, a hat", None, "", "zzz qqq", "the hat sat"] * 4
     rows = list(enumerate(texts)) + [(None, "the end")]
