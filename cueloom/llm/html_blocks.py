@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cueloom.llm.common import SPACES
 
-#: Fitted on at most so many pages, chosen by a hash of page_id; each is also rebuilt VARIANTS times.
+#: Fitted on at most so many pages with explicit parts, chosen by a hash of page_id; each is also rebuilt VARIANTS times.
 TRAIN_PAGES, VARIANTS = 240, 3
 PATH_SLOTS, WORD_SLOTS, MEASURES, HIDDEN = 96, 24, 8, 16
 WIDTH = PATH_SLOTS + WORD_SLOTS + MEASURES
@@ -219,6 +219,7 @@ class Labeller:
     """Bidirectional LSTM with one logistic output for each step."""
 
     def __init__(self, seed: int = 5):
+        self.fitted = False
         rng = np.random.default_rng(seed)
         u = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         self.p = {"v": u(2 * HIDDEN, 1), "c": np.zeros(1, np.float32)}
@@ -280,6 +281,8 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def label_pages(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
     """For each page, which of its blocks are main text. Pages of like length are labelled together."""
+    if not model.fitted:
+        return [np.array([not _NOT_MAIN & set(b.path) for b in p], bool) for p in pages]
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
     order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
     at = 0
@@ -333,9 +336,16 @@ def rebuilt(pages: list[list[Block]], rng: np.random.Generator) -> list[tuple[li
 
 
 def train(pages: list[str], seed: int = 5, epochs: int = 10) -> Labeller:
-    """Fit the labeller on pages whose parts are explicit, as they are and rebuilt."""
+    """Fit the labeller on pages whose parts are explicit, as they are and rebuilt.
+
+    Without such pages nothing can be learnt; the labeller then isn't `fitted`, and label_pages takes
+    every block that no part of another kind (navigation, footer, form, ...) holds.
+    """
     rng, model = np.random.default_rng(seed), Labeller(seed)
     read = [b for b in map(read_blocks, pages) if any(map(silver_label, b))]
+    if not read:
+        return model
+    model.fitted = True
     sets = [(b, [silver_label(x) for x in b]) for b in read]
     for _ in range(VARIANTS):
         sets += rebuilt(read, rng)
@@ -359,10 +369,25 @@ def train(pages: list[str], seed: int = 5, epochs: int = 10) -> Labeller:
 
 
 def fit(pages: DataFrame, rows: int = TRAIN_PAGES) -> Labeller:
-    """Train on at most `rows` pages, those of the lowest hash of page_id."""
-    chosen = pages.filter("page_id IS NOT NULL AND html IS NOT NULL").select("page_id", F.xxhash64("page_id").alias("h")).distinct().orderBy("h", "page_id").limit(rows)
-    sample = pages.join(F.broadcast(chosen.select("page_id")), "page_id").groupBy("page_id").agg(F.max("html").alias("html")).orderBy("page_id").toPandas()
-    return train(sample["html"].to_list())
+    """Train on at most `rows` pages with explicit parts, those of the lowest hash of page_id.
+
+    Pages that may have such parts are read in order of the hash, eight times as many in each round,
+    until enough have them or all are read.
+    """
+
+    @F.pandas_udf("boolean")
+    def explicit(batch: pd.Series) -> pd.Series:
+        return pd.Series([any(map(silver_label, read_blocks(h))) for h in batch], dtype=bool)
+
+    may = pages.filter("page_id IS NOT NULL AND html IS NOT NULL").filter(F.col("html").rlike("(?i)article|main")).select("page_id", F.xxhash64("page_id").alias("h"), F.col("html").cast("string").alias("html"))
+    share = 2 * rows / max(1, may.count())
+    while True:
+        within = may if share >= 1 else may.filter(F.col("h") < int(share * 2**64) - 2**63)
+        found = within.distinct().filter(explicit("html")).groupBy("h", "page_id").agg(F.max("html").alias("html"))
+        sample = found.orderBy("h", "page_id").limit(rows).toPandas()
+        if len(sample) >= rows or share >= 1:
+            return train(sample.sort_values("page_id")["html"].to_list())
+        share *= 8
 
 
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:

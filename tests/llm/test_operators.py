@@ -250,6 +250,22 @@ def test_words_of_whole_blocks_count():
     assert np.abs(a - b).max() > 0.1 and max(np.abs(x).max() for x in (a, b, c)) <= 1
 
 
+def test_training_pages_are_those_with_explicit_parts(spark, monkeypatch):
+    rows = [(k, "u", f"<p>page {k} with main and article as words") for k in range(300)]
+    some = [(k, "u", f"<nav>menu {k}</nav><article><p>text {k}</article>") for k in (1000, 1001, 1002)]
+    given = []
+    monkeypatch.setattr(html_blocks, "train", given.append)
+    html_blocks.fit(spark.createDataFrame(rows + some, "page_id long, url string, html string"), rows=5)
+    assert given == [[h for _, _, h in some]]
+    html_blocks.fit(spark.createDataFrame(rows + some, "page_id long, url string, html string"), rows=2)
+    assert len(given[1]) == 2 and set(given[1]) < set(given[0])
+
+
+def test_without_explicit_parts_other_parts_go(spark):
+    pages = spark.createDataFrame([(1, "u", "<nav>menu</nav><div><p>one</p><p>two</div><footer>end</footer>")], "page_id long, url string, html string")
+    assert [r.text for r in html_blocks.extract(pages, html_blocks.fit(pages)).collect()] == ["one\ntwo"]
+
+
 def test_ppm_matches_brute_force_in_parts(spark):
     texts = ["the cat sat on the mat", "The cat ran", "a mat, a hat", None, "", "zzz qqq", "the hat sat"] * 4
     rows = list(enumerate(texts)) + [(None, "the end")]
