@@ -387,7 +387,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows of one document: what any links with, all link with. Other columns are ignored.
     """
     rows, links = link_documents(docs)
-    found = connected(links)
+    held = rows.filter("doc_id IS NOT NULL AND class IS NOT NULL")
+    several = held.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("most")).filter("a <> most").select("doc_id", "a")
+    own = held.join(several, "doc_id").filter("class <> a").select("a", F.col("class").alias("b")).distinct()
+    found = connected(links.unionByName(own))
     first = rows.filter("doc_id IS NOT NULL AND class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"))
     named = first.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -56,6 +56,13 @@ def test_near_duplicates_match_brute_force(spark):
     assert [got[k].n_shingles for k in range(len(texts))] == sizes
 
 
+def test_texts_of_one_document_are_in_one_group(spark):
+    a, b = "one two three four five six seven", "red green blue white black grey pink"
+    rows = [(3, a), (5, a), (5, b), (9, b), (7, "something else that is on its own"), (None, b)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (3, 3), (5, 3), (5, 3), (7, 7), (9, 3)]
+
+
 def test_every_similar_pair_shares_a_signature():
     rng = np.random.default_rng(5)
     for _ in range(250):
