@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Code units that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -17,11 +19,15 @@ _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the session's checkpoint directory, which driver and executors share.
 
-    Only where the session names none (tests, notebooks) a temporary folder becomes that directory.
+    Where the session names none, a temporary folder becomes that directory in local mode; on a cluster
+    that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
@@ -29,7 +35,27 @@ def stored(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what `stored` wrote for tables that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[dict[str, list]]:
+    """Columns of Arrow batches as lists, a few rows at a time: texts become Python objects only while
+    they are worked on."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows).to_pydict()
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def lower_words(text: str | None) -> list[bytes]:

@@ -24,6 +24,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(_read(spark, sf_dir, "documents"), _tokenizer())
 
 
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_conversations(_read(spark, sf_dir, "conversations"), _tokenizer())
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     replaced = pii.replace_entities(_read(spark, sf_dir, "documents"), key="rotate-me")
     return replaced.select("doc_id", "text", "n_entities", F.to_json("entities").alias("entities"))
@@ -72,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": pipeline} | {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {"pipeline": pipeline, "packed_conversations": packed_conversations} | {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,7 +16,7 @@ def _ids(text):
     return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids + [0]
 
 
-TEXTS = ["", None, "one two", "one two", " lead  and trail ", "tab\tnew\n\nline \n x", "naïve 你好 world　wide", "a  b  c", "word " * 3000, "x" * 9000, "<|endoftext|> tail", "it's we're 12 345"]
+TEXTS = ["", None, "one two", "one two", " lead  and trail ", "tab\tnew\n\nline \n x", "naïve 你好 world　wide", "a  b  c", "word " * 3000, "x" * 9000, "<|endoftext|> tail", "it's we're 12 345", " " * 5000 + "x", "\n\t" * 900_000]
 
 
 def _whole(pieces, texts):
@@ -71,3 +71,35 @@ def test_without_cuts_too_long_examples_are_returned_unplaced(spark):
 
 def test_empty_table(spark):
     assert packing.pack_texts(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_gives_the_ids_of_the_tokenizer_file(name):
+    """Also for files that ranks don't describe."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path(name), random.Random(4)
+    own, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    assert (own.ranks is None) == (name != "byte_bpe_50k.json")
+    letters = "etaoins hrdluETA.,'\n\t0123éüñ中文🙂\u3000\x85"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 80))) for _ in range(3000)]
+    for text in texts:
+        assert own(text) == np.array(plain.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_replies_bear_loss_and_prompts_do_not(spark):
+    turns = [(1, 0, "user", "what is it"), (1, 1, "assistant", "a thing"), (1, 2, "user", None), (1, 3, "assistant", "more words here"), (2, 0, "assistant", "alone"), (3, 0, "user", "no reply"), (4, 0, "user", "w " * 2000), (4, 1, "assistant", "ok")]
+    rows = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").coalesce(1)
+    out = packing.pack_conversations(rows, PATH).toPandas()
+    n = lambda text: len(_ids(text)) - 1
+    got = sorted(zip(out.doc_id, out.length, out.loss_tokens))
+    assert got == sorted([(1, n("what is it") + n("a thing") + 1, n("a thing") + 1), (1, n("more words here") + 1, n("more words here") + 1), (2, n("alone") + 1, n("alone") + 1), (4, n("w " * 2000) + n("ok") + 1, n("ok") + 1)])
+    assert out.sequence_id.isna().sum() == 1 and (out[out.sequence_id.isna()].doc_id == 4).all()
+
+
+def test_null_doc_ids_stay_null(spark):
+    docs = spark.createDataFrame([(None, "one"), (None, "two"), (5, "three"), (5, "three")], "doc_id long, text string")
+    out = packing.pack_texts(docs, PATH).toPandas()
+    assert out.doc_id.isna().sum() == 2 and (out.doc_id == 5).sum() == 2
