@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import stored
+from cueloom.llm.common import discard, stored
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -22,17 +22,23 @@ def connected(edges: DataFrame) -> DataFrame:
     edges = stored(ends(edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))))
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        points = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("to")))
+        near = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("to")))
+        points = near
         for _ in range(2):
             step = points.select(F.col("node").alias("to"), F.col("to").alias("next"))
             points = points.join(step, "to").select("node", F.col("next").alias("to"))
         points = stored(points)
+        last = nodes
         if nodes is None:
             nodes = points.withColumnRenamed("to", "component")
+            nodes.stored_at = points.stored_at
         else:
             moved = points.select(F.col("node").alias("component"), "to")
             nodes = stored(nodes.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        redrawn = edges
         for end in ("a", "b"):
-            edges = edges.join(points.select(F.col("node").alias(end), "to"), end).drop(end).withColumnRenamed("to", end)
-        edges = stored(ends(edges))
+            redrawn = redrawn.join(points.select(F.col("node").alias(end), "to"), end).drop(end).withColumnRenamed("to", end)
+        redrawn = stored(ends(redrawn))
+        discard(near, edges, *([points, last] if last is not None else []))
+        edges = redrawn
     return nodes if nodes is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -18,15 +18,17 @@ Documents with equal sets are one class and are compared once.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import _ASCII_LOWER, mix64, stored
+from cueloom.llm.common import _ASCII_LOWER, discard, mix64, slices, stored
 from cueloom.llm.components import connected
 
 WORDS = 5
@@ -43,6 +45,8 @@ COMMON_FROM, STEP, TOP = 32, 4, 12
 #: Classes that share a signature are all compared up to this many; beyond it with drawn centres first.
 SMALL = 8
 CENTRES, TURNS = 4, 2
+#: Signatures that a task hands on at a time, and names of classes that it remembers.
+FRAME, SEEN = 1 << 17, 1 << 20
 #: Keys of the broadcast semi-join that keeps most texts out of the exact join: at most so many rows.
 KEYS = 1 << 20
 
@@ -51,28 +55,45 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of a text whose words are hashed together.
+PIECE = 1 << 16
+_UP, _DOWN = (np.multiply.accumulate(np.array([1] + [x] * PIECE, np.uint64)) for x in (_ODD, _INVERSE))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_ODD, _INVERSE)):
-            x = np.full(2 * n, base, np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.multiply.accumulate(x)
-    return _POWERS
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of a text's lower-cased words, in order."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+def _hashed(raw: np.ndarray) -> np.ndarray:
+    """Hashes of the words of at most PIECE bytes."""
     gap = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
-    up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * _UP[: len(raw)], out=total[1:])
+    return mix64((total[end] - total[start]) * _DOWN[start] + (end - start).astype(np.uint64))
+
+
+def word_hashes(text: str | bytes | None) -> np.ndarray:
+    """64-bit hashes of a text's lower-cased words, in order; memory is a few times the text's bytes."""
+    data = (text or "").encode("utf-8", "surrogatepass") if not isinstance(text, bytes) else text
+    raw = np.frombuffer(data, np.uint8)
+    if len(raw) < PIECE:
+        return _hashed(raw)
+    found, at = [], 0
+    while at < len(raw):
+        upto = at + PIECE
+        if upto <= len(raw):
+            gaps = np.flatnonzero(_SPACE[raw[at:upto]])
+            if not len(gaps):  # inside a word longer than a piece, which is hashed by itself
+                upto = at + PIECE
+                while upto < len(raw) and not len(gaps := np.flatnonzero(_SPACE[raw[upto : upto + PIECE]])):
+                    upto += PIECE
+                upto = min(len(raw), upto + (int(gaps[0]) if len(gaps) else 0))
+                digest = hashlib.blake2b(data[at:upto].translate(_ASCII_LOWER), digest_size=8).digest()
+                found.append(np.frombuffer(digest, np.uint64))
+                at = upto
+                continue
+            upto = at + int(gaps[-1]) + 1
+        found.append(_hashed(raw[at:upto]))
+        at = upto
+    return np.concatenate(found)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -151,23 +172,23 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return inter, len(both) - inter
 
 
-def _described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+DESCRIBED = pa.schema({"doc_id": pa.int64(), "n_shingles": pa.int64(), "class": pa.int64(), "sketch": pa.binary(), "chunk": pa.int32(), "counts": pa.binary()})
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and this task's counts by sketch slot."""
     counts = np.zeros(SLOTS, np.uint32)
-    for batch in batches:
+    for part in slices(batches):
         rows = []
-        for doc, text in zip(batch["doc_id"], batch["text"]):
+        for doc, text in zip(part["doc_id"], part["text"]):
             s = shingle_set(text)
             if len(s):
                 counts[(s & np.uint64(SLOTS - 1)).astype(np.int64)] += 1
-            rows.append((None if pd.isna(doc) else int(doc), len(s), set_class(s) if len(s) else None, parity_sketch(s) if len(s) else None))
-        doc, size, name, sketch = zip(*rows) if rows else ((), (), (), ())
-        whole = lambda values: pd.array(list(values), dtype="Int64")  # noqa: E731  a float column would round the names
-        frame = pd.DataFrame({"doc_id": whole(doc), "n_shingles": whole(size), "class": whole(name), "sketch": pd.Series(list(sketch), dtype=object)})
-        yield frame.assign(chunk=pd.array([None] * len(frame), dtype="Int32"), counts=None)
+            rows.append({"doc_id": doc, "n_shingles": len(s), "class": set_class(s) if len(s) else None, "sketch": parity_sketch(s) if len(s) else None})
+        yield pa.RecordBatch.from_pylist(rows, DESCRIBED)
     for k, part in enumerate(np.split(np.minimum(counts, 255).astype(np.uint8), CHUNKS)):
         if part.any():
-            yield pd.DataFrame({"doc_id": pd.array([None], dtype="Int64"), "n_shingles": pd.array([0], dtype="Int64"), "class": pd.array([None], dtype="Int64"), "sketch": None, "chunk": pd.array([k], dtype="Int32"), "counts": [zlib.compress(part.tobytes(), 1)]})
+            yield pa.RecordBatch.from_pylist([{"n_shingles": 0, "chunk": k, "counts": zlib.compress(part.tobytes(), 1)}], DESCRIBED)
 
 
 def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,21 +212,34 @@ def _slot_ranks(sketches: DataFrame) -> bytes | None:
 
 
 def _signed(packed: bytes | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Signatures of the classes that a task meets, each class once as long as SEEN names are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = None if packed is None else np.frombuffer(zlib.decompress(packed), np.uint8)
-        for batch in batches:
-            sig, names, n, sizes, rests = [], [], [], [], []
-            for text in batch["text"]:
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def gathered() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "class", "size", "rest"])
+
+        for part in slices(batches):
+            for text in part["text"]:
                 s = shingle_set(text)
-                if len(s):
-                    x, rest = enumerate_signatures(s, ranks)
-                    sig.append(x)
-                    rests.append(rest)
-                    sizes.append(len(s))
-                    names.append(set_class(s))
-                    n.append(len(x))
-            if sig:
-                yield pd.DataFrame({"sig": np.concatenate(sig).view(np.int64), "class": np.repeat(np.array(names, np.int64), n), "size": np.repeat(np.array(sizes, np.int32), n), "rest": np.concatenate(rests)})
+                if not len(s) or (name := set_class(s)) in seen:
+                    continue
+                seen.add(name)
+                x, rest = enumerate_signatures(s, ranks)
+                for at in range(0, len(x), FRAME):
+                    some = x[at : at + FRAME]
+                    held.append((some.view(np.int64), np.full(len(some), name, np.int64), np.full(len(some), len(s), np.int32), rest[at : at + FRAME]))
+                    if sum(len(h[0]) for h in held) >= FRAME:
+                        yield gathered()
+            if len(seen) > SEEN:
+                seen.clear()
+        if held:
+            yield gathered()
 
     return run
 
@@ -313,16 +347,16 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows of doc_id, n_shingles and class for `docs(doc_id, text)`, and the verified
     links (a, b) between classes, enough of them to connect every two classes that are connected.
 
-    The texts are read twice and once more for the candidates only; shuffled are signatures of
-    16 bytes, about 0.4 for each shingle, and the sets of candidates. Signatures of more than SMALL
+    The texts are read twice and once more for the candidates only; shuffled are signatures, about
+    0.4 for each shingle, and the sets of candidates. Tables between the steps are removed. Signatures of more than SMALL
     classes are settled by drawn centres first: classes linked with one are connected and need no
     further comparison with each other; whatever is still apart afterwards is compared in full.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = stored(texts.mapInPandas(_described, "doc_id long, n_shingles long, class long, sketch binary, chunk int, counts binary"))
+    described = stored(texts.mapInArrow(_described, "doc_id long, n_shingles long, class long, sketch binary, chunk int, counts binary"))
     rows = described.filter("chunk IS NULL").select("doc_id", "n_shingles", "class")
     ranks = _slot_ranks(described.filter("chunk IS NOT NULL"))
-    signed = texts.filter("doc_id IS NOT NULL").select("text").mapInPandas(_signed(ranks), "sig long, class long, size int, rest int")
+    signed = texts.filter("doc_id IS NOT NULL").select("text").mapInArrow(_signed(ranks), "sig long, class long, size int, rest int")
     shared = stored(signed.repartition("sig").sortWithinPartitions("sig", "class").mapInPandas(_shared, "sig long, class long, size int, rest int"))
     named = described.filter("chunk IS NULL AND doc_id IS NOT NULL").join(shared.select("class").distinct(), "class", "left_semi")
     about = stored(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
@@ -338,9 +372,12 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = _near_pairs(two.unionByName(all_few).distinct(), about)
     # Large signatures with the same drawn member have nearly the same members: one group for all of them.
     large = stored(ranked.filter(F.col("n") > SMALL).groupBy("hub", "class", "size").agg(F.max("rest").alias("rest")))
+    discard(shared)
     wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).unionByName(large.select("class")).distinct()
-    sets = _sets(texts, stored(about.join(wanted, "class", "left_semi").select("class", "doc_id")))
+    chosen = stored(about.join(wanted, "class", "left_semi").select("class", "doc_id"))
+    sets = _sets(texts, chosen)
     links = [_verify(near, sets)]
+    discard(near, chosen)
     if not large.isEmpty():
         rest = large
         for turn in range(TURNS):
@@ -355,6 +392,7 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             done = tries.join(both, (F.col("class") == F.col("a")) & (F.col("centre") == F.col("b")), "left_semi").select("hub", "class").distinct()
             rest = stored(rest.join(done, ["hub", "class"], "left_anti"))
         links.append(_verify(_near_pairs(_still_apart(large, links), about), sets))
+    discard(about, sets, large)
     found = links[0]
     for more in links[1:]:
         found = found.unionByName(more)
@@ -388,11 +426,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows, links = link_documents(docs)
     held = rows.filter("doc_id IS NOT NULL AND class IS NOT NULL")
-    several = held.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("most")).filter("a <> most").select("doc_id", "a")
-    own = held.join(several, "doc_id").filter("class <> a").select("a", F.col("class").alias("b")).distinct()
-    found = connected(links.unionByName(own))
-    first = rows.filter("doc_id IS NOT NULL AND class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"))
-    named = first.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "component").select("class", "component_id")
+    first = stored(held.groupBy("class").agg(F.min("doc_id").alias("first")))  # a class goes by its smallest doc_id from here on
+    for side in ("a", "b"):
+        links = links.join(first.select(F.col("class").alias(side), F.col("first").alias(f"{side}_id")), side)
+    own = held.join(first, "class").groupBy("doc_id").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least <> most")
+    several = held.join(own.select("doc_id"), "doc_id").join(first, "class").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    found = connected(links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).unionByName(several))
+    named = first.join(found.withColumnRenamed("node", "first"), "first", "left").select("class", F.coalesce("component", "first").alias("component_id"))
     return rows.join(named, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
