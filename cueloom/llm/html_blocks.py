@@ -10,6 +10,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -51,7 +52,7 @@ OTHER_PARTS = {
 }
 _NOT_MAIN = {"nav", "aside", "footer", "header", "form", "head", "title", "button", "select", "textarea", "noscript"} | {t for names in OTHER_PARTS.values() for n in names for t in re.split(r"[. -]", n)} - {"div", "ul", "ol", "section", "site", "top", "bottom", "body", "page", "list", "post", "posts", "text", "links", "meta", "tags", "toc", "li"}
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|iframe|noembed|noframes|xmp)(?=[\s/>])((?:"[^"]*"|'[^']*'|[^'">])*)>(.*?)(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*(?:>|\Z)|</[^A-Za-z][^>]*>""", re.S | re.I)
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|iframe|noembed|noframes|xmp)(?=[\s/>])((?:"[^"]*+"|'[^']*+'|[^'">]++)*+)>(.*?)(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*+"|'[^']*+'|[^'">]++)*+)>|<[!?][^>]*(?:>|\Z)|</[^A-Za-z][^>]*>|</?[A-Za-z](?:"[^"]*+"|'[^']*+'|[^'"<>]++)*+(?:["'][^<>]*+)?(?:>|\Z)""", re.S | re.I)
 _UNQUOTED_END = re.compile(r"""=\s*[^\s"'=]*/\Z""")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -60,7 +61,7 @@ _WORDS = re.compile(r"\w+")
 
 @dataclass
 class Block:
-    path: tuple[str, ...]  # names from the root down: element names and words of their class, id and role
+    path: tuple[str, ...]  # distinct names from the root down: element names and words of their class, id and role
     text: str
     linked: int  # characters inside links
     leaf: str = ""
@@ -76,7 +77,8 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def read_blocks(page: str | None) -> list[Block]:
-    """Text blocks of a page in order. Unclosed and stray tags are read as browsers do in common cases.
+    """Text blocks of a page in order. Unclosed and stray tags are read as browsers do in common cases;
+    a tag with an unclosed quote, or without an end, is left out up to its first > behind whole quotes.
 
     SVG and MathML are read as inline elements whose texts are words of the block around them; what
     isn't shown of them (titles, descriptions, annotations) is left out. The text of xmp is literal.
@@ -86,24 +88,41 @@ def read_blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...] | None]] = []  # names: none of inline elements, None of those that aren't shown
     text: list[str] = []
     links = linked = foreign = hidden = 0
+    paths: list[tuple[str, ...]] = [()]  # of the elements on the stack that open blocks
+    leaves: list[str] = [""]
+    opened: Counter[str] = Counter()  # how often a tag is on the stack
 
     def flush() -> None:
         nonlocal linked
         if text:
             joined = SPACES.sub(" ", entities.unescape("".join(text))).strip(" ")
             if joined:
-                blocks.append(Block(tuple(n for _, names in stack if names for n in names), joined, linked, next((tag for tag, names in reversed(stack) if names), "")))
+                blocks.append(Block(paths[-1], joined, linked, leaves[-1]))
             text.clear()
         linked = 0
 
     def close(k: int) -> None:
         nonlocal links, foreign, hidden
-        links -= sum(tag == "a" for tag, _ in stack[k:])
+        for tag, names in stack[k:]:
+            links -= tag == "a"
+            opened[tag] -= 1
+            if names:
+                paths.pop()
+                leaves.pop()
         if foreign:
             foreign -= sum(tag in FOREIGN for tag, _ in stack[k:])
             hidden -= sum(names is None for _, names in stack[k:])
         del stack[k:]
 
+    def push(tag: str, names: tuple[str, ...] | None) -> None:
+        stack.append((tag, names))
+        opened[tag] += 1
+        if names:
+            last = paths[-1]
+            more = tuple(dict.fromkeys(n for n in names if n not in last))
+            paths.append(last + more if more else last)
+            leaves.append(tag)
+
     def root() -> int | None:
         """Place of the svg or math whose content the innermost element is."""
         k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in FOREIGN or stack[k][0] in HOLDS_HTML), None)
@@ -113,7 +132,7 @@ def read_blocks(page: str | None) -> list[Block]:
         flush()
         if tag in CLOSES_P and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][1]), None)) is not None and stack[k][0] == "p":
             close(k)
-        if tag in SAME_END:
+        if tag in SAME_END and any(opened[t] for t in SAME_END[tag]):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in SCOPES[tag]:
                     break
@@ -121,7 +140,7 @@ def read_blocks(page: str | None) -> list[Block]:
                     close(k)
                     break
         if tag not in VOID:
-            stack.append((tag, _names(tag, attributes)))
+            push(tag, _names(tag, attributes))
 
     at = 0
     for m in _MARKUP.finditer(page):
@@ -144,7 +163,7 @@ def read_blocks(page: str | None) -> list[Block]:
             continue
         tag = m[5].lower()
         if m[4]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None) if opened[tag] else None
             ends_blocks = k is not None and any(names for _, names in stack[k:])
             if tag in INLINE:
                 if ends_blocks:
@@ -168,7 +187,7 @@ def read_blocks(page: str | None) -> list[Block]:
             if tag not in INLINE:
                 foreign += tag in FOREIGN
                 hidden += tag in NOT_SHOWN[kind]
-                stack.append((tag, None if tag in NOT_SHOWN[kind] else ()))
+                push(tag, None if tag in NOT_SHOWN[kind] else ())
                 continue
         if tag in INLINE:
             if tag == "br":
@@ -176,7 +195,7 @@ def read_blocks(page: str | None) -> list[Block]:
             elif tag not in VOID:
                 if tag == "a":
                     links += 1
-                stack.append((tag, ()))
+                push(tag, ())
             continue
         open_block(tag, m[6])
     if at < len(page) and not hidden:
