@@ -18,8 +18,17 @@ KINDS = ("assign", "access", "hex", "token", "pem", "key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Base64 of an opening brace and white space or a quote.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])e[wy][A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: Line ends may be written as a backslash and a letter, as in strings of source code.
+_GAP = r"(?:\s|\\[nr])"
+PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=]|{_GAP})+)-----END \1-----")
+#: Where base64 of a sequence, or of a container with a name in front, can begin: also after a slash, dash or written line end.
+START = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nr]))(?:M[A-P][A-Za-z0-9+/_-]{30}|AAAA[A-Za-z0-9+/_-]{28}|b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/_-]{12})")
+_SPLIT = re.compile(rf"{_GAP}+")
+_WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]+(?:{_GAP}{{1,8}}[A-Za-z0-9+/_-]+)*={{0,2}}")
+_RUN_PART, _GAPS = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(rf"{_GAP}{{1,8}}")
+_HEX_KEY = re.compile(r"(?<![0-9A-Za-z])0[xX](30[0-9A-Fa-f]{38,})(?![0-9A-Za-z])")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
 #: First bytes of a binary key container, and key names of the length-prefixed public form.
@@ -74,6 +83,43 @@ def is_key(data: bytes) -> bool:
     return False
 
 
+def _size(head: bytes) -> int:
+    """Bytes of the value that begins with these bytes, by its declared length; 0 if it declares none."""
+    n = head[1]
+    if n < 0x80:
+        return n + 2
+    wide = n & 0x7F
+    return 2 + wide + int.from_bytes(head[2 : 2 + wide], "big") if 1 <= wide <= 4 else 0
+
+
+def _key_from(text: str, start: int) -> int | None:
+    """End of the base64 key that begins here, wrapped in lines or not; None if there is none.
+
+    A sequence says how long it is, so just that much is read; what follows must not go on in the same run.
+    """
+    if text[start] != "M":
+        end = _WRAPPED.match(text, start).end()
+        data = _decode64(_SPLIT.sub("", text[start:end]))
+        return end if data and is_key(data) else None
+    need = -(-_size(_decode64(text[start : start + 12]) or b"\0\0") * 4 // 3)
+    if need < 32:
+        return None
+    parts, at = [], start
+    while need > 0 and (m := _RUN_PART.match(text, at)):
+        part = m[0][:need]
+        parts.append(part)
+        need -= len(part)
+        at += len(part)
+        if need and (gap := _GAPS.match(text, at)):
+            at = gap.end()
+    if need > 0 or (at < len(text) and _RUN_PART.match(text, at)):
+        return None
+    data = _decode64("".join(parts))
+    while at < len(text) and text[at] == "=":
+        at += 1
+    return at if data and is_key(data) else None
+
+
 def is_signed_token(run: str) -> bool:
     """Whether a dotted run is a signed token: header and claims are JSON objects, the header names an algorithm."""
     head, claims, _ = run.split(".", 2)
@@ -95,11 +141,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the candidates whose decoded bytes have the structure of a secret."""
-    found = []
-    if "eyJ" in text:
-        found += [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
+    found = {(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])}
     if "PRIVATE KEY-----" in text:
-        found += [(m.start(), 4, m.end()) for m in PEM.finditer(text) if (data := _decode64("".join(m[2].split()))) and is_key(data)]
+        found |= {(m.start(), 4, m.end()) for m in PEM.finditer(text) if (data := _decode64(_SPLIT.sub("", m[2]))) and is_key(data)}
     for m in RUN.finditer(text):
         run = m[0]
         if _HEX_RUN.fullmatch(run):
@@ -107,8 +151,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
         else:
             data = _decode64(run)
         if data and is_key(data):
-            found.append((m.start(), 5, m.end()))
-    return found
+            found.add((m.start(), 5, m.end()))
+    for m in START.finditer(text):
+        if (end := _key_from(text, m.start())) and not any(s <= m.start() and end <= e for s, _, e in found):
+            found.add((m.start(), 5, end))
+    for m in _HEX_KEY.finditer(text):
+        if len(m[1]) % 2 == 0 and is_key(bytes.fromhex(m[1])):
+            found.add((m.start(1), 5, m.end()))
+    return sorted(found)
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -151,7 +201,10 @@ def redact_text(text: str | None, mask: str = "[SECRET]") -> str | None:
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """`docs` with every span in text replaced by `mask` (overlapping spans by one); n_chars follows where it is a column."""
+    """`docs` with every span in text replaced by `mask` (overlapping spans by one); n_chars follows where it is a column.
+
+    Null and empty texts, null and repeated ids and all other columns stay as they are.
+    """
 
     @F.pandas_udf("string")
     def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
