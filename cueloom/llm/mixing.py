@@ -94,7 +94,8 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     `copies ARRAY<STRUCT<shard, words, shuffle>>`, the row's places in the mix.
 
     size counts words, 0 for a null text. Rows with repeated ids are drawn separately but alike.
-    Sources of size 0 have target 0. Other columns are ignored; an empty table gives no rows.
+    Copies of a block are drawn into places of their own, so that those of a document spread over the
+    shards. Sources of size 0 have target 0. Other columns are ignored; an empty table gives no rows.
     Reruns agree: every choice is a hash of doc_id or a seeded draw.
 
     Texts are read once and only ids and sizes are shuffled, by (source, block), so a source with a
@@ -123,34 +124,49 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         blocks.join(plan, by)
         .withColumn("left", F.col("last_words") - F.coalesce(F.sum("block_size").over(upto), F.lit(0)))
         .withColumn("left", F.greatest(F.lit(0), F.least("left", "block_size")))
-        .withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("block")) - 1)
     )
     count = drawn.groupBy(*by).agg(F.sum(F.col("passes") + (F.col("left") > 0).cast("long")).alias("drawn_blocks"))
     runs = one(count, _deal(mix), "missing boolean, source_key string, run_ends array<long>")
-    in_source = F.sum(F.col("passes") + (F.col("left") > 0).cast("long")).over(upto)
-    drawn = drawn.withColumn("first", F.coalesce(in_source, F.lit(0))).join(runs, by)
-    drawn = drawn.select(*by, "block", "source_size", "target", "passes", "left", "first", "run_ends")
+    # The permuted blocks of a source: every copy of every block in one drawn order, at most blocks * (most_repeats + 1) rows.
+    permuted = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(mix.seed + 1), "block", "k"), "block", "k")
+    copies = (
+        drawn.withColumn("n", F.col("passes") + (F.col("left") > 0).cast("long"))
+        .filter("n > 0")
+        .select(*by, "block", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+        .withColumn("at", F.row_number().over(permuted) - 1)
+        .join(runs, by)
+        .select(*by, "block", F.struct("k", F.size(F.filter("run_ends", lambda end: end <= F.col("at"))).alias("shard"), "at").alias("c"))
+        .groupBy(*by, "block")
+        .agg(F.sort_array(F.collect_list("c")).alias("dealt"))
+    )
+    drawn = drawn.join(copies, [*by, "block"], "left").select(*by, "block", "source_size", "target", "passes", "left", "dealt")
     room = F.col("left") - F.col("before")
     if mix.split_documents:
         part = F.greatest(F.lit(0), F.least(room, F.col("size")))
     else:
         part = F.when(2 * room >= F.col("size"), F.col("size")).otherwise(0)
-    shard = lambda at: F.size(F.filter("run_ends", lambda end: end <= at))
-    place = lambda at, words: F.struct(shard(at).alias("shard"), words.alias("words"), F.xxhash64("shuffle", at).alias("shuffle"))
-    whole = F.transform(F.when(F.col("passes") > 0, F.sequence(F.lit(1), F.col("passes"))).otherwise(F.array().cast("array<long>")), lambda k: place(F.col("first") + k - 1, F.col("size")))
-    last = F.when(F.col("part") > 0, F.array(place(F.col("first") + F.col("passes"), F.col("part")))).otherwise(F.array().cast("array<struct<shard:int,words:long,shuffle:bigint>>"))
+    words = lambda c: F.when(c["k"] <= F.col("passes"), F.col("size")).otherwise(F.col("part"))
+    place = lambda c: F.struct(c["shard"].alias("shard"), words(c).alias("words"), F.xxhash64("shuffle", c["at"]).alias("shuffle"))
+    held = F.filter(F.transform("dealt", lambda c: F.struct(place(c).alias("p"), (c["k"] <= F.col("passes")).alias("whole"))), lambda x: x["whole"] | (x["p"]["words"] > 0))
+    nowhere = F.array().cast("array<struct<shard:int,words:bigint,shuffle:bigint>>")
     return (
         rows.join(drawn, [*by, "block"])
         .withColumn("part", part.cast("long"))
-        .select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"), F.concat(whole, last).alias("copies"), "row")
+        .select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"), F.coalesce(F.transform(held, lambda x: x["p"]), nowhere).alias("copies"), "row")
     )
 
 
 def mixed_rows(docs: DataFrame, mix: Mix = Mix(split_documents=False)) -> DataFrame:
     """`docs` with every row as often as the mix takes it, dealt to `mix.shards` partitions by shard and
-    shuffled inside each; rows that the mix leaves out are gone. Whole documents only."""
+    shuffled inside each; rows that the mix leaves out are gone. Whole documents only.
+
+    Rows are matched with their places by a hash of doc_id, source and text, so rows equal in these are
+    taken alike; null ids, sources and texts are values like others, and a text without words, which
+    weighs nothing, is taken as often as the whole passes over its source. All columns stay, whatever
+    their names; an empty table gives no rows.
+    """
     plan = mix_sources(docs, mix).filter(F.size("copies") > 0).groupBy("row").agg(F.first("copies").alias("copies"))
-    rows = docs.withColumn("_row", F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text")))
-    placed = rows.join(plan.withColumnRenamed("row", "_row"), "_row").withColumn("_copy", F.explode("copies"))
-    spread = F.pmod(F.hash("_copy.shuffle"), F.lit(mix.spread))
-    return placed.repartition(F.col("_copy.shard"), spread).sortWithinPartitions("_copy.shard", "_copy.shuffle").select(*docs.columns)
+    whole = docs.select(F.xxhash64("doc_id", "source", "text").alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    placed = whole.join(plan, "row").select("doc", F.explode("copies").alias("copy"))
+    spread = F.pmod(F.hash("copy.shuffle"), F.lit(mix.spread))
+    return placed.repartition(F.col("copy.shard"), spread).sortWithinPartitions("copy.shard", "copy.shuffle").select("doc.*")
