@@ -318,10 +318,14 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _near_pairs(pairs: DataFrame, about: DataFrame) -> DataFrame:
     """Those distinct pairs a < b whose sizes and sketches allow a link."""
+    asked = pairs = stored(pairs)
     for side in ("a", "b"):
-        pairs = pairs.join(about.select(F.col("class").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+        some = _prefiltered(about, "class", asked.select(side))
+        pairs = pairs.join(some.select(F.col("class").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
     fit = (DEN * F.least("size_a", "size_b") >= NUM * F.greatest("size_a", "size_b")) & (F.col("a") < F.col("b"))
-    return stored(pairs.filter(fit).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInPandas(_near, "a long, b long"))
+    near = stored(pairs.filter(fit).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInPandas(_near, "a long, b long"))
+    discard(asked)
+    return near
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -364,7 +368,8 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     low = F.min(F.struct("class", "size", "rest")).alias("low")
     hub = F.min(F.struct(F.xxhash64("class"), "class"))["class"].alias("hub")
     count = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), low, F.min("size").alias("least"), hub)
-    ranked = shared.join(count, "sig").filter(fits(F.col("size"), F.col("least"), F.col("rest")))
+    ranked = stored(shared.join(count, "sig").filter(fits(F.col("size"), F.col("least"), F.col("rest"))))
+    discard(shared)
     two = ranked.filter(F.expr("n = 2 AND class > low.class") & fits(F.col("size"), F.col("low.size"), F.least("rest", "low.rest"))).select(F.col("low.class").alias("a"), F.col("class").alias("b"))
     few = ranked.filter(F.col("n").between(3, SMALL)).select("sig", "class", "size", "rest")
     fit = fits(F.col("x.size"), F.col("y.size"), F.least("x.rest", "y.rest"))
@@ -372,7 +377,7 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = _near_pairs(two.unionByName(all_few).distinct(), about)
     # Large signatures with the same drawn member have nearly the same members: one group for all of them.
     large = stored(ranked.filter(F.col("n") > SMALL).groupBy("hub", "class", "size").agg(F.max("rest").alias("rest")))
-    discard(shared)
+    discard(ranked)
     wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).unionByName(large.select("class")).distinct()
     chosen = stored(about.join(wanted, "class", "left_semi").select("class", "doc_id"))
     sets = _sets(texts, chosen)
