@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Code units that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,6 +59,26 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[dict[
             yield batch.slice(at, rows).to_pydict()
         del batch
         pa.default_memory_pool().release_unused()
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give what a Python worker no longer uses back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_udf(of: Callable[[list[str | None]], list], schema: str, kind: pa.DataType, rows: int = 256):
+    """An Arrow UDF over texts: `of` gets a few at a time and gives a value of `kind` for each."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [pa.array(of(batch.slice(at, rows).to_pylist()), kind) for at in range(0, len(batch), rows)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+        release_memory()
+
+    return F.arrow_udf(run, schema)
 
 
 def lower_words(text: str | None) -> list[bytes]:

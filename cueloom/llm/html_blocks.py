@@ -17,10 +17,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import SPACES
+from cueloom.llm.common import SPACES, text_udf
 
 #: Fitted on at most so many pages with explicit parts, chosen by a hash of page_id; each is also rebuilt VARIANTS times.
 TRAIN_PAGES, VARIANTS = 240, 3
@@ -417,15 +418,11 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
     out. Narrow: one Arrow pass over the whole pages.
     """
 
-    @F.pandas_udf("text string, n_chars long, n_blocks long")
-    def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for at in range(0, len(batch), 512):
-                read = [read_blocks(h) for h in batch.iloc[at : at + 512]]
-                for blocks, main in zip(read, label_pages(model, read)):
-                    text = "\n".join(b.text for b, y in zip(blocks, main) if y)
-                    rows.append((text, len(text), len(blocks)))
-            yield pd.DataFrame(rows, columns=["text", "n_chars", "n_blocks"])
+    def texts(pages: list[str | None]) -> list[dict]:
+        read = [read_blocks(h) for h in pages]
+        kept = ["\n".join(b.text for b, y in zip(blocks, main) if y) for blocks, main in zip(read, label_pages(model, read))]
+        return [{"text": t, "n_chars": len(t), "n_blocks": len(blocks)} for t, blocks in zip(kept, read)]
 
+    kind = pa.struct([("text", pa.string()), ("n_chars", pa.int64()), ("n_blocks", pa.int64())])
+    extracted = text_udf(texts, "text string, n_chars long, n_blocks long", kind, rows=512)
     return pages.select("page_id", "url", extracted(F.col("html").cast("string")).alias("_e")).select("page_id", "url", "_e.*")

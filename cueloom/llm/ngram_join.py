@@ -275,21 +275,24 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that may be similar enough by their sketches."""
-    for batch in batches:
-        most = ((batch["size_a"] + batch["size_b"]) * (DEN - NUM) // (DEN + NUM)).to_numpy()
-        differ = np.array([least_difference(x, y) for x, y in zip(batch["sketch_a"], batch["sketch_b"])], np.int64)
-        yield batch.loc[differ <= most, ["a", "b"]]
+    for p in slices(batches):
+        most = [(x + y) * (DEN - NUM) // (DEN + NUM) for x, y in zip(p["size_a"], p["size_b"])]
+        near = [k for k, (m, x, y) in enumerate(zip(most, p["sketch_a"], p["sketch_b"])) if least_difference(x, y) <= m]
+        yield pa.RecordBatch.from_arrays([pa.array([p[c][k] for k in near], pa.int64()) for c in ("a", "b")], names=["a", "b"])
 
 
-def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+COMPARED = pa.schema({"a": pa.int64(), "b": pa.int64(), "similarity": pa.float64(), "linked": pa.bool_()})
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for p in slices(batches):
         rows = []
-        for x, y in zip(batch["set_a"], batch["set_b"]):
-            rows.append(jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
-        found = np.array(rows, np.int64).reshape(-1, 2)
-        yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": found[:, 0] / found[:, 1], "linked": DEN * found[:, 0] >= NUM * found[:, 1]})
+        for a, b, x, y in zip(p["a"], p["b"], p["set_a"], p["set_b"]):
+            inter, union = jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+            rows.append({"a": a, "b": b, "similarity": inter / union, "linked": DEN * inter >= NUM * union})
+        yield pa.RecordBatch.from_pylist(rows, COMPARED)
 
 
 def _slot(c: Column) -> Column:
@@ -305,15 +308,15 @@ def _prefiltered(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class, set) of the wanted (class, doc_id): only those texts are shuffled and read into sets."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = list(map(shingle_set, batch["text"]))
-            own = [len(s) > 0 and set_class(s) == c for s, c in zip(sets, batch["class"])]  # a repeated doc_id may bring other texts
-            yield pd.DataFrame({"class": batch["class"][own], "set": [s.tobytes() for s, y in zip(sets, own) if y]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in slices(batches):
+            sets = list(map(shingle_set, p["text"]))
+            own = [k for k, (s, c) in enumerate(zip(sets, p["class"])) if len(s) and set_class(s) == c]  # a repeated doc_id may bring other texts
+            yield pa.RecordBatch.from_arrays([pa.array([p["class"][k] for k in own], pa.int64()), pa.array([sets[k].tobytes() for k in own], pa.binary())], names=["class", "set"])
 
     near = _prefiltered(docs, "doc_id", wanted.select("doc_id")).join(wanted.select("doc_id", "class"), "doc_id")
     once = near.groupBy("doc_id", "class", F.xxhash64("text")).agg(F.first("text").alias("text"))
-    return stored(once.select("class", "text").mapInPandas(run, "class long, set binary"))
+    return stored(once.select("class", "text").mapInArrow(run, "class long, set binary"))
 
 
 def _near_pairs(pairs: DataFrame, about: DataFrame) -> DataFrame:
@@ -323,7 +326,7 @@ def _near_pairs(pairs: DataFrame, about: DataFrame) -> DataFrame:
         some = _prefiltered(about, "class", asked.select(side))
         pairs = pairs.join(some.select(F.col("class").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
     fit = (DEN * F.least("size_a", "size_b") >= NUM * F.greatest("size_a", "size_b")) & (F.col("a") < F.col("b"))
-    near = stored(pairs.filter(fit).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInPandas(_near, "a long, b long"))
+    near = stored(pairs.filter(fit).select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long"))
     discard(asked)
     return near
 
@@ -333,7 +336,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         some = _prefiltered(sets, "class", pairs.select(side))
         pairs = pairs.join(some.select(F.col("class").alias(side), F.col("set").alias(f"set_{side}")), side)
-    return stored(pairs.select("a", "b", "set_a", "set_b").mapInPandas(_compared, "a long, b long, similarity double, linked boolean"))
+    return stored(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_compared, "a long, b long, similarity double, linked boolean"))
 
 
 def _pair(x: Column, y: Column) -> list[Column]:

@@ -13,6 +13,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import pairwise
 
 import numpy as np
@@ -244,13 +245,17 @@ class Encoder:
     """Ids of texts by a tokenizer file, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        self.ranks = _ranked(file)
+        self.path, self.ranks = path, _ranked(file)
         self.added = [t["content"] for t in file.get("added_tokens") or ()]
-        self.tokenizer = Tokenizer.from_file(path)
+
+    @cached_property
+    def tokenizer(self):
+        """The file's own tokenizer, for what ranks can't do."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import mix64
+from cueloom.llm.common import mix64, text_udf
 
 #: Slots of each feature family: byte 4-grams, words, word pairs.
 SLOTS = 1 << 15
@@ -178,8 +179,6 @@ def rate(docs: DataFrame, model: Model | None) -> DataFrame:
     names = [c.split()[0] for c in MEASURES.split(", ")]
     rest = [c for c in docs.columns if c.lower() not in names]
 
-    @F.pandas_udf(", ".join(MEASURES.split(", ")))
-    def measured(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t, model) for t in texts], columns=names)
-
+    kind = pa.struct([(n, pa.bool_() if n in ("base_failed", "kept") else pa.float64() if n == "quality" else pa.int64()) for n in names])
+    measured = text_udf(lambda texts: [dict(zip(names, measure(t, model))) for t in texts], MEASURES, kind)
     return docs.select(*rest, measured(F.col("text").cast("string")).alias("_measured")).select(*rest, "_measured.*")

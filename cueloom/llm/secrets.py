@@ -7,12 +7,13 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cueloom.llm.common import text_udf
+
 #: Kinds in the order that breaks ties; the first three are base patterns.
 KINDS = ("assign", "access", "hex", "token", "pem", "key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -179,12 +180,12 @@ def scan(docs: DataFrame) -> DataFrame:
     A null text counts as empty: no spans and the digest of an empty string. Rows keep null and
     repeated ids; other columns are left out. Narrow: one Arrow pass over the whole texts.
     """
-    names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "found"]
-
-    @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long>>")
-    def scanned(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([scan_text(t) for t in texts], columns=names)
-
+    names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    kind = pa.struct([(n, pa.int64() if n.startswith("n_") else pa.string()) for n in names] + [("found", pa.list_(span))])
+    as_row = lambda found: dict(zip(names, found)) | {"found": [dict(zip(("kind", "start", "end"), x)) for x in found[-1]]}
+    schema = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long>>"
+    scanned = text_udf(lambda texts: [as_row(scan_text(t)) for t in texts], schema, kind)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), scanned(F.col("text").cast("string")).alias("_s")).select("doc_id", "_s.*")
 
 
@@ -206,11 +207,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     Null and empty texts, null and repeated ids and all other columns stay as they are.
     """
 
-    @F.pandas_udf("string")
-    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([redact_text(t, mask) for t in texts], dtype=object)
-
+    masked = text_udf(lambda texts: [redact_text(t, mask) for t in texts], "string", pa.string())
     out = docs.withColumn("text", masked(F.col("text").cast("string")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
