@@ -14,7 +14,14 @@ from cueloom.functions import text as T
 
 # Sample rate, silence level, fades and over-length steps.
 RATE, FRAME, SILENCE = 48_000, 960, 32768 * 10 ** (-40 / 20)
-FADE, SLIGHT_OVER = 480, 1.18
+FADE, SLIGHT_OVER, TAIL = 480, 1.18, 3
+# White space, characters that a text may be cut behind or before, and those that hold together.
+BLANK = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+CUT_BEHIND = set(BLANK + ",.;:!?)]}，。；：！？、）")
+CUT_BEFORE = set(BLANK + "([{（")
+TOGETHER = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_./#+-")
+# Shares of a part that must be heard for any text, for whole ASCII words, and for others.
+HEARD, HEARD_WORD, HEARD_OTHER = 0.2, 0.75, 0.4
 SEG = ["video_id", "segment_id"]
 
 
@@ -65,7 +72,10 @@ def cached_takes(segments: DataFrame, takes: DataFrame) -> DataFrame:
 
 
 def normalize_boundaries(boundaries: DataFrame) -> DataFrame:
-    """Shift by lead_trim_us, clamp to [0, duration_us], drop what is empty."""
+    """Shift by lead_trim_us, clamp to [0, duration_us], drop what is empty and, where there is a column
+    `part`, blank parts."""
+    if "part" in boundaries.columns:
+        boundaries = boundaries.filter(T.trim_ws(F.col("part")) != "")
     at = lambda c: F.greatest(F.lit(0), F.least(F.col(c) - F.col("lead_trim_us"), F.col("duration_us"))).cast("long")
     return boundaries.withColumn("_s", at("start_us")).withColumn("_e", at("end_us")).filter("_e > _s").withColumn("start_us", F.col("_s")).withColumn("end_us", F.col("_e")).drop("_s", "_e")
 
@@ -78,13 +88,20 @@ def samples_of(us: Column) -> Column:
     return T.js_round(us * RATE / 1_000_000).cast("long")
 
 
+def total_samples(us: Column) -> Column:
+    """Samples of a whole track, a begun one included."""
+    return F.ceil(us / 1_000_000 * RATE).cast("long")
+
+
 def track_layout(segments: DataFrame, takes: DataFrame, videos: DataFrame) -> DataFrame:
     """Where each take's samples go: place and written, so that nothing overlaps or passes the end.
+    A segment without a take writes nothing and still holds its place up to its deadline.
 
     cursor = max(cursor, start) + length, then max(cursor, deadline), is a max-plus scan: with S the
     running sum of lengths, cursor - S is a running maximum of start_j - S_(j-1) and deadline_j - S_j.
     """
-    rows = segments.join(takes.select(*SEG, "n_samples"), SEG).join(videos.select("video_id", samples_of(F.col("duration_us")).alias("total")), "video_id")
+    rows = segments.join(takes.select(*SEG, "n_samples"), SEG, "left").join(videos.select("video_id", total_samples(F.col("duration_us")).alias("total")), "video_id")
+    rows = rows.withColumn("n_samples", F.coalesce("n_samples", F.lit(0)))
     rows = rows.withColumn("s", samples_of(F.col("start_us"))).withColumn("d", samples_of(F.col("deadline_us")))
     w = Window.partitionBy("video_id").orderBy("segment_id")
     rows = rows.withColumn("sum", F.sum("n_samples").over(w))
@@ -107,22 +124,25 @@ def _faded(x: np.ndarray, head: bool = True, tail: bool = True) -> np.ndarray:
     return np.floor(y + 0.5).astype("<i2")
 
 
+def _loud(x: np.ndarray) -> bool:
+    return len(x) > 0 and float(np.sqrt(np.mean(x.astype(np.float64) ** 2))) > SILENCE
+
+
 def trimmed(pcm: bytes | None) -> tuple[int, int]:
-    """(first, last) sample to keep: one frame before the first loud frame; at most two silent frames
-    go from the end, keeping one after the last loud frame. All silence gives (0, 0)."""
-    x = np.frombuffer(pcm or b"", "<i2").astype(np.float64)
-    level = [np.sqrt(np.mean(x[k : k + FRAME] ** 2)) for k in range(0, len(x), FRAME)]
-    loud = [k for k, v in enumerate(level) if v >= SILENCE]
-    if not loud:
-        return 0, 0
-    end = len(x)
-    for back in range(3):
-        k = end_frame = len(level) - 1 - back
-        if k < 0 or level[k] >= SILENCE:
-            end = min(len(x), (end_frame + 2) * FRAME)
-            break
-        end = max(0, len(x) - min(back + 1, 2) * FRAME)
-    return max(0, loud[0] - 1) * FRAME, end
+    """(first, last) sample to keep. Frames count from the start up to the first loud one, before which
+    one is kept, and from the end back to the last loud one, behind which one is kept; a tail of TAIL
+    silent frames loses all of them but the earliest. All silence gives the length twice."""
+    x = np.frombuffer(pcm or b"", "<i2")
+    n = len(x)
+    first = next((at for at in range(0, n, FRAME) if _loud(x[at : at + FRAME])), None)
+    if first is None:
+        return n, n
+    start = max(0, first - FRAME)
+    ends = [n - k * FRAME for k in range(TAIL) if n - k * FRAME > start]
+    for end in ends:
+        if _loud(x[max(0, end - FRAME) : end]):
+            return start, min(n, end + FRAME)
+    return start, max(start, ends[-1]) if len(ends) == TAIL else n
 
 
 @F.pandas_udf(StructType([StructField("pcm", BinaryType()), StructField("first_sample", LongType()), StructField("last_sample", LongType())]))
@@ -131,42 +151,68 @@ def trim_silence(pcms: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"pcm": [r[2] for r in rows], "first_sample": [r[0] for r in rows], "last_sample": [r[1] for r in rows]})
 
 
+def heard_part(part: str, start_us: int, end_us: int, clip_us: int) -> str:
+    """What of a part's text is heard if the sound ends at clip_us: up to the cut nearest to its share of
+    the time, the earlier of two; nothing if too little is heard for any cut."""
+    if clip_us >= end_us or not part:
+        return part
+    share = min(1.0, max(0, clip_us - start_us) / max(1, end_us - start_us))
+    want = int(len(part) * share)
+    if want <= 0 or share < HEARD:
+        return ""
+    may = lambda k: part[k - 1] in CUT_BEHIND or part[k] in CUT_BEFORE or not (part[k - 1] in TOGETHER and part[k] in TOGETHER)
+    cuts = [k for k in range(1, len(part)) if may(k)]
+    if cuts:
+        return part[: min(cuts, key=lambda k: (abs(k - want), k))].rstrip(BLANK)
+    words = any(c.isascii() and c.isalpha() for c in part)
+    return "" if share < (HEARD_WORD if words else HEARD_OTHER) else part[:want].rstrip(BLANK)
+
+
+def clipped(pcm: bytes | None, window_us: int, text: str | None, boundaries: list[dict] | None) -> tuple[bytes, int, str, list[dict]]:
+    """(pcm, duration_us, spoken_text, boundaries) of a take cut to a window; one that fits is left as it is."""
+    x = np.frombuffer(pcm or b"", "<i2")
+    us = lambda n: int(np.floor(n / RATE * 1_000_000 + 0.5))
+    n, bounds = int(np.floor(window_us / 1_000_000 * RATE + 0.5)), list(boundaries if boundaries is not None else [])
+    if len(x) <= n:
+        return pcm or b"", us(len(x)), text or "", bounds
+    y, fade = x[:n].astype(np.float64), min(3 * FADE, n // 4)
+    if fade:
+        y[n - fade :] *= (np.arange(fade) / fade)[::-1]
+    length, kept = us(n), []
+    for b in bounds:
+        part, start, end = heard_part(b["part"] or "", b["start_us"], b["end_us"], length), min(b["start_us"], length), min(b["end_us"], length)
+        if part.strip(BLANK) and end > start:
+            kept.append({"part": part, "start_us": int(start), "end_us": int(end)})
+    spoken = "".join(b["part"] for b in kept) or ("" if bounds else text or "")
+    return np.floor(y + 0.5).astype("<i2").tobytes(), length, spoken, kept
+
+
 def clip_to_window(takes: DataFrame) -> DataFrame:
-    """takes(video_id, segment_id, pcm, window_us, boundaries ARRAY<STRUCT<part, start_us, end_us>>) cut to
-    their windows: samples past it go, the tail is faded, boundaries that start inside are cut at its end
-    and dropped under half their length."""
-    schema = "video_id long, segment_id long, pcm binary, spoken_text string, boundaries array<struct<part:string,start_us:long,end_us:long>>"
+    """takes(video_id, segment_id, pcm, window_us, spoken_text, boundaries ARRAY<STRUCT<part, start_us,
+    end_us>>) cut to their windows, with duration_us; spoken_text may be absent. Narrow."""
+    schema = "video_id long, segment_id long, pcm binary, duration_us long, spoken_text string, boundaries array<struct<part:string,start_us:long,end_us:long>>"
+    given = takes if "spoken_text" in takes.columns else takes.withColumn("spoken_text", F.lit(""))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            pcm, text, kept = [], [], []
-            for raw, window, bounds in zip(b["pcm"], b["window_us"], b["boundaries"]):
-                x = np.frombuffer(raw or b"", "<i2")
-                n = int(window * RATE // 1_000_000)
-                pcm.append((raw or b"") if len(x) <= n else _faded(x[:n], head=False).tobytes())
-                keep = []
-                for w in bounds if bounds is not None else []:
-                    end = min(w["end_us"], window)
-                    if 2 * (end - w["start_us"]) >= w["end_us"] - w["start_us"] > 0:
-                        keep.append({"part": w["part"], "start_us": w["start_us"], "end_us": int(end)})
-                kept.append(keep)
-                text.append("".join(w["part"] for w in keep).strip())
-            yield pd.DataFrame({"video_id": b["video_id"], "segment_id": b["segment_id"], "pcm": pcm, "spoken_text": text, "boundaries": kept})
-
-    return takes.select("video_id", "segment_id", "pcm", "window_us", "boundaries").mapInPandas(run, schema)
+            rows = [clipped(*r) for r in zip(b["pcm"], b["window_us"], b["spoken_text"], b["boundaries"])]
+            done = pd.DataFrame(rows, columns=["pcm", "duration_us", "spoken_text", "boundaries"])
+            yield pd.concat([b[["video_id", "segment_id"]].reset_index(drop=True), done], axis=1)
+
+    return given.select("video_id", "segment_id", "pcm", "window_us", "spoken_text", "boundaries").mapInPandas(run, schema)
 
 
 def assemble_track(layout: DataFrame, takes: DataFrame, videos: DataFrame, block_s: int = 60) -> DataFrame:
     """(video_id, block, pcm): faded takes written at their places, in blocks of fixed length so that no
     row holds a whole track. Silence fills the rest; only samples that a block needs are shuffled to it."""
     size = block_s * RATE
-    blocks = videos.select("video_id", F.ceil(samples_of(F.col("duration_us")) / size).cast("long").alias("n"), samples_of(F.col("duration_us")).alias("total"))
+    blocks = videos.select("video_id", F.ceil(total_samples(F.col("duration_us")) / size).cast("long").alias("n"), total_samples(F.col("duration_us")).alias("total"))
     grid = blocks.filter("n > 0").select("video_id", "total", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
     rows = layout.filter("written > 0").join(takes.select(*SEG, "pcm"), SEG)
 
     @F.pandas_udf("binary")
     def fade(pcms: pd.Series, written: pd.Series) -> pd.Series:
-        return pd.Series([_faded(np.frombuffer(p, "<i2")[:n]).tobytes() for p, n in zip(pcms, written)])
+        return pd.Series([_faded(np.frombuffer(p, "<i2"))[:n].tobytes() for p, n in zip(pcms, written)])
 
     rows = rows.withColumn("pcm", fade("pcm", "written"))
     first, last = F.floor(F.col("place") / size), F.floor((F.col("place") + F.col("written") - 1) / size)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as T
+from cueloom.sources.subtitles import parsed_cues
 
 
 def match_subtitles(videos: DataFrame, files: DataFrame) -> DataFrame:
@@ -28,13 +29,20 @@ def match_subtitles(videos: DataFrame, files: DataFrame) -> DataFrame:
     return pairs.withColumn("match_kind", kind).filter("match_kind IS NOT NULL").withColumn("name_distance", distance)
 
 
+# Lines of SRT and VTT files that aren't text, and how many others may be sampled.
+NO_TEXT = r"^$|^\d+$|^\d{2}:\d{2}:\d{2}[.,]\d{3}\s*-->|^\d{2}:\d{2}\.\d{3}\s*-->"
+HEADINGS, SAMPLED = r"(?i)^(WEBVTT|NOTE|STYLE|REGION)(?![A-Za-z0-9_])", 24
+
+
 def sample_lines(files: DataFrame) -> DataFrame:
-    """Rows (dir, filename, idx, line): text lines that may be sampled, the first 24 of SRT and VTT files."""
-    rows = files.select("dir", "filename", "ext", F.posexplode(F.split("content", r"\r?\n")).alias("k", "raw")).withColumn("line", T.trim_ws(F.col("raw")))
-    skip = F.col("line").rlike(r"^$|^\d+$|^\d{2}:\d{2}:\d{2}[.,]\d{3}\s*-->|^\d{2}:\d{2}\.\d{3}\s*-->") | F.col("line").rlike(r"(?i)^(WEBVTT|NOTE|STYLE|REGION)(?![A-Za-z0-9_])")
-    w = Window.partitionBy("dir", "filename").orderBy("k")
-    rows = rows.filter(~skip).withColumn("idx", F.row_number().over(w) - 1)
-    return rows.filter(F.col("ext").isin(".ass", ".ssa") | (F.col("idx") < 24)).select("dir", "filename", "idx", "line")
+    """Rows (dir, filename, idx, line): what may be sampled, the first lines of text of SRT and VTT files
+    and the texts of all cues of ASS and SSA files."""
+    scripted = F.coalesce(F.col("ext").isin(".ass", ".ssa"), F.lit(False))
+    trimmed = F.transform(F.split("content", r"\r?\n"), T.trim_ws)
+    plain = F.slice(F.filter(trimmed, lambda x: ~(x.rlike(NO_TEXT) | x.rlike(HEADINGS))), 1, SAMPLED)
+    cues = F.transform(parsed_cues("content", "ext"), lambda c: c["text"])
+    lines = files.filter(~scripted).select("dir", "filename", plain.alias("lines")).unionByName(files.filter(scripted).select("dir", "filename", cues.alias("lines")))
+    return lines.select("dir", "filename", F.posexplode("lines").alias("idx", "line"))
 
 
 def sample_text(lines: DataFrame) -> DataFrame:

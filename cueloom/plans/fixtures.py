@@ -15,7 +15,7 @@ SPARK = {
     "cues": _CUES.format(lines=r"SELECT doc_id AS video_id, ln, line FROM documents LATERAL VIEW posexplode(split(text, '\n')) t AS ln, line", trim="trim(line)"),
     "files": """files AS (SELECT dir, concat(v + 1, '. Topic ', v) AS stem,
   CASE r WHEN 0 THEN concat(v + 1, '. Topic ', v, '.srt') WHEN 1 THEN concat(v + 1, '. Topic ', v, '.', lang, '.vtt') ELSE concat('Topic ', v, '_', lang, '.ass') END AS filename,
-  CASE r WHEN 0 THEN '.srt' WHEN 1 THEN '.vtt' ELSE '.ass' END AS ext, text AS content
+  CASE r WHEN 0 THEN '.srt' WHEN 1 THEN '.vtt' ELSE '.ass' END AS ext, CASE r WHEN 2 THEN concat('[Events]', chr(10), 'Format: Start, End, Text', chr(10), 'Dialogue: 0:00:01.00,0:00:02.00,', replace(text, chr(10), concat(chr(10), 'Dialogue: 0:00:01.00,0:00:02.00,'))) ELSE text END AS content
   FROM (SELECT concat('src', CAST(doc_id % 20 AS STRING)) AS dir, (doc_id div 20) div 3 AS v, (doc_id div 20) % 3 AS r, lang, text FROM documents))""",
 }
 DUCK = {

@@ -398,19 +398,21 @@ def alignment_metrics(spark, sf_dir):
     return A.alignment_metrics(table(spark, sf_dir, "segments"), table(spark, sf_dir, "takes").filter("attempt_no = 1"))
 
 
-@query(["segments", "takes"], """n3 AS (SELECT s.video_id, s.segment_id, row_number() OVER (PARTITION BY s.video_id ORDER BY s.segment_id) AS i, CAST(floor(start_us * 48000 / 1000000 + 0.5) AS BIGINT) AS st, CAST(floor(deadline_us * 48000 / 1000000 + 0.5) AS BIGINT) AS dl, CAST(floor(duration_us * 48000 / 1000000 + 0.5) AS BIGINT) AS len FROM segments s JOIN takes t ON t.video_id = s.video_id AND t.segment_id = s.segment_id AND attempt_no = 1),
-tt AS (SELECT video_id, CAST(floor((max(deadline_us) - 100000) * 48000 / 1000000 + 0.5) AS BIGINT) AS total FROM segments GROUP BY 1),
+@query(["segments", "takes"], """chosen AS (SELECT t.video_id, t.segment_id, coalesce(min_by(duration_us, attempt_no) FILTER (duration_us <= window_us), min(duration_us)) AS duration_us
+  FROM takes t JOIN segments s ON s.video_id = t.video_id AND s.segment_id = t.segment_id GROUP BY t.video_id, t.segment_id),
+n3 AS (SELECT s.video_id, s.segment_id, row_number() OVER (PARTITION BY s.video_id ORDER BY s.segment_id) AS i, CAST(floor(start_us * 48000 / 1000000 + 0.5) AS BIGINT) AS st, CAST(floor(deadline_us * 48000 / 1000000 + 0.5) AS BIGINT) AS dl, CAST(coalesce(floor(t.duration_us * 48000 / 1000000 + 0.5), 0) AS BIGINT) AS len FROM segments s LEFT JOIN chosen t ON t.video_id = s.video_id AND t.segment_id = s.segment_id),
+tt AS (SELECT video_id, CAST(ceil((max(deadline_us) - 100007) / 1000000.0 * 48000) AS BIGINT) AS total FROM segments GROUP BY 1),
 rr AS (SELECT video_id, segment_id, i, st AS place, len, greatest(st + len, dl) AS cursor FROM n3 WHERE i = 1 UNION ALL SELECT n3.video_id, n3.segment_id, n3.i, greatest(n3.st, rr.cursor), n3.len, greatest(greatest(n3.st, rr.cursor) + n3.len, n3.dl) FROM rr JOIN n3 ON n3.video_id = rr.video_id AND n3.i = rr.i + 1)
 SELECT rr.video_id, segment_id, place, CAST(greatest(0, least(len, total - place)) AS BIGINT) AS written FROM rr JOIN tt ON tt.video_id = rr.video_id""", True)
 def track_layout(spark, sf_dir):
     segments = table(spark, sf_dir, "segments")
-    takes = table(spark, sf_dir, "takes").filter("attempt_no = 1").withColumn("n_samples", A.samples_of(F.col("duration_us")))
-    return A.track_layout(segments, takes, segments.groupBy("video_id").agg((F.max("deadline_us") - 100_000).alias("duration_us")))
+    takes = A.select_take(table(spark, sf_dir, "takes"), segments).withColumn("n_samples", A.samples_of(F.col("duration_us")))
+    return A.track_layout(segments, takes, segments.groupBy("video_id").agg((F.max("deadline_us") - 100_007).alias("duration_us")))
 
 
-@query(["takes"], "SELECT video_id, segment_id, attempt_no, CAST(greatest(0, least(s, duration_us)) AS BIGINT) AS start_us, CAST(greatest(0, least(e, duration_us)) AS BIGINT) AS end_us FROM (SELECT *, attempt_no * 300000 - 500000 AS s, attempt_no * 300000 + 100000 AS e FROM takes) WHERE greatest(0, least(e, duration_us)) > greatest(0, least(s, duration_us))")
+@query(["takes"], "SELECT video_id, segment_id, attempt_no, CAST(greatest(0, least(s, duration_us)) AS BIGINT) AS start_us, CAST(greatest(0, least(e, duration_us)) AS BIGINT) AS end_us FROM (SELECT *, attempt_no * 300000 - 500000 AS s, attempt_no * 300000 + 100000 AS e FROM takes) WHERE attempt_no % 3 > 0 AND greatest(0, least(e, duration_us)) > greatest(0, least(s, duration_us))")
 def normalize_boundaries(spark, sf_dir):
-    rows = table(spark, sf_dir, "takes").withColumn("start_us", F.col("attempt_no") * 300_000).withColumn("end_us", F.col("attempt_no") * 300_000 + 600_000).withColumn("lead_trim_us", F.lit(500_000))
+    rows = table(spark, sf_dir, "takes").withColumn("start_us", F.col("attempt_no") * 300_000).withColumn("end_us", F.col("attempt_no") * 300_000 + 600_000).withColumn("lead_trim_us", F.lit(500_000)).withColumn("part", F.when(F.col("attempt_no") % 3 == 0, " \t").otherwise("word"))
     return A.normalize_boundaries(rows).select("video_id", "segment_id", "attempt_no", "start_us", "end_us")
 
 
@@ -422,6 +424,36 @@ def cached_takes(spark, sf_dir):
     return A.cached_takes(segments, takes).select("video_id", "segment_id", "attempt_no")
 
 
+@query(["segments", "takes"], """chosen AS (SELECT t.video_id, t.segment_id, min(window_us) // 100 AS w, coalesce(min_by(duration_us, attempt_no) FILTER (duration_us <= window_us), min(duration_us)) // 100 AS d
+  FROM takes t JOIN segments s ON s.video_id = t.video_id AND s.segment_id = t.segment_id GROUP BY t.video_id, t.segment_id),
+sized AS (SELECT *, CAST(d * 48000 // 1000000 AS BIGINT) AS len, CAST(floor(w * 48000 / 1000000 + 0.5) AS BIGINT) AS n FROM chosen),
+cut AS (SELECT *, len > n AS over, CAST(floor(least(len, n) / 48000.0 * 1000000 + 0.5) AS BIGINT) AS us FROM sized),
+heard AS (SELECT *, CASE WHEN over AND us < d THEN floor(15 * us / d) ELSE 15 END AS want, us / d AS share FROM cut)
+SELECT video_id, segment_id, us AS duration_us, 2 * least(len, n) AS bytes,
+  CASE WHEN want = 15 THEN 'two words, more' WHEN share < 0.2 OR want < 1 THEN '' WHEN want <= 6 THEN 'two' WHEN want <= 9 THEN 'two words' ELSE 'two words,' END AS spoken_text FROM heard""")
+def clipped_takes(spark, sf_dir):
+    """Chosen takes cut to their windows, at a hundredth of their length."""
+    segments = table(spark, sf_dir, "segments")
+    takes = A.select_take(table(spark, sf_dir, "takes"), segments).join(segments.select("video_id", "segment_id", "window_us"), ["video_id", "segment_id"])
+    takes = takes.select("video_id", "segment_id", F.expr("window_us div 100").alias("window_us"), F.expr("duration_us div 100").alias("us"))
+    part = F.struct(F.lit("two words, more").alias("part"), F.lit(0).cast("long").alias("start_us"), F.col("us").alias("end_us"))
+    made = takes.select("video_id", "segment_id", "window_us", F.lit("two words, more").alias("spoken_text"), F.array(part).alias("boundaries"), F.expr(f"unhex(repeat('0010', CAST(us * {A.RATE} div 1000000 AS INT)))").alias("pcm"))
+    return A.clip_to_window(made).select("video_id", "segment_id", "duration_us", F.octet_length("pcm").cast("long").alias("bytes"), "spoken_text")
+
+
+@query(["segments", "takes"], """chosen AS (SELECT t.video_id, t.segment_id, coalesce(min_by(duration_us, attempt_no) FILTER (duration_us <= window_us), min(duration_us)) // 10000 AS k
+  FROM takes t JOIN segments s ON s.video_id = t.video_id AND s.segment_id = t.segment_id GROUP BY t.video_id, t.segment_id),
+f AS (SELECT *, 1 + segment_id % 4 AS a, 1 + k % 7 AS b, segment_id % 5 AS c FROM chosen)
+SELECT video_id, segment_id, CAST(greatest(0, a - 1) * 960 AS BIGINT) AS first_sample,
+  CAST((a + b + CASE WHEN c < 3 THEN least(c, 1) ELSE c - 2 END) * 960 AS BIGINT) AS last_sample FROM f""")
+def trimmed_takes(spark, sf_dir):
+    """Silence cut from takes of whole frames: `a` silent ones, `b` loud ones and `c` silent ones."""
+    takes = A.select_take(table(spark, sf_dir, "takes"), table(spark, sf_dir, "segments")).select("video_id", "segment_id", F.expr("1 + segment_id % 4").alias("a"), F.expr("1 + (duration_us div 10000) % 7").alias("b"), F.expr("segment_id % 5").alias("c"))
+    frames = lambda n, sample: F.expr(f"unhex(repeat('{sample}', CAST({n} * {A.FRAME} AS INT)))")
+    made = takes.select("video_id", "segment_id", A.trim_silence(F.concat(frames("a", "0000"), frames("b", "0010"), frames("c", "0000"))).alias("t"))
+    return made.select("video_id", "segment_id", "t.first_sample", "t.last_sample")
+
+
 @query()
 def finish_track(spark, sf_dir):
     segments = table(spark, sf_dir, "segments")

@@ -76,7 +76,8 @@ def parse_ass_text(content: str | None) -> list[dict]:
 
 
 @F.pandas_udf(CUES)
-def _parsed(contents: pd.Series, exts: pd.Series) -> pd.Series:
+def parsed_cues(contents: pd.Series, exts: pd.Series) -> pd.Series:
+    """Cues of subtitle documents by their extensions."""
     return pd.Series([parse_ass_text(c) if e in (".ass", ".ssa") else parse_srt_text(c) for c, e in zip(contents, exts)])
 
 
@@ -84,12 +85,12 @@ def parse_files(files: DataFrame) -> DataFrame:
     """One row per cue of files(…, ext, content): the files' other columns, pos and the cue. A malformed
     file yields none; see rejected_files."""
     keep = [c for c in files.columns if c not in ("content", "ext")]
-    cues = files.withColumn("c", _parsed("content", "ext")).select(*keep, F.posexplode("c").alias("pos", "c"))
+    cues = files.withColumn("c", parsed_cues("content", "ext")).select(*keep, F.posexplode("c").alias("pos", "c"))
     return cues.select(*keep, F.col("c.cue_id").alias("cue_id"), F.col("pos").cast("long").alias("pos"), "c.start_us", "c.end_us", "c.text", "c.raw_style")
 
 
 def rejected_files(files: DataFrame) -> DataFrame:
-    return files.filter(F.size(_parsed("content", "ext")) == 0).select("dir", "filename", "ext")
+    return files.filter(F.size(parsed_cues("content", "ext")) == 0).select("dir", "filename", "ext")
 
 
 def parse_ass_time(c: Column) -> Column:

@@ -127,7 +127,7 @@ def test_pcm(spark):
     tone = (np.sin(np.arange(9600) / 5) * 9000).astype("<i2")
     pcm = np.concatenate((np.zeros(4800, "<i2"), tone, np.zeros(4800, "<i2"))).tobytes()
     assert audio.trimmed(pcm) == (3840, 19200 - 2 * 960)
-    assert audio.trimmed(b"") == (0, 0) and audio.trimmed(bytes(9600)) == (0, 0)
+    assert audio.trimmed(b"") == (0, 0) and audio.trimmed(bytes(9600)) == (4800, 4800)
     layout = spark.createDataFrame([(1, 0, 100, 9600)], "video_id long, segment_id long, place long, written long")
     takes = spark.createDataFrame([(1, 0, bytearray(tone.tobytes()))], "video_id long, segment_id long, pcm binary")
     videos = spark.createDataFrame([(1, 1_500_000)], "video_id long, duration_us long")
