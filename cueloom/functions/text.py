@@ -6,7 +6,9 @@ rounding is floor(x + 0.5).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from dataclasses import dataclass, fields
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Character classes and word lists of the rules.
@@ -63,45 +65,75 @@ def visible_chars(c: Column) -> Column:
     return u16len(F.regexp_replace(c, f"{WS}+", ""))
 
 
-def is_mostly_english(c: Column) -> Column:
-    text = normalize_spaces(c)
-    visible, words, letters = visible_chars(text), english_words(text), count_of(text, "[A-Za-z]")
-    share = letters / F.greatest(visible, F.lit(1))
-    return (visible > 0) & ~has_cjk(text) & (((words >= 2) & (share >= 0.45)) | ((words >= 1) & (visible >= 20) & (share >= 0.6)))
+@dataclass(frozen=True)
+class Measured:
+    """A text with its spaces normalised, and what the guards below ask of it."""
+
+    text: Column
+    visible: Column
+    words: Column
+    letters: Column
+    cjk: Column
+    sentence: Column
+
+    @classmethod
+    def of(cls, text: Column) -> Measured:
+        """Measures of a normalised text."""
+        return cls(text, visible_chars(text), english_words(text), count_of(text, "[A-Za-z]"), has_cjk(text), looks_like_sentence(text))
+
+
+def with_measures(df: DataFrame, *columns: str) -> DataFrame:
+    """df with the measures of text columns, each computed once in a projection of its own; see `measures`."""
+    df = df.withColumns({f"_{c}_text": normalize_spaces(F.col(c)) for c in columns})
+    found = {c: Measured.of(F.col(f"_{c}_text")) for c in columns}
+    return df.withColumns({f"_{c}_{k.name}": getattr(m, k.name) for c, m in found.items() for k in fields(Measured) if k.name != "text"})
+
+
+def measures(column: str) -> Measured:
+    """The measures that `with_measures` added for a column."""
+    return Measured(*[F.col(f"_{column}_{k.name}") for k in fields(Measured)])
+
+
+def _measured(x: Column | Measured) -> Measured:
+    return x if isinstance(x, Measured) else Measured.of(normalize_spaces(x))
+
+
+def is_mostly_english(target: Column | Measured) -> Column:
+    t = _measured(target)
+    share = t.letters / F.greatest(t.visible, F.lit(1))
+    return (t.visible > 0) & ~t.cjk & (((t.words >= 2) & (share >= 0.45)) | ((t.words >= 1) & (t.visible >= 20) & (share >= 0.6)))
 
 
-def is_over_compressed(source: Column, target: Column, max_chars: Column | None = None) -> Column:
-    src, dst = normalize_spaces(source), normalize_spaces(target)
-    shown, words = visible_chars(dst), english_words(src)
-    concerns = (src != "") & (dst != "") & looks_like_sentence(src) & has_cjk(dst)
-    copula = src.rlike(r"(?i)^(?:so\s+)?(?:this|that|it|there)\s+(?:is|was|are|were|means|refers\s+to)(?![A-Za-z0-9_])")
-    article = src.rlike(r"(?i)^this\s+is\s+(?:the|a|an)(?![A-Za-z0-9_])")
-    short = (words >= 4) & ((copula & (shown <= 4)) | (article & (shown <= 6)))
+def is_over_compressed(source: Column | Measured, target: Column | Measured, max_chars: Column | None = None) -> Column:
+    src, dst = _measured(source), _measured(target)
+    concerns = (src.text != "") & (dst.text != "") & src.sentence & dst.cjk
+    copula = src.text.rlike(r"(?i)^(?:so\s+)?(?:this|that|it|there)\s+(?:is|was|are|were|means|refers\s+to)(?![A-Za-z0-9_])")
+    article = src.text.rlike(r"(?i)^this\s+is\s+(?:the|a|an)(?![A-Za-z0-9_])")
+    short = (src.words >= 4) & ((copula & (dst.visible <= 4)) | (article & (dst.visible <= 6)))
     if max_chars is not None:
-        enough = (F.coalesce(max_chars, F.lit(0)) > 0) & (shown >= F.greatest(F.lit(2), F.ceil(F.coalesce(max_chars, F.lit(0)) * 0.3)))
+        enough = (F.coalesce(max_chars, F.lit(0)) > 0) & (dst.visible >= F.greatest(F.lit(2), F.ceil(F.coalesce(max_chars, F.lit(0)) * 0.3)))
         short = short & ~enough
     return concerns & short
 
 
-def is_untranslated(source: Column, target: Column) -> Column:
-    src, dst = normalize_spaces(source), normalize_spaces(target)
-    same = ~has_cjk(src) & looks_like_sentence(src)
-    return (dst == "") | F.when(src == dst, same).otherwise(looks_like_sentence(src) & is_mostly_english(dst))
+def is_untranslated(source: Column | Measured, target: Column | Measured) -> Column:
+    src, dst = _measured(source), _measured(target)
+    return (dst.text == "") | F.when(src.text == dst.text, ~src.cjk & src.sentence).otherwise(src.sentence & is_mostly_english(dst))
 
 
-def is_acceptable_translation(source: Column, target: Column, max_chars: Column | None = None) -> Column:
-    dst = normalize_spaces(target)
-    return F.coalesce((dst != "") & ~is_untranslated(source, dst) & ~is_over_compressed(source, dst, max_chars), F.lit(False))
+def is_acceptable_translation(source: Column | Measured, target: Column | Measured, max_chars: Column | None = None) -> Column:
+    src, dst = _measured(source), _measured(target)
+    return F.coalesce((dst.text != "") & ~is_untranslated(src, dst) & ~is_over_compressed(src, dst, max_chars), F.lit(False))
 
 
-def is_acceptable_compression(source: Column, target: Column) -> Column:
-    src, dst = normalize_spaces(source), normalize_spaces(target)
-    return F.coalesce((dst != "") & (~has_cjk(src) | has_cjk(dst) | ~is_mostly_english(dst)), F.lit(False))
+def is_acceptable_compression(source: Column | Measured, target: Column | Measured) -> Column:
+    src, dst = _measured(source), _measured(target)
+    return F.coalesce((dst.text != "") & (~src.cjk | dst.cjk | ~is_mostly_english(dst)), F.lit(False))
 
 
-def is_untranslatable_source(c: Column) -> Column:
-    text = normalize_spaces(c)
-    return (text == "") | ~(text.rlike("[A-Za-z]{3,}") | has_cjk(text))
+def is_untranslatable_source(source: Column | Measured) -> Column:
+    src = _measured(source)
+    return (src.text == "") | ~(src.text.rlike("[A-Za-z]{3,}") | src.cjk)
 
 
 def has_speakable_content(c: Column) -> Column:

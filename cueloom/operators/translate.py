@@ -64,8 +64,9 @@ def resolve_attempts(items: DataFrame, attempts: DataFrame) -> DataFrame:
     The first try in which every item of the batch is acceptable decides; else the third try's
     acceptable items, then the first acceptable single; else the last non-empty raw or the source, as
     an issue."""
-    rows = items.join(attempts.select(*SEG, "attempt_no", "raw"), SEG, "left")
-    rows = rows.withColumn("clean", T.normalize_spaces(F.col("raw"))).withColumn("ok", T.is_acceptable_translation(F.col("src"), F.col("clean"), F.col("max_chars")))
+    rows = T.with_measures(items.join(attempts.select(*SEG, "attempt_no", "raw"), SEG, "left"), "src", "raw")
+    src, raw = T.measures("src"), T.measures("raw")
+    rows = rows.select(*items.columns, "attempt_no", raw.text.alias("clean"), T.is_acceptable_translation(src, raw, F.col("max_chars")).alias("ok"))
     batch = ["video_id", "batch_no"]
     size = items.groupBy(*batch).agg(F.count(F.lit(1)).alias("n"))
     tries = rows.filter(F.col("attempt_no") <= BATCH_TRIES).groupBy(*batch, "attempt_no").agg(F.count_if("ok").alias("good")).join(size, batch)
@@ -84,9 +85,9 @@ def resolve_attempts(items: DataFrame, attempts: DataFrame) -> DataFrame:
 
 def resolve_compression(items: DataFrame, attempts: DataFrame, tries: int = 3) -> DataFrame:
     """The first of three candidates that keeps the script of the text, else the text itself."""
-    clean = T.normalize_spaces(F.col("raw"))
-    rows = items.join(attempts.filter(F.col("attempt_no") <= tries).select(*SEG, "attempt_no", "raw"), SEG, "left")
-    good = F.when(T.is_acceptable_compression(F.col("src"), clean), F.col("attempt_no"))
+    rows = T.with_measures(items.join(attempts.filter(F.col("attempt_no") <= tries).select(*SEG, "attempt_no", "raw"), SEG, "left"), "src", "raw")
+    clean = T.measures("raw").text
+    good = F.when(T.is_acceptable_compression(T.measures("src"), T.measures("raw")), F.col("attempt_no"))
     rows = rows.groupBy(*SEG, "src").agg(F.min_by(clean, good).alias("first"), F.min(good).alias("k"))
     return rows.select(*SEG, F.when(F.col("k").isNotNull(), F.col("first")).otherwise(F.col("src")).alias("text"))
 

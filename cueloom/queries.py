@@ -253,17 +253,17 @@ b5 AS (SELECT *, d1 <> '' AND NOT untranslated AND NOT compressed AS ok FROM b4)
 
 @query(["attempts"], _GUARDS + " SELECT video_id, segment_id, attempt_no, sentence, en AS english, untranslated, compressed, ok, d1 <> '' AND (NOT sc OR dc OR NOT en) AS compression_ok, s1 = '' OR NOT (regexp_matches(s1, '[A-Za-z]{3,}') OR sc) AS passes_through FROM b5")
 def text_guards(spark, sf_dir):
-    src, raw = F.col("src"), F.col("raw")
-    return table(spark, sf_dir, "attempts").select(
+    src, raw = T.measures("src"), T.measures("raw")
+    return T.with_measures(table(spark, sf_dir, "attempts"), "src", "raw").select(
         "video_id", "segment_id", "attempt_no",
-        T.looks_like_sentence(T.normalize_spaces(src)).alias("sentence"),
+        src.sentence.alias("sentence"),
         T.is_mostly_english(raw).alias("english"),
         T.is_untranslated(src, raw).alias("untranslated"),
         T.is_over_compressed(src, raw, F.lit(20)).alias("compressed"),
         T.is_acceptable_translation(src, raw, F.lit(20)).alias("ok"),
         T.is_acceptable_compression(src, raw).alias("compression_ok"),
         T.is_untranslatable_source(src).alias("passes_through"),
-    )
+    )
 
 
 def _items(attempts: DataFrame) -> DataFrame:
