@@ -151,7 +151,8 @@ def sanitize_sample(c: Column) -> Column:
     return normalize_spaces(c)
 
 
-def _language_counts(c: Column) -> dict[str, Column]:
+def language_counts(c: Column) -> dict[str, Column]:
+    """What `english_score` and `english_confidence` ask of a text; they take these counts as columns, too."""
     return {
         "noise": count_of(c, f"(?i){EDGE}(?:{SDH}){EDGE_END}") + count_of(c, "[♪♫]"),
         "ascii": count_of(c, "[A-Za-z]"),
@@ -161,8 +162,8 @@ def _language_counts(c: Column) -> dict[str, Column]:
     }
 
 
-def english_score(c: Column) -> Column:
-    n = _language_counts(c)
+def english_score(c: Column | dict[str, Column]) -> Column:
+    n = c if isinstance(c, dict) else language_counts(c)
     letters = n["ascii"] + n["cjk"]
     of = F.greatest(letters, F.lit(1))
     score = js_round(n["ascii"] / of * 100) - js_round(n["cjk"] / of * 120)
@@ -172,8 +173,8 @@ def english_score(c: Column) -> Column:
     return F.when((letters == 0) & (n["words"] == 0), 0).otherwise(score).cast("long")
 
 
-def english_confidence(c: Column) -> Column:
-    n = _language_counts(c)
+def english_confidence(c: Column | dict[str, Column]) -> Column:
+    n = c if isinstance(c, dict) else language_counts(c)
     letters = n["ascii"] + n["cjk"]
     less = lambda x, cut: F.greatest(F.lit(0), x - cut)
     v = F.least(letters + n["words"] * 4, F.lit(100))

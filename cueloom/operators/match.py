@@ -68,8 +68,15 @@ def sample_text(lines: DataFrame) -> DataFrame:
 def score_files(files: DataFrame) -> DataFrame:
     """files with sample, language_score and language_confidence; files without lines score 0."""
     samples = files.select("dir", "filename", "ext").join(sample_text(sample_lines(files)), ["dir", "filename"], "left")
-    sample = F.coalesce("sample", F.lit(""))
-    return samples.withColumn("sample", sample).withColumn("language_score", T.english_score(sample)).withColumn("language_confidence", T.english_confidence(sample))
+    samples = samples.withColumn("sample", F.coalesce("sample", F.lit("")))
+    counted = samples.withColumns({f"_{k}": n for k, n in T.language_counts(F.col("sample")).items()})
+    counts = {k: F.col(f"_{k}") for k in T.language_counts(F.lit(""))}
+    return counted.select(*samples.columns, T.english_score(counts).alias("language_score"), T.english_confidence(counts).alias("language_confidence"))
+
+
+def files_alone(files: DataFrame) -> DataFrame:
+    """Those files that are the only one of their directory."""
+    return files.join(files.groupBy("dir").agg(F.count(F.lit(1)).alias("f")).filter("f = 1").select("dir"), "dir", "left_semi")
 
 
 def pick_subtitle(candidates: DataFrame) -> DataFrame:

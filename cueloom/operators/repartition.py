@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -86,6 +88,15 @@ def _safe(text: str, k: int) -> bool:
     return k <= 0 or k >= len(text) or not (_WORD.match(text[k - 1]) and _WORD.match(text[k]))
 
 
+def _outward(goal: int, low: int, high: int) -> Iterator[int]:
+    """Positions from low to high, the nearest to goal first and the lower of two."""
+    for step in range(max(goal - low, high - goal, 0) + 1):
+        if low <= goal - step <= high:
+            yield goal - step
+        if step and low <= goal + step <= high:
+            yield goal + step
+
+
 def split_over(text: str | None, durations: list[int]) -> list[str]:
     """Cut a text into as many pieces as durations, near their shares, not inside ASCII words if avoidable."""
     text, n = _tidy(text), len(durations)
@@ -99,8 +110,7 @@ def split_over(text: str | None, durations: list[int]) -> list[str]:
         done += weights[i]
         low, high = cuts[-1] + 1, len(text) - (n - i - 1)
         goal = max(low, min(high, int(len(text) * done / sum(weights) + 0.5)))
-        near = sorted(range(max(1, low), max(low, high) + 1), key=lambda k: (abs(k - goal), k)) if high >= low else []
-        cuts.append(next((k for k in near if k >= len(text) or text[k - 1] in _AFTER or text[k - 1].isspace() or text[k] in _BEFORE or text[k].isspace() or _safe(text, k)), goal))
+        cuts.append(next((k for k in _outward(goal, max(1, low), high) if k >= len(text) or text[k - 1] in _AFTER or text[k - 1].isspace() or text[k] in _BEFORE or text[k].isspace() or _safe(text, k)), goal))
     return [text[a:b].strip() for a, b in zip(cuts, [*cuts[1:], len(text)])]
 
 
@@ -142,9 +152,14 @@ def repartition_cues(cues: DataFrame, segments: DataFrame, splits: DataFrame | N
 _WEAK = re.compile(r"[\W_]", re.U)
 
 
+@lru_cache(1 << 14)
+def _folded(c: str) -> str:
+    return "" if c.isspace() or c == "\ufeff" else unicodedata.normalize("NFKC", c).lower()
+
+
 def _matchable(text: str, weak: bool) -> str:
-    folded = "".join(unicodedata.normalize("NFKC", c).lower() for c in text if not c.isspace() and c != "﻿")
-    return folded if weak else "".join(c for c in folded if not _WEAK.match(c))
+    folded = "".join(map(_folded, text))
+    return folded if weak else _WEAK.sub("", folded)
 
 
 def retimed(cues: list[dict], boundaries: list[dict], start: int, deadline: int, duration: int) -> list[tuple[int, int]]:

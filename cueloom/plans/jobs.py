@@ -47,8 +47,7 @@ def finish(segments: DataFrame, takes: DataFrame, videos: DataFrame) -> DataFram
 
 def choose_subtitles(videos: DataFrame, files: DataFrame) -> DataFrame:
     """The subtitle of every video that has one: best candidate, else the directory's lone English file."""
-    scored = match.score_files(files)
-    candidates = match.match_subtitles(videos, files.select("dir", "filename", "ext")).join(scored.drop("ext", "sample"), ["dir", "filename"])
+    candidates = match.match_subtitles(videos, files.select("dir", "filename", "ext")).join(match.score_files(files).drop("ext", "sample"), ["dir", "filename"])
     picked = match.pick_subtitle(candidates)
-    lone = match.lone_subtitle_fallback(videos, scored, picked)
+    lone = match.lone_subtitle_fallback(videos, match.score_files(match.files_alone(files)), match.match_subtitles(videos, files.select("dir", "filename", "ext")))
     return picked.select("dir", "stem", "filename").unionByName(lone.select("dir", "stem", "filename"))
