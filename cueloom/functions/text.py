@@ -244,10 +244,13 @@ def srt_time(us: Column) -> Column:
     return F.format_string("%02d:%02d:%02d,%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
 
 
-def ass_color(hex_rgb: Column, opacity: Column) -> Column:
-    part = lambda at: F.upper(F.substring(hex_rgb, at, 2))
-    alpha = F.lpad(F.hex(js_round((1 - opacity) * 255).cast("long")), 2, "0")
-    return F.concat(F.lit("&H"), alpha, part(6), part(4), part(2))
+def ass_color(rgb: Column, percent: Column | float = 100) -> Column:
+    """&HAABBGGRR of '#RRGGBB', white where that is malformed; the alpha byte is what `percent` leaves."""
+    bare = F.regexp_replace(trim_ws(rgb), "^#", "")
+    safe = F.when(bare.rlike("^[0-9a-fA-F]{6}$"), bare).otherwise("FFFFFF")
+    opacity = percent if isinstance(percent, Column) else F.lit(percent)
+    alpha = F.lpad(F.hex(js_round((100 - opacity) / 100 * 255).cast("long")), 2, "0")
+    return F.concat(F.lit("&H"), alpha, F.substring(safe, 5, 2), F.substring(safe, 3, 2), F.substring(safe, 1, 2))
 
 
 def error_detail(parts: Column) -> Column:
@@ -270,32 +273,50 @@ def error_area(status: Column, message: Column) -> Column:
     )
 
 
+# What each rule looks for in a lower-cased message, its reason and what the user can do.
+ERROR_RULES = [
+    ("etimedout|timed out|超时", "timeout", "try again later"),
+    ("enotfound|eai_again|getaddrinfo", "no connection", "check network or DNS"),
+    ("econnrefused|econnreset|network error|fetch failed|socket hang up|proxy", "no connection", "check network or proxy"),
+    ("invalid api key|unauthorized|authentication", "bad key", "check configuration"),
+    ("forbidden", "refused", "check rights or network"),
+    ("too many requests|rate limit", "too many requests", "try again later"),
+    ("bad gateway|service unavailable|gateway timeout", "service down", "try again later"),
+    ("未选择 tts 声音", "no voice", "choose a voice"),
+    (r"未填写?\s*llm\s*(?:base url|模型|api key)", "not configured", "complete the configuration"),
+    ("未选择输出目录", "no output folder", "set an output folder"),
+    ("subtitle|字幕.*解析", "bad subtitle", "check the subtitle's format"),
+    (r"^(?=.*(?:ffmpeg|ffprobe))(?=.*(?:enoent|not recognized|not found))", "tool missing", "install the tool"),
+    ("ffprobe", "analysis failed", "check the video or the tool"),
+    ("ffmpeg", "processing failed", "check the video or the tool"),
+    ("aborterror|aborted", "timeout", "try again later"),
+    ("^$|^aggregateerror$", "failed", "see the log"),
+]
+# The area of rules that have one of their own.
+ERROR_AREAS = {3: "translation", 4: "translation", 5: "translation", 7: "synthesis", 8: "translation", 9: "video packaging", 10: "subtitle parsing", 11: "video processing", 12: "video analysis"}
+
+
 def classify_error(status: Column, message: Column) -> Column:
-    """STRUCT<area, reason>: the first rule that matches the status and message decides."""
+    """STRUCT<area, reason, action>: the first rule that matches the status and message decides; without
+    one the message is the reason and there is no action. Services that time out ask for a check of the
+    network."""
     m, area = F.lower(message), error_area(status, message)
     code = F.regexp_extract(m, r"llm api\s+(\d{3})", 1).try_cast("int")
-    rules = [
-        (m.rlike("etimedout|timed out|超时"), area, "timeout"),
-        (m.rlike("enotfound|eai_again|getaddrinfo"), area, "dns"),
-        (m.rlike("econnrefused|econnreset|network error|fetch failed|socket hang up|proxy"), area, "network"),
-        ((code == 401) | m.rlike("invalid api key|unauthorized|authentication"), F.lit("translation"), "bad key"),
-        ((code == 403) | m.rlike("forbidden"), F.lit("translation"), "refused"),
-        ((code == 429) | m.rlike("too many requests|rate limit"), F.lit("translation"), "too many requests"),
-        ((code >= 500) | m.rlike("bad gateway|service unavailable|gateway timeout"), F.when(area == "synthesis", area).otherwise("translation"), "service down"),
-        (m.rlike("未选择 tts 声音"), F.lit("synthesis"), "no voice"),
-        (m.rlike(r"未填写?\s*llm\s*(?:base url|模型|api key)"), F.lit("translation"), "not configured"),
-        (m.rlike("未选择输出目录"), F.lit("video packaging"), "no output folder"),
-        (m.rlike("subtitle|字幕.*解析"), F.lit("subtitle parsing"), "bad subtitle"),
-        (m.rlike("ffmpeg|ffprobe") & m.rlike("enoent|not recognized|not found"), F.lit("video processing"), "tool missing"),
-        (m.rlike("ffprobe"), F.lit("video analysis"), "analysis failed"),
-        (m.rlike("ffmpeg"), F.when(area == "video packaging", area).otherwise("video processing"), "processing failed"),
-        (m.rlike("aborterror|aborted"), area, "aborted"),
-        (m.rlike("^$|^aggregateerror$"), area, "failed"),
-    ]
-    out_area, out_reason = area, message
-    for test, a, r in reversed(rules):
-        out_area, out_reason = F.when(test, a).otherwise(out_area), F.when(test, r).otherwise(out_reason)
-    return F.struct(out_area.alias("area"), out_reason.alias("reason"))
+    codes = {3: code == 401, 4: code == 403, 5: code == 429, 6: code >= 500}
+    result = lambda a, reason, action: F.struct(a.alias("area"), reason.alias("reason"), action.alias("action"))
+    service = area.isin("translation", "synthesis")
+    out = result(area, message, F.lit(None).cast("string"))
+    for k in range(len(ERROR_RULES) - 1, -1, -1):
+        pattern, reason, action = ERROR_RULES[k]
+        test = m.rlike(f"(?s){pattern}")
+        where = F.lit(ERROR_AREAS[k]) if k in ERROR_AREAS else area
+        if k == 6:
+            where = F.when(area == "synthesis", area).otherwise("translation")
+        if k == 13:
+            where = F.when(area == "video packaging", area).otherwise("video processing")
+        advice = F.when(service, "check network").otherwise(action) if k == 0 else F.lit(action)
+        out = F.when(F.coalesce(codes[k], F.lit(False)) | test if k in codes else test, result(where, F.lit(reason), advice)).otherwise(out)
+    return out
 
 
 def content_hash(*parts: Column) -> Column:

@@ -206,6 +206,19 @@ def validate_chunk_groups(responses: DataFrame, chunks: DataFrame) -> DataFrame:
     return expected.join(responses, ["video_id", "chunk_no"], "left").withColumn("valid", fine)
 
 
+def chunk_votes(chunks: DataFrame, responses: DataFrame) -> DataFrame:
+    """chunks with ends_group: as the groups of a valid response say, else as the gaps of the chunk's own
+    cues do; `valid` tells which."""
+    key = ["video_id", "chunk_no"]
+    checked = validate_chunk_groups(responses, chunks).select(*key, "valid", F.transform("groups", lambda g: F.element_at(g, F.lit(-1))).alias("_ends"))
+    rows = chunks.join(checked, key)
+    said = rows.filter("valid").withColumn("ends_group", F.array_contains("_ends", F.col("cue_id"))).drop("_ends")
+    apart = group_by_gap(rows.filter("NOT valid").drop("_ends").withColumn("video_id", F.struct("video_id", "chunk_no")).drop("chunk_no"))
+    then = F.lead("group_no").over(_by_video("start_us", "pos"))
+    apart = apart.withColumn("ends_group", F.coalesce(then != F.col("group_no"), F.lit(True))).select("*", F.col("video_id.chunk_no").alias("chunk_no"))
+    return said.unionByName(apart.withColumn("video_id", F.col("video_id.video_id")).drop("group_no"))
+
+
 def merge_chunk_votes(votes: DataFrame) -> DataFrame:
     """votes(video_id, pos, cue_id, chunk_no, ends_group) to group_no: a cue ends its group only if every
     chunk that holds it says so; the last cue always does."""
@@ -214,6 +227,15 @@ def merge_chunk_votes(votes: DataFrame) -> DataFrame:
     return cues.select("video_id", "pos", "cue_id", before.cast("long").alias("group_no"))
 
 
+def group_by_votes(cues: DataFrame, responses: DataFrame) -> DataFrame:
+    """(video_id, pos, cue_id, group_no) by the votes of all chunks of cues on responses(video_id, chunk_no,
+    groups); a video without a valid response is grouped by its gaps."""
+    votes = chunk_votes(chunk_cues(cues), responses)
+    heard = votes.filter("valid").select("video_id").distinct()
+    voted = merge_chunk_votes(votes.join(heard, "video_id", "left_semi"))
+    return voted.unionByName(group_by_gap(cues.join(heard, "video_id", "left_anti")).select(*voted.columns))
+
+
 def timeline_checks(cues: DataFrame) -> DataFrame:
     """Per video: cues that start before an earlier one ends, and cues under 400 ms."""
     w = _by_video("start_us", "pos")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,56 @@ def fold_task_events(events: DataFrame) -> DataFrame:
     return last.select("task_id", "seq", F.col("e.status").alias("status"), F.when(error, 0).otherwise(F.col("e.progress")).cast("long").alias("progress"), F.when(~error, F.col("e.detail")).alias("detail"), F.when(error, F.col("e.detail")).alias("error"))
 
 
+# Kinds of a task log's rows.
+LOG_KINDS = "status error issues countdown subtitle replace".split()
+LOG = "task_id long, seq long, kind string, status string, progress long, text string, detail string, issues array<struct<id:long,text:string,max_chars:int>>, countdown long, path string"
+
+
+def deciding_rows(log: DataFrame) -> DataFrame:
+    """The rows of a task log that its fold depends on, at most six a task: of those that set the status,
+    the error, the issues, the countdown, the subtitle, the last each. Folding them gives what folding all
+    rows gives, so a stream needs to keep no others."""
+    row = F.struct(*log.columns)
+    kind, reset = F.col("kind"), F.col("kind") == "replace"
+    clears = (kind == "status") & ~F.col("status").isin("reviewing", "paused")
+    matters = {
+        "status": kind.isin("status", "error", "replace"),
+        "error": kind.isin("error", "replace") | ((kind == "status") & (F.col("status") != "error")),
+        "issues": (kind == "issues") | reset,
+        "countdown": kind.isin("countdown", "error", "replace") | clears,
+        "path": (kind == "subtitle") | reset,
+    }
+    last = log.groupBy("task_id").agg(*[F.max_by(row, F.when(F.coalesce(test, F.lit(False)), F.col("seq"))).alias(name) for name, test in matters.items()], F.max_by(row, "seq").alias("any"))
+    rows = last.select(F.explode(F.array_distinct(F.array_compact(F.array(*matters, "any")))).alias("r"))
+    return rows.select("r.*")
+
+
+def fold_task_log(log: DataFrame) -> DataFrame:
+    """State of every task of a log of the columns LOG.
+
+    `status` rows set status, progress and detail, end an error unless they say error themselves, and a
+    countdown unless they say reviewing or paused; `error` rows (text, detail) set progress to 0; `issues`,
+    `countdown` and `subtitle` rows set their own field, and `replace` rows (path) start the task anew with
+    another subtitle."""
+    kind = F.col("kind")
+    latest = lambda value, test: F.max_by(value, F.when(F.coalesce(test, F.lit(False)), F.col("seq")))
+    main = kind.isin("status", "error", "replace")
+    ends_error = kind.isin("error", "replace") | ((kind == "status") & (F.col("status") != "error"))
+    ends_countdown = kind.isin("countdown", "error", "replace") | ((kind == "status") & ~F.col("status").isin("reviewing", "paused"))
+    only = lambda name, column: F.when(kind == name, F.col(column))
+    return log.groupBy("task_id").agg(
+        F.max("seq").alias("seq"),
+        latest(F.when(kind == "error", "error").when(kind == "replace", "waiting").otherwise(F.col("status")), main).alias("status"),
+        latest(F.when(kind == "status", F.col("progress")).otherwise(0), main).cast("long").alias("progress"),
+        latest(only("status", "detail"), main).alias("detail"),
+        latest(only("error", "text"), ends_error).alias("error"),
+        latest(only("error", "detail"), ends_error).alias("error_detail"),
+        latest(F.when((kind == "issues") & (F.size("issues") > 0), F.col("issues")), kind.isin("issues", "replace")).alias("issues"),
+        latest(only("countdown", "countdown"), ends_countdown).alias("countdown"),
+        latest(F.col("path"), kind.isin("subtitle", "replace")).alias("subtitle_path"),
+    )
+
+
 def merge_cue_snapshots(updates: DataFrame, fields: list[str]) -> DataFrame:
     """Per task and field the latest value that isn't null."""
     return updates.groupBy("task_id").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f) for f in fields])
@@ -40,18 +92,23 @@ def last_work_status(events: DataFrame) -> DataFrame:
 
 
 def throttle_progress(events: DataFrame, step: float = 0.005) -> DataFrame:
-    """Progress rows (task_id, seq, ratio) at least `step` above the last one that was let through."""
+    """Progress rows (task_id, seq, ratio) at least `step` above the last one that was let through. Tasks
+    are read in order, a batch at a time; only the last ratio is carried on, so a long task needs no more."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        keep, last = [], None
-        for r in pdf["ratio"]:
-            go = last is None or r - last >= step
-            keep.append(go)
-            last = r if go else last
-        return pdf[keep]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, last = None, None
+        for pdf in batches:
+            keep = []
+            for t, r in zip(pdf["task_id"], pdf["ratio"]):
+                if t != task:
+                    task, last = t, None
+                go = last is None or r - last >= step
+                keep.append(go)
+                last = r if go else last
+            yield pdf[keep]
 
-    return events.select("task_id", "seq", "ratio").groupBy("task_id").applyInPandas(run, "task_id long, seq long, ratio double")
+    rows = events.select("task_id", "seq", "ratio").repartition("task_id").sortWithinPartitions("task_id", "seq")
+    return rows.mapInPandas(run, "task_id long, seq long, ratio double")
 
 
 def encoding_progress(lines: DataFrame) -> DataFrame:
@@ -62,8 +119,11 @@ def encoding_progress(lines: DataFrame) -> DataFrame:
 
 
 def task_summary(tasks: DataFrame) -> DataFrame:
-    """Counts by status and what can be done with each: start, pause, retry."""
-    return tasks.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("status") == "waiting").alias("startable"), F.bool_or(F.col("status").isin("queued", *WORK)).alias("pausable"), F.bool_or(F.col("status") == "error").alias("failed"))
+    """Counts of tasks(status, subtitle_path) by status, and what is among them: tasks that can start, be
+    paused, work, are paused, or have failed and can be tried again."""
+    status, ready = F.col("status"), F.col("subtitle_path").isNotNull() & (F.col("subtitle_path") != "")
+    flags = {"startable": (status == "waiting") & ready, "pausable": status.isin("queued", *WORK), "running": status.isin(WORK), "paused": status == "paused", "failed": (status == "error") & ready}
+    return tasks.groupBy("status").agg(F.count(F.lit(1)).alias("n"), *[F.bool_or(test).alias(name) for name, test in flags.items()])
 
 
 def new_tasks(paths: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -88,29 +148,46 @@ def rejected_starts(tasks: DataFrame) -> DataFrame:
     return tasks.filter("status = 'waiting' AND subtitle_path IS NULL").withColumn("status", F.lit("error")).withColumn("error", F.lit("no subtitle"))
 
 
-def output_names(videos: DataFrame, existing: DataFrame) -> DataFrame:
-    """A free name stem, 'stem (2)', ... for every row of videos(ord, root, stem), in order, against
-    existing(root, name) and each other, in any letter case. Only stems of a family (the stem without
-    ' (n)') that occurs more than once are settled together; the others need no grouping in Python."""
+def output_names(videos: DataFrame, existing: DataFrame, folders: bool = False, subtitles: bool = True) -> DataFrame:
+    """Where the output of every row of videos(ord, root, stem, ext) goes, in order: name is the stem, or
+    'stem (2)', ... where that is taken in root, with output_dir, video_path and subtitle_path.
+
+    With `folders` a name is that of a folder, and the files in it keep their stems; else the video and,
+    with `subtitles`, its .srt must be free. Names of existing(root, name) are taken as they are written,
+    names given here in any letter case. Names can meet only within a family (the stem without ' (n)').
+    Where a family has plain stems only and nothing exists, its rows are numbered by a window, whatever
+    its size; the others are settled in order, a family at a time."""
     family = lambda c: F.lower(F.regexp_replace(c, r"( \(\d+\))+$", ""))
-    rows = videos.select("ord", "root", "stem", family(F.col("stem")).alias("family"))
-    taken = existing.select("root", F.lower("name").alias("name"), family(F.col("name")).alias("family"))
-    crowd = rows.select("root", "family").unionByName(taken.select("root", "family")).groupBy("root", "family").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "family")
-    alone = rows.join(crowd, ["root", "family"], "left_anti").select("ord", "root", "stem", F.col("stem").alias("name"))
-    both = rows.select("root", "family", "ord", "stem").unionByName(taken.select("root", "family", F.lit(None).cast("long").alias("ord"), F.col("name").alias("stem")))
+    apart = F.lit("") if folders or subtitles else F.lower("ext")
+    rows = videos.select("ord", "root", "stem", "ext", family(F.col("stem")).alias("family"), apart.alias("apart"))
+    there = existing.select("root", "name", F.col("name") if folders else F.regexp_replace("name", r"\.[^.]*$", ""))
+    there = there.toDF("root", "name", "bare").select("root", "name", family(F.col("bare")).alias("family")).distinct()
+    key = ["root", "family"]
+    odd = rows.filter(F.lower("stem") != F.col("family")).select(*key).unionByName(there.select(*key)).distinct()
+    place = F.row_number().over(Window.partitionBy(*key, "apart").orderBy("ord"))
+    plain = rows.join(odd, key, "left_anti").withColumn("place", place)
+    plain = plain.select("ord", "root", "stem", "ext", F.when(F.col("place") > 1, F.concat("stem", F.lit(" ("), F.col("place").cast("string"), F.lit(")"))).otherwise(F.col("stem")).alias("name"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("ord", "long"), ("stem", "string"), ("ext", "string"))]
+    both = rows.select(*key, "ord", "stem", "ext", F.lit(None).cast("string").alias("name")).unionByName(there.select(*key, "name", *nothing))
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        used = set(pdf.loc[pdf["ord"].isna(), "stem"].str.lower())
-        out, following = [], {}
+        exists, given = set(pdf.loc[pdf["ord"].isna(), "name"]), set()
+        out, tried = [], {}
         for r in pdf[pdf["ord"].notna()].sort_values("ord").itertuples():
-            k, name = following.get(r.stem.lower(), 1), r.stem
-            while name.lower() in used:
+            k = tried.get((r.stem, r.ext), 1)  # all before k are taken for good
+            while True:
+                name = f"{r.stem} ({k})" if k > 1 else r.stem
+                files = [name] if folders else [name + r.ext] + ([f"{name}.srt"] if subtitles else [])
+                if not any(f in exists or f.lower() in given for f in files):
+                    break
                 k += 1
-                name = f"{r.stem} ({k})"
-            following[r.stem.lower()] = k
-            used.add(name.lower())
-            out.append((int(r.ord), r.root, r.stem, name))
-        return pd.DataFrame(out, columns=["ord", "root", "stem", "name"])
-
-    crowded = both.join(crowd, ["root", "family"], "left_semi").groupBy("root", "family").applyInPandas(settle, "ord long, root string, stem string, name string")
-    return alone.unionByName(crowded)
+            tried[r.stem, r.ext] = k
+            given.update(f.lower() for f in files)
+            out.append((int(r.ord), r.root, r.stem, r.ext, name))
+        return pd.DataFrame(out, columns=["ord", "root", "stem", "ext", "name"])
+
+    settled = both.join(odd, key, "left_semi").groupBy(*key).applyInPandas(settle, "ord long, root string, stem string, ext string, name string")
+    named = plain.unionByName(settled)
+    home = F.concat_ws("/", "root", "name") if folders else F.col("root")
+    file = lambda ext: F.concat(home, F.lit("/"), F.col("stem") if folders else F.col("name"), ext)
+    return named.select("ord", "root", "stem", "ext", "name", home.alias("output_dir"), file(F.col("ext")).alias("video_path"), F.when(F.lit(subtitles), file(F.lit(".srt"))).alias("subtitle_path"))

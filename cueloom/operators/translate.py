@@ -41,6 +41,12 @@ def missing_translations(segments: DataFrame, translations: DataFrame) -> DataFr
     return segments.join(translations.filter(T.trim_ws(F.col("text")) != "").select(*SEG), SEG, "left_anti")
 
 
+def unmapped_cues(cues: DataFrame, segments: DataFrame) -> DataFrame:
+    """Cues that belong to no segment of their video."""
+    held = segments.select("video_id", F.explode("cue_ids").alias("cue_id"))
+    return cues.select("video_id", "cue_id").join(held, ["video_id", "cue_id"], "left_anti")
+
+
 def request_batches(items: DataFrame, size: int = BATCH) -> DataFrame:
     """(video_id, batch_no, n_items, payload) of items(video_id, segment_id, text, max_chars)."""
     rank = F.row_number().over(Window.partitionBy("video_id").orderBy("segment_id")) - 1

@@ -59,5 +59,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_sql(names: list[str], body: str, recursive: bool = False) -> str:
     """DuckDB SQL with the named fixtures in front of body, which may begin with more common tables."""
+    if not names:
+        return body
     front = ",\n".join(DUCK[n] for n in names)
     return f"WITH {'RECURSIVE ' if recursive else ''}{front}{',' if not body.lstrip().upper().startswith('SELECT') else ''}\n{body}"

@@ -205,28 +205,11 @@ def render_srt(spark, sf_dir):
     return S.render_srt(table(spark, sf_dir, "cues"))
 
 
-@query()
-def render_ass(spark, sf_dir):
-    cues = table(spark, sf_dir, "cues")
-    sizes = cues.select("video_id").distinct().select("video_id", F.lit(1280).alias("width"), F.lit(720).alias("height"))
-    return S.render_ass(cues, sizes)
-
-
 @query(["cues"], "SELECT video_id, '1:' || substring(sha256(string_agg(cue_id || chr(0) || start_us || chr(0) || end_us || chr(0) || text, chr(10) ORDER BY pos) || chr(10)), 1, 16) AS signature FROM cues GROUP BY 1")
 def grouping_signature(spark, sf_dir):
     return X.grouping_signature(table(spark, sf_dir, "cues"))
 
 
-@query()
-def translation_signature(spark, sf_dir):
-    return X.translation_signature(X.grouping_signature(table(spark, sf_dir, "cues")), {"model": "m", "voice": "v", "strategy": "1"}, [(e, z) for _, e, z in GLOSSARY])
-
-
-@query()
-def soft_wrap(spark, sf_dir):
-    return table(spark, sf_dir, "cues").select("video_id", "cue_id", T.soft_wrap(F.col("text"), 20).alias("wrapped"), T.ass_time(F.col("start_us")).alias("ass_start"), T.display_time(F.col("start_us")).alias("shown"))
-
-
 @query(
     ["cues"],
     rf"""n2 AS (SELECT video_id, cue_id, len(regexp_extract_all(text, '(?i)\b(?:{T.SDH})\b')) + len(regexp_extract_all(text, '[♪♫]')) AS noise, len(regexp_extract_all(text, '[A-Za-z]')) AS ascii, len(regexp_extract_all(text, '[㐀-鿿]')) AS cjk,
@@ -307,10 +290,10 @@ def missing_translations(spark, sf_dir):
     return X.missing_translations(attempts.select("video_id", "segment_id").distinct(), attempts.filter("attempt_no = 1").withColumnRenamed("raw", "text"))
 
 
-@query(["attempts"], "SELECT video_id, CAST((r - 1) // 15 AS BIGINT) AS batch_no, CAST(count(*) AS BIGINT) AS n_items FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY segment_id) AS r FROM attempts WHERE attempt_no = 1) GROUP BY 1, 2")
+@query(["attempts"], "SELECT video_id, CAST((r - 1) // 15 AS BIGINT) AS batch_no, CAST(count(*) AS BIGINT) AS n_items, '{\"items\":[' || string_agg('{\"id\":' || segment_id || ',\"text\":' || to_json(src) || ',\"max_chars\":20}', ',' ORDER BY segment_id) || ']}' AS payload FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY segment_id) AS r FROM attempts WHERE attempt_no = 1) GROUP BY 1, 2")
 def request_batches(spark, sf_dir):
     items = table(spark, sf_dir, "attempts").filter("attempt_no = 1").select("video_id", "segment_id", F.col("src").alias("text"), F.lit(20).alias("max_chars"))
-    return X.request_batches(items).drop("payload")
+    return X.request_batches(items)
 
 
 @query(["attempts"], "SELECT video_id, segment_id, attempt_no, raw FROM attempts WHERE attempt_no <= 3")
@@ -351,13 +334,13 @@ def content_keys(spark, sf_dir):
 
 @query(
     ["attempts"],
-    """en2 AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY segment_id) - 1 AS row_no, src AS text_en FROM attempts WHERE attempt_no = 1),
-zh2 AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY segment_id) - 1 AS row_no, raw AS text_zh FROM attempts WHERE attempt_no = 2 AND segment_id % 3 <> 0)
-SELECT video_id, row_no, text_en, text_zh FROM en2 FULL JOIN zh2 USING (video_id, row_no)""",
+    """en2 AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY segment_id) - 1 AS row_no, src AS text_en, segment_id * 1234567 AS e FROM attempts WHERE attempt_no = 1),
+zh2 AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY segment_id) - 1 AS row_no, raw AS text_zh, segment_id * 1234567 AS z FROM attempts WHERE attempt_no = 2 AND segment_id % 3 <> 0)
+SELECT video_id, row_no, text_en, text_zh, printf('%02d:%02d:%02d.%03d', coalesce(z, e) // 3600000000, coalesce(z, e) // 60000000 % 60, coalesce(z, e) // 1000000 % 60, coalesce(z, e) // 1000 % 1000) AS shown FROM en2 FULL JOIN zh2 USING (video_id, row_no)""",
 )
 def bilingual_rows(spark, sf_dir):
-    attempts = table(spark, sf_dir, "attempts").withColumn("pos", F.col("segment_id")).withColumn("start_us", F.col("segment_id") * 1000)
-    return X.bilingual_rows(attempts.filter("attempt_no = 1").withColumnRenamed("src", "text"), attempts.filter("attempt_no = 2 AND segment_id % 3 <> 0").withColumnRenamed("raw", "text")).drop("shown")
+    attempts = table(spark, sf_dir, "attempts").withColumn("pos", F.col("segment_id")).withColumn("start_us", F.col("segment_id") * 1_234_567)
+    return X.bilingual_rows(attempts.filter("attempt_no = 1").withColumnRenamed("src", "text"), attempts.filter("attempt_no = 2 AND segment_id % 3 <> 0").withColumnRenamed("raw", "text"))
 
 
 @query()
@@ -379,11 +362,11 @@ def select_take(spark, sf_dir):
     return A.select_take(table(spark, sf_dir, "takes"), table(spark, sf_dir, "segments"))
 
 
-@query(["segments", "takes"], """SELECT video_id, segment_id, CASE WHEN r <= 1.04 THEN '+4%' WHEN r <= 1.08 THEN '+4%,+6%' WHEN r <= 1.18 THEN '+4%,+6%,+8%' ELSE '' END AS rate_steps, CAST(greatest(2, floor(40 / r * CASE risk WHEN 'high' THEN 0.84 WHEN 'medium' THEN 0.87 ELSE 0.9 END)) AS BIGINT) AS target_chars
+@query(["segments", "takes"], """SELECT video_id, segment_id, CASE WHEN r <= 1.04 THEN '+4%' WHEN r <= 1.08 THEN '+4%,+6%' WHEN r <= 1.18 THEN '+4%,+6%,+8%' ELSE '' END AS rate_steps, CAST(greatest(2, floor(40 / r * CASE risk WHEN 'high' THEN 0.84 WHEN 'medium' THEN 0.87 ELSE 0.9 END)) AS BIGINT) AS target_chars, r AS over_ratio
 FROM (SELECT video_id, segment_id, duration_us / window_us AS r, CASE segment_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk FROM takes JOIN segments USING (video_id, segment_id) WHERE attempt_no = 1 AND duration_us > window_us)""")
 def fallback_plan(spark, sf_dir):
     risk = F.when(F.col("segment_id") % 3 == 0, "high").when(F.col("segment_id") % 3 == 1, "medium").otherwise("low")
-    return A.fallback_plan(table(spark, sf_dir, "takes"), table(spark, sf_dir, "segments").withColumn("n_chars", F.lit(40)).withColumn("risk", risk)).drop("over_ratio")
+    return A.fallback_plan(table(spark, sf_dir, "takes"), table(spark, sf_dir, "segments").withColumn("n_chars", F.lit(40)).withColumn("risk", risk))
 
 
 @query(["takes"], "SELECT CAST(attempt_no AS VARCHAR) AS voice, CAST(floor(count(*) * 4 * 1000000.0 / sum(duration_us) * 1000 + 0.5) AS BIGINT) AS milli_cps FROM takes GROUP BY 1")
@@ -500,11 +483,6 @@ def fold_task_events(spark, sf_dir):
     return K.fold_task_events(table(spark, sf_dir, "task_events"))
 
 
-@query(["task_events"], _FOLD + " SELECT status, CAST(count(*) AS BIGINT) AS n, status = 'waiting' AS startable, status IN ('queued', 'parsing', 'translating', 'reviewing', 'synthesizing', 'assembling', 'encoding') AS pausable, status = 'error' AS failed FROM f1 GROUP BY status")
-def task_summary(spark, sf_dir):
-    return K.task_summary(K.fold_task_events(table(spark, sf_dir, "task_events")))
-
-
 @query(["task_events"], _FOLD + " SELECT task_id, CASE WHEN status IN ('parsing', 'translating', 'synthesizing') THEN 'paused' ELSE status END AS status FROM f1")
 def recover_interrupted(spark, sf_dir):
     return K.recover_interrupted(K.fold_task_events(table(spark, sf_dir, "task_events"))).select("task_id", "status")
@@ -526,17 +504,23 @@ def merge_cue_snapshots(spark, sf_dir):
     return K.merge_cue_snapshots(events, ["status", "progress"])
 
 
-@query()
-def throttle_progress(spark, sf_dir):
-    return K.throttle_progress(table(spark, sf_dir, "task_events").withColumn("ratio", F.col("progress") / 100), 0.05)
-
-
 def _tasks(spark, sf_dir):
     state = K.fold_task_events(table(spark, sf_dir, "task_events"))
     waiting = F.when(F.col("status") == "completed", "waiting").otherwise(F.col("status"))
     return state.select("task_id", waiting.alias("status"), F.when(F.col("task_id") % 3 != 0, F.concat(F.lit("s"), F.col("task_id").cast("string"))).alias("subtitle_path"), F.concat(F.lit("v"), F.col("task_id").cast("string")).alias("video_path"))
 
 
+@query(
+    ["task_events"],
+    _FOLD
+    + """, t AS (SELECT CASE WHEN status = 'completed' THEN 'waiting' ELSE status END AS status, task_id % 3 <> 0 AS ready FROM f1)
+SELECT status, CAST(count(*) AS BIGINT) AS n, bool_or(status = 'waiting' AND ready) AS startable, status IN ('queued', 'parsing', 'translating', 'reviewing', 'synthesizing', 'assembling', 'encoding') AS pausable,
+  status IN ('parsing', 'translating', 'reviewing', 'synthesizing', 'assembling', 'encoding') AS running, status = 'paused' AS paused, bool_or(status = 'error' AND ready) AS failed FROM t GROUP BY status""",
+)
+def task_summary(spark, sf_dir):
+    return K.task_summary(_tasks(spark, sf_dir))
+
+
 @query(["task_events"], _FOLD + " SELECT task_id, CASE WHEN task_id % 2 = 0 THEN 'issues' ELSE 'plain' END AS plan FROM f1 WHERE status = 'error' AND task_id % 3 <> 0")
 def retry_plan(spark, sf_dir):
     tasks = _tasks(spark, sf_dir)
@@ -556,17 +540,5 @@ def new_tasks(spark, sf_dir):
     return K.new_tasks(paths, events.filter("task_id % 5 = 0").select(F.concat(F.lit("v"), F.col("task_id").cast("string")).alias("video_path")).distinct()).select("path", "ord")
 
 
-@query()
-def classify_errors(spark, sf_dir):
-    return table(spark, sf_dir, "task_events").select("task_id", "seq", T.classify_error(F.col("status"), F.coalesce("detail", F.lit(""))).alias("c"), T.error_detail(F.array("status", "detail", "status")).alias("detail")).select("task_id", "seq", "c.*", "detail")
-
-
-@query()
-def output_names(spark, sf_dir):
-    files = table(spark, sf_dir, "files").select("dir", "stem", "filename")
-    videos = files.select(F.xxhash64("dir", "filename").alias("ord"), F.col("dir").alias("root"), F.regexp_replace("stem", r"\d+$", "").alias("stem"))
-    return K.output_names(videos, files.filter("filename LIKE '%.srt'").select(F.col("dir").alias("root"), F.col("stem").alias("name")))
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_segments(spark, sf_dir)

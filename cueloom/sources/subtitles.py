@@ -110,42 +110,97 @@ def render_srt(cues: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class AssStyle:
+    """How subtitles look; sizes are for a height of 1080 and a width of 1920, opacity is in percent."""
+
+    # The style of a new configuration.
     font: str = "Arial"
-    size: int = 52
-    color: str = "#FFFFFF"
+    size: int = 42
+    bold: bool = False
+    italic: bool = False
+    text_color: str = "#F3D43B"
+    outline: bool = False
+    outline_width: int = 3
     outline_color: str = "#000000"
-    outline: int = 2
-    margin_v: int = 40
+    background: bool = True
+    background_color: str = "#000000"
+    background_opacity: int = 70
+    background_padding: int = 6
+    top: bool = False
+    margin: int = 72
     wrap: int = 20
-    second_size: int = 36
+
+
+_ASS_STYLES = "Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"
+_ASS_EVENTS = "Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"
 
 
 def render_ass(cues: DataFrame, videos: DataFrame, style: AssStyle = AssStyle()) -> DataFrame:
-    """(video_id, ass) for cues(…, text, second): one or two dialogue lines per cue, scaled to
-    videos(video_id, width, height). Cues without duration or text are dropped."""
-    sizes = videos.select("video_id", F.coalesce("width", F.lit(1920)).alias("w"), F.coalesce("height", F.lit(1080)).alias("h"))
-    scale = F.col("h") / 1080
-    px = lambda n: F.greatest(F.lit(1), T.js_round(F.lit(n) * scale)).cast("string")
-    color = lambda c: F.lit(f"&H00{c[5:7]}{c[3:5]}{c[1:3]}".upper())
-    line = lambda name, text: F.concat(F.lit("Dialogue: 0,"), T.ass_time(F.col("start_us")), F.lit(","), T.ass_time(F.col("end_us")), F.lit(f",{name},,0,0,0,,"), T.ass_escape(T.soft_wrap(text, style.wrap)))
-    second = F.col("second") if "second" in cues.columns else F.lit(None).cast("string")
-    lines = F.array_compact(F.array(line("Main", F.col("text")), F.when(T.trim_ws(second) != "", line("Second", second))))
-    good = cues.filter((F.col("end_us") > F.col("start_us")) & (T.trim_ws(F.col("text")) != "")).select("video_id", "pos", lines.alias("lines"))
-    docs = good.groupBy("video_id").agg(F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "lines"))), lambda c: c["lines"])), "\n").alias("events"))
-    styled = lambda name, n: F.concat(F.lit(f"Style: {name},{style.font},"), px(n), F.lit(","), color(style.color), F.lit(","), color(style.outline_color), F.lit(","), px(style.outline), F.lit(","), px(style.margin_v))
-    head = F.concat_ws("\n", F.lit("[Script Info]\nScriptType: v4.00+"), F.concat(F.lit("PlayResX: "), F.col("w").cast("string")), F.concat(F.lit("PlayResY: "), F.col("h").cast("string")), F.lit("\n[V4+ Styles]\nFormat: Name, Fontname, Fontsize, PrimaryColour, OutlineColour, Outline, MarginV"), styled("Main", style.size), styled("Second", style.second_size), F.lit("\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"))
-    return docs.join(sizes, "video_id").select("video_id", F.concat(head, F.lit("\n"), F.col("events"), F.lit("\n")).alias("ass"))
+    """(video_id, ass) for cues, scaled to videos(video_id, width, height), 1920 by 1080 where unknown.
+
+    With a background every cue is two lines, a box (Bg) under the text (Text). Cues without duration or
+    text are dropped, a video without cues keeps its header. A `wrap` of 0 breaks no lines."""
+    size = lambda c, default: F.when(F.col(c) > 0, T.js_round(F.col(c)).cast("long")).otherwise(F.lit(default))
+    sizes = videos.select("video_id", size("width", 1920).alias("w"), size("height", 1080).alias("h"))
+    high = lambda n, least: F.greatest(F.lit(least), T.js_round(F.lit(n) * F.col("h") / 1080)).cast("long")
+    font = F.lit(style.font.strip().replace(",", " ") or "Arial")
+    px, outline = high(style.size, 20), high(style.outline_width, 0) if style.outline else F.lit(0)
+    side, below = F.greatest(F.lit(24), T.js_round(F.lit(120) * F.col("w") / 1920)).cast("long"), high(style.margin, 24)
+    shadow = F.greatest(F.lit(2), T.js_round(px * 0.08)).cast("long") if style.outline and style.background else F.lit(0)
+    text_color, clear, black = T.ass_color(F.lit(style.text_color)), F.lit("&HFF000000"), F.lit("&H00000000")
+    face = [F.lit(-1 if style.bold else 0), F.lit(-1 if style.italic else 0), F.lit("0,0,100,100,0,0")]
+    place = [F.lit(8 if style.top else 2), side, side, below, F.lit(1)]
+    row = lambda name, *values: F.concat(F.lit("Style: "), F.concat_ws(",", F.lit(name), font, *[v.cast("string") for v in (px, *values, *place)]))
+    text = row("Text", text_color, text_color, T.ass_color(F.lit(style.outline_color)), black, *face, F.lit(1), outline, shadow)
+    box = row("Bg", clear, clear, black, T.ass_color(F.lit(style.background_color), style.background_opacity), *face, F.lit(3), high(style.background_padding, 0) + outline, F.lit(0))
+    head = F.concat_ws(
+        "\n",
+        F.lit("[Script Info]\nScriptType: v4.00+"),
+        F.concat(F.lit("PlayResX: "), F.col("w").cast("string")),
+        F.concat(F.lit("PlayResY: "), F.col("h").cast("string")),
+        F.lit(f"ScaledBorderAndShadow: yes\nWrapStyle: 2\n\n[V4+ Styles]\nFormat: {_ASS_STYLES}"),
+        *([box] if style.background else []),
+        text,
+        F.lit(f"\n[Events]\nFormat: {_ASS_EVENTS}"),
+    )
+    shown = T.ass_escape(T.soft_wrap(F.col("text"), style.wrap) if style.wrap > 0 else F.col("text"))
+    line = lambda layer, name: F.concat(F.lit(f"Dialogue: {layer},"), T.ass_time(F.col("start_us")), F.lit(","), T.ass_time(F.col("end_us")), F.lit(f",{name},,0,0,0,,"), shown)
+    lines = F.concat(line(0, "Bg"), F.lit("\n"), line(1, "Text")) if style.background else line(0, "Text")
+    good = cues.filter((F.col("end_us") > F.col("start_us")) & (T.trim_ws(F.col("text")) != "")).select("video_id", F.struct("pos", lines.alias("lines")).alias("c"))
+    docs = good.groupBy("video_id").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    events = F.coalesce(F.array_join(F.col("c.lines"), "\n"), F.lit(""))
+    return sizes.join(docs, "video_id", "left").select("video_id", F.concat(head, F.lit("\n"), events, F.lit("\n")).alias("ass"))
 
 
-_TASK = "id string, videoPath string, videoName string, subtitlePath string, status string, progress double, detail string, error string, translationIssues array<struct<id:long,text:string,max_chars:int>>"
+_ISSUES = "array<struct<id:long,text:string,max_chars:int>>"
 
 
 def read_task_snapshots(snapshots: DataFrame, column: str = "json") -> DataFrame:
-    """Tasks of version-1 snapshots; entries without required fields or of unknown status are skipped."""
-    parsed = snapshots.select(F.from_json(column, f"version int, tasks array<struct<{', '.join(f.replace(' ', ':', 1) for f in _TASK.split(', '))}>>").alias("s")).filter("s.version = 1")
-    tasks = parsed.select(F.explode("s.tasks").alias("t")).select("t.*")
-    fine = F.col("id").isNotNull() & F.col("videoPath").isNotNull() & F.col("videoName").isNotNull() & F.col("status").isin(STATUSES) & F.col("progress").isNotNull() & ~F.isnan("progress") & (F.abs("progress") < float("inf"))
-    return tasks.filter(fine).withColumn("translationIssues", F.filter("translationIssues", lambda i: i["id"].isNotNull() & i["text"].isNotNull()))
+    """Tasks of version-1 snapshots: id, path and name must be texts that aren't empty, the subtitle a text
+    or null, the status known and the progress a number; other entries are skipped. Fields of another type
+    and empty details and errors count as absent, and so do lists without a whole issue."""
+    each = snapshots.select(F.from_json(column, "version int, tasks array<string>").alias("s")).filter("s.version = 1")
+    each = each.select(F.explode("s.tasks").alias("raw")).select("raw", F.try_parse_json("raw").alias("t"))
+    kind = lambda v, path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    number = lambda v, path: F.when(kind(v, path).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(v, path, "double"))
+    string = lambda v, path: F.when(kind(v, path) == "STRING", F.try_variant_get(v, path, "string"))
+    some = lambda path: F.when(string(F.col("t"), path) != "", string(F.col("t"), path))
+    issues = F.filter(F.when(kind(F.col("t"), "$.translationIssues").startswith("ARRAY"), F.try_variant_get("t", "$.translationIssues", "array<variant>")), lambda i: number(i, "$.id").isNotNull() & string(i, "$.text").isNotNull())
+    issue = lambda i: F.struct(number(i, "$.id").cast("long").alias("id"), string(i, "$.text").alias("text"), number(i, "$.max_chars").cast("int").alias("max_chars"))
+    tasks = each.select(
+        some("$.id").alias("id"),
+        some("$.videoPath").alias("videoPath"),
+        some("$.videoName").alias("videoName"),
+        string(F.col("t"), "$.subtitlePath").alias("subtitlePath"),
+        string(F.col("t"), "$.status").alias("status"),
+        number(F.col("t"), "$.progress").alias("progress"),
+        some("$.detail").alias("detail"),
+        number(F.col("t"), "$.countdownRemaining").alias("countdownRemaining"),
+        some("$.error").alias("error"),
+        some("$.errorDetail").alias("errorDetail"),
+        F.when(F.size(issues) > 0, F.transform(issues, issue)).alias("translationIssues"),
+        (F.array_contains(F.json_object_keys("raw"), "subtitlePath") & kind(F.col("t"), "$.subtitlePath").isin("STRING", "VOID")).alias("_subtitle"),
+    )
+    return tasks.filter(F.col("id").isNotNull() & F.col("videoPath").isNotNull() & F.col("videoName").isNotNull() & F.col("_subtitle") & F.col("status").isin(STATUSES) & F.col("progress").isNotNull()).drop("_subtitle")
 
 
 def read_cue_snapshots(snapshots: DataFrame, column: str = "json") -> DataFrame:
@@ -196,13 +251,25 @@ def read_boundaries(takes: DataFrame, column: str = "json") -> DataFrame:
 
 
 def write_cache(df: DataFrame, path: str, version: str, signature: str) -> None:
-    """Append df as entries of one version and signature."""
-    df.withColumn("version", F.lit(version)).withColumn("signature", F.lit(signature)).write.mode("append").partitionBy("version", "signature").parquet(path)
-
-
-def read_cache(spark: SparkSession, path: str, schema: str, version: str, signature: str, valid: Column | None = None) -> DataFrame:
-    """Entries of exactly this version and signature; partition pruning reads no others."""
-    rows = spark.read.schema(f"{schema}, version string, signature string").parquet(path).filter((F.col("version") == version) & (F.col("signature") == signature)).drop("version", "signature")
+    """Add df as entries of one version and signature; `read_cache` lets later entries replace earlier ones."""
+    rows = df.withColumn("_written", F.current_timestamp()).withColumn("version", F.lit(version)).withColumn("signature", F.lit(signature))
+    rows.write.mode("append").partitionBy("version", "signature").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str, schema: str, version: str, signature: str, valid: Column | None = None, keys: list[str] | None = None, owners: DataFrame | None = None) -> DataFrame:
+    """Entries of exactly this version and signature; partition pruning reads no others.
+
+    `valid` skips malformed entries. With `keys` the entry written last counts for each key. With
+    owners(…, task_id), entries count only where the columns they share with owners agree: what another
+    task wrote isn't read."""
+    rows = spark.read.schema(f"{schema}, _written timestamp, version string, signature string").parquet(path)
+    rows = rows.filter((F.col("version") == version) & (F.col("signature") == signature)).drop("version", "signature")
+    if keys:
+        whole = F.struct(*rows.columns)
+        rows = rows.groupBy(*keys).agg(F.max_by(whole, "_written").alias("_e")).select("_e.*")
+    rows = rows.drop("_written")
+    if owners is not None:
+        rows = rows.join(owners, [c for c in owners.columns if c in rows.columns], "left_semi")
     return rows.filter(valid) if valid is not None else rows
 
 

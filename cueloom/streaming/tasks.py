@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cueloom.operators.tasks import fold_task_events
+from cueloom.operators.tasks import LOG, deciding_rows, fold_task_events, fold_task_log
 
 EVENTS = "task_id long, seq long, status string, progress long, detail string"
 
@@ -55,3 +55,20 @@ def fold_events_stream(events: DataFrame, path: str, checkpoint: str):
 
 def folded(spark, path: str, version: int) -> DataFrame:
     return fold_task_events(spark.read.schema(EVENTS).parquet(f"{path}/version={version}"))
+
+
+def fold_log_stream(log: DataFrame, path: str, checkpoint: str):
+    """Keep at `path` the rows that decide the state of every task of a log (LOG's columns), at most six a
+    task: each micro-batch and the version before it give a new version. Returns the started query."""
+
+    def upsert(batch: DataFrame, version: int) -> None:
+        rows = batch
+        if version > 0:
+            rows = batch.sparkSession.read.schema(LOG).parquet(f"{path}/version={version - 1}").unionByName(batch)
+        deciding_rows(rows).write.mode("overwrite").parquet(f"{path}/version={version}")
+
+    return log.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def folded_log(spark, path: str, version: int) -> DataFrame:
+    return fold_task_log(spark.read.schema(LOG).parquet(f"{path}/version={version}"))

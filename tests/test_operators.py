@@ -1,11 +1,12 @@
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cueloom import queries as Q
+from cueloom import queries as Q, rule_queries  # noqa: F401
 from cueloom.functions import text as T
 from cueloom.operators import audio, cues as C, repartition as R, tasks as K, translate as X
 from cueloom.sources import subtitles as S
@@ -13,7 +14,7 @@ from cueloom.sources import subtitles as S
 TABLES = ["documents", "conversations", "orders", "lineitem", "events"]
 
 
-@pytest.mark.parametrize("name", ["group_by_gap", "segment_budgets", "split_overlong_cues", "merge_chunk_votes", "text_guards", "resolve_attempts", "track_layout", "match_subtitles", "render_srt", "fold_task_events"])
+@pytest.mark.parametrize("name", ["group_by_gap", "segment_budgets", "split_overlong_cues", "merge_chunk_votes", "text_guards", "resolve_attempts", "track_layout", "match_subtitles", "render_srt", "fold_task_events", "render_ass", "parse_ass", "task_snapshots", "probe_metadata", "group_by_votes", "fold_task_log", "output_names", "classify_errors", "throttle_progress"])
 def test_same_rows_as_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -21,7 +22,8 @@ def test_same_rows_as_sql(spark, sf_dir, name):
     want = con.execute(Q.ORACLE[name]).df()
     got = Q.QUERIES[name](spark, sf_dir).toPandas()
     assert sorted(got.columns) == sorted(want.columns)
-    rows = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(object).map(lambda v: str(int(v)) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)).values.tolist()))
+    plain = lambda v: "null" if pd.isna(v) else str(v) if isinstance(v, (bool, np.bool_, str)) else f"{float(v):.9g}"
+    rows = lambda df: sorted(tuple(map(plain, r)) for r in df[sorted(df.columns)].astype(object).values.tolist())
     assert rows(got) == rows(want)
 
 
@@ -88,16 +90,21 @@ def test_read_files_and_cache(spark, tmp_path):
     (tmp_path / "x y" / "a.mp4").write_text("")
     row = S.read_subtitle_files(spark, str(tmp_path)).first()
     assert (row.dir, row.filename, row.ext) == ("x y", "a.SRT", ".srt")
-    S.write_cache(spark.createDataFrame([(1, "a")], "k long, v string"), str(tmp_path / "cache"), "1", "s")
-    read = lambda v, s: S.read_cache(spark, str(tmp_path / "cache"), "k long, v string", v, s).count()
-    assert (read("1", "s"), read("2", "s"), read("1", "t")) == (1, 0, 0)
+    path, schema = str(tmp_path / "cache"), "video_id long, task_id string, v string"
+    for v in ("old", "new"):
+        S.write_cache(spark.createDataFrame([(1, "t", v), (2, "t", None)], schema), path, "1", "s")
+    read = lambda v, s, **kw: sorted((r.video_id, r.v) for r in S.read_cache(spark, path, schema, v, s, **kw).collect())
+    assert (len(read("1", "s")), read("2", "s"), read("1", "t")) == (4, [], [])
+    assert read("1", "s", keys=["video_id"], valid=F.col("v").isNotNull()) == [(1, "new")]
+    owners = spark.createDataFrame([(1, "t"), (2, "other")], "video_id long, task_id string")
+    assert read("1", "s", keys=["video_id"], owners=owners) == [(1, "new")]
 
 
 def test_snapshots_and_probes(spark):
     one = lambda text: spark.createDataFrame([(text,)], "json string")
-    tasks = '{"version":1,"tasks":[{"id":"a","videoPath":"p","videoName":"n","status":"waiting","progress":1,"translationIssues":[{"id":1,"text":"t"},{"id":2}]},{"id":"b","videoPath":"p","videoName":"n","status":"odd","progress":1}]}'
+    tasks = '{"version":1,"tasks":[{"id":"a","videoPath":"p","videoName":"n","subtitlePath":null,"status":"waiting","progress":1,"errorDetail":"e","countdownRemaining":3,"translationIssues":[{"id":1,"text":"t"},{"id":2}]},{"id":"b","videoPath":"p","videoName":"n","subtitlePath":null,"status":"odd","progress":1},{"id":"c","videoPath":"p","videoName":"n","status":"waiting","progress":1},{"id":"","videoPath":"p","videoName":"n","subtitlePath":null,"status":"waiting","progress":1},7]}'
     got = S.read_task_snapshots(one(tasks)).collect()
-    assert len(got) == 1 and len(got[0].translationIssues) == 1
+    assert len(got) == 1 and len(got[0].translationIssues) == 1 and (got[0].errorDetail, got[0].countdownRemaining) == ("e", 3)
     cues = '{"version":2,"englishCues":[{"id":0,"startUs":1,"endUs":2,"text":"a"}],"chineseCues":[{"id":0,"startUs":1,"endUs":2,"text":"b"},{"id":1}]}'
     assert sorted(r.lang for r in S.read_cue_snapshots(one(cues)).collect()) == ["en", "zh"]
     probe = '{"format":{"duration":"1.5"},"streams":[{"codec_type":"video","width":720,"height":576,"sample_aspect_ratio":"16:11","tags":{"rotate":"90"}},{"codec_type":"audio","codec_name":"aac"}]}'
@@ -106,10 +113,48 @@ def test_snapshots_and_probes(spark):
     assert S.read_boundaries(one('[{"part":"a","start":1,"end":2},{"part":" ","start":1,"end":2},{"part":"b"}]')).count() == 1
 
 
-def test_output_names(spark):
-    videos = spark.createDataFrame([(1, "r", "lesson"), (2, "r", "Lesson"), (3, "r", "other")], "ord long, root string, stem string")
-    existing = spark.createDataFrame([("r", "lesson")], "root string, name string")
-    assert {r.ord: r.name for r in K.output_names(videos, existing).collect()} == {1: "lesson (2)", 2: "Lesson (3)", 3: "other"}
+def _names_in_order(videos, existing, folders, subtitles):
+    """Output names one video after the other."""
+    given, out = set(), {}
+    for o, root, stem, ext in sorted(videos):
+        k = 1
+        while True:
+            name = stem if k == 1 else f"{stem} ({k})"
+            files = [name] if folders else [name + ext] + ([name + ".srt"] if subtitles else [])
+            if not any((root, f) in existing or (root, f.lower()) in given for f in files):
+                break
+            k += 1
+        given |= {(root, f.lower()) for f in files}
+        out[o] = name
+    return out
+
+
+@pytest.mark.parametrize("folders,subtitles", [(True, True), (False, True), (False, False)])
+def test_output_names(spark, folders, subtitles):
+    rng = np.random.default_rng(3)
+    stems = ["a", "A", "a (2)", "b", "b (2)", "b (2) (2)", "c", "C", "d", "lone"]
+    videos = [(int(o), f"r{rng.integers(3)}", str(rng.choice(stems)), str(rng.choice([".mp4", ".mkv"]))) for o in range(120)]
+    existing = {("r0", n) for n in ("a.mp4", "a (3).srt", "b", "b (3)", "A")} | {("r1", "c.srt"), ("r1", "d")}
+    made = K.output_names(spark.createDataFrame(videos, "ord long, root string, stem string, ext string"), spark.createDataFrame(sorted(existing), "root string, name string"), folders, subtitles)
+    rows = made.collect()
+    assert {r.ord: r.name for r in rows} == _names_in_order(videos, existing, folders, subtitles)
+    r = rows[0]
+    assert r.video_path == (f"{r.root}/{r.name}/{r.stem}{r.ext}" if folders else f"{r.root}/{r.name}{r.ext}")
+    assert (r.subtitle_path is not None) == subtitles
+
+
+def test_ass_styles_and_margins(spark):
+    cues = spark.createDataFrame([(1, 1, 1, 0, 1_500_000, "one"), (1, 2, 2, 5, 5, "gone"), (1, 3, 3, 0, 9, "  ")], "video_id long, cue_id long, pos long, start_us long, end_us long, text string")
+    videos = spark.createDataFrame([(1, None, None), (2, 1280, 720)], "video_id long, width int, height int")
+    text = lambda style: {r.video_id: r.ass for r in S.render_ass(cues, videos, style).collect()}
+    plain = text(S.AssStyle(size=48, outline=True, background=False, top=True, bold=True))
+    assert "PlayResX: 1920\nPlayResY: 1080\nScaledBorderAndShadow: yes" in plain[1] and "Style: Bg" not in plain[1]
+    assert ",-1,0,0,0,100,100,0,0,1,3,0,8,120,120,72,1" in plain[1]
+    assert plain[1].endswith("Effect, Text\nDialogue: 0,0:00:00.00,0:00:01.50,Text,,0,0,0,,one\n") and plain[2].endswith("Effect, Text\n\n")
+    boxed = text(S.AssStyle(size=48, outline=True, background_opacity=55, font="A,b"))
+    assert "Style: Bg,A b,48,&HFF000000,&HFF000000,&H00000000,&H73000000,0,0,0,0,100,100,0,0,3,9,0,2,120,120,72,1" in boxed[1]
+    assert "1,3,4,2,120,120,72,1" in boxed[1] and "Dialogue: 1,0:00:00.00,0:00:01.50,Text,,0,0,0,,one" in boxed[1]
+    assert "Style: Bg,A b,32," in boxed[2] and ",80,80,48,1" in boxed[2]
 
 
 def test_run_batches_turns_errors_into_nulls(spark):
@@ -158,3 +203,17 @@ def test_stream_of_progress_equals_batch(spark, tmp_path):
     q.awaitTermination()
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir() if p.name.startswith("version="))
     assert sorted(map(tuple, ST.folded(spark, str(tmp_path / "state"), last).collect())) == sorted(map(tuple, K.fold_task_events(spark.read.parquet(str(tmp_path / "in"))).collect()))
+
+
+def test_stream_of_a_log_equals_batch(spark, tmp_path, sf_dir):
+    from cueloom.streaming import tasks as ST
+
+    log = rule_queries._log(spark, sf_dir).orderBy("seq")
+    rows = log.collect()
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], K.LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(K.LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ST.fold_log_stream(source, str(tmp_path / "state"), str(tmp_path / "c")).awaitTermination()
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir() if p.name.startswith("version="))
+    assert last == 2
+    assert sorted(map(str, ST.folded_log(spark, str(tmp_path / "state"), last).collect())) == sorted(map(str, K.fold_task_log(log).collect()))
