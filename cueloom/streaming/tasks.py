@@ -38,6 +38,14 @@ def throttle_progress_stream(events: DataFrame, step: float = 0.005) -> DataFram
     return chosen.applyInPandasWithState(run, "task_id long, seq long, ratio double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def _replace(rows: DataFrame, path: str, version: int) -> None:
+    """Write a version of the state; a batch that runs again needs the one before it, none needs older ones."""
+    rows.write.mode("overwrite").parquet(f"{path}/version={version}")
+    context = rows.sparkSession.sparkContext
+    old = context._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version - 2}")
+    old.getFileSystem(context._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def fold_events_stream(events: DataFrame, path: str, checkpoint: str):
     """Keep the current state of every task at `path`: each micro-batch is folded with the state so far
     into a new version; a repeated batch writes the same version again. Returns the started query."""
@@ -48,7 +56,7 @@ def fold_events_stream(events: DataFrame, path: str, checkpoint: str):
         if version > 0:
             latest = spark.read.schema(EVENTS).parquet(f"{path}/version={version - 1}").unionByName(latest.select("task_id", "seq", "status", "progress", "detail"))
             latest = latest.groupBy("task_id").agg(F.max_by(F.struct("seq", "status", "progress", "detail"), "seq").alias("e")).select("task_id", "e.*")
-        latest.write.mode("overwrite").parquet(f"{path}/version={version}")
+        _replace(latest, path, version)
 
     return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -65,7 +73,7 @@ def fold_log_stream(log: DataFrame, path: str, checkpoint: str):
         rows = batch
         if version > 0:
             rows = batch.sparkSession.read.schema(LOG).parquet(f"{path}/version={version - 1}").unionByName(batch)
-        deciding_rows(rows).write.mode("overwrite").parquet(f"{path}/version={version}")
+        _replace(deciding_rows(rows), path, version)
 
     return log.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
