@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cueloom import queries as Q, rule_queries  # noqa: F401
 from cueloom.functions import text as T
 from cueloom.operators import audio, cues as C, repartition as R, tasks as K, translate as X
+from cueloom.plans.fixtures import table
 from cueloom.sources import subtitles as S
 
 TABLES = ["documents", "conversations", "orders", "lineitem", "events"]
@@ -157,6 +158,30 @@ def test_ass_styles_and_margins(spark):
     assert "Style: Bg,A b,32," in boxed[2] and ",80,80,48,1" in boxed[2]
 
 
+def _halved(cues):
+    """Groups of (start, end, text) split one after the other while they are too long."""
+    pieces = [c[2].rstrip() if k == len(cues) - 1 else c[2].rstrip().rstrip(",;:-–—").rstrip() for k, c in enumerate(cues)]
+    n = len(" ".join(" ".join(p for p in pieces if p).split()).encode("utf-16-be")) // 2
+    if len(cues) == 1 or (cues[-1][1] - cues[0][0] <= 30_000_000 and n <= 320):
+        return [cues]
+    gaps = [b[0] - a[1] for a, b in zip(cues, cues[1:])]
+    at = gaps.index(max(gaps)) + 1
+    return _halved(cues[:at]) + _halved(cues[at:])
+
+
+def test_large_groups_of_a_table_split_as_one_by_one(spark, sf_dir):
+    groups = C.group_by_gap(table(spark, sf_dir, "cues"))
+    groups = groups.withColumn("group_no", (F.col("group_no") / 6).cast("long"))  # long ones, too
+    before, after, want, got = {}, {}, {}, {}
+    for rows, seen in ((groups.collect(), before), (C.split_large_groups(groups).collect(), after)):
+        for r in sorted(rows, key=lambda r: (r.start_us, r.pos)):
+            seen.setdefault(r.video_id, {}).setdefault(r.group_no, []).append((r.start_us, r.end_us, r.text))
+    for v, by_group in before.items():
+        want[v] = [part for g in sorted(by_group) for part in _halved(by_group[g])]
+        got[v] = [after[v][g] for g in sorted(after[v])]
+    assert got == want and any(len(after[v]) > len(before[v]) for v in before)
+
+
 def test_run_batches_turns_errors_into_nulls(spark):
     def fn(batches):
         for b in batches:
