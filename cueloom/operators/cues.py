@@ -242,3 +242,26 @@ def timeline_checks(cues: DataFrame) -> DataFrame:
     before = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = cues.select("video_id", (F.col("start_us") < before).alias("overlaps"), (F.col("end_us") - F.col("start_us") < 400_000).alias("short"))
     return rows.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_cues"), F.count_if("overlaps").alias("n_overlaps"), F.count_if("short").alias("n_short"))
+
+
+def overlapping_pairs(cues: DataFrame) -> DataFrame:
+    """(video_id, first_id, second_id, from_us, overlap_us): every pair of cues of a video of which the second starts,
+    in order of start and pos, before the first one ends. Cues without ids or times pair with nothing; one that
+    ends no later than it starts can only be a second.
+
+    An equality join over buckets of time. Cues are in classes by duration, and a class has buckets about as wide
+    as its cues are long: a cue lies in one or two of them, and in each class of its video every cue is a second
+    in the one bucket that it starts in. So a pair meets once, and a cue meets little more than what it overlaps,
+    however dense the cues or long a few of them."""
+    rows = cues.select("video_id", "cue_id", "pos", "start_us", "end_us").filter("video_id IS NOT NULL AND cue_id IS NOT NULL AND start_us IS NOT NULL AND end_us IS NOT NULL")
+    wide = F.length(F.bin(F.col("end_us") - F.col("start_us")))  # buckets of 2^wide microseconds, over the duration
+    bucket = lambda at, wide: F.floor(at / F.pow(F.lit(2.0), wide)).cast("long")
+    firsts = rows.filter("end_us > start_us").withColumn("wide", wide)
+    classes = firsts.groupBy("video_id").agg(F.collect_set("wide").alias("classes"))  # 64 at most
+    spans = F.sequence(bucket(F.col("start_us"), F.col("wide")), bucket(F.col("end_us") - 1, F.col("wide")))
+    firsts = firsts.select("video_id", "wide", F.explode(spans).alias("bucket"), F.col("cue_id").alias("first_id"), F.struct("start_us", "pos", "cue_id").alias("first"), F.col("end_us").alias("first_end"))
+    seconds = rows.join(classes, "video_id").select("video_id", "cue_id", "pos", "start_us", "end_us", F.explode("classes").alias("wide"))
+    seconds = seconds.select("video_id", "wide", bucket(F.col("start_us"), F.col("wide")).alias("bucket"), F.col("cue_id").alias("second_id"), F.struct("start_us", "pos", "cue_id").alias("second"), F.col("end_us").alias("second_end"))
+    pairs = firsts.join(seconds, ["video_id", "wide", "bucket"]).filter((F.col("first") < F.col("second")) & (F.col("second.start_us") < F.col("first_end")))
+    overlap = F.greatest(F.lit(0), F.least("first_end", "second_end") - F.col("second.start_us")).cast("long")
+    return pairs.select("video_id", "first_id", "second_id", F.col("second.start_us").alias("from_us"), overlap.alias("overlap_us"))

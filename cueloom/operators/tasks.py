@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Statuses in which a task works, and those that a restart interrupts.
@@ -25,23 +25,23 @@ LOG_KINDS = "status error issues countdown subtitle replace".split()
 LOG = "task_id long, seq long, kind string, status string, progress long, text string, detail string, issues array<struct<id:long,text:string,max_chars:int>>, countdown long, path string"
 
 
-def deciding_rows(log: DataFrame) -> DataFrame:
-    """The rows of a task log that its fold depends on, at most six a task: of those that set the status,
-    the error, the issues, the countdown, the subtitle, the last each. Folding them gives what folding all
-    rows gives, so a stream needs to keep no others."""
-    row = F.struct(*log.columns)
+def _matters() -> dict[str, Column]:
+    """Which rows of a log set a field, or a group of fields that are set together."""
     kind, reset = F.col("kind"), F.col("kind") == "replace"
     clears = (kind == "status") & ~F.col("status").isin("reviewing", "paused")
-    matters = {
+    return {
         "status": kind.isin("status", "error", "replace"),
         "error": kind.isin("error", "replace") | ((kind == "status") & (F.col("status") != "error")),
         "issues": (kind == "issues") | reset,
         "countdown": kind.isin("countdown", "error", "replace") | clears,
         "path": (kind == "subtitle") | reset,
     }
-    last = log.groupBy("task_id").agg(*[F.max_by(row, F.when(F.coalesce(test, F.lit(False)), F.col("seq"))).alias(name) for name, test in matters.items()], F.max_by(row, "seq").alias("any"))
-    rows = last.select(F.explode(F.array_distinct(F.array_compact(F.array(*matters, "any")))).alias("r"))
-    return rows.select("r.*")
+
+
+def deciding_fields() -> Column:
+    """The names of what a log's row sets, with commas; every row sets `any`. Of a task, the last row for each
+    name, at most six in all, give by `fold_task_log` what all its rows give, so a stream needs to keep no others."""
+    return F.concat_ws(",", *[F.when(F.coalesce(test, F.lit(False)), name) for name, test in _matters().items()], F.lit("any"))
 
 
 def fold_task_log(log: DataFrame) -> DataFrame:

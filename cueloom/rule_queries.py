@@ -353,8 +353,7 @@ SELECT pt.task_id, pt.seq, CASE m.kind WHEN 'error' THEN 'error' WHEN 'replace'
 FROM pt LEFT JOIN lg m ON m.seq = pt.m LEFT JOIN lg e ON e.seq = pt.e LEFT JOIN lg i ON i.seq = pt.i LEFT JOIN lg c ON c.seq = pt.c LEFT JOIN lg p ON p.seq = pt.p""",
 )
 def fold_task_log(spark, sf_dir):
-    """The log is folded by way of its deciding rows, as a stream does it."""
-    return K.fold_task_log(K.deciding_rows(_log(spark, sf_dir))).withColumn("issue", F.col("issues")[0]["id"]).drop("issues")
+    return K.fold_task_log(_log(spark, sf_dir)).withColumn("issue", F.col("issues")[0]["id"]).drop("issues")
 
 
 @query(

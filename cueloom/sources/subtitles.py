@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from cueloom.functions import text as T
+from cueloom.sources.keyed import KeyedTable
 
 CUES = ArrayType(StructType([StructField("cue_id", LongType()), StructField("start_us", LongType()), StructField("end_us", LongType()), StructField("text", StringType()), StructField("raw_style", StringType())]))
 _STAMP = re.compile(r"^(?:(\d+):)?(\d{2}):(\d{2})[.,](\d{3})\s*-->\s*(?:(\d+):)?(\d{2}):(\d{2})[.,](\d{3})")
@@ -22,7 +24,7 @@ STATUSES = "waiting queued parsing translating reviewing synthesizing assembling
 
 def read_subtitle_files(spark: SparkSession, path: str) -> DataFrame:
     """(dir, filename, ext, content) of the .srt, .vtt, .ass and .ssa files under path, in any letter case."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[sS][rR][tT],[vV][tT][tT],[aA][sS][sS],[sS][sS][aA]}").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[sS][rR][tT],[vV][tT][tT],[aA][sS][sS],[sS][sS][aA]}").text(path, wholetext=True)
     full = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
     rows = files.select(full.alias("p"), F.col("value").alias("content"))
     return rows.select(F.regexp_extract("p", r"([^/]*)/[^/]*$", 1).alias("dir"), F.substring_index("p", "/", -1).alias("filename"), F.lower(F.regexp_extract("p", r"(\.[^.]*)$", 1)).alias("ext"), "content")
@@ -134,11 +136,8 @@ _ASS_STYLES = "Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, Outline
 _ASS_EVENTS = "Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"
 
 
-def render_ass(cues: DataFrame, videos: DataFrame, style: AssStyle = AssStyle()) -> DataFrame:
-    """(video_id, ass) for cues, scaled to videos(video_id, width, height), 1920 by 1080 where unknown.
-
-    With a background every cue is two lines, a box (Bg) under the text (Text). Cues without duration or
-    text are dropped, a video without cues keeps its header. A `wrap` of 0 breaks no lines."""
+def _ass_heads(videos: DataFrame, style: AssStyle) -> DataFrame:
+    """(video_id, head): all of a document but its events."""
     size = lambda c, default: F.when(F.col(c) > 0, T.js_round(F.col(c)).cast("long")).otherwise(F.lit(default))
     sizes = videos.select("video_id", size("width", 1920).alias("w"), size("height", 1080).alias("h"))
     high = lambda n, least: F.greatest(F.lit(least), T.js_round(F.lit(n) * F.col("h") / 1080)).cast("long")
@@ -162,13 +161,35 @@ def render_ass(cues: DataFrame, videos: DataFrame, style: AssStyle = AssStyle())
         text,
         F.lit(f"\n[Events]\nFormat: {_ASS_EVENTS}"),
     )
+    return sizes.select("video_id", head.alias("head"))
+
+
+def _ass_lines(cues: DataFrame, style: AssStyle) -> DataFrame:
+    """(video_id, pos, lines): the events of the cues that have a duration and a text."""
     shown = T.ass_escape(T.soft_wrap(F.col("text"), style.wrap) if style.wrap > 0 else F.col("text"))
     line = lambda layer, name: F.concat(F.lit(f"Dialogue: {layer},"), T.ass_time(F.col("start_us")), F.lit(","), T.ass_time(F.col("end_us")), F.lit(f",{name},,0,0,0,,"), shown)
     lines = F.concat(line(0, "Bg"), F.lit("\n"), line(1, "Text")) if style.background else line(0, "Text")
-    good = cues.filter((F.col("end_us") > F.col("start_us")) & (T.trim_ws(F.col("text")) != "")).select("video_id", F.struct("pos", lines.alias("lines")).alias("c"))
-    docs = good.groupBy("video_id").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    return cues.filter((F.col("end_us") > F.col("start_us")) & (T.trim_ws(F.col("text")) != "")).select("video_id", "pos", lines.alias("lines"))
+
+
+def render_ass(cues: DataFrame, videos: DataFrame, style: AssStyle = AssStyle()) -> DataFrame:
+    """(video_id, ass) for cues, scaled to videos(video_id, width, height), 1920 by 1080 where unknown.
+
+    With a background every cue is two lines, a box (Bg) under the text (Text). Cues without duration or
+    text are dropped, a video without cues keeps its header. A `wrap` of 0 breaks no lines."""
+    docs = _ass_lines(cues, style).groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("pos", "lines"))).alias("c"))
     events = F.coalesce(F.array_join(F.col("c.lines"), "\n"), F.lit(""))
-    return sizes.join(docs, "video_id", "left").select("video_id", F.concat(head, F.lit("\n"), events, F.lit("\n")).alias("ass"))
+    return _ass_heads(videos, style).join(docs, "video_id", "left").select("video_id", F.concat("head", F.lit("\n"), events, F.lit("\n")).alias("ass"))
+
+
+def ass_rows(cues: DataFrame, videos: DataFrame, style: AssStyle = AssStyle()) -> DataFrame:
+    """(video_id, pos, text): what `render_ass` gives, as rows in order of pos; the first of a video is its header.
+    Cues of videos that aren't given are left out."""
+    heads = _ass_heads(videos, style).select("video_id", F.lit(None).cast("long").alias("pos"), F.concat("head", F.lit("\n")).alias("text"))
+    lines = _ass_lines(cues, style).select("video_id", "pos", F.concat("lines", F.lit("\n")).alias("text"))
+    rows = heads.unionByName(lines.join(videos.select("video_id").distinct(), "video_id", "left_semi"))
+    alone = F.count(F.lit(1)).over(Window.partitionBy("video_id")) == 1
+    return rows.withColumn("text", F.when(alone, F.concat("text", F.lit("\n"))).otherwise(F.col("text")))
 
 
 _ISSUES = "array<struct<id:long,text:string,max_chars:int>>"
@@ -250,33 +271,33 @@ def read_boundaries(takes: DataFrame, column: str = "json") -> DataFrame:
     return rows.filter((T.trim_ws(F.col("part")) != "") & (F.col("end_us") > F.col("start_us")))
 
 
+def _cache(spark: SparkSession, path: str, schema, version: str, signature: str, keys: list[str] | None) -> KeyedTable:
+    return KeyedTable(spark, f"{path}/version={quote(version, '')}/signature={quote(signature, '')}", schema, keys or [])
+
+
 def write_cache(df: DataFrame, path: str, version: str, signature: str) -> None:
     """Add df as entries of one version and signature; `read_cache` lets later entries replace earlier ones."""
-    rows = df.withColumn("_written", F.current_timestamp()).withColumn("version", F.lit(version)).withColumn("signature", F.lit(signature))
-    rows.write.mode("append").partitionBy("version", "signature").parquet(path)
+    _cache(df.sparkSession, path, df.schema, version, signature, None).upsert(df)
 
 
 def read_cache(spark: SparkSession, path: str, schema: str, version: str, signature: str, valid: Column | None = None, keys: list[str] | None = None, owners: DataFrame | None = None) -> DataFrame:
-    """Entries of exactly this version and signature; partition pruning reads no others.
-
-    `valid` skips malformed entries. With `keys` the entry written last counts for each key. With
-    owners(…, task_id), entries count only where the columns they share with owners agree: what another
-    task wrote isn't read."""
-    rows = spark.read.schema(f"{schema}, _written timestamp, version string, signature string").parquet(path)
-    rows = rows.filter((F.col("version") == version) & (F.col("signature") == signature)).drop("version", "signature")
-    if keys:
-        whole = F.struct(*rows.columns)
-        rows = rows.groupBy(*keys).agg(F.max_by(whole, "_written").alias("_e")).select("_e.*")
-    rows = rows.drop("_written")
-    if owners is not None:
-        rows = rows.join(owners, [c for c in owners.columns if c in rows.columns], "left_semi")
-    return rows.filter(valid) if valid is not None else rows
+    """Entries of exactly this version and signature; no others are read.
+
+    `valid` skips malformed entries. With `keys` the entry written last counts for each key, of those that aren't
+    skipped. With owners(…, task_id), entries count only where the columns they share with owners agree: what
+    another task wrote isn't read."""
+    return _cache(spark, path, schema, version, signature, keys).read(valid, owners)
+
+
+def compact_cache(spark: SparkSession, path: str, schema: str, version: str, signature: str, keys: list[str], valid: Column | None = None) -> None:
+    """Let go of entries that later ones replace, or that aren't `valid`; readers at work still see theirs."""
+    cache = _cache(spark, path, schema, version, signature, keys)
+    cache.compact(valid)
+    cache.vacuum()
 
 
 def explode_aliases(fonts: DataFrame) -> DataFrame:
     """Names of fonts(ord, name) split at '&', without a trailing parenthesis, each once in any letter case."""
-    from pyspark.sql import Window
-
     rows = fonts.select("ord", F.posexplode(F.split("name", "&")).alias("k", "alias"))
     rows = rows.withColumn("alias", T.normalize_spaces(F.regexp_replace("alias", r"\s*\([^)]*\)\s*$", ""))).filter("alias <> ''")
     first = F.row_number().over(Window.partitionBy(F.lower("alias")).orderBy("ord", "k"))

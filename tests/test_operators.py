@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cueloom import queries as Q, rule_queries  # noqa: F401
+from cueloom import file_queries, queries as Q, rule_queries  # noqa: F401
 from cueloom.functions import text as T
 from cueloom.operators import audio, cues as C, repartition as R, tasks as K, translate as X
 from cueloom.plans.fixtures import table
@@ -15,7 +15,7 @@ from cueloom.sources import subtitles as S
 TABLES = ["documents", "conversations", "orders", "lineitem", "events"]
 
 
-@pytest.mark.parametrize("name", ["group_by_gap", "segment_budgets", "split_overlong_cues", "merge_chunk_votes", "text_guards", "resolve_attempts", "track_layout", "match_subtitles", "render_srt", "fold_task_events", "render_ass", "parse_ass", "task_snapshots", "probe_metadata", "group_by_votes", "fold_task_log", "output_names", "classify_errors", "throttle_progress"])
+@pytest.mark.parametrize("name", ["group_by_gap", "segment_budgets", "split_overlong_cues", "merge_chunk_votes", "text_guards", "resolve_attempts", "track_layout", "match_subtitles", "render_srt", "fold_task_events", "render_ass", "parse_ass", "task_snapshots", "probe_metadata", "group_by_votes", "fold_task_log", "output_names", "classify_errors", "throttle_progress", "subtitle_files", "read_subtitle_files", "cache_entries", "overlapping_pairs"])
 def test_same_rows_as_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -212,33 +212,9 @@ def test_terms_are_literal_and_ordered(spark):
     assert df.select(T.apply_terminology(F.col("en"), F.col("zh"), terms)).first()[0] == "the $1\\x z"
 
 
-def test_stream_of_progress_equals_batch(spark, tmp_path):
-    from cueloom.streaming import tasks as ST
-
-    rows = [(k % 3, k, "encoding", (k * 7) % 100, "d") for k in range(60)]
-    for part in range(3):
-        spark.createDataFrame(rows[part * 20 : part * 20 + 20], ST.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    ratio = F.col("progress") / 100
-    out = ST.throttle_progress_stream(ST.read_events(spark, str(tmp_path / "in"), 10).withColumn("ratio", ratio), 0.1)
-    q = out.writeStream.format("memory").queryName("let_through").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start()
-    q.awaitTermination()
-    want = K.throttle_progress(spark.read.parquet(str(tmp_path / "in")).withColumn("ratio", ratio), 0.1)
-    assert sorted(map(tuple, spark.table("let_through").collect())) == sorted(map(tuple, want.collect()))
-    q = ST.fold_events_stream(ST.read_events(spark, str(tmp_path / "in")), str(tmp_path / "state"), str(tmp_path / "c2"))
-    q.awaitTermination()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir() if p.name.startswith("version="))
-    assert sorted(map(tuple, ST.folded(spark, str(tmp_path / "state"), last).collect())) == sorted(map(tuple, K.fold_task_events(spark.read.parquet(str(tmp_path / "in"))).collect()))
-
-
-def test_stream_of_a_log_equals_batch(spark, tmp_path, sf_dir):
-    from cueloom.streaming import tasks as ST
-
-    log = rule_queries._log(spark, sf_dir).orderBy("seq")
-    rows = log.collect()
-    for part in range(3):
-        spark.createDataFrame(rows[part::3], K.LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(K.LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    ST.fold_log_stream(source, str(tmp_path / "state"), str(tmp_path / "c")).awaitTermination()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir() if p.name.startswith("version="))
-    assert last == 2 and not (tmp_path / "state" / "version=0").exists()
-    assert sorted(map(str, ST.folded_log(spark, str(tmp_path / "state"), last).collect())) == sorted(map(str, K.fold_task_log(log).collect()))
+def test_overlapping_pairs_match_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(3)), k, k, int(a), int(a + rng.choice([-5, 0, 1, 3, 40, 700, 10**7]))) for k, a in enumerate(rng.integers(-200, 3000, 300))] + [(1, 400, 400, 2**52, 2**52 + 1), (1, 401, 401, 2**52, 2**52 + 2)]
+    got = C.overlapping_pairs(spark.createDataFrame([*rows, (1, None, 0, 0, 9), (None, 7, 7, 0, 9), (2, 500, 5, None, 9)], "video_id long, cue_id long, pos long, start_us long, end_us long")).collect()
+    want = [(a[0], a[1], b[1], b[3], max(0, min(a[4], b[4]) - b[3])) for a in rows for b in rows if a[0] == b[0] and (a[3], a[2]) < (b[3], b[2]) and b[3] < a[4]]
+    assert sorted(map(tuple, got)) == sorted(want)
