@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -148,46 +149,126 @@ def rejected_starts(tasks: DataFrame) -> DataFrame:
     return tasks.filter("status = 'waiting' AND subtitle_path IS NULL").withColumn("status", F.lit("error")).withColumn("error", F.lit("no subtitle"))
 
 
-def output_names(videos: DataFrame, existing: DataFrame, folders: bool = False, subtitles: bool = True) -> DataFrame:
+#: Positions that are numbered in one task.
+BLOCK = 1_000_000
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str, block: int = BLOCK) -> DataFrame:
+    """`rows` with their number from 1 by `ord` within keys. However many rows a key has, a task numbers those of
+    `block` positions: numbers within blocks, and for each block what the key's blocks before it hold."""
+    rows = rows.withColumn("_block", F.floor(F.col("ord") / block).cast("long"))
+    part = [*keys, "_block"]
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*part).orderBy("ord"))
+    return rows.withColumn("_own", own).join(sums, part).withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_block")
+
+
+def _free(place: Column, taken: Column) -> Column:
+    """The place-th number from 1 that isn't among the sorted `taken`: of the taken numbers those count that have
+    fewer free ones below them than place."""
+    gaps = F.transform(taken, lambda t, k: t - k - 1)  # free numbers below each
+    return place + F.coalesce(F.size(F.filter(gaps, lambda g: g < place)), F.lit(0))
+
+
+class _Names:
+    """Names of one family, in order: for each stem, in any case, the numbers that are given, all up to a pointer
+    and a few beyond it. 'a (2)' is number 2 of 'a' and number 1 of 'a (2)'."""
+
+    NUMBERED = re.compile(r"^(.*) \(([1-9]\d*)\)$", re.S)
+
+    def __init__(self, folders: bool, subtitles: bool):
+        self.folders, self.subtitles = folders, subtitles
+        self.exists: set[str] = set()
+        self.upto: dict[tuple[str, str], int] = {}
+        self.beyond: dict[tuple[str, str], set[int]] = {}
+        self.tried: dict[tuple[str, str], int] = {}
+
+    def _take(self, chain: tuple[str, str], k: int) -> None:
+        upto, beyond = self.upto.get(chain, 0), self.beyond.setdefault(chain, set())
+        beyond.add(k)
+        while upto + 1 in beyond:
+            upto += 1
+            beyond.remove(upto)
+        self.upto[chain] = upto
+
+    def _given(self, chain: tuple[str, str], k: int) -> bool:
+        return k <= self.upto.get(chain, 0) or k in self.beyond.get(chain, ())
+
+    def give(self, stem: str, ext: str) -> str:
+        low, apart = stem.lower(), "" if self.folders or self.subtitles else ext.lower()
+        k = self.tried.get((stem, ext), 1)  # all before it are gone for this stem
+        while True:
+            name = f"{stem} ({k})" if k > 1 else stem
+            files = [name] if self.folders else [name + ext] + ([f"{name}.srt"] if self.subtitles else [])
+            if not self._given((low, apart), k) and not any(f in self.exists for f in files):
+                break
+            k += 1
+        self.tried[stem, ext] = k + 1
+        self._take((low, apart), k)
+        if k > 1:
+            self._take((f"{low} ({k})", apart), 1)
+        elif (m := self.NUMBERED.match(low)) and int(m[2]) > 1:
+            self._take((m[1], apart), int(m[2]))
+        return name
+
+
+def output_names(videos: DataFrame, existing: DataFrame, folders: bool = False, subtitles: bool = True, block: int = BLOCK) -> DataFrame:
     """Where the output of every row of videos(ord, root, stem, ext) goes, in order: name is the stem, or
     'stem (2)', ... where that is taken in root, with output_dir, video_path and subtitle_path.
 
     With `folders` a name is that of a folder, and the files in it keep their stems; else the video and,
     with `subtitles`, its .srt must be free. Names of existing(root, name) are taken as they are written,
     names given here in any letter case. Names can meet only within a family (the stem without ' (n)').
-    Where a family has plain stems only and nothing exists, its rows are numbered by a window, whatever
-    its size; the others are settled in order, a family at a time."""
+
+    Families of one stem, in any case, get their numbers from ranks, against the sorted numbers that exist; that
+    takes no task with a whole family (see `numbered`). What is left are families with numbered stems of their own,
+    or with names that exist for some of their spellings and extensions only: they pass through a task in order,
+    of which it holds the numbers given and not the rows."""
     family = lambda c: F.lower(F.regexp_replace(c, r"( \(\d+\))+$", ""))
     apart = F.lit("") if folders or subtitles else F.lower("ext")
+    key = ["root", "family"]
     rows = videos.select("ord", "root", "stem", "ext", family(F.col("stem")).alias("family"), apart.alias("apart"))
     there = existing.select("root", "name", F.col("name") if folders else F.regexp_replace("name", r"\.[^.]*$", ""))
-    there = there.toDF("root", "name", "bare").select("root", "name", family(F.col("bare")).alias("family")).distinct()
-    key = ["root", "family"]
-    odd = rows.filter(F.lower("stem") != F.col("family")).select(*key).unionByName(there.select(*key)).distinct()
-    place = F.row_number().over(Window.partitionBy(*key, "apart").orderBy("ord"))
-    plain = rows.join(odd, key, "left_anti").withColumn("place", place)
-    plain = plain.select("ord", "root", "stem", "ext", F.when(F.col("place") > 1, F.concat("stem", F.lit(" ("), F.col("place").cast("string"), F.lit(")"))).otherwise(F.col("stem")).alias("name"))
+    there = there.toDF("root", "name", "bare").select("root", "name", "bare", family(F.col("bare")).alias("family")).distinct()
+    met = there.join(rows.select(*key).distinct(), key, "left_semi")
+    # the spellings and extensions of a family, and the numbers that exist for each of them
+    kinds = rows.select(*key, "stem", "ext", "apart").distinct()
+    stems = kinds.groupBy(*key).agg((F.count_if(F.lower("stem") != F.col("family")) > 0).alias("several"))
+    number = F.when(F.col("bare") == F.col("stem"), 1).when(
+        F.startswith("bare", F.concat("stem", F.lit(" ("))) & F.endswith("bare", F.lit(")")),
+        F.regexp_extract(F.expr("substr(bare, length(stem) + 1)"), r"^ \(([1-9][0-9]{0,17})\)$", 1).try_cast("long"),
+    )
+    hits = met.join(kinds, key).withColumn("number", number).filter(F.col("number").isNotNull() & ((F.col("number") == 1) == (F.col("bare") == F.col("stem"))))
+    if not folders:
+        hits = hits.filter((F.col("name") == F.concat("bare", "ext")) | (F.lit(subtitles) & (F.col("name") == F.concat("bare", F.lit(".srt")))))
+    hits = hits.select(*key, "apart", "stem", "ext", "number").distinct()
+    kinds_in = kinds.groupBy(*key, "apart").agg(F.count(F.lit(1)).alias("kinds"))
+    each = hits.groupBy(*key, "apart", "number").agg(F.count(F.lit(1)).alias("n")).join(kinds_in, [*key, "apart"])
+    uneven = each.filter(F.col("n") < F.col("kinds")).select(*key).distinct()
+    mixed = stems.filter("several").select(*key).unionByName(uneven).distinct()
+    taken = each.groupBy(*key, "apart").agg(F.sort_array(F.collect_list("number")).alias("taken"))  # as many as names exist
+    even = numbered(rows.join(mixed, key, "left_anti"), [*key, "apart"], "place", block).join(taken, [*key, "apart"], "left")
+    slot = _free(F.col("place"), F.col("taken"))
+    even = even.select("ord", "root", "stem", "ext", F.when(slot > 1, F.concat("stem", F.lit(" ("), slot.cast("string"), F.lit(")"))).otherwise(F.col("stem")).alias("name"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, names = None, None
+        for pdf in batches:
+            out = []
+            for root, fam, o, stem, ext, name in zip(*(pdf[c] for c in ("root", "family", "ord", "stem", "ext", "name"))):
+                if (root, fam) != at:
+                    at, names = (root, fam), _Names(folders, subtitles)
+                if pd.isna(o):
+                    names.exists.add(name)
+                else:
+                    out.append((int(o), root, stem, ext, names.give(stem, ext)))
+            yield pd.DataFrame(out, columns=["ord", "root", "stem", "ext", "name"])
+
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("ord", "long"), ("stem", "string"), ("ext", "string"))]
-    both = rows.select(*key, "ord", "stem", "ext", F.lit(None).cast("string").alias("name")).unionByName(there.select(*key, "name", *nothing))
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        exists, given = set(pdf.loc[pdf["ord"].isna(), "name"]), set()
-        out, tried = [], {}
-        for r in pdf[pdf["ord"].notna()].sort_values("ord").itertuples():
-            k = tried.get((r.stem, r.ext), 1)  # all before k are taken for good
-            while True:
-                name = f"{r.stem} ({k})" if k > 1 else r.stem
-                files = [name] if folders else [name + r.ext] + ([f"{name}.srt"] if subtitles else [])
-                if not any(f in exists or f.lower() in given for f in files):
-                    break
-                k += 1
-            tried[r.stem, r.ext] = k
-            given.update(f.lower() for f in files)
-            out.append((int(r.ord), r.root, r.stem, r.ext, name))
-        return pd.DataFrame(out, columns=["ord", "root", "stem", "ext", "name"])
-
-    settled = both.join(odd, key, "left_semi").groupBy(*key).applyInPandas(settle, "ord long, root string, stem string, ext string, name string")
-    named = plain.unionByName(settled)
+    both = rows.select(*key, "ord", "stem", "ext", F.lit(None).cast("string").alias("name")).unionByName(met.select(*key, "name", *nothing))
+    both = both.join(mixed, key, "left_semi").repartition(*key).sortWithinPartitions(*key, F.asc_nulls_first("ord"))
+    named = even.unionByName(both.mapInPandas(run, "ord long, root string, stem string, ext string, name string"))
     home = F.concat_ws("/", "root", "name") if folders else F.col("root")
     file = lambda ext: F.concat(home, F.lit("/"), F.col("stem") if folders else F.col("name"), ext)
     return named.select("ord", "root", "stem", "ext", "name", home.alias("output_dir"), file(F.col("ext")).alias("video_path"), F.when(F.lit(subtitles), file(F.lit(".srt"))).alias("subtitle_path"))

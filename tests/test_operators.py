@@ -133,17 +133,34 @@ def _names_in_order(videos, existing, folders, subtitles):
 @pytest.mark.parametrize("folders,subtitles", [(True, True), (False, True), (False, False)])
 def test_output_names(spark, folders, subtitles):
     rng = np.random.default_rng(3)
-    stems = ["a", "A", "a (2)", "b", "b (2)", "b (2) (2)", "c", "C", "d", "lone"]
-    videos = [(int(o), f"r{rng.integers(3)}", str(rng.choice(stems)), str(rng.choice([".mp4", ".mkv"]))) for o in range(120)]
-    existing = {("r0", n) for n in ("a.mp4", "a (3).srt", "b", "b (3)", "A")} | {("r1", "c.srt"), ("r1", "d")}
-    made = K.output_names(spark.createDataFrame(videos, "ord long, root string, stem string, ext string"), spark.createDataFrame(sorted(existing), "root string, name string"), folders, subtitles)
+    stems = ["a", "A", "a (2)", "b", "b (2)", "b (2) (2)", "c", "C", "d", "lone", "x (y)", "e", "e (02)", "f"]
+    videos = [(int(o), f"r{rng.integers(3)}", str(rng.choice(stems)), str(rng.choice([".mp4", ".mkv"]))) for o in range(260)]
+    videos += [(int(o), "r3", "big", ".mp4") for o in range(300, 420)]
+    existing = {("r0", n) for n in ("a.mp4", "a (3).srt", "b", "b (3)", "A", "e (3).srt", "E.srt")} | {("r1", n) for n in ("c.srt", "d", "d (4)", "d (4).srt", "d (5).srt", "d.srt", "d (12345678901234567890).srt")}
+    existing |= {("r3", n) for n in ("big", "big.srt", "big (3)", "big (3).mp4", "big (50)", "big (50).srt", "BIG (7)", "big (07)", "other.srt")}
+    made = K.output_names(spark.createDataFrame(videos, "ord long, root string, stem string, ext string"), spark.createDataFrame(sorted(existing), "root string, name string"), folders, subtitles, block=16)
     rows = made.collect()
-    assert {r.ord: r.name for r in rows} == _names_in_order(videos, existing, folders, subtitles)
+    assert len(rows) == len(videos) and {r.ord: r.name for r in rows} == _names_in_order(videos, existing, folders, subtitles)
     r = rows[0]
     assert r.video_path == (f"{r.root}/{r.name}/{r.stem}{r.ext}" if folders else f"{r.root}/{r.name}{r.ext}")
     assert (r.subtitle_path is not None) == subtitles
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "A", "a (2)", "a (3)", "a (2) (2)", "a (02)", "a (1)"]), st.sampled_from([".mp4", ".MKV"])), max_size=25), st.sets(st.sampled_from(["a", "a.mp4", "A (2).srt", "a (2).MKV", "a (3)", "a (2) (2).srt"])), st.booleans(), st.booleans())
+def test_names_of_a_family_go_in_order(rows, exists, folders, subtitles):
+    names = K._Names(folders, subtitles)
+    names.exists = exists
+    want = _names_in_order([(k, "r", *r) for k, r in enumerate(rows)], {("r", e) for e in exists}, folders, subtitles)
+    assert [names.give(*r) for r in rows] == [want[k] for k in range(len(rows))]
+
+
+def test_numbers_by_blocks(spark):
+    rows = [(int(o), int(o) % 3) for o in np.random.default_rng(1).permutation(500)]
+    got = K.numbered(spark.createDataFrame(rows, "ord long, k long"), ["k"], "n", 7).collect()
+    assert len(got) == 500 and all(r.n == r.ord // 3 + 1 for r in got)
+
+
 def test_ass_styles_and_margins(spark):
     cues = spark.createDataFrame([(1, 1, 1, 0, 1_500_000, "one"), (1, 2, 2, 5, 5, "gone"), (1, 3, 3, 0, 9, "  ")], "video_id long, cue_id long, pos long, start_us long, end_us long, text string")
     videos = spark.createDataFrame([(1, None, None), (2, 1280, 720)], "video_id long, width int, height int")
