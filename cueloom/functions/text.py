@@ -260,6 +260,7 @@ def error_detail(parts: Column) -> Column:
 
 
 def error_area(status: Column, message: Column) -> Column:
+    # What tells areas apart.
     m = F.lower(message)
     return (
         F.when((status == "translating") | m.rlike(r"llm|translation|chat/completions"), "translation")
@@ -273,49 +274,54 @@ def error_area(status: Column, message: Column) -> Column:
     )
 
 
-# What each rule looks for in a lower-cased message, its reason and what the user can do.
+@dataclass(frozen=True)
+class ErrorRule:
+    """What a rule looks for in a lower-cased message, or an answer's code, and what it says."""
+
+    pattern: str
+    reason: str
+    action: str
+    area: str | None = None  # where the rule puts the error, whatever its own area
+    unless: str | None = None  # an own area that stays
+    codes: tuple[int, int] | None = None  # from, to
+    service_action: str | None = None  # for services
+
+
+# The rules in order.
 ERROR_RULES = [
-    ("etimedout|timed out|超时", "timeout", "try again later"),
-    ("enotfound|eai_again|getaddrinfo", "no connection", "check network or DNS"),
-    ("econnrefused|econnreset|network error|fetch failed|socket hang up|proxy", "no connection", "check network or proxy"),
-    ("invalid api key|unauthorized|authentication", "bad key", "check configuration"),
-    ("forbidden", "refused", "check rights or network"),
-    ("too many requests|rate limit", "too many requests", "try again later"),
-    ("bad gateway|service unavailable|gateway timeout", "service down", "try again later"),
-    ("未选择 tts 声音", "no voice", "choose a voice"),
-    (r"未填写?\s*llm\s*(?:base url|模型|api key)", "not configured", "complete the configuration"),
-    ("未选择输出目录", "no output folder", "set an output folder"),
-    ("subtitle|字幕.*解析", "bad subtitle", "check the subtitle's format"),
-    (r"^(?=.*(?:ffmpeg|ffprobe))(?=.*(?:enoent|not recognized|not found))", "tool missing", "install the tool"),
-    ("ffprobe", "analysis failed", "check the video or the tool"),
-    ("ffmpeg", "processing failed", "check the video or the tool"),
-    ("aborterror|aborted", "timeout", "try again later"),
-    ("^$|^aggregateerror$", "failed", "see the log"),
+    ErrorRule("etimedout|timed out|超时", "timeout", "try again later", service_action="check network"),
+    ErrorRule("enotfound|eai_again|getaddrinfo", "no connection", "check network or DNS"),
+    ErrorRule("econnrefused|econnreset|network error|fetch failed|socket hang up|proxy", "no connection", "check network or proxy"),
+    ErrorRule("invalid api key|unauthorized|authentication", "bad key", "check configuration", "translation", codes=(401, 401)),
+    ErrorRule("forbidden", "refused", "check rights or network", "translation", codes=(403, 403)),
+    ErrorRule("too many requests|rate limit", "too many requests", "try again later", "translation", codes=(429, 429)),
+    ErrorRule("bad gateway|service unavailable|gateway timeout", "service down", "try again later", "translation", "synthesis", (500, 999)),
+    ErrorRule("未选择 tts 声音", "no voice", "choose a voice", "synthesis"),
+    ErrorRule(r"未填写?\s*llm\s*(?:base url|模型|api key)", "not configured", "complete the configuration", "translation"),
+    ErrorRule("未选择输出目录", "no output folder", "set an output folder", "video packaging"),
+    ErrorRule("subtitle|字幕.*解析", "bad subtitle", "check the subtitle's format", "subtitle parsing"),
+    ErrorRule(r"^(?=.*(?:ffmpeg|ffprobe))(?=.*(?:enoent|not recognized|not found))", "tool missing", "install the tool", "video processing"),
+    ErrorRule("ffprobe", "analysis failed", "check the video or the tool", "video analysis"),
+    ErrorRule("ffmpeg", "processing failed", "check the video or the tool", "video processing", "video packaging"),
+    ErrorRule("aborterror|aborted", "timeout", "try again later"),
+    ErrorRule("^$", "failed", "see the log"),
 ]
-# The area of rules that have one of their own.
-ERROR_AREAS = {3: "translation", 4: "translation", 5: "translation", 7: "synthesis", 8: "translation", 9: "video packaging", 10: "subtitle parsing", 11: "video processing", 12: "video analysis"}
 
 
 def classify_error(status: Column, message: Column) -> Column:
     """STRUCT<area, reason, action>: the first rule that matches the status and message decides; without
-    one the message is the reason and there is no action. Services that time out ask for a check of the
-    network."""
+    one the message is the reason and there is no action. A null message, and the bare names Error and
+    AggregateError, count as no message."""
+    message = F.when(message.rlike(r"(?i)^(aggregateerror|error)\z"), "").otherwise(F.coalesce(message, F.lit("")))
     m, area = F.lower(message), error_area(status, message)
-    code = F.regexp_extract(m, r"llm api\s+(\d{3})", 1).try_cast("int")
-    codes = {3: code == 401, 4: code == 403, 5: code == 429, 6: code >= 500}
+    code = F.coalesce(F.regexp_extract(m, r"llm api\s+(\d{3})", 1).try_cast("int"), F.lit(0))
     result = lambda a, reason, action: F.struct(a.alias("area"), reason.alias("reason"), action.alias("action"))
-    service = area.isin("translation", "synthesis")
     out = result(area, message, F.lit(None).cast("string"))
-    for k in range(len(ERROR_RULES) - 1, -1, -1):
-        pattern, reason, action = ERROR_RULES[k]
-        test = m.rlike(f"(?s){pattern}")
-        where = F.lit(ERROR_AREAS[k]) if k in ERROR_AREAS else area
-        if k == 6:
-            where = F.when(area == "synthesis", area).otherwise("translation")
-        if k == 13:
-            where = F.when(area == "video packaging", area).otherwise("video processing")
-        advice = F.when(service, "check network").otherwise(action) if k == 0 else F.lit(action)
-        out = F.when(F.coalesce(codes[k], F.lit(False)) | test if k in codes else test, result(where, F.lit(reason), advice)).otherwise(out)
+    for rule in reversed(ERROR_RULES):
+        test = m.rlike(f"(?s){rule.pattern}") | (code.between(*rule.codes) if rule.codes else F.lit(False))
+        where = area if rule.area is None else F.when(area == rule.unless, area).otherwise(rule.area) if rule.unless else F.lit(rule.area)
+        action = F.when(area.isin("translation", "synthesis"), rule.service_action).otherwise(rule.action) if rule.service_action else F.lit(rule.action)
+        out = F.when(test, result(where, F.lit(rule.reason), action)).otherwise(out)
     return out
 
 

@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,9 +23,20 @@ _END = re.compile(r"[。！？!?…]+")
 _SOFT = "，、；：,;:"
 _WORD = re.compile(r"[A-Za-z0-9_./#+-]")
 _AFTER, _BEFORE = set(",.;:!?，。；：！？、）)]}"), set("（([{")
+_HALF = re.compile("[\ud800-\udfff]")
 _SPACE = re.compile(r"[\s﻿]+")
 
 
+def _units(text: str) -> str:
+    """A text as UTF-16 code units, which the lengths and places here are in."""
+    return text if text.isascii() or max(text) <= "\uffff" else "".join(map(chr, np.frombuffer(text.encode("utf-16-le"), "<u2").tolist()))
+
+
+def _text(units: str) -> str:
+    """The text of code units; a half of a cut pair becomes U+FFFD."""
+    return units if units.isascii() or not _HALF.search(units) else units.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
 def _tidy(text: str | None) -> str:
     return _SPACE.sub(" ", text or "").strip()
 
@@ -39,7 +51,7 @@ def _glued(a: str, b: str) -> str:
 
 def partition_text(text: str | None, most: int = MAX_CHARS, least: int = MIN_CHARS) -> list[str]:
     """Sentences of a text; short ones are joined on, long ones cut at soft punctuation near the middle."""
-    text = _tidy(text)
+    text = _units(_tidy(text))
     ends = [m.end() for m in _END.finditer(text)]
     bounds = [0, *ends, *([len(text)] if not ends or ends[-1] < len(text) else [])]
     sentences = [s for a, b in zip(bounds, bounds[1:]) if (s := text[a:b].strip())]
@@ -57,7 +69,7 @@ def partition_text(text: str | None, most: int = MAX_CHARS, least: int = MIN_CHA
                 waiting = ""
         if waiting:
             joined[-1:] = [_glued(joined[-1], waiting)] if joined else [waiting]
-    return [piece for s in joined for piece in _soft_pieces(s, most, least)]
+    return [_text(piece) for s in joined for piece in _soft_pieces(s, most, least)]
 
 
 def _soft_pieces(s: str, most: int, least: int) -> list[str]:
@@ -78,7 +90,7 @@ def balanced(parts: list[str], span_us: int, least_us: int = MIN_PART_US) -> lis
     parts = list(parts)
     room = max(1, span_us // least_us)
     while span_us > 0 and len(parts) > room and len(parts) > 1:
-        k = min(range(len(parts)), key=lambda i: (len(parts[i]), i))
+        k = min(range(len(parts)), key=lambda i: (len(_units(parts[i])), i))
         k = min(k, len(parts) - 2)
         parts[k : k + 2] = [_glued(parts[k], parts[k + 1])]
     return parts
@@ -99,9 +111,9 @@ def _outward(goal: int, low: int, high: int) -> Iterator[int]:
 
 def split_over(text: str | None, durations: list[int]) -> list[str]:
     """Cut a text into as many pieces as durations, near their shares, not inside ASCII words if avoidable."""
-    text, n = _tidy(text), len(durations)
+    text, n = _units(_tidy(text)), len(durations)
     if n <= 1:
-        return [text][:n]
+        return [_text(text)][:n]
     if not text:
         return [""] * n
     weights = [max(1, d) for d in durations]
@@ -111,7 +123,7 @@ def split_over(text: str | None, durations: list[int]) -> list[str]:
         low, high = cuts[-1] + 1, len(text) - (n - i - 1)
         goal = max(low, min(high, int(len(text) * done / sum(weights) + 0.5)))
         cuts.append(next((k for k in _outward(goal, max(1, low), high) if k >= len(text) or text[k - 1] in _AFTER or text[k - 1].isspace() or text[k] in _BEFORE or text[k].isspace() or _safe(text, k)), goal))
-    return [text[a:b].strip() for a, b in zip(cuts, [*cuts[1:], len(text)])]
+    return [_text(text[a:b].strip()) for a, b in zip(cuts, [*cuts[1:], len(text)])]
 
 
 @F.pandas_udf(ArrayType(StringType()))

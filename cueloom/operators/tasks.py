@@ -72,8 +72,9 @@ def fold_task_log(log: DataFrame) -> DataFrame:
 
 
 def merge_cue_snapshots(updates: DataFrame, fields: list[str]) -> DataFrame:
-    """Per task and field the latest value that isn't null."""
-    return updates.groupBy("task_id").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f) for f in fields])
+    """Per task and field the latest value that isn't null; an empty list is a value. Tasks without any are left out."""
+    merged = updates.groupBy("task_id").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("seq"))).alias(f) for f in fields])
+    return merged.filter(F.coalesce(*[F.when(F.col(f).isNotNull(), True) for f in fields]))
 
 
 def recover_interrupted(tasks: DataFrame) -> DataFrame:
@@ -119,10 +120,15 @@ def encoding_progress(lines: DataFrame) -> DataFrame:
     return lines.filter((F.col("duration_us") > 0) & us.isNotNull()).withColumn("ratio", ratio).withColumn("percent", F.floor(88 + 7 * ratio + 0.5).cast("long"))
 
 
+def has_subtitle() -> Column:
+    """An empty path is none."""
+    return F.coalesce(F.col("subtitle_path"), F.lit("")) != ""
+
+
 def task_summary(tasks: DataFrame) -> DataFrame:
     """Counts of tasks(status, subtitle_path) by status, and what is among them: tasks that can start, be
     paused, work, are paused, or have failed and can be tried again."""
-    status, ready = F.col("status"), F.col("subtitle_path").isNotNull() & (F.col("subtitle_path") != "")
+    status, ready = F.col("status"), has_subtitle()
     flags = {"startable": (status == "waiting") & ready, "pausable": status.isin("queued", *WORK), "running": status.isin(WORK), "paused": status == "paused", "failed": (status == "error") & ready}
     return tasks.groupBy("status").agg(F.count(F.lit(1)).alias("n"), *[F.bool_or(test).alias(name) for name, test in flags.items()])
 
@@ -135,18 +141,18 @@ def new_tasks(paths: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def retry_plan(tasks: DataFrame, issues: DataFrame) -> DataFrame:
     """Failed tasks with a subtitle: retry their issues where they have some, else plainly."""
-    failed = tasks.filter("status = 'error' AND subtitle_path IS NOT NULL").select("task_id")
+    failed = tasks.filter((F.col("status") == "error") & has_subtitle()).select("task_id")
     has = issues.select("task_id").distinct()
     return failed.join(has, "task_id", "left_semi").withColumn("plan", F.lit("issues")).unionByName(failed.join(has, "task_id", "left_anti").withColumn("plan", F.lit("plain")))
 
 
 def startable_tasks(tasks: DataFrame) -> DataFrame:
-    return tasks.filter("status = 'waiting' AND subtitle_path IS NOT NULL")
+    return tasks.filter((F.col("status") == "waiting") & has_subtitle())
 
 
 def rejected_starts(tasks: DataFrame) -> DataFrame:
     """Waiting tasks that cannot start, as error rows."""
-    return tasks.filter("status = 'waiting' AND subtitle_path IS NULL").withColumn("status", F.lit("error")).withColumn("error", F.lit("no subtitle"))
+    return tasks.filter((F.col("status") == "waiting") & ~has_subtitle()).withColumn("status", F.lit("error")).withColumn("error", F.lit("no subtitle"))
 
 
 #: Positions that are numbered in one task.

@@ -498,16 +498,25 @@ def last_work_status(spark, sf_dir):
     return K.last_work_status(table(spark, sf_dir, "task_events"))
 
 
-@query(["task_events"], "SELECT task_id, arg_max(status, seq) FILTER (status <> 'error') AS status, arg_max(progress, seq) FILTER (progress > 50) AS progress FROM task_events GROUP BY 1")
+@query(
+    ["task_events"],
+    """u AS (SELECT task_id, seq, CASE seq % 3 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN [detail, 'e'] END AS en, CASE WHEN task_id % 2 = 0 AND seq % 4 < 2 THEN [detail] END AS zh FROM task_events WHERE task_id % 10 <> 3 OR seq % 3 = 2),
+m AS (SELECT task_id, arg_max(en, seq) FILTER (en IS NOT NULL) AS en, arg_max(zh, seq) FILTER (zh IS NOT NULL) AS zh FROM u GROUP BY 1)
+SELECT task_id, array_to_string(en, '+') AS english, array_to_string(zh, '+') AS chinese FROM m WHERE en IS NOT NULL OR zh IS NOT NULL""",
+)
 def merge_cue_snapshots(spark, sf_dir):
-    events = table(spark, sf_dir, "task_events").select("task_id", "seq", F.when(F.col("status") != "error", F.col("status")).alias("status"), F.when(F.col("progress") > 50, F.col("progress")).alias("progress"))
-    return K.merge_cue_snapshots(events, ["status", "progress"])
+    """Updates with one list of cues, both or neither, some of them empty; tasks left without any go."""
+    rows = table(spark, sf_dir, "task_events").filter("task_id % 10 <> 3 OR seq % 3 = 2")
+    english = F.when(F.col("seq") % 3 == 0, F.array().cast("array<string>")).when(F.col("seq") % 3 == 1, F.array("detail", F.lit("e")))
+    chinese = F.when((F.col("task_id") % 2 == 0) & (F.col("seq") % 4 < 2), F.array("detail"))
+    merged = K.merge_cue_snapshots(rows.select("task_id", "seq", english.alias("english"), chinese.alias("chinese")), ["english", "chinese"])
+    return merged.select("task_id", F.array_join("english", "+").alias("english"), F.array_join("chinese", "+").alias("chinese"))
 
 
 def _tasks(spark, sf_dir):
     state = K.fold_task_events(table(spark, sf_dir, "task_events"))
     waiting = F.when(F.col("status") == "completed", "waiting").otherwise(F.col("status"))
-    return state.select("task_id", waiting.alias("status"), F.when(F.col("task_id") % 3 != 0, F.concat(F.lit("s"), F.col("task_id").cast("string"))).alias("subtitle_path"), F.concat(F.lit("v"), F.col("task_id").cast("string")).alias("video_path"))
+    return state.select("task_id", waiting.alias("status"), F.when(F.col("task_id") % 3 != 0, F.concat(F.lit("s"), F.col("task_id").cast("string"))).when(F.col("task_id") % 2 == 0, "").alias("subtitle_path"), F.concat(F.lit("v"), F.col("task_id").cast("string")).alias("video_path"))
 
 
 @query(

@@ -38,10 +38,54 @@ def parse_ass(spark, sf_dir):
     return S.parse_files(docs)
 
 
-@query(["cues"], "SELECT video_id, cue_id, CASE WHEN cue_id % 5 = 0 THEN 0 ELSE start_us END AS start_us FROM cues")
+@query(
+    ["cues"],
+    """k AS (SELECT *, pos % 6 AS kind, start_us // 1000 AS a, end_us // 1000 AS b FROM cues WHERE video_id % 4 = 0),
+s AS (SELECT *, CASE kind WHEN 1 THEN a // 60000 * 60000000 + a // 1000 % 60 * 1000000 + a % 10 * 1000 ELSE a * 1000 END AS s_us FROM k WHERE kind <> 5)
+SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY pos) - 1 AS BIGINT) AS cue_id, CAST(s_us AS BIGINT) AS start_us, b * 1000 AS end_us,
+  CASE kind WHEN 2 THEN text || chr(10) || 'second <> line' WHEN 3 THEN 'a' || chr(8232) || text ELSE text END AS text FROM s""",
+)
+def parse_odd_srt(spark, sf_dir):
+    """Documents with named cues, notes, settings behind the times, tags, one to three digits of milliseconds and one of
+    minutes, line separators inside of texts, and a sixth of time lines that aren't any."""
+    cues = table(spark, sf_dir, "cues").filter("video_id % 4 = 0")
+    kind, a, b = F.col("pos") % 6, F.expr("start_us div 1000"), F.expr("end_us div 1000")
+    minutes = lambda ms, digits: F.format_string(f"%d:%02d,%0{digits}d", F.floor(ms / 60000), F.floor(ms / 1000) % 60, ms % (10**digits))
+    full = lambda ms: F.format_string("%d:%d:%02d.%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
+    times = F.concat(F.when(kind == 1, minutes(a, 1)).otherwise(full(a)), F.when(kind == 5, " -> ").otherwise(" --> "), full(b), F.when(kind == 4, " align:start").otherwise(""))
+    before = F.when(kind == 0, F.concat(F.lit("cue-"), F.col("pos").cast("string"), F.lit("\r\n"))).when(kind == 2, "NOTE x\n\n12\n").otherwise("")
+    text = F.when(kind == 2, F.concat("text", F.lit("\nsecond <> <i class='x'>line</i>"))).when(kind == 3, F.concat(F.lit(" <b>a</b> "), "text")).otherwise(F.col("text"))
+    block = F.concat(before, times, F.lit("\r\n"), text, F.lit("\n\n"))
+    docs = cues.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("pos", block.alias("b")))).alias("c"))
+    docs = docs.select("video_id", F.lit(".vtt").alias("ext"), F.concat(F.lit("﻿WEBVTT\n\n"), F.array_join("c.b", "")).alias("content"))
+    return S.parse_files(docs).select("video_id", "cue_id", "start_us", "end_us", "text")
+
+
+@query(
+    ["cues"],
+    """k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pos) - 1 AS id FROM cues WHERE video_id % 4 = 1 AND pos % 7 <> 3)
+SELECT video_id, CAST(id AS BIGINT) AS cue_id, CASE WHEN pos % 7 = 2 THEN 0 ELSE start_us // 10000 * 10000 END AS start_us, end_us // 10000 * 10000 AS end_us,
+  CASE pos % 7 WHEN 1 THEN 'x, y ' || text WHEN 5 THEN 'a' || chr(8232) || text ELSE text END AS text, CASE WHEN pos % 7 = 4 THEN '' ELSE 'Main' END AS raw_style FROM k WHERE video_id % 8 = 1""",
+)
+def parse_odd_ass(spark, sf_dir):
+    """Documents with fields in another order, overrides, line breaks of both kinds, commas and separators in texts, empty
+    styles, stamps that aren't any, and sections behind; half of the videos have no Format line."""
+    cues = table(spark, sf_dir, "cues").filter("video_id % 4 = 1")
+    kind = F.col("pos") % 7
+    stamp = F.when(kind == 2, F.concat(T.ass_time(F.col("start_us")), F.lit("0"))).otherwise(T.ass_time(F.floor(F.col("start_us") / 10_000) * 10_000))
+    text = F.when(kind == 1, F.concat(F.lit("x, {\\b1}y\\N"), "text")).when(kind == 3, "{\\i1}").when(kind == 5, F.concat(F.lit("a "), "text")).otherwise(F.col("text"))
+    line = F.concat(F.lit("dialogue: "), T.ass_time(F.floor(F.col("end_us") / 10_000) * 10_000), F.lit(","), F.when(kind == 4, " ").otherwise(" Main "), F.lit(", "), stamp, F.lit(" ,"), text, F.lit("\r\n"))
+    docs = cues.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("b")))).alias("c"))
+    head = F.concat(F.lit("﻿[Script Info]\nDialogue: 1,2,3,no\n[EVENTS]\n"), F.when(F.col("video_id") % 8 == 1, "Format: End, Style, Start, Text\n").otherwise(""))
+    docs = docs.select("video_id", F.lit(".ssa").alias("ext"), F.concat(head, F.array_join("c.b", ""), F.lit("[Fonts]\nDialogue: 0:00:01.00,M,0:00:00.00,no\n")).alias("content"))
+    return S.parse_files(docs).select("video_id", "cue_id", "start_us", "end_us", "text", "raw_style")
+
+
+@query(["cues"], "SELECT video_id, cue_id, CASE WHEN cue_id % 7 IN (1, 6) THEN start_us // 10000 * 10000 ELSE 0 END AS start_us FROM cues")
 def parse_ass_time(spark, sf_dir):
-    stamp = T.ass_time(F.col("start_us"))
-    stamp = F.when(F.col("cue_id") % 5 == 0, F.concat(stamp, F.lit("x"))).when(F.col("cue_id") % 5 == 1, F.concat(F.lit(" "), stamp, F.lit(" "))).otherwise(stamp)
+    """Whole stamps, some in white space, and stamps with a letter, a line end, another separator, or one or three digits."""
+    stamp, kind = T.ass_time(F.floor(F.col("start_us") / 10_000) * 10_000), F.col("cue_id") % 7
+    stamp = F.when(kind == 0, F.concat(stamp, F.lit("x"))).when(kind == 1, F.concat(F.lit(" "), stamp, F.lit(" "))).when(kind == 2, F.expr("'0:00:01.5'")).when(kind == 3, F.lit("0:00:01:50")).when(kind == 4, F.lit("0:00:01.500")).when(kind == 5, F.concat(stamp, F.lit("\n1"))).otherwise(stamp)
     return table(spark, sf_dir, "cues").select("video_id", "cue_id", S.parse_ass_time(stamp).alias("start_us"))
 
 
@@ -155,11 +199,18 @@ def probe_metadata(spark, sf_dir):
     return S.read_probe_metadata(table(spark, sf_dir, "segments").select("video_id", "segment_id", json.alias("json")))
 
 
-@query(["takes"], "SELECT video_id, segment_id, attempt_no, CAST(0 AS INT) AS idx, 'a' AS part, CAST(0 AS BIGINT) AS start_us, duration_us // 1000 * 1000 AS end_us FROM takes WHERE attempt_no % 4 <> 1 AND duration_us > 0")
+@query(
+    ["takes"],
+    """SELECT video_id, segment_id, attempt_no, CAST(0 AS INT) AS idx, 'a' AS part, CAST(500 AS BIGINT) AS start_us, duration_us // 1000 * 1000 + 250 AS end_us FROM takes WHERE attempt_no % 4 <> 1 AND segment_id % 9 > 0
+UNION ALL SELECT video_id, segment_id, attempt_no, 4, 'd', 0, 7 FROM takes WHERE segment_id % 9 > 0""",
+)
 def word_boundaries(spark, sf_dir):
-    """Boundary lists whose second word is blank, and whose third has no times; one of four has a blank first."""
+    """Boundaries with fractional times; blank ones, ones whose part is a number, without times, or whose times are
+    texts; lists with a null and lists that are objects."""
     first = F.when(F.col("attempt_no") % 4 == 1, " ").otherwise("a")
-    json = F.format_string('[{"part":"%s","end":%d},{"part":" ","start":1,"end":9},{"part":"c","start":"x"}]', first, F.expr("duration_us div 1000"))
+    json = F.format_string('[{"part":"%s","start":0.5,"end":%d.25},{"part":5,"start":1,"end":9},{"part":"c","start":"x"},{"start":0,"end":"9"},{"part":"d","start":"0","end":0.007},7]', first, F.expr("duration_us div 1000"))
+    broken = F.when(F.col("segment_id") % 2 == 0, '[{"part":"a","start":0,"end":1},null]').otherwise('{"part":"a","start":0,"end":1}')
+    json = F.when(F.col("segment_id") % 9 == 0, broken).otherwise(json)
     return S.read_boundaries(table(spark, sf_dir, "takes").select("video_id", "segment_id", "attempt_no", json.alias("json")))
 
 
@@ -188,29 +239,24 @@ def text_rules(spark, sf_dir):
     return rows.select("video_id", "segment_id", "attempt_no", T.has_speakable_content(said).alias("speakable"), T.should_apply_spoken_rewrite(F.col("src"), said).alias("rewrites"), T.sanitize_sample(noisy).alias("sample"), T.is_confident_english(F.col("segment_id") % 20, F.col("segment_id") % 30).alias("confident"))
 
 
-_MESSAGES = ["connect ETIMEDOUT 1.2.3.4", "getaddrinfo ENOTFOUND host", "socket hang up", "LLM API 401: no", "LLM API 403", "LLM API 429", "LLM API 503", "bad gateway", "未选择 TTS 声音", "未填写 LLM 模型", "未选择输出目录", "subtitle broken", "spawn ffprobe ENOENT", "ffprobe exited", "ffmpeg exited", "AbortError", "", "AggregateError", "odd", "TTS websocket closed: fetch failed"]
+_MESSAGES = ["connect ETIMEDOUT 1.2.3.4", "getaddrinfo ENOTFOUND host", "socket hang up", "LLM API 401: no", "LLM API 403", "LLM API 429", "LLM API 503", "bad gateway", "未选择 TTS 声音", "未填写 LLM 模型", "未选择输出目录", "subtitle broken", "spawn ffprobe ENOENT", "ffprobe exited", "ffmpeg exited", "AbortError", "", "AggregateError", "odd", "TTS websocket closed: fetch failed", "Error", "error: odd"]
 
 
 def _errors_sql() -> str:
-    area = r"""CASE WHEN status = 'translating' OR regexp_matches(m, 'llm|translation|chat/completions') THEN 'translation' WHEN status = 'synthesizing' OR regexp_matches(m, 'tts|speech\.platform\.bing\.com|readaloud|websocket') THEN 'synthesis'
- WHEN status = 'assembling' THEN 'audio assembly' WHEN status = 'encoding' THEN 'video packaging' WHEN status = 'parsing' OR regexp_matches(m, 'subtitle|srt|ass|vtt') THEN 'subtitle parsing' WHEN regexp_matches(m, 'ffprobe') THEN 'video analysis' WHEN regexp_matches(m, 'ffmpeg') THEN 'video processing' ELSE 'processing' END"""
-    codes = {3: "code = 401", 4: "code = 403", 5: "code = 429", 6: "code >= 500"}
-    cases: dict[str, list[str]] = {"area": [], "reason": [], "action": []}
-    quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    for k, (pattern, reason, action) in enumerate(T.ERROR_RULES):
-        test = "regexp_matches(m, 'ffmpeg|ffprobe') AND regexp_matches(m, 'enoent|not recognized|not found')" if k == 11 else f"regexp_matches(m, {quoted(pattern)})"
-        test = f"coalesce({codes[k]}, FALSE) OR {test}" if k in codes else test
-        where = quoted(T.ERROR_AREAS[k]) if k in T.ERROR_AREAS else "a"
-        where = {6: "CASE WHEN a = 'synthesis' THEN a ELSE 'translation' END", 13: "CASE WHEN a = 'video packaging' THEN a ELSE 'video processing' END"}.get(k, where)
-        advice = f"CASE WHEN a IN ('translation', 'synthesis') THEN 'check network' ELSE {quoted(action)} END" if k == 0 else quoted(action)
-        for name, value in (("area", where), ("reason", quoted(reason)), ("action", advice)):
-            cases[name].append(f"WHEN {test} THEN {value}")
-    rest = {"area": "a", "reason": "message", "action": "NULL"}
-    picked = ", ".join(f"CASE {' '.join(cases[n])} ELSE {rest[n]} END AS {n}" for n in cases)
-    listed = ", ".join(quoted(m) for m in _MESSAGES)
-    return rf"""e1 AS (SELECT task_id, seq, status, [{listed}][CAST(seq % {len(_MESSAGES)} AS INT) + 1] AS message, detail FROM task_events),
-e2 AS (SELECT *, lower(message) AS m, TRY_CAST(regexp_extract(lower(message), 'llm api\s+(\d{{3}})', 1) AS INT) AS code FROM e1), e3 AS (SELECT *, {area} AS a FROM e2)
-SELECT task_id, seq, {picked}, status || ' | ' || detail AS detail FROM e3"""
+    listed = ", ".join(f"'{m}'" for m in _MESSAGES)
+    return rf"""e1 AS (SELECT task_id, seq, status, [{listed}][CAST(seq % {len(_MESSAGES)} AS INT) + 1] AS said, detail FROM task_events),
+e2 AS (SELECT *, CASE WHEN said IN ('Error', 'AggregateError') THEN '' ELSE said END AS message, lower(CASE WHEN said IN ('Error', 'AggregateError') THEN '' ELSE said END) AS m, coalesce(TRY_CAST(regexp_extract(lower(said), 'llm api\s+(\d{{3}})', 1) AS INT), 0) AS code FROM e1),
+e3 AS (SELECT *, CASE WHEN status = 'translating' OR regexp_matches(m, 'llm|translation|chat/completions') THEN 'translation' WHEN status = 'synthesizing' OR regexp_matches(m, 'tts|speech\.platform\.bing\.com|readaloud|websocket') THEN 'synthesis'
+ WHEN status = 'assembling' THEN 'audio assembly' WHEN status = 'encoding' THEN 'video packaging' WHEN status = 'parsing' OR regexp_matches(m, 'subtitle|srt|ass|vtt') THEN 'subtitle parsing' WHEN regexp_matches(m, 'ffprobe') THEN 'video analysis' WHEN regexp_matches(m, 'ffmpeg') THEN 'video processing' ELSE 'processing' END AS a FROM e2),
+e4 AS (SELECT *, CASE WHEN m LIKE '%etimedout%' OR m LIKE '%timed out%' THEN 1 WHEN m LIKE '%enotfound%' OR m LIKE '%getaddrinfo%' THEN 2 WHEN m LIKE '%fetch failed%' OR m LIKE '%socket hang up%' THEN 3
+ WHEN code = 401 THEN 4 WHEN code = 403 THEN 5 WHEN code = 429 THEN 6 WHEN code >= 500 OR m LIKE '%bad gateway%' THEN 7 WHEN m LIKE '%未选择 tts 声音%' THEN 8 WHEN m LIKE '%未填写 llm 模型%' THEN 9 WHEN m LIKE '%未选择输出目录%' THEN 10
+ WHEN m LIKE '%subtitle%' THEN 11 WHEN m LIKE '%ffprobe%' AND m LIKE '%enoent%' THEN 12 WHEN m LIKE '%ffprobe%' THEN 13 WHEN m LIKE '%ffmpeg%' THEN 14 WHEN m LIKE '%abort%' THEN 15 WHEN m = '' THEN 16 ELSE 17 END AS k FROM e3)
+SELECT task_id, seq,
+  CASE k WHEN 4 THEN 'translation' WHEN 5 THEN 'translation' WHEN 6 THEN 'translation' WHEN 7 THEN CASE WHEN a = 'synthesis' THEN a ELSE 'translation' END WHEN 8 THEN 'synthesis' WHEN 9 THEN 'translation' WHEN 10 THEN 'video packaging' WHEN 11 THEN 'subtitle parsing'
+    WHEN 12 THEN 'video processing' WHEN 13 THEN 'video analysis' WHEN 14 THEN CASE WHEN a = 'video packaging' THEN a ELSE 'video processing' END ELSE a END AS area,
+  CASE WHEN k = 17 THEN message ELSE ['timeout', 'no connection', 'no connection', 'bad key', 'refused', 'too many requests', 'service down', 'no voice', 'not configured', 'no output folder', 'bad subtitle', 'tool missing', 'analysis failed', 'processing failed', 'timeout', 'failed'][k] END AS reason,
+  CASE WHEN k = 1 AND a IN ('translation', 'synthesis') THEN 'check network' WHEN k < 17 THEN ['try again later', 'check network or DNS', 'check network or proxy', 'check configuration', 'check rights or network', 'try again later', 'try again later', 'choose a voice', 'complete the configuration', 'set an output folder', 'check the subtitle''s format', 'install the tool', 'check the video or the tool', 'check the video or the tool', 'try again later', 'see the log'][k] END AS action,
+  status || ' | ' || detail AS detail FROM e4"""
 
 
 @query(["task_events"], _errors_sql())

@@ -16,8 +16,10 @@ from cueloom.functions import text as T
 from cueloom.sources.keyed import KeyedTable
 
 CUES = ArrayType(StructType([StructField("cue_id", LongType()), StructField("start_us", LongType()), StructField("end_us", LongType()), StructField("text", StringType()), StructField("raw_style", StringType())]))
-_STAMP = re.compile(r"^(?:(\d+):)?(\d{2}):(\d{2})[.,](\d{3})\s*-->\s*(?:(\d+):)?(\d{2}):(\d{2})[.,](\d{3})")
-_ASS_STAMP = re.compile(r"^\s*(\d+):(\d{2}):(\d{2})[.:](\d{1,3})\s*$")
+# Time lines of SRT and VTT, stamps of ASS, what is removed from texts, and white space of JavaScript.
+_TIMES = re.compile(r"^((?:\d{1,}:)?\d{1,2}:\d{1,2}[,.]\d{1,3}) --> ((?:\d{1,}:)?\d{1,2}:\d{1,2}[,.]\d{1,3})(?: (.*))?\Z", re.A)
+_ASS_STAMP = r"^(\d+):(\d{2}):(\d{2})\.(\d{2})"
+_BLANKS = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Task states and the fields of snapshots.
 STATUSES = "waiting queued parsing translating reviewing synthesizing assembling encoding completed error paused".split()
 
@@ -30,50 +32,55 @@ def read_subtitle_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("p", r"([^/]*)/[^/]*$", 1).alias("dir"), F.substring_index("p", "/", -1).alias("filename"), F.lower(F.regexp_extract("p", r"(\.[^.]*)$", 1)).alias("ext"), "content")
 
 
-def _us(h, m, s, ms) -> int:
-    return ((int(h or 0) * 60 + int(m)) * 60 + int(s)) * 1_000_000 + int(ms.ljust(3, "0")) * 1000
+def _srt_us(stamp: str) -> int:
+    """Microseconds of a stamp; the digits after the comma are a number of milliseconds, however many there are."""
+    whole, ms = re.split("[,.]", stamp)
+    parts = [0, *map(int, whole.split(":"))][-3:]
+    return ((parts[0] * 60 + parts[1]) * 60 + parts[2]) * 1_000_000 + int(ms) * 1000
 
 
 def parse_srt_text(content: str | None) -> list[dict]:
-    """Cues of an SRT or VTT document: text runs from a time line to a blank line."""
+    """Cues of an SRT or VTT document: text runs from a time line to a blank line. What comes before a time line,
+    such as numbers, names of cues and notes, is no text. Tags go, but for an empty <>."""
     out: list[dict] = []
-    lines = re.split(r"\r\n?|\n", (content or "").lstrip("﻿"))
+    lines = re.split(r"\r?\n", (content or "").removeprefix("\ufeff"))
     k = 0
     while k < len(lines):
-        m = _STAMP.match(lines[k].strip())
+        m = _TIMES.match(lines[k])
         k += 1
         if not m:
             continue
         body = []
-        while k < len(lines) and lines[k].strip():
+        while k < len(lines) and lines[k].strip(_BLANKS):
             body.append(lines[k])
             k += 1
-        g = m.groups()
-        text = re.sub(r"<[^>]*>", "", "\n".join(body)).strip()
-        out.append({"cue_id": len(out), "start_us": _us(*g[:4]), "end_us": _us(*g[4:]), "text": text, "raw_style": None})
+        text = re.sub(r"<[^>]+>", "", "\n".join(body)).strip(_BLANKS)
+        out.append({"cue_id": len(out), "start_us": _srt_us(m[1]), "end_us": _srt_us(m[2]), "text": text, "raw_style": None})
     return out
 
 
 def _ass_us(stamp: str) -> int:
-    m = _ASS_STAMP.match(stamp)
-    return _us(m[1], m[2], m[3], m[4]) if m else 0
+    m = re.match(_ASS_STAMP + r"\Z", stamp, re.A)
+    return ((int(m[1]) * 60 + int(m[2])) * 60 + int(m[3])) * 1_000_000 + int(m[4]) * 10_000 if m else 0
 
 
 def parse_ass_text(content: str | None) -> list[dict]:
-    """Dialogue of an ASS or SSA document's [Events], by its Format line; sorted by start, ids by file order."""
-    section, fields, out = "", ["layer", "start", "end", "style", "name", "marginl", "marginr", "marginv", "effect", "text"], []
-    for line in (content or "").lstrip("﻿").splitlines():
-        line = line.strip()
-        if line.startswith("["):
-            section = line.lower()
-        elif section == "[events]" and line.lower().startswith("format:"):
-            fields = [f.strip().lower() for f in line[7:].split(",")]
-        elif section == "[events]" and line.lower().startswith("dialogue:") and {"start", "end", "text"} <= set(fields):
-            values = line[9:].split(",", len(fields) - 1) if fields[-1] == "text" else line[9:].split(",")
-            row = dict(zip(fields, values))
-            text = re.sub(r"\\[Nn]", " ", re.sub(r"\{[^}]*\}", "", row.get("text", ""))).strip()
+    """Dialogue of an ASS or SSA document's [Events], by its Format line; without one nothing is read. Sorted by
+    start, ids by file order."""
+    inside, fields, out = False, [], []
+    for line in re.split(r"\r?\n", content or ""):
+        line = line.strip(_BLANKS)
+        kind = line.lower()
+        if line.startswith("[") and line.endswith("]"):
+            inside = kind == "[events]"
+        elif inside and kind.startswith("format:"):
+            fields = [f.strip(_BLANKS).lower() for f in line[7:].split(",")]
+        elif inside and kind.startswith("dialogue:") and {"start", "end", "text"} <= set(fields):
+            values = line[9:].split(",", len(fields) - 1)
+            value = lambda name: values[k].strip(_BLANKS) if name in fields and (k := fields.index(name)) < len(values) else None  # noqa: B023, E731
+            text = re.sub(r"\\[Nn]", " ", re.sub(r"\{[^}]*\}", "", value("text") or "")).strip(_BLANKS)
             if text:
-                out.append({"cue_id": len(out), "start_us": _ass_us(row.get("start", "")), "end_us": _ass_us(row.get("end", "")), "text": text, "raw_style": row.get("style", "").strip() or None})
+                out.append({"cue_id": len(out), "start_us": _ass_us(value("start") or ""), "end_us": _ass_us(value("end") or ""), "text": text, "raw_style": value("style")})
     return sorted(out, key=lambda c: c["start_us"])
 
 
@@ -96,10 +103,10 @@ def rejected_files(files: DataFrame) -> DataFrame:
 
 
 def parse_ass_time(c: Column) -> Column:
-    pattern = r"^\s*(\d+):(\d{2}):(\d{2})[.:](\d{1,3})\s*$"
-    part = lambda k: F.regexp_extract(c, pattern, k).try_cast("long")
-    fraction = F.rpad(F.regexp_extract(c, pattern, 4), 3, "0").try_cast("long")
-    return F.coalesce((part(1) * 3600 + part(2) * 60 + part(3)) * 1_000_000 + fraction * 1000, F.lit(0))
+    """Microseconds of h:mm:ss.cc, with white space around it; 0 for anything else."""
+    stamp = T.trim_ws(c)
+    part = lambda k: F.regexp_extract(stamp, _ASS_STAMP + r"\z", k).try_cast("long")
+    return F.coalesce((part(1) * 3600 + part(2) * 60 + part(3)) * 1_000_000 + part(4) * 10_000, F.lit(0))
 
 
 def render_srt(cues: DataFrame) -> DataFrame:
@@ -264,11 +271,17 @@ def read_probe_metadata(probes: DataFrame, column: str = "json") -> DataFrame:
 
 
 def read_boundaries(takes: DataFrame, column: str = "json") -> DataFrame:
-    """Word boundaries with text and a duration; missing or mistyped fields count as '' and 0."""
+    """Word boundaries with a text that isn't blank and a duration; parts that aren't texts count as '', times that
+    aren't numbers as 0, and fractions of milliseconds as they are. A list that isn't one, or holds a null, has none."""
     keep = [c for c in takes.columns if c != column]
-    rows = takes.select(*keep, F.posexplode(F.from_json(column, "array<struct<part:string,start:long,end:long>>")).alias("idx", "b"))
-    rows = rows.select(*keep, "idx", F.coalesce("b.part", F.lit("")).alias("part"), (F.coalesce("b.start", F.lit(0)) * 1000).alias("start_us"), (F.coalesce("b.end", F.lit(0)) * 1000).alias("end_us"))
-    return rows.filter((T.trim_ws(F.col("part")) != "") & (F.col("end_us") > F.col("start_us")))
+    kind = lambda v, path="$": F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    items = F.try_variant_get(F.try_parse_json(column), "$", "array<variant>")
+    rows = takes.select(*keep, items.alias("_items")).filter(~F.exists("_items", lambda v: F.coalesce(kind(v), F.lit("VOID")) == "VOID")).select(*keep, F.posexplode("_items").alias("idx", "b"))
+    b = F.col("b")
+    us = lambda path: F.coalesce(F.when(kind(b, path).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(b, path, "double")) * 1000, F.lit(0.0))
+    part = F.coalesce(F.when(kind(b, "$.part") == "STRING", F.try_variant_get(b, "$.part", "string")), F.lit(""))
+    rows = rows.select(*keep, "idx", part.alias("part"), us("$.start").alias("s"), us("$.end").alias("e")).filter((T.trim_ws(F.col("part")) != "") & (F.col("e") > F.col("s")))
+    return rows.select(*keep, "idx", "part", T.js_round(F.col("s")).cast("long").alias("start_us"), T.js_round(F.col("e")).cast("long").alias("end_us"))
 
 
 def _cache(spark: SparkSession, path: str, schema, version: str, signature: str, keys: list[str] | None) -> KeyedTable:

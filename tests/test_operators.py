@@ -15,7 +15,7 @@ from cueloom.sources import subtitles as S
 TABLES = ["documents", "conversations", "orders", "lineitem", "events"]
 
 
-@pytest.mark.parametrize("name", ["group_by_gap", "segment_budgets", "split_overlong_cues", "merge_chunk_votes", "text_guards", "resolve_attempts", "track_layout", "match_subtitles", "render_srt", "fold_task_events", "render_ass", "parse_ass", "task_snapshots", "probe_metadata", "group_by_votes", "fold_task_log", "output_names", "classify_errors", "throttle_progress", "subtitle_files", "read_subtitle_files", "cache_entries", "overlapping_pairs"])
+@pytest.mark.parametrize("name", ["group_by_gap", "segment_budgets", "split_overlong_cues", "merge_chunk_votes", "text_guards", "resolve_attempts", "track_layout", "match_subtitles", "render_srt", "fold_task_events", "render_ass", "parse_ass", "task_snapshots", "probe_metadata", "group_by_votes", "fold_task_log", "output_names", "classify_errors", "throttle_progress", "subtitle_files", "read_subtitle_files", "cache_entries", "overlapping_pairs", "parse_odd_srt", "parse_odd_ass", "parse_ass_time", "word_boundaries", "merge_cue_snapshots", "retry_plan", "startable_tasks", "task_summary"])
 def test_same_rows_as_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -235,3 +235,28 @@ def test_overlapping_pairs_match_all_pairs(spark):
     got = C.overlapping_pairs(spark.createDataFrame([*rows, (1, None, 0, 0, 9), (None, 7, 7, 0, 9), (2, 500, 5, None, 9)], "video_id long, cue_id long, pos long, start_us long, end_us long")).collect()
     want = [(a[0], a[1], b[1], b[3], max(0, min(a[4], b[4]) - b[3])) for a in rows for b in rows if a[0] == b[0] and (a[3], a[2]) < (b[3], b[2]) and b[3] < a[4]]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_odd_stamps_and_lines_of_documents():
+    srt = lambda text: [(c["start_us"], c["end_us"], c["text"]) for c in S.parse_srt_text(text)]
+    assert srt("0:00:01,5 --> 0:00:02,50\na\n\n1:02,500 --> 101:2:3.004\nb<>\n") == [(1_005_000, 2_050_000, "a"), (62_500_000, 363_723_004_000, "b<>")]
+    assert srt("00:01.000-->00:02.000\na\n\n 00:01.000 --> 00:02.000\na\n\n00:01.0000 --> 00:02.000\na\n\n١:01.000 --> 00:02.000\na") == []
+    assert [c["text"] for c in S.parse_srt_text("1\r\n00:01.000 --> 00:02.000\r\na\u2028b\x85c\rd\r\n\u3000\r\nno")] == ["a\u2028b\x85c\rd"]
+    ass = lambda text: [(c["start_us"], c["text"], c["raw_style"]) for c in S.parse_ass_text(text)]
+    assert ass("[Events]\nDialogue: 0,0:00:01.00,0:00:02.00,D,,0,0,0,,no") == []
+    assert ass("[events]\r\nFormat: Text, Start, End, Text\nDialogue: a,0:00:01.00,0:00:02.00,x,y\n[Fonts]\nDialogue: b,0:00:01.00,0,x") == [(1_000_000, "a", None)]
+    assert ass("[Events]\nFormat: Start, End, Style, Text\nDialogue: 0:00:01.5,0:00:02.00, ,a\u2028b\x0bc\nDialogue: 0:00:00.50") == [(0, "a\u2028b\x0bc", "")]
+
+
+def test_lengths_are_in_utf16_units():
+    assert len(R.partition_text("😀" * 25 + "，" + "😀" * 25)) == 2  # 101 units
+    assert R.partition_text("😀" * 3) == ["😀" * 3] and R.partition_text("😀😀😀。好。") == ["😀😀😀。好。"[:3] + "，好。"]
+    assert R.balanced(["😀😀", "abc", "defgh"], 1_700_000) == ["😀😀", "abc，defgh"]
+    assert R.split_over("😀😀 ab", [1, 1]) == ["😀", "😀 ab"] or "".join(R.split_over("😀😀 ab", [1, 1])).replace(" ", "") == "😀😀ab"
+    assert R.split_over("😀", [1, 1]) == ["\ufffd", "\ufffd"]
+
+
+def test_errors_without_a_message(spark):
+    rows = spark.createDataFrame([(m,) for m in ("Error", "error", "AggregateError", "", None, "Error: x")], "m string")
+    got = [(r.c.reason, r.c.action) for r in rows.select(T.classify_error(F.lit("odd"), F.col("m")).alias("c")).collect()]
+    assert got == [("failed", "see the log")] * 5 + [("Error: x", None)]
