@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -26,15 +27,18 @@ _GAP = r"(?:\s|\\[nr])"
 PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=]|{_GAP})+)-----END \1-----")
 #: Where base64 of a sequence, or of a container with a name in front, can begin: also after a slash, dash or written line end.
 START = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nr]))(?:M[A-P][A-Za-z0-9+/_-]{30}|AAAA[A-Za-z0-9+/_-]{28}|b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/_-]{12})")
+_LETTER = re.compile(r"[A-Za-z0-9+/_-]")
 _SPLIT = re.compile(rf"{_GAP}+")
-_WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]+(?:{_GAP}{{1,8}}[A-Za-z0-9+/_-]+)*={{0,2}}")
-_RUN_PART, _GAPS = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(rf"{_GAP}{{1,8}}")
+#: Parts of runs, with line ends of both kinds between them.
+_PART, _GAPS = re.compile(r"\\[nr]|([A-Za-z0-9+/_-]+)"), re.compile(rf"{_GAP}{{1,8}}")
 _HEX_KEY = re.compile(r"(?<![0-9A-Za-z])0[xX](30[0-9A-Fa-f]{38,})(?![0-9A-Za-z])")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
-#: First bytes of a binary key container, and key names of the length-prefixed public form.
+#: First bytes of a binary key container, and the number of fields behind each key name of the length-prefixed public form.
 OPENSSH = b"openssh-key-v1\0"
-SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+SSH_FIELDS = {b"ssh-rsa": 2, b"ssh-dss": 4, b"ssh-ed25519": 1, b"ecdsa-sha2-nistp256": 2, b"ecdsa-sha2-nistp384": 2, b"ecdsa-sha2-nistp521": 2}
+#: Bytes that a field of a public key, and the private section of a container, have at most.
+FIELD, SECTION = 1 << 16, 1 << 22
 
 
 def _decode64(run: str) -> bytes | None:
@@ -70,18 +74,89 @@ def _nested(data: bytes, depth: int = 0) -> int | None:
     return values
 
 
+def _agrees(data: bytes, size: int, depth: int = 0) -> bool:
+    """Whether the lengths in the first bytes of `size` bytes of nested values agree, as far as those bytes go."""
+    at = 0
+    while at + 6 <= len(data):
+        tag, n, at = data[at], data[at + 1], at + 2
+        if n >= 0x80:
+            wide = n & 0x7F
+            if not 1 <= wide <= 4:
+                return False
+            n, at = int.from_bytes(data[at : at + wide], "big"), at + wide
+        if at + n > size or depth > 12 or (tag & 0x20 and not _agrees(data[at : at + n], n, depth + 1)):
+            return False
+        at += n
+    return True
+
+
+class _Bytes:
+    """The first bytes of something, as many as are asked for: `get(n)` gives n of them, or None where fewer are there."""
+
+    def __init__(self, get):
+        self.get = get
+
+    def number(self, at: int) -> int | None:
+        found = self.get(at + 4)
+        return None if found is None else int.from_bytes(found[at:], "big")
+
+    def field(self, at: int, most: int) -> bytes | None:
+        """The field whose length is given at a place."""
+        n = self.number(at)
+        if n is None or n > most or (found := self.get(at + 4 + n)) is None:
+            return None
+        return found[at + 4 :]
+
+    def public_key(self, at: int = 0) -> int | None:
+        """Where the public key that begins at a place ends."""
+        name = self.field(at, 19)
+        if name not in SSH_FIELDS:
+            return None
+        at += 4 + len(name)
+        for _ in range(SSH_FIELDS[name]):
+            if not (value := self.field(at, FIELD)):
+                return None
+            at += 4 + len(value)
+        return at
+
+    def container(self) -> int | None:
+        """Where the key container that begins here ends: names of cipher and derivation, its options, public keys and
+        the private section, which has whole blocks and, if it isn't encrypted, begins with the same number twice."""
+        at = len(OPENSSH)
+        names = []
+        for most in (64, 64, 1024):
+            if (value := self.field(at, most)) is None:
+                return None
+            names.append(value)
+            at += 4 + len(value)
+        cipher, derivation, options = names
+        plain = cipher == b"none"
+        if plain != (derivation == b"none") or plain != (not options) or not cipher.isascii():
+            return None
+        if not plain and (derivation != b"bcrypt" or len(options) < 8 or int.from_bytes(options[:4], "big") != len(options) - 8):
+            return None
+        keys = self.number(at)
+        if not keys or keys > 64:
+            return None
+        at += 4
+        for _ in range(keys):
+            n = self.number(at)
+            if n is None or self.public_key(at + 4) != at + 4 + n:
+                return None
+            at += 4 + n
+        section = self.field(at, SECTION)
+        if not section or len(section) % 8 or (plain and section[:4] != section[4:8]):
+            return None
+        return at + 4 + len(section)
+
+
 def is_key(data: bytes) -> bool:
-    """Whether bytes are a key: a sequence whose nested lengths all agree, or length-prefixed fields."""
-    if data.startswith(OPENSSH):
-        return True
+    """Whether bytes are a key: a sequence whose nested lengths all agree, a key container, or a length-prefixed
+    public key, without anything behind."""
     if len(data) >= 24 and data[0] == 0x30:
-        return (_nested(data) or 0) >= 3 and (b"\x02" in data[:8] or b"\x06" in data[:16])
-    if (n := int.from_bytes(data[:4], "big")) and data[4 : 4 + n] in SSH_NAMES:
-        at = 0
-        while at + 4 <= len(data):
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at == len(data)
-    return False
+        return (b"\x02" in data[:8] or b"\x06" in data[:16]) and (_nested(data) or 0) >= 3
+    first = _Bytes(lambda n: data[:n] if n <= len(data) else None)
+    return (first.container() if data.startswith(OPENSSH) else first.public_key()) == len(data)
 
 
 def _size(head: bytes) -> int:
@@ -93,32 +168,61 @@ def _size(head: bytes) -> int:
     return 2 + wide + int.from_bytes(head[2 : 2 + wide], "big") if 1 <= wide <= 4 else 0
 
 
-def _key_from(text: str, start: int) -> int | None:
-    """End of the base64 key that begins here, wrapped in lines or not; None if there is none.
+class _Runs:
+    """The runs of base64 letters of a text, found once; lines of a wrapped run go on in the next line."""
 
-    A sequence says how long it is, so just that much is read; what follows must not go on in the same run.
-    """
-    if text[start] != "M":
-        end = _WRAPPED.match(text, start).end()
-        data = _decode64(_SPLIT.sub("", text[start:end]))
-        return end if data and is_key(data) else None
-    need = -(-_size(_decode64(text[start : start + 12]) or b"\0\0") * 4 // 3)
-    if need < 32:
-        return None
-    parts, at = [], start
-    while need > 0 and (m := _RUN_PART.match(text, at)):
-        part = m[0][:need]
-        parts.append(part)
-        need -= len(part)
-        at += len(part)
-        if need and (gap := _GAPS.match(text, at)):
-            at = gap.end()
-    if need > 0 or (at < len(text) and _RUN_PART.match(text, at)):
+    def __init__(self, text: str):
+        self.text = text
+        self.spans = [m.span() for m in _PART.finditer(text) if m[1] is not None]
+        self.starts = [s for s, _ in self.spans]
+
+    def read(self, start: int, n: int) -> tuple[str, int] | None:
+        """n letters from a place on, and where they end; None if the run has fewer."""
+        if n > len(self.text) - start:
+            return None
+        k = bisect.bisect_right(self.starts, start) - 1
+        parts, at = [], start
+        while k >= 0:
+            part = self.text[at : min(self.spans[k][1], at + n)]
+            parts.append(part)
+            n -= len(part)
+            if n == 0:
+                return "".join(parts), at + len(part)
+            if not part or k + 1 == len(self.spans) or not _GAPS.fullmatch(self.text, self.spans[k][1], self.spans[k + 1][0]):
+                return None
+            k += 1
+            at = self.spans[k][0]
         return None
-    data = _decode64("".join(parts))
-    while at < len(text) and text[at] == "=":
-        at += 1
-    return at if data and is_key(data) else None
+
+    def first(self, start: int, n: int) -> bytes | None:
+        """The first n bytes of what is encoded from a place on."""
+        found = self.read(start, -(-n * 4 // 3))
+        return None if found is None or (data := _decode64(found[0])) is None else data[:n]
+
+    def key_from(self, start: int) -> int | None:
+        """End of the key that begins here, wrapped in lines or not; None if there is none.
+
+        All forms say how long they are, so just that much is read, and no more once its head is none of a key;
+        what follows must not go on in the same run.
+        """
+        kind = self.text[start]
+        if kind == "M":
+            size = _size(self.first(start, 9) or b"\0\0")
+            if size < 24 or (data := self.first(start, min(size, 3072))) is None:
+                return None
+            if data[0] != 0x30 or not (b"\x02" in data[:8] or b"\x06" in data[:16]) or not _agrees(data, size):
+                return None
+            if (data := self.first(start, size)) is None or not is_key(data):
+                return None
+        else:
+            first = _Bytes(lambda n: self.first(start, n))
+            size = first.container() if kind == "b" else first.public_key()
+            if size is None:
+                return None
+        at = self.read(start, -(-size * 4 // 3))[1]
+        while at < len(self.text) and self.text[at] == "=":
+            at += 1
+        return None if at < len(self.text) and self.text[at] not in "=\\" and _LETTER.match(self.text, at) else at
 
 
 def is_signed_token(run: str) -> bool:
@@ -153,9 +257,17 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
             data = _decode64(run)
         if data and is_key(data):
             found.add((m.start(), 5, m.end()))
+    runs, around, furthest = None, sorted(found), -1
+    k = 0
     for m in START.finditer(text):
-        if (end := _key_from(text, m.start())) and not any(s <= m.start() and end <= e for s, _, e in found):
-            found.add((m.start(), 5, end))
+        runs = runs or _Runs(text)
+        start = m.start()
+        while k < len(around) and around[k][0] <= start:
+            furthest = max(furthest, around[k][2])
+            k += 1
+        if (end := runs.key_from(start)) and end > furthest:  # not inside of another span
+            found.add((start, 5, end))
+            furthest = end
     for m in _HEX_KEY.finditer(text):
         if len(m[1]) % 2 == 0 and is_key(bytes.fromhex(m[1])):
             found.add((m.start(1), 5, m.end()))
