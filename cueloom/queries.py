@@ -375,10 +375,23 @@ def voice_cps(spark, sf_dir):
     return A.voice_cps(takes).select("voice", T.js_round(F.col("cps") * 1000).cast("long").alias("milli_cps"))
 
 
-@query(["segments", "takes"], """q AS (SELECT s.video_id, greatest(0, duration_us - window_us) AS o, duration_us, window_us, coalesce(start_us + duration_us > lead(start_us) OVER (PARTITION BY s.video_id ORDER BY s.segment_id), FALSE) AS ro FROM segments s JOIN takes t ON t.video_id = s.video_id AND t.segment_id = s.segment_id AND attempt_no = 1)
-SELECT video_id, CAST(count(*) AS BIGINT) AS n_segments, max(o) AS max_overrun_us, CAST(count(*) FILTER (o > 0) AS BIGINT) AS n_overruns, CAST(sum(duration_us) AS BIGINT) AS spoken_us, CAST(sum(window_us) AS BIGINT) AS window_us, CAST(count(*) FILTER (ro) AS BIGINT) AS n_run_on FROM q GROUP BY 1""")
+_ALIGNED = """q AS (SELECT s.video_id, s.segment_id, greatest(0, duration_us - window_us) AS o, duration_us, window_us, CASE WHEN window_us > 0 THEN duration_us / window_us END AS u, coalesce(start_us + duration_us > lead(start_us) OVER (PARTITION BY s.video_id ORDER BY s.segment_id) - 20000, FALSE) AS ro FROM segments s JOIN takes t ON t.video_id = s.video_id AND t.segment_id = s.segment_id AND attempt_no = 1)"""
+
+
+@query(["segments", "takes"], _ALIGNED + " SELECT video_id, segment_id, duration_us, window_us, CAST(0 AS BIGINT) AS start_error_us, o AS overrun_us, u AS utilization, ro AS runs_on FROM q")
+def alignment_segments(spark, sf_dir):
+    return A.alignment_segments(table(spark, sf_dir, "segments"), table(spark, sf_dir, "takes").filter("attempt_no = 1"), gap_us=20_000)
+
+
+@query(
+    ["segments", "takes"],
+    _ALIGNED
+    + """, k AS (SELECT *, count(*) OVER v AS n, row_number() OVER (PARTITION BY video_id ORDER BY o) AS ko, row_number() OVER (PARTITION BY video_id ORDER BY u) AS ku FROM q WINDOW v AS (PARTITION BY video_id))
+SELECT video_id, CAST(count(*) AS BIGINT) AS n_segments, max(o) AS max_overrun_us, CAST(count(*) FILTER (o > 0) AS BIGINT) AS n_overruns, CAST(sum(duration_us) AS BIGINT) AS spoken_us, CAST(sum(window_us) AS BIGINT) AS window_us, CAST(count(*) FILTER (ro) AS BIGINT) AS n_run_on,
+  CAST(0 AS BIGINT) AS max_start_error_us, CAST(0 AS BIGINT) AS p95_start_error_us, max(o) FILTER (ko = ceil(0.95 * n)) AS p95_overrun_us, max(u) FILTER (ku = ceil(0.5 * n)) AS p50_utilization, max(u) FILTER (ku = ceil(0.95 * n)) AS p95_utilization FROM k GROUP BY 1""",
+)
 def alignment_metrics(spark, sf_dir):
-    return A.alignment_metrics(table(spark, sf_dir, "segments"), table(spark, sf_dir, "takes").filter("attempt_no = 1"))
+    return A.alignment_metrics(table(spark, sf_dir, "segments"), table(spark, sf_dir, "takes").filter("attempt_no = 1"), gap_us=20_000)
 
 
 @query(["segments", "takes"], """chosen AS (SELECT t.video_id, t.segment_id, coalesce(min_by(duration_us, attempt_no) FILTER (duration_us <= window_us), min(duration_us)) AS duration_us

@@ -76,3 +76,32 @@ def test_track_against_a_plain_writer(spark):
     layout = A.track_layout(segments, takes, videos)
     blocks = A.assemble_track(layout, takes, videos, block_s=1).orderBy("block").collect()
     assert np.array_equal(np.frombuffer(b"".join(b.pcm for b in blocks), "<i2"), want)
+
+
+def test_alignment_by_segment_and_its_quantiles(spark):
+    rng = np.random.default_rng(5)
+    segments, takes, layout, at = [], [], [], 0
+    for k in range(400):
+        window = int(rng.integers(1, 5)) * 500_000 if k % 50 else 0
+        segments.append((k % 4, k, at, window))
+        takes.append((k % 4, k, int(rng.integers(200_000, 2_600_000))))
+        layout.append((k % 4, k, at * 48_000 // 1_000_000 + (480 if k % 10 == 0 else 0), takes[-1][2] * 48 // 1000))
+        at += window + 10_000
+    seg = spark.createDataFrame(segments, "video_id long, segment_id long, start_us long, window_us long")
+    tk = spark.createDataFrame(takes, "video_id long, segment_id long, duration_us long")
+    lay = spark.createDataFrame(layout, "video_id long, segment_id long, place long, written long")
+    rows = A.alignment_segments(seg, tk, lay, 20_000)
+    got = {r.segment_id: r for r in rows.collect()}
+    for k in range(400):
+        start, end = layout[k][2] / 0.048, (layout[k][2] + layout[k][3]) / 0.048
+        assert abs(got[k].start_error_us - abs(start - segments[k][2])) <= 1
+        assert got[k].overrun_us == max(0, takes[k][2] - segments[k][3]) and (got[k].utilization is None) == (segments[k][3] == 0)
+        assert got[k].runs_on == (k + 4 < 400 and end + 20_000 > layout[k + 4][2] / 0.048 + (abs(end + 20_000 - layout[k + 4][2] / 0.048) <= 1))
+    by_video = {r.video_id: r for r in A.alignment_metrics(seg, tk, lay, 20_000).collect()}
+    over = sorted(max(0, takes[k][2] - segments[k][3]) for k in range(0, 400, 4))
+    assert by_video[0].p95_overrun_us == over[94] and by_video[0].max_start_error_us >= 10_000
+    whole = A.merged_sketches(A.alignment_sketches(rows), [], [0.5, 0.95]).first()
+    every = sorted(got[k].overrun_us for k in range(400))
+    for q, v in zip((0.5, 0.95), whole.overrun_us):
+        assert every[int(400 * q) - 12] <= v <= every[min(399, int(400 * q) + 12)]
+    assert whole.n_segments == 400 and len(whole.utilization) == 2
