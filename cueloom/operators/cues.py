@@ -1,12 +1,16 @@
 """Ordered cue tables: features, splitting, grouping, segments, windows, timings.
 
 Cue tables have video_id, cue_id, pos, start_us, end_us, text. Everything is keyed by video_id;
-windows share one exchange on it. Nothing collects more than one island or segment of a video.
+windows share one exchange on it. Nothing collects more than one segment of a video.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -77,37 +81,32 @@ def split_overlong_cues(cues: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _capped(starts: pd.Series, ends: pd.Series) -> pd.Series:
-    """Within one island: a new group where a cue would stretch its group over the longest span."""
-
-    def fold(s, e):
-        out, group, first = [], 0, None
-        for a, b in zip(s, e):
-            if first is None:
-                first = a
-            elif b - first > MAX_SEGMENT_US:
+def _numbered_groups(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Group numbers of rows (video_id, start_us, end_us, far) that come sorted by video, start and pos: a new group
+    where a cue is far from the one before, or would stretch its group over the longest span."""
+    video, group, first = None, 0, 0
+    for rows in batches:
+        out = []
+        for v, a, b, far in zip(*(rows.field(k).to_pylist() for k in range(4))):
+            if v != video:
+                video, group, first = v, 0, a
+            elif far or b - first > MAX_SEGMENT_US:
                 group, first = group + 1, a
             out.append(group)
-        return out
-
-    return pd.Series([fold(s, e) for s, e in zip(starts, ends)])
+        yield pa.array(out, pa.int64())
 
 
 def group_by_gap(cues: DataFrame) -> DataFrame:
-    """cues with group_no (from 0): gaps over 200 ms to the previous end cut islands; only islands
-    whose span is over 30 s are folded further, each as one row of arrays."""
-    w = _by_video("start_us", "pos")
-    far = F.col("start_us") - F.lag("end_us").over(w) > MERGE_GAP_US
-    rows = cues.withColumn("island", F.sum(F.coalesce(far, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    cue = F.struct("start_us", "pos", *[c for c in cues.columns if c not in ("video_id", "start_us", "pos")])
-    islands = rows.groupBy("video_id", "island").agg(F.sort_array(F.collect_list(cue)).alias("cues"), (F.max("end_us") - F.min("start_us")).alias("span"))
-    groups = F.when(F.col("span") > MAX_SEGMENT_US, _capped("cues.start_us", "cues.end_us")).otherwise(F.transform("cues", lambda c: F.lit(0)))
-    flat = islands.withColumn("g", groups).select("video_id", "island", F.explode(F.arrays_zip("cues", "g")).alias("z")).select("video_id", "island", "z.cues.*", F.col("z.g").alias("g"))
-    order = _by_video("start_us", "pos")
-    new = (F.coalesce(F.lag("island").over(order) != F.col("island"), F.lit(True)) | (F.lag("g").over(order) != F.col("g"))).cast("int")
-    flat = flat.withColumn("_new", new)
-    return flat.withColumn("group_no", (F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("long")).select(*cues.columns, "group_no")
+    """cues with group_no (from 0): a gap over 200 ms to the previous end starts a group, and so does a cue that ends
+    over 30 s behind its group's start.
+
+    The window leaves a video's cues in one partition, in order; the numbers are counted along them, from four small
+    columns, and nothing is gathered or shuffled again. Counting isn't deterministic to the optimizer, so that no
+    step moves below it."""
+    far = F.coalesce(F.col("start_us") - F.lag("end_us").over(_by_video("start_us", "pos")) > MERGE_GAP_US, F.lit(False))
+    rows = cues.withColumn("_far", far)
+    counted = F.arrow_udf(_numbered_groups, "long").asNondeterministic()
+    return rows.withColumn("group_no", counted(F.struct("video_id", "start_us", "end_us", "_far"))).drop("_far")
 
 
 def split_large_groups(groups: DataFrame) -> DataFrame:
@@ -123,29 +122,57 @@ def split_large_groups(groups: DataFrame) -> DataFrame:
     return flat.withColumn("group_no", dense.cast("long")).select(*groups.columns)
 
 
+def _cut_tree(gaps: list[int]) -> tuple[list[int], list[int], int]:
+    """The Cartesian tree of gaps: of every range the first largest gap, above those to its left and right."""
+    left, right, path = [-1] * len(gaps), [-1] * len(gaps), []
+    for k, g in enumerate(gaps):
+        below = -1
+        while path and gaps[path[-1]] < g:
+            below = path.pop()
+        left[k] = below
+        if path:
+            right[path[-1]] = k
+        path.append(k)
+    return left, right, path[0] if path else -1
+
+
+_BLANK, _DANGLING = re.compile(r"[\s\ufeff]+"), re.compile(r"[,;:\-–—]+$")
+
+
+def halves(starts: list[int], ends: list[int], texts: list[str]) -> list[int]:
+    """Numbers of the parts that a group's cues fall into when it is cut at its first largest gap, and its parts
+    again, as long as they span over 30 s or read over 320 units. Lengths come from sums, so a group of n cues takes n
+    steps but for its depth in small steps."""
+    n = len(starts)
+    units = lambda t: len(t.encode("utf-16-be")) // 2
+    tidy = lambda t: _BLANK.sub(" ", t).strip()
+    inner = [units(tidy(_DANGLING.sub("", t.rstrip()))) for t in texts]  # not the last of a part
+    outer = [units(tidy(t)) for t in texts]
+    size, some = [0], [0]
+    for m in inner:
+        size.append(size[-1] + m)
+        some.append(some[-1] + (m > 0))
+
+    def over(a: int, b: int) -> bool:
+        last = outer[b - 1]
+        words = some[b - 1] - some[a] + (last > 0)
+        return ends[b - 1] - starts[a] > MAX_SEGMENT_US or size[b - 1] - size[a] + last + max(0, words - 1) > MAX_SEGMENT_CHARS
+
+    left, right, root = _cut_tree([max(-1, starts[k] - ends[k - 1]) for k in range(1, n)])
+    out, number, todo = [0] * n, 0, [(0, n, root)]
+    while todo:
+        a, b, at = todo.pop()
+        if b - a > 1 and over(a, b):
+            todo += [(at + 1, b, right[at]), (a, at + 1, left[at])]
+        else:
+            out[a:b] = [number] * (b - a)
+            number += 1
+    return out
+
+
 @F.pandas_udf(ArrayType(IntegerType()))
 def _halved(starts: pd.Series, ends: pd.Series, texts: pd.Series) -> pd.Series:
-    import re
-
-    space = re.compile(r"[\s﻿]+")
-
-    def joined(parts):
-        kept = [re.sub(r"[,;:\-–—]+$", "", t.rstrip()).rstrip() if k < len(parts) - 1 else t.rstrip() for k, t in enumerate(parts)]
-        return len(space.sub(" ", " ".join(t for t in kept if t)).strip().encode("utf-16-be")) // 2
-
-    def cut(s, e, t):
-        out, todo, number = [0] * len(s), [(0, len(s))], 0
-        while todo:
-            a, b = todo.pop(0)
-            if b - a > 1 and (e[b - 1] - s[a] > MAX_SEGMENT_US or joined(t[a:b]) > MAX_SEGMENT_CHARS):
-                at = max(range(a + 1, b), key=lambda k: (max(-1, s[k] - e[k - 1]), -k))
-                todo[:0] = [(a, at), (at, b)]
-            else:
-                out[a:b] = [number] * (b - a)
-                number += 1
-        return out
-
-    return pd.Series([cut(list(s), list(e), list(t)) for s, e, t in zip(starts, ends, texts)])
+    return pd.Series([halves(list(s), list(e), list(t)) for s, e, t in zip(starts, ends, texts)])
 
 
 def build_segments(groups: DataFrame) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
-from collections.abc import Iterator
-from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from cueloom.functions import text as T
 from cueloom.operators.cues import allocate_timings
@@ -96,17 +97,21 @@ def balanced(parts: list[str], span_us: int, least_us: int = MIN_PART_US) -> lis
     return parts
 
 
-def _safe(text: str, k: int) -> bool:
-    return k <= 0 or k >= len(text) or not (_WORD.match(text[k - 1]) and _WORD.match(text[k]))
+def _good_cuts(text: str) -> list[int]:
+    """Places where a text may be cut: beside punctuation and white space, and not between letters of an ASCII word."""
+    sticks = [bool(_WORD.match(c)) for c in text]
+    free = [c.isspace() for c in text]
+    return [k for k in range(1, len(text)) if text[k - 1] in _AFTER or free[k - 1] or text[k] in _BEFORE or free[k] or not (sticks[k - 1] and sticks[k])]
 
 
-def _outward(goal: int, low: int, high: int) -> Iterator[int]:
-    """Positions from low to high, the nearest to goal first and the lower of two."""
-    for step in range(max(goal - low, high - goal, 0) + 1):
-        if low <= goal - step <= high:
-            yield goal - step
-        if step and low <= goal + step <= high:
-            yield goal + step
+def _nearest(places: list[int], goal: int, low: int, high: int) -> int | None:
+    """Of sorted places from low to high the nearest to goal, the lower of two."""
+    k = bisect.bisect_right(places, goal)
+    below = places[k - 1] if k and places[k - 1] >= low else None
+    above = places[k] if k < len(places) and places[k] <= high else None
+    if below is None or (above is not None and above - goal < goal - below):
+        return above
+    return below
 
 
 def split_over(text: str | None, durations: list[int]) -> list[str]:
@@ -117,12 +122,14 @@ def split_over(text: str | None, durations: list[int]) -> list[str]:
     if not text:
         return [""] * n
     weights = [max(1, d) for d in durations]
+    good, whole = _good_cuts(text), sum(weights)
     cuts, done = [0], 0
     for i in range(n - 1):
         done += weights[i]
         low, high = cuts[-1] + 1, len(text) - (n - i - 1)
-        goal = max(low, min(high, int(len(text) * done / sum(weights) + 0.5)))
-        cuts.append(next((k for k in _outward(goal, max(1, low), high) if k >= len(text) or text[k - 1] in _AFTER or text[k - 1].isspace() or text[k] in _BEFORE or text[k].isspace() or _safe(text, k)), goal))
+        goal = max(low, min(high, int(len(text) * done / whole + 0.5)))
+        at = goal if goal >= len(text) else _nearest(good, goal, max(1, low), high)  # the text's end is a good place, too
+        cuts.append(goal if at is None else at)
     return [_text(text[a:b].strip()) for a, b in zip(cuts, [*cuts[1:], len(text)])]
 
 
@@ -164,30 +171,40 @@ def repartition_cues(cues: DataFrame, segments: DataFrame, splits: DataFrame | N
 _WEAK = re.compile(r"[\W_]", re.U)
 
 
-@lru_cache(1 << 14)
-def _folded(c: str) -> str:
-    return "" if c.isspace() or c == "\ufeff" else unicodedata.normalize("NFKC", c).lower()
+class _Folds(dict):
+    """For `str.translate`: NFKC and lower case of single characters, white space goes."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = folded = "" if c.isspace() or c == "\ufeff" else unicodedata.normalize("NFKC", c).lower()
+        return folded
+
+
+_FOLDS = _Folds()
 
 
 def _matchable(text: str, weak: bool) -> str:
-    folded = "".join(map(_folded, text))
+    folded = text.translate(_FOLDS)
     return folded if weak else _WEAK.sub("", folded)
 
 
-def retimed(cues: list[dict], boundaries: list[dict], start: int, deadline: int, duration: int) -> list[tuple[int, int]]:
-    """New (start, end) of a segment's cues from where their texts stand in the spoken boundaries."""
-    old = [(c["start_us"], c["end_us"]) for c in cues]
+def retimed(cues: list[tuple[int, int, str]], boundaries: list[tuple[int, int, str]], start: int, deadline: int, duration: int) -> list[tuple[int, int]]:
+    """New (start, end) of a segment's cues from where their texts stand in the spoken boundaries; both are
+    (start_us, end_us, text)."""
+    old = [c[:2] for c in cues]
     if not cues or not boundaries or duration <= 0:
         return old
-    stream = [(c, b["start_us"], b["end_us"]) for b in boundaries for c in _matchable(b["part"], True)]
-    if not stream:
+    folded = [_matchable(b[2], True) for b in boundaries]
+    exact = "".join(folded)
+    if not exact:
         return old
-    strong = [k for k, (c, *_) in enumerate(stream) if not _WEAK.match(c)]
-    exact, reduced = "".join(c for c, *_ in stream), "".join(stream[k][0] for k in strong)
+    ends = list(accumulate(map(len, folded)))  # the boundary of a place is the first that ends behind it
+    of = lambda place: boundaries[bisect.bisect_right(ends, place)]
+    strong, reduced = None, ""
     end = min(deadline, start + duration)
     spans, cursor, floor = [], 0, start
     for cue in cues:
-        full, bare = _matchable(cue["text"], True), _matchable(cue["text"], False)
+        full = _matchable(cue[2], True)
         if not full:
             spans.append((floor, floor))
             continue
@@ -195,22 +212,25 @@ def retimed(cues: list[dict], boundaries: list[dict], start: int, deadline: int,
         if at >= 0:
             first, last = at, at + len(full) - 1
         else:
-            skip = next((k for k, i in enumerate(strong) if i >= cursor), len(strong))
-            found = reduced.find(bare, skip) if bare and strong else -1
+            if strong is None:
+                strong = [k for k, c in enumerate(exact) if not _WEAK.match(c)]
+                reduced = "".join([exact[k] for k in strong])
+            bare = _WEAK.sub("", full)
+            found = reduced.find(bare, bisect.bisect_left(strong, cursor)) if bare and strong else -1
             if found < 0:
-                return _clamped(_proportional(cues, stream, start, end), end)
+                return _clamped(_proportional(cues, len(exact), of, start, end), end)
             first, last = strong[found], strong[found + len(bare) - 1]
-        s = max(floor, min(start + stream[first][1], end))
-        spans.append((s, max(s, min(start + stream[last][2], end))))
+        s = max(floor, min(start + of(first)[0], end))
+        spans.append((s, max(s, min(start + of(last)[1], end))))
         floor, cursor = s, max(cursor, last + 1)
     return _clamped(spans, end)
 
 
-def _proportional(cues: list[dict], stream: list[tuple], start: int, end: int) -> list[tuple[int, int]]:
-    sizes = [len(_matchable(c["text"], False)) or len(_matchable(c["text"], True)) for c in cues]
-    total, n = sum(sizes), len(stream)
+def _proportional(cues: list[tuple[int, int, str]], n: int, of, start: int, end: int) -> list[tuple[int, int]]:
+    sizes = [len(_matchable(c[2], False)) or len(_matchable(c[2], True)) for c in cues]
+    total = sum(sizes)
     if not total:
-        return [(c["start_us"], c["end_us"]) for c in cues]
+        return [c[:2] for c in cues]
     spans, done, floor = [], 0, start
     for size in sizes:
         if not size:
@@ -218,8 +238,8 @@ def _proportional(cues: list[dict], stream: list[tuple], start: int, end: int) -
             continue
         a = max(0, min(done * n // total, n - 1))
         b = max(a + 1, min(-(-(done + size) * n // total), n))
-        s = max(floor, min(start + stream[a][1], end))
-        spans.append((s, max(s, min(start + stream[b - 1][2], end))))
+        s = max(floor, min(start + of(a)[0], end))
+        spans.append((s, max(s, min(start + of(b - 1)[1], end))))
         done, floor = done + size, s
     return spans
 
@@ -237,18 +257,25 @@ def _clamped(spans: list[tuple[int, int]], end: int) -> list[tuple[int, int]]:
     return out
 
 
+@F.arrow_udf(ArrayType(StructType([StructField("start_us", LongType()), StructField("end_us", LongType())])))
+def _fitted(cs: pa.Array, ce: pa.Array, ct: pa.Array, bs: pa.Array, be: pa.Array, bt: pa.Array, ws: pa.Array, wd: pa.Array, d: pa.Array) -> pa.Array:
+    """`retimed` for rows of lists, which Arrow turns into Python lists and back as whole columns."""
+    spans, sizes = [], [0]
+    for cue, spoken, p, q, r in zip(zip(*(x.to_pylist() for x in (cs, ce, ct))), zip(*(x.to_pylist() for x in (bs, be, bt))), *(x.to_pylist() for x in (ws, wd, d))):
+        spans += retimed(list(zip(*cue)), [] if spoken[0] is None else list(zip(*spoken)), p, q, r)
+        sizes.append(len(spans))
+    fields = [pa.array([s[k] for s in spans], pa.int64()) for k in (0, 1)]
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(fields, ["start_us", "end_us"]))
+
+
 def retime_cues(cues: DataFrame, windows: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Retime cues(video_id, segment_id, pos, start_us, end_us, text) by spoken
     boundaries(video_id, segment_id, idx, part, start_us, end_us) inside
     windows(video_id, segment_id, start_us, deadline_us, duration_us). One nested row per segment."""
     key = ["video_id", "segment_id"]
     nested = cues.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "start_us", "end_us", "text"))).alias("c"))
-    spoken = boundaries.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("idx", "part", "start_us", "end_us"))).alias("b"))
+    spoken = boundaries.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("idx", "start_us", "end_us", "part"))).alias("b"))
     rows = nested.join(windows.select(*key, F.col("start_us").alias("ws"), "deadline_us", "duration_us"), key).join(spoken, key, "left")
-
-    @F.pandas_udf("array<struct<start_us:long,end_us:long>>")
-    def fitted(c: pd.Series, b: pd.Series, ws: pd.Series, wd: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([[{"start_us": int(s), "end_us": int(e)} for s, e in retimed(list(x), list(y) if y is not None else [], int(p), int(q), int(r))] for x, y, p, q, r in zip(c, b, ws, wd, d)])
-
-    timed = rows.withColumn("t", fitted("c", "b", "ws", "deadline_us", "duration_us"))
+    lists = [F.col(f"{x}.{f}") for x, fields in (("c", ("start_us", "end_us", "text")), ("b", ("start_us", "end_us", "part"))) for f in fields]
+    timed = rows.withColumn("t", _fitted(*lists, "ws", "deadline_us", "duration_us"))
     return timed.select(*key, F.explode(F.arrays_zip("c", "t")).alias("z")).select(*key, "z.c.pos", "z.t.start_us", "z.t.end_us", "z.c.text")

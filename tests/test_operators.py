@@ -59,13 +59,50 @@ def test_split_over_keeps_order(text, durations):
 
 
 def test_retimed_cues_stay_in_the_window():
-    cues = [{"start_us": 0, "end_us": 10, "text": "Hello there"}, {"start_us": 10, "end_us": 20, "text": "你好 𠮷"}]
-    words = [{"part": w, "start_us": k * 300_000, "end_us": k * 300_000 + 250_000} for k, w in enumerate(["Hello", "there", "你好", "𠮷"])]
+    cues = [(0, 10, "Hello there"), (10, 20, "你好 𠮷")]
+    words = [(k * 300_000, k * 300_000 + 250_000, w) for k, w in enumerate(["Hello", "there", "你好", "𠮷"])]
     out = R.retimed(cues, words, 1_000_000, 2_500_000, 1_200_000)
     assert out == [(1_000_000, 1_550_000), (1_600_000, 2_200_000)]
-    lost = R.retimed([{"start_us": 0, "end_us": 10, "text": "other"}], words, 0, 2_000_000, 1_000_000)
+    lost = R.retimed([(0, 10, "other")], words, 0, 2_000_000, 1_000_000)
     assert 0 <= lost[0][0] < lost[0][1] <= 1_000_000
     assert R.retimed(cues, [], 0, 1, 1) == [(0, 10), (10, 20)]
+    loose = R.retimed([(0, 1, "ＨＥＬＬＯ, th-ere"), (1, 2, "\ufeff 你 好!")], words, 0, 3_000_000, 1_200_000)
+    assert loose == [(0, 550_000), (600_000, 1_200_000)]
+
+
+def _plain_split(text, durations):
+    """Every place from the goal outwards, one after the other."""
+    text, out, at, done = " ".join(text.split()), [], 0, 0
+    word, n = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_./#+-"), len(durations)
+    good = lambda k: k >= len(text) or text[k - 1] in ",.;:!?，。；：！？、）)]} " or text[k] in "（([{ " or not (text[k - 1] in word and text[k] in word)
+    for i in range(n - 1):
+        done += max(1, durations[i])
+        low, high = at + 1, len(text) - (n - i - 1)
+        goal = max(low, min(high, int(len(text) * done / sum(max(1, d) for d in durations) + 0.5)))
+        near = [k for r in range(len(text) + 1) for k in (goal - r, goal + r) if max(1, low) <= k <= high and good(k)]
+        out.append(text[at : (cut := near[0] if near else goal)].strip())
+        at = cut
+    return [*out, text[at:].strip()]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abC,。 (", min_size=1, max_size=50), st.lists(st.integers(0, 10**6), min_size=2, max_size=7))
+def test_split_over_takes_the_nearest_good_cuts(text, durations):
+    if text.strip():
+        assert R.split_over(text, durations) == _plain_split(text, durations)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(1, 60), st.sampled_from(["a", "", "word, ", " ,;", "\ufeff", "😀 😀  —", "x" * 90])), min_size=1, max_size=40))
+def test_halves_equal_cutting_one_after_the_other(cues):
+    rows, at = [], 0
+    for gap, length, text in cues:
+        at += gap * 1_000_000
+        rows.append((at, at + length * 100_000, text))
+        at += length * 100_000
+    got = C.halves(*map(list, zip(*rows)))
+    want = [k for k, part in enumerate(_halved(rows)) for _ in part]
+    assert got == want
 
 
 def test_timings_share_by_length(spark):
