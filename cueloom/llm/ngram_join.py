@@ -244,21 +244,52 @@ def _signed(packed: bytes | None):
     return run
 
 
-def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by (sig, class): those of signatures with several classes, each once."""
-    last, sent = None, False  # the last distinct row
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What classes with the same signature have to do with each other, from rows sorted by (sig, class).
+
+    Of at most SMALL classes all pairs (a, b) that may be similar leave; of more, each class as (hub, class, size,
+    rest), where the hub is the smallest class. A row is held only until its run is known to be a large one, or ends.
+    """
+    held, hub = None, None  # the rows of the last run so far; of a large one only the last row, and its hub
     for batch in batches:
-        rows = batch if last is None else pd.concat([last, batch])
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
         sig, names = rows["sig"].to_numpy(), rows["class"].to_numpy()
         new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (names[1:] != names[:-1])))
-        rows, sig = rows[new], sig[new]
-        same = sig[1:] == sig[:-1]
-        some = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        send = some.copy()
-        send[0] &= not sent
-        if send.any():
-            yield rows[send]
-        last, sent = rows.iloc[-1:], bool(some[-1]) or (len(sig) == 1 and sent)
+        rows, sig, names = rows[new], sig[new], names[new]
+        size, rest = rows["size"].to_numpy(), rows["rest"].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        counts = np.diff(np.append(starts, len(sig)))
+        run = np.repeat(np.arange(len(starts)), counts)
+        open_run = len(starts) - 1  # may go on in the next batch
+        large = counts > SMALL
+        hubs = names[starts]
+        told = np.zeros(len(sig), bool)  # members of large runs that left before
+        if hub is not None:
+            large[0], hubs[0], told[0] = True, hub, True
+        whole = large[run] & ~told
+        yield pd.DataFrame({"a": hubs[run][whole], "b": names[whole], "size": size[whole], "rest": rest[whole]})
+        yield _pairs(names, size, rest, run, ~large[run] & (run < open_run))
+        if large[open_run]:
+            held, hub = rows.iloc[-1:], int(hubs[open_run])
+        else:
+            held, hub = rows.iloc[starts[open_run] :], None
+    if held is not None and hub is None:
+        one = np.zeros(len(held), np.int64)
+        yield _pairs(*(held[c].to_numpy() for c in ("class", "size", "rest")), one, one == 0)
+
+
+def _pairs(names: np.ndarray, size: np.ndarray, rest: np.ndarray, run: np.ndarray, wanted: np.ndarray) -> pd.DataFrame:
+    """Pairs of the wanted rows of a run that may be similar."""
+    at, found = np.flatnonzero(wanted), []
+    for step in range(1, SMALL):
+        at = at[at < len(run) - step]
+        at = at[run[at] == run[at + step]]
+        x, y = size[at].astype(np.int64), size[at + step].astype(np.int64)
+        fit = fits(x, y, np.minimum(rest[at], rest[at + step]))
+        found.append(np.stack((names[at[fit]], names[at[fit] + step]), 1))
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    none = pd.array([None] * len(pairs), dtype="Int32")
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "size": none, "rest": none})
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
@@ -364,23 +395,15 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = described.filter("chunk IS NULL").select("doc_id", "n_shingles", "class")
     ranks = _slot_ranks(described.filter("chunk IS NOT NULL"))
     signed = texts.filter("doc_id IS NOT NULL").select("text").mapInArrow(_signed(ranks), "sig long, class long, size int, rest int")
-    shared = stored(signed.repartition("sig").sortWithinPartitions("sig", "class").mapInPandas(_shared, "sig long, class long, size int, rest int"))
-    named = described.filter("chunk IS NULL AND doc_id IS NOT NULL").join(shared.select("class").distinct(), "class", "left_semi")
+    met = stored(signed.repartition("sig").sortWithinPartitions("sig", "class").mapInPandas(_met, "a long, b long, size int, rest int"))
+    some = met.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    named = described.filter("chunk IS NULL AND doc_id IS NOT NULL").join(some, "class", "left_semi")
     about = stored(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
 
-    low = F.min(F.struct("class", "size", "rest")).alias("low")
-    hub = F.min(F.struct(F.xxhash64("class"), "class"))["class"].alias("hub")
-    count = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), low, F.min("size").alias("least"), hub)
-    ranked = stored(shared.join(count, "sig").filter(fits(F.col("size"), F.col("least"), F.col("rest"))))
-    discard(shared)
-    two = ranked.filter(F.expr("n = 2 AND class > low.class") & fits(F.col("size"), F.col("low.size"), F.least("rest", "low.rest"))).select(F.col("low.class").alias("a"), F.col("class").alias("b"))
-    few = ranked.filter(F.col("n").between(3, SMALL)).select("sig", "class", "size", "rest")
-    fit = fits(F.col("x.size"), F.col("y.size"), F.least("x.rest", "y.rest"))
-    all_few = few.alias("x").join(few.alias("y"), "sig").filter(F.expr("x.class < y.class") & fit).select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-    near = _near_pairs(two.unionByName(all_few).distinct(), about)
-    # Large signatures with the same drawn member have nearly the same members: one group for all of them.
-    large = stored(ranked.filter(F.col("n") > SMALL).groupBy("hub", "class", "size").agg(F.max("rest").alias("rest")))
-    discard(ranked)
+    near = _near_pairs(met.filter("size IS NULL").select("a", "b").distinct(), about)
+    # Large signatures with the same hub have nearly the same members: one group for all of them.
+    large = stored(met.filter("size IS NOT NULL").groupBy(F.col("a").alias("hub"), F.col("b").alias("class"), "size").agg(F.max("rest").alias("rest")))
+    discard(met)
     wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).unionByName(large.select("class")).distinct()
     chosen = stored(about.join(wanted, "class", "left_semi").select("class", "doc_id"))
     sets = _sets(texts, chosen)
