@@ -188,16 +188,22 @@ def is_confident_english(score: Column, confidence: Column) -> Column:
     return (confidence >= 18) & (score >= 12)
 
 
-def apply_terminology(en: Column, zh: Column, terms: Column) -> Column:
-    """Replace, in order, every term of `terms ARRAY<STRUCT<en, zh>>` that the English text contains."""
-    lower = F.lower(en)
-    used = F.filter(terms, lambda t: (F.length(trim_ws(t["en"])) >= 2) & (trim_ws(t["zh"]) != "") & F.contains(lower, F.lower(trim_ws(t["en"]))))
+def replace_terms(zh: Column, terms: Column) -> Column:
+    """Replace every literal occurrence of every term of `terms ARRAY<STRUCT<en, zh>>`, in order, in any letter case."""
 
     def swap(text: Column, t: Column) -> Column:
         literal = F.regexp_replace(trim_ws(t["en"]), r"([.*+?^${}()|\[\]\\])", r"\\$1")
         return F.regexp_replace(text, F.concat(F.lit("(?i)"), literal), F.regexp_replace(trim_ws(t["zh"]), r"([\\$])", r"\\$1"))
 
-    return F.aggregate(used, zh, swap)
+    return F.aggregate(terms, zh, swap)
+
+
+def apply_terminology(en: Column, zh: Column, terms: Column) -> Column:
+    """Replace, in order, every term of `terms ARRAY<STRUCT<en, zh>>` that the English text contains. Every text is
+    tested for every term; see `apply_glossary` for many."""
+    lower = F.lower(en)
+    used = F.filter(terms, lambda t: (F.length(trim_ws(t["en"])) >= 2) & (trim_ws(t["zh"]) != "") & F.contains(lower, F.lower(trim_ws(t["en"]))))
+    return replace_terms(zh, used)
 
 
 def join_for_translation(pieces: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,11 +107,53 @@ def validate_split_responses(lines: DataFrame, items: DataFrame) -> DataFrame:
     return rows.filter(fine).groupBy(*SEG).agg(F.min_by("lines", "k").alias("lines"))
 
 
-def map_translations_to_cues(cues: DataFrame, segments: DataFrame, translations: DataFrame, terms: Column) -> DataFrame:
-    """Segment texts, with the glossary applied, cut over the segment's cues; the cues keep their times."""
+#: Terms that one automaton finds.
+TERMS = 200_000
+
+
+def _found_terms(terms: list[tuple[str, str, str]]):
+    """An Arrow UDF: which of the terms (lower case, English, Chinese) a lower-cased text contains, in their order. The
+    texts go through one automaton of all terms, so their number doesn't matter to a text."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        places: dict[str, list[int]] = {}
+        for k, (low, _, _) in enumerate(terms):
+            places.setdefault(low, []).append(k)
+        for low, at in places.items():
+            machine.add_word(low, at)
+        machine.make_automaton()
+        for batch in batches:
+            found = [sorted({k for _, at in machine.iter(text) for k in at}) if text else [] for text in batch.to_pylist()]
+            yield pa.array([[{"en": terms[k][1], "zh": terms[k][2]} for k in at] for at in found], pa.list_(pa.struct([("en", pa.string()), ("zh", pa.string())])))
+
+    return F.arrow_udf(run, "array<struct<en:string,zh:string>>")
+
+
+def apply_glossary(rows: DataFrame, glossary: DataFrame, en: str, zh: str, out: str, part: int = TERMS) -> DataFrame:
+    """`rows` with `out`: the text `zh` where every term of glossary(ord, en, zh) that the text `en` contains, in any
+    letter case, is replaced, in order. Terms of one letter, and those without a translation, are left out.
+
+    The glossary goes to the tasks whole, as automata of at most `part` terms; a text's found terms alone are then
+    replaced, by the same expressions as in `apply_terminology`. A null in `en` finds nothing."""
+    terms = glossary.select("ord", T.trim_ws(F.col("en")).alias("en"), T.trim_ws(F.col("zh")).alias("zh")).filter((F.length("en") >= 2) & (F.col("zh") != ""))
+    listed = [(r.low, r.en, r.zh) for r in terms.orderBy("ord", "en", "zh").select(F.lower("en").alias("low"), "en", "zh").toLocalIterator()]
+    low = F.coalesce(F.lower(F.col(en)), F.lit(""))
+    found = [_found_terms(listed[k : k + part])(low) for k in range(0, len(listed), part)]
+    if not found:
+        return rows.withColumn(out, F.col(zh))
+    return rows.withColumn("_terms", F.concat(*found)).withColumn(out, T.replace_terms(F.col(zh), F.col("_terms"))).drop("_terms")
+
+
+def map_translations_to_cues(cues: DataFrame, segments: DataFrame, translations: DataFrame, terms: Column | DataFrame) -> DataFrame:
+    """Segment texts, with the glossary applied (an array of terms, or a table of them), cut over the segment's cues;
+    the cues keep their times."""
     each = segments.select(*SEG, "text_en", F.posexplode("cue_ids").alias("k", "cue_id")).join(cues.select("video_id", "cue_id", "pos", "start_us", "end_us"), ["video_id", "cue_id"])
     rows = each.groupBy(*SEG, "text_en").agg(F.sort_array(F.collect_list(F.struct("k", "cue_id", "pos", "start_us", "end_us"))).alias("c"))
-    rows = rows.join(translations.select(*SEG, "text"), SEG).withColumn("zh", T.apply_terminology(F.col("text_en"), F.col("text"), terms))
+    rows = rows.join(translations.select(*SEG, "text"), SEG)
+    rows = apply_glossary(rows, terms, "text_en", "text", "zh") if isinstance(terms, DataFrame) else rows.withColumn("zh", T.apply_terminology(F.col("text_en"), F.col("text"), terms))
     rows = rows.withColumn("p", split_text_across_cues("zh", F.transform("c", lambda x: x["end_us"] - x["start_us"])))
     flat = rows.select("video_id", F.explode(F.arrays_zip("c", "p")).alias("z"))
     return flat.select("video_id", "z.c.cue_id", "z.c.pos", "z.c.start_us", "z.c.end_us", F.col("z.p").alias("text"))
@@ -138,22 +181,32 @@ def cached_splits(segments: DataFrame, cache: DataFrame) -> tuple[DataFrame, Dat
     return rows, rows.filter("lines IS NULL").select("key", "text").dropDuplicates(["key"])
 
 
-def run_batches(requests: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, tries: int = 1) -> DataFrame:
-    """Apply a user's function to request batches; a batch that raises every time becomes a row of nulls
-    with the request's keys, never a failed job."""
+#: Requests that a user's function gets at a time.
+REQUESTS = 64
+
+
+def run_batches(requests: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, tries: int = 1, rows: int = REQUESTS) -> DataFrame:
+    """Apply a user's function to requests, `rows` of them at a time. Where that raises, each of them is tried alone,
+    up to `tries` times; one that raises every time becomes a row of nulls with the request's keys, never a failed job."""
     names = [c.split()[0] for c in schema.split(", ")]
 
+    def alone(row: pd.DataFrame) -> pd.DataFrame:
+        for _ in range(tries):
+            try:
+                return pd.concat(list(fn(iter([row.copy()]))))[names]
+            except Exception:  # noqa: BLE001, S112  a user's function may fail in any way
+                continue
+        return pd.DataFrame({n: row[n] if n in row else pd.Series([None], dtype=object) for n in names})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k in range(len(batch)):
-                row = batch.iloc[k : k + 1].reset_index(drop=True)
-                for left in range(tries, 0, -1):
-                    try:
-                        out = pd.concat(list(fn(iter([row]))))[names]
-                        break
-                    except Exception:  # noqa: BLE001  a user's function may fail in any way
-                        if left == 1:
-                            out = pd.DataFrame({n: row[n] if n in row else pd.Series([None], dtype=object) for n in names})
-                yield out
+            for at in range(0, len(batch), rows):
+                some = batch.iloc[at : at + rows].reset_index(drop=True)
+                try:
+                    out = list(fn(iter([some.copy()])))
+                    yield pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+                except Exception:  # noqa: BLE001  as above
+                    for k in range(len(some)):
+                        yield alone(some.iloc[k : k + 1].reset_index(drop=True))
 
     return requests.mapInPandas(run, schema)

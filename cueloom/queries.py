@@ -319,6 +319,13 @@ def apply_terminology(spark, sf_dir):
     return table(spark, sf_dir, "attempts").select("video_id", "segment_id", "attempt_no", T.apply_terminology(F.col("src"), F.col("raw"), terms).alias("text"))
 
 
+@query(["attempts"], _terminology_sql())
+def apply_glossary(spark, sf_dir):
+    glossary = spark.createDataFrame(GLOSSARY, "ord long, en string, zh string")
+    rows = table(spark, sf_dir, "attempts").select("video_id", "segment_id", "attempt_no", "src", "raw")
+    return X.apply_glossary(rows, glossary, "src", "raw", "text", part=4).drop("src", "raw")
+
+
 @query()
 def map_translations_to_cues(spark, sf_dir):
     cues, segments = table(spark, sf_dir, "cues"), _segments(spark, sf_dir)

@@ -15,7 +15,7 @@ from cueloom.sources import subtitles as S
 TABLES = ["documents", "conversations", "orders", "lineitem", "events"]
 
 
-@pytest.mark.parametrize("name", ["group_by_gap", "segment_budgets", "split_overlong_cues", "merge_chunk_votes", "text_guards", "resolve_attempts", "track_layout", "match_subtitles", "render_srt", "fold_task_events", "render_ass", "parse_ass", "task_snapshots", "probe_metadata", "group_by_votes", "fold_task_log", "output_names", "classify_errors", "throttle_progress", "subtitle_files", "read_subtitle_files", "cache_entries", "overlapping_pairs", "parse_odd_srt", "parse_odd_ass", "parse_ass_time", "word_boundaries", "merge_cue_snapshots", "retry_plan", "startable_tasks", "task_summary", "alignment_segments", "alignment_metrics"])
+@pytest.mark.parametrize("name", ["group_by_gap", "segment_budgets", "split_overlong_cues", "merge_chunk_votes", "text_guards", "resolve_attempts", "track_layout", "match_subtitles", "render_srt", "fold_task_events", "render_ass", "parse_ass", "task_snapshots", "probe_metadata", "group_by_votes", "fold_task_log", "output_names", "classify_errors", "throttle_progress", "subtitle_files", "read_subtitle_files", "cache_entries", "overlapping_pairs", "parse_odd_srt", "parse_odd_ass", "parse_ass_time", "word_boundaries", "merge_cue_snapshots", "retry_plan", "startable_tasks", "task_summary", "alignment_segments", "alignment_metrics", "apply_glossary", "run_batches"])
 def test_same_rows_as_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -239,12 +239,39 @@ def test_large_groups_of_a_table_split_as_one_by_one(spark, sf_dir):
 def test_run_batches_turns_errors_into_nulls(spark):
     def fn(batches):
         for b in batches:
-            if b["k"].iloc[0] == 2:
+            if (b["k"] % 3 == 2).any():
                 raise ValueError("no")
-            yield b.assign(json="ok")[["k", "json"]]
-
-    rows = X.run_batches(spark.createDataFrame([(1,), (2,)], "k long"), fn, "k long, json string", tries=2).collect()
-    assert sorted((r.k, r.json) for r in rows) == [(1, "ok"), (2, None)]
+            yield b.assign(json=str(len(b)))[["k", "json"]]
+
+    requests = spark.range(9).coalesce(1).select(F.col("id").alias("k"))
+    rows = X.run_batches(requests, fn, "k long, json string", tries=2, rows=4).collect()
+    assert sorted((r.k, r.json) for r in rows) == [(k, None if k % 3 == 2 else "1") for k in range(9)]  # every part has a bad one
+    rows = X.run_batches(requests.filter("k % 3 < 2"), fn, "k long, json string", rows=4).collect()
+    assert sorted((r.k, r.json) for r in rows) == [(k, "4" if k < 6 else "2") for k in range(9) if k % 3 < 2]
+    silent = X.run_batches(requests, lambda batches: (b.iloc[:0].assign(json="") for b in batches), "k long, json string")
+    assert silent.count() == 0
+
+
+def test_glossary_of_ten_thousand_terms(spark):
+    import re
+
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdE+$"), int(rng.integers(1, 6)))) for _ in range(10_000)]
+    terms = [(k, f" {w} " if k % 5 else w.upper(), f"[{k}$1\\]" if k % 7 else "") for k, w in enumerate(words)]
+    texts = [("".join(rng.choice(list("abcDe+$ "), 60)), "".join(rng.choice(list("abcDE+$ "), 60))) for _ in range(20)]
+    texts += [(None, "ab"), ("ab", None), ("", "")]
+    rows = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "k long, en string, zh string")
+    glossary = spark.createDataFrame(terms, "ord long, en string, zh string")
+    want = []
+    for k, (en, zh) in enumerate(texts):
+        for _, e, z in terms:
+            if en and zh is not None and z and len(e.strip()) > 1 and e.strip().lower() in en.lower():
+                zh = re.sub(re.escape(e.strip()), lambda _, z=z: z.strip(), zh, flags=re.I)
+        want.append((k, zh))
+    for part in (3000, X.TERMS):
+        got = X.apply_glossary(rows, glossary, "en", "zh", "out", part).select("k", "out").collect()
+        assert sorted(map(tuple, got)) == want
+    assert X.apply_glossary(rows, glossary.limit(0), "en", "zh", "out").filter("NOT (zh <=> out)").count() == 0
 
 
 def test_pcm(spark):
