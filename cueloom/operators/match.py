@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as T
@@ -35,63 +35,60 @@ HEADINGS, SAMPLED = r"(?i)^(WEBVTT|NOTE|STYLE|REGION)(?![A-Za-z0-9_])", 24
 
 
 def sample_lines(files: DataFrame) -> DataFrame:
-    """Rows (dir, filename, idx, line): what may be sampled, the first lines of text of SRT and VTT files
+    """Rows (dir, filename, ext, lines): what may be sampled, the first lines of text of SRT and VTT files
     and the texts of all cues of ASS and SSA files."""
     scripted = F.coalesce(F.col("ext").isin(".ass", ".ssa"), F.lit(False))
     trimmed = F.transform(F.split("content", r"\r?\n"), T.trim_ws)
     plain = F.slice(F.filter(trimmed, lambda x: ~(x.rlike(NO_TEXT) | x.rlike(HEADINGS))), 1, SAMPLED)
     cues = F.transform(parsed_cues("content", "ext"), lambda c: c["text"])
-    lines = files.filter(~scripted).select("dir", "filename", plain.alias("lines")).unionByName(files.filter(scripted).select("dir", "filename", cues.alias("lines")))
-    return lines.select("dir", "filename", F.posexplode("lines").alias("idx", "line"))
+    kept = ["dir", "filename", "ext"]
+    return files.filter(~scripted).select(*kept, plain.alias("lines")).unionByName(files.filter(scripted).select(*kept, cues.alias("lines")))
 
 
-def sample_text(lines: DataFrame) -> DataFrame:
-    """One sample per file: first, middle and last line of three buckets, then the others in order up to
+def sample_of(lines: Column) -> Column:
+    """A sample of a list of lines: first, middle and last line of three buckets, then the others in order up to
     16 lines; blank or letterless lines don't count; at most 8 parts, ending with the one that reaches 320 characters."""
-    whole, by = Window.partitionBy("dir", "filename"), ["dir", "filename"]
-    rows = lines.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("size", F.greatest(F.lit(1), F.ceil(F.col("n") / 3)).cast("int"))
-    bucket = F.floor(F.col("idx") / F.col("size")).cast("int")
-    start = bucket * F.col("size")
-    end = F.least(F.col("n"), start + F.col("size")).cast("int")
-    off = F.col("idx") - start
-    spot = F.when(off == 0, 0).when(off == F.floor((end - start) / 2), 1).when(F.col("idx") == end - 1, 2)
-    rows = rows.withColumn("turn", F.when((bucket < 3) & spot.isNotNull(), bucket * 3 + spot).otherwise(9))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("turn", "idx"))).filter((F.col("turn") < 9) | (F.col("r") <= 16))
-    rows = rows.withColumn("part", T.sanitize_sample(F.col("line"))).filter(F.col("part").rlike("[A-Za-z]|" + T.CJK))
-    w = Window.partitionBy(*by).orderBy("turn", "idx")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("k", F.row_number().over(w)).withColumn("sum", F.coalesce(F.sum(T.u16len(F.col("part"))).over(before), F.lit(0)))
-    rows = rows.filter((F.col("k") <= 8) & (F.col("sum") < 320))
-    return rows.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "part"))), lambda p: p["part"]), " ").alias("sample"))
+    n = F.size(lines)
+    size = F.greatest(F.lit(1), F.ceil(n / 3)).cast("int")
+
+    def turn(i: Column) -> Column:
+        bucket = F.floor(i / size).cast("int")
+        start = bucket * size
+        end = F.least(n, start + size).cast("int")
+        spot = F.when(i == start, 0).when(i - start == F.floor((end - start) / 2), 1).when(i == end - 1, 2)
+        return F.when((bucket < 3) & spot.isNotNull(), bucket * 3 + spot).otherwise(9)
+
+    ordered = F.sort_array(F.transform(lines, lambda line, i: F.struct(turn(i).alias("turn"), i.alias("i"), line.alias("line"))))
+    kept = F.filter(ordered, lambda x, r: (x["turn"] < 9) | (r < 16))
+    parts = F.filter(F.transform(kept, lambda x: T.sanitize_sample(x["line"])), lambda part: part.rlike("[A-Za-z]|" + T.CJK))
+    first = F.struct(F.lit(0).alias("n"), F.lit("").alias("text"))
+    joined = lambda a, p: F.concat(a["text"], F.when(a["text"] == "", "").otherwise(" "), p)
+    grown = lambda a, p: F.when(a["n"] < 320, F.struct((a["n"] + T.u16len(p)).cast("int").alias("n"), joined(a, p).alias("text"))).otherwise(a)
+    return F.coalesce(F.aggregate(F.slice(parts, 1, 8), first, grown, lambda a: a["text"]), F.lit(""))
 
 
 def score_files(files: DataFrame) -> DataFrame:
-    """files with sample, language_score and language_confidence; files without lines score 0."""
-    samples = files.select("dir", "filename", "ext").join(sample_text(sample_lines(files)), ["dir", "filename"], "left")
-    samples = samples.withColumn("sample", F.coalesce("sample", F.lit("")))
+    """(dir, filename, ext, sample, language_score, language_confidence) of files; without lines the scores are 0. Narrow."""
+    samples = sample_lines(files).select("dir", "filename", "ext", sample_of(F.col("lines")).alias("sample"))
     counted = samples.withColumns({f"_{k}": n for k, n in T.language_counts(F.col("sample")).items()})
     counts = {k: F.col(f"_{k}") for k in T.language_counts(F.lit(""))}
     return counted.select(*samples.columns, T.english_score(counts).alias("language_score"), T.english_confidence(counts).alias("language_confidence"))
 
 
-def files_alone(files: DataFrame) -> DataFrame:
-    """Those files that are the only one of their directory."""
-    return files.join(files.groupBy("dir").agg(F.count(F.lit(1)).alias("f")).filter("f = 1").select("dir"), "dir", "left_semi")
+def lone_pairs(videos: DataFrame, files: DataFrame) -> DataFrame:
+    """Candidates of kind `lone`: the only video of a directory and its only file, whatever their names."""
+    one_video = videos.select("dir", "stem").distinct().groupBy("dir").agg(F.count(F.lit(1)).alias("v"), F.min("stem").alias("stem")).filter("v = 1").select("dir", "stem")
+    one_file = files.groupBy("dir").agg(F.count(F.lit(1)).alias("f"), F.min(F.struct("filename", "ext")).alias("s")).filter("f = 1").select("dir", "s.*")
+    return one_video.join(one_file, "dir").withColumn("base", T.subtitle_base(F.col("filename"))).withColumn("match_kind", F.lit("lone")).withColumn("name_distance", F.lit(None).cast("long"))
 
 
 def pick_subtitle(candidates: DataFrame) -> DataFrame:
-    """The best candidate of every (dir, stem)."""
+    """The best candidate of every (dir, stem); one of kind `lone` only if there is no other and its file is
+    confidently English."""
     ext = F.when(F.col("ext") == ".vtt", 3).when(F.col("ext") == ".srt", 2).when(F.col("ext").isin(".ass", ".ssa"), 1).otherwise(0)
     kind = F.when(F.col("match_kind") == "exact", 4).when(F.col("match_kind") == "pattern", 3).otherwise(2)
     tagged = lambda f: f(F.col("base")).cast("int")
-    order = [F.desc("language_score"), F.desc("language_confidence"), tagged(T.english_tag).desc(), tagged(T.chinese_tag).asc(), ext.desc(), kind.desc(), F.asc("name_distance"), F.lower("filename"), F.asc("filename")]
-    return candidates.withColumn("r", F.row_number().over(Window.partitionBy("dir", "stem").orderBy(*order))).filter("r = 1").drop("r")
-
-
-def lone_subtitle_fallback(videos: DataFrame, scored: DataFrame, matched: DataFrame) -> DataFrame:
-    """For videos without a candidate: the directory's only subtitle, if it holds one video too and is
-    confidently English."""
-    one_video = videos.select("dir", "stem").distinct().groupBy("dir").agg(F.count(F.lit(1)).alias("v"), F.min("stem").alias("stem")).filter("v = 1").select("dir", "stem")
-    one_file = scored.groupBy("dir").agg(F.count(F.lit(1)).alias("f"), F.min(F.struct("filename", "language_score", "language_confidence")).alias("s")).filter("f = 1").select("dir", "s.*")
-    rows = one_video.join(matched.select("dir", "stem"), ["dir", "stem"], "left_anti").join(one_file, "dir")
-    return rows.filter(T.is_confident_english(F.col("language_score"), F.col("language_confidence")))
+    lone = F.col("match_kind") == "lone"
+    order = [lone.asc(), F.desc("language_score"), F.desc("language_confidence"), tagged(T.english_tag).desc(), tagged(T.chinese_tag).asc(), ext.desc(), kind.desc(), F.asc("name_distance"), F.lower("filename"), F.asc("filename")]
+    able = candidates.filter(~lone | T.is_confident_english(F.col("language_score"), F.col("language_confidence")))
+    return able.withColumn("r", F.row_number().over(Window.partitionBy("dir", "stem").orderBy(*order))).filter("r = 1").drop("r")

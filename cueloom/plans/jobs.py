@@ -46,8 +46,9 @@ def finish(segments: DataFrame, takes: DataFrame, videos: DataFrame) -> DataFram
 
 
 def choose_subtitles(videos: DataFrame, files: DataFrame) -> DataFrame:
-    """The subtitle of every video that has one: best candidate, else the directory's lone English file."""
-    candidates = match.match_subtitles(videos, files.select("dir", "filename", "ext")).join(match.score_files(files).drop("ext", "sample"), ["dir", "filename"])
-    picked = match.pick_subtitle(candidates)
-    lone = match.lone_subtitle_fallback(videos, match.score_files(match.files_alone(files)), match.match_subtitles(videos, files.select("dir", "filename", "ext")))
-    return picked.select("dir", "stem", "filename").unionByName(lone.select("dir", "stem", "filename"))
+    """The subtitle of every video that has one: best candidate, else the directory's lone English file. Names are
+    matched once, and files scored once."""
+    names = files.select("dir", "filename", "ext")
+    candidates = match.match_subtitles(videos, names).unionByName(match.lone_pairs(videos, names))
+    scored = match.score_files(files).select("dir", "filename", "language_score", "language_confidence")
+    return match.pick_subtitle(candidates.join(scored, ["dir", "filename"])).select("dir", "stem", "filename", "match_kind")

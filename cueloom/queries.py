@@ -210,15 +210,17 @@ def grouping_signature(spark, sf_dir):
     return X.grouping_signature(table(spark, sf_dir, "cues"))
 
 
-@query(
-    ["cues"],
-    rf"""n2 AS (SELECT video_id, cue_id, len(regexp_extract_all(text, '(?i)\b(?:{T.SDH})\b')) + len(regexp_extract_all(text, '[♪♫]')) AS noise, len(regexp_extract_all(text, '[A-Za-z]')) AS ascii, len(regexp_extract_all(text, '[㐀-鿿]')) AS cjk,
-  len(regexp_extract_all(text, '\b[A-Za-z]{{2,}}\b')) AS words, len(regexp_extract_all(text, '(?i)\b(?:{T.COMMON})\b')) AS common FROM cues),
-s2 AS (SELECT *, ascii + cjk AS letters FROM n2)
-SELECT video_id, cue_id, CAST(CASE WHEN letters = 0 AND words = 0 THEN 0 ELSE floor(ascii / greatest(letters, 1) * 100 + 0.5) - floor(cjk / greatest(letters, 1) * 120 + 0.5) + least(words * 2, 24) + least(common * 4, 24) - least(noise * 5, 20)
+def _scores_sql(keys: str, source: str) -> str:
+    """CTEs n2 and s2, and the score and confidence of the column text of a table."""
+    return rf"""n2 AS (SELECT {keys}, len(regexp_extract_all(text, '(?i)\b(?:{T.SDH})\b')) + len(regexp_extract_all(text, '[♪♫]')) AS noise, len(regexp_extract_all(text, '[A-Za-z]')) AS ascii, len(regexp_extract_all(text, '[㐀-鿿]')) AS cjk,
+  len(regexp_extract_all(text, '\b[A-Za-z]{{2,}}\b')) AS words, len(regexp_extract_all(text, '(?i)\b(?:{T.COMMON})\b')) AS common FROM {source}),
+s2 AS (SELECT *, ascii + cjk AS letters FROM n2),
+scores AS (SELECT {keys}, CAST(CASE WHEN letters = 0 AND words = 0 THEN 0 ELSE floor(ascii / greatest(letters, 1) * 100 + 0.5) - floor(cjk / greatest(letters, 1) * 120 + 0.5) + least(words * 2, 24) + least(common * 4, 24) - least(noise * 5, 20)
   + CASE WHEN ascii >= 18 AND cjk = 0 THEN 20 ELSE 0 END - CASE WHEN cjk >= 12 AND ascii = 0 THEN 20 ELSE 0 END - CASE WHEN ascii >= 10 AND cjk >= 10 THEN 18 WHEN ascii >= 8 AND cjk >= 4 THEN 10 ELSE 0 END END AS BIGINT) AS score,
-  CAST(CASE WHEN letters = 0 AND words = 0 THEN 0 ELSE greatest(0, greatest(0, greatest(0, least(letters + words * 4, 100) - CASE WHEN ascii >= 10 AND cjk >= 10 THEN 30 WHEN ascii >= 8 AND cjk >= 4 THEN 18 ELSE 0 END) - CASE WHEN noise >= 2 THEN 12 ELSE 0 END) - CASE WHEN words <= 1 AND common = 0 THEN 10 ELSE 0 END) END AS BIGINT) AS confidence FROM s2""",
-)
+  CAST(CASE WHEN letters = 0 AND words = 0 THEN 0 ELSE greatest(0, greatest(0, greatest(0, least(letters + words * 4, 100) - CASE WHEN ascii >= 10 AND cjk >= 10 THEN 30 WHEN ascii >= 8 AND cjk >= 4 THEN 18 ELSE 0 END) - CASE WHEN noise >= 2 THEN 12 ELSE 0 END) - CASE WHEN words <= 1 AND common = 0 THEN 10 ELSE 0 END) END AS BIGINT) AS confidence FROM s2)"""
+
+
+@query(["cues"], _scores_sql("video_id, cue_id", "cues") + " SELECT video_id, cue_id, score, confidence FROM scores")
 def english_scores(spark, sf_dir):
     text = F.col("text")
     return table(spark, sf_dir, "cues").select("video_id", "cue_id", T.english_score(text).alias("score"), T.english_confidence(text).alias("confidence"))
@@ -468,26 +470,54 @@ def _library(spark, sf_dir):
     return files.select("dir", "stem").distinct(), files.select("dir", "filename", "ext", "content")
 
 
-@query(["files"], r"""vv AS (SELECT DISTINCT dir, stem FROM files), ff AS (SELECT DISTINCT dir, filename, ext, regexp_replace(filename, '(?i)\.(srt|vtt|ass|ssa)$', '') AS base FROM files),
+_MATCHED = r"""vv AS (SELECT DISTINCT dir, stem FROM files), ff AS (SELECT DISTINCT dir, filename, ext, regexp_replace(filename, '(?i)\.(srt|vtt|ass|ssa)$', '') AS base FROM files),
 kk AS (SELECT *, lower(trim(regexp_replace(base, '^\d+\.\s*', ''))) AS k1, lower(trim(regexp_replace(regexp_replace(base, '(?i)[._-]([a-z]{2}(?:-[a-zA-Z0-9]{2,8})?)$', ''), '^\d+\.\s*', ''))) AS k2 FROM ff),
 ll AS (SELECT *, lower(trim(regexp_replace(stem, '^\d+\.\s*', ''))) AS k FROM vv),
-mm AS (SELECT ll.dir, stem, filename, ext, CASE WHEN base = stem THEN 'exact' WHEN starts_with(lower(base), lower(stem)) AND regexp_matches(substring(base, length(stem) + 1), '^(?:[._-][a-zA-Z0-9-]+)+$') THEN 'pattern' WHEN k1 = k OR k2 = k THEN 'fuzzy' END AS match_kind, CAST(abs(length(base) - length(stem)) AS BIGINT) AS name_distance FROM ll JOIN kk ON kk.dir = ll.dir)
-SELECT * FROM mm WHERE match_kind IS NOT NULL""")
+mm AS (SELECT ll.dir, stem, filename, ext, CASE WHEN base = stem THEN 'exact' WHEN starts_with(lower(base), lower(stem)) AND regexp_matches(substring(base, length(stem) + 1), '^(?:[._-][a-zA-Z0-9-]+)+$') THEN 'pattern' WHEN k1 = k OR k2 = k THEN 'fuzzy' END AS match_kind, CAST(abs(length(base) - length(stem)) AS BIGINT) AS name_distance FROM ll JOIN kk ON kk.dir = ll.dir)"""
+
+
+@query(["files"], _MATCHED + " SELECT * FROM mm WHERE match_kind IS NOT NULL")
 def match_subtitles(spark, sf_dir):
     videos, files = _library(spark, sf_dir)
     return M.match_subtitles(videos, files.select("dir", "filename", "ext")).drop("base")
 
 
-@query()
-def choose_subtitles(spark, sf_dir):
-    return jobs.choose_subtitles(*_library(spark, sf_dir))
+_SAMPLED = r"""li AS (SELECT dir, filename, ext, CASE WHEN ext = '.ass'
+  THEN list_filter(list_transform(list_filter(string_split(content, chr(10)), lambda x: starts_with(x, 'Dialogue:')), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '^Dialogue: [^,]*,[^,]*,', ''), '\{[^}]*\}', '', 'g'), '\\[Nn]', ' ', 'g'))), lambda x: x <> '')
+  ELSE list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '^$|^\d+$|^\d{2}:\d{2}:\d{2}[.,]\d{3}\s*-->|^\d{2}:\d{2}\.\d{3}\s*-->') AND NOT regexp_matches(x, '(?i)^(WEBVTT|NOTE|STYLE|REGION)\b'))[1:24] END AS lines FROM files),
+ex AS (SELECT dir, filename, len(lines) AS n, CAST(greatest(1, ceil(len(lines) / 3)) AS BIGINT) AS size, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS idx FROM li),
+t1 AS (SELECT *, idx // size AS bucket, idx % size AS off, least(n, (idx // size + 1) * size) - idx // size * size AS width FROM ex),
+t2 AS (SELECT *, CASE WHEN bucket < 3 AND off = 0 THEN bucket * 3 WHEN bucket < 3 AND off = width // 2 THEN bucket * 3 + 1 WHEN bucket < 3 AND off = width - 1 THEN bucket * 3 + 2 ELSE 9 END AS turn FROM t1),
+t3 AS (SELECT *, row_number() OVER (PARTITION BY dir, filename ORDER BY turn, idx) AS r FROM t2),
+t4 AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\[[^\]]*\]', ' ', 'g'), '\([^)]*\)', ' ', 'g'), '\{[^}]*\}', ' ', 'g'), '\s+', ' ', 'g')) AS part FROM t3 WHERE turn < 9 OR r <= 16),
+t5 AS (SELECT *, row_number() OVER w AS k, coalesce(sum(length(part)) OVER (PARTITION BY dir, filename ORDER BY turn, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM t4 WHERE regexp_matches(part, '[A-Za-z]|[㐀-鿿]') WINDOW w AS (PARTITION BY dir, filename ORDER BY turn, idx)),
+t6 AS (SELECT dir, filename, string_agg(part, ' ' ORDER BY turn, idx) AS sample FROM t5 WHERE k <= 8 AND s < 320 GROUP BY dir, filename),
+samples AS (SELECT li.dir, li.filename, li.ext, coalesce(t6.sample, '') AS text FROM li LEFT JOIN t6 USING (dir, filename)), """
+_SCORED = _SAMPLED + _scores_sql("dir, filename, ext, text", "samples")
 
 
-@query()
+@query(["files"], _SCORED + " SELECT dir, filename, ext, text AS sample, score AS language_score, confidence AS language_confidence FROM scores")
 def sample_text(spark, sf_dir):
     return M.score_files(_library(spark, sf_dir)[1])
 
 
+@query(
+    ["files"],
+    _MATCHED
+    + ", "
+    + _SCORED
+    + rf""", cc AS (SELECT dir, stem, filename, ext, match_kind, name_distance FROM mm WHERE match_kind IS NOT NULL
+  UNION ALL SELECT v.dir, v.stem, f.filename, f.ext, 'lone', NULL FROM (SELECT dir, min(stem) AS stem FROM vv GROUP BY dir HAVING count(*) = 1) v
+    JOIN (SELECT dir, min(filename) AS filename, min(ext) AS ext FROM ff GROUP BY dir HAVING count(*) = 1) f USING (dir)),
+jj AS (SELECT cc.*, score, confidence, regexp_replace(cc.filename, '(?i)\.(srt|vtt|ass|ssa)$', '') AS base FROM cc JOIN scores USING (dir, filename) WHERE match_kind <> 'lone' OR (score >= 12 AND confidence >= 18)),
+oo AS (SELECT *, row_number() OVER (PARTITION BY dir, stem ORDER BY match_kind = 'lone', score DESC, confidence DESC, regexp_matches(base, '{T.EN_TAG}') DESC, regexp_matches(base, '{T.ZH_TAG}'), CASE ext WHEN '.vtt' THEN 3 WHEN '.srt' THEN 2 ELSE 1 END DESC,
+  CASE match_kind WHEN 'exact' THEN 4 WHEN 'pattern' THEN 3 ELSE 2 END DESC, name_distance, lower(filename), filename) AS r FROM jj)
+SELECT dir, stem, filename, match_kind FROM oo WHERE r = 1""",
+)
+def choose_subtitles(spark, sf_dir):
+    return jobs.choose_subtitles(*_library(spark, sf_dir))
+
+
 @query(["files"], r"""SELECT DISTINCT dir, filename, regexp_replace(filename, '(?i)\.(srt|vtt|ass|ssa)$', '') AS base, lower(trim(regexp_replace(filename, '^\d+\.\s*', ''))) AS lesson_key,
 regexp_matches(filename, '(?i)(?:^|[._-])(en|eng|en-us|en-gb|english)(?:$|[._-])') AS en, regexp_matches(filename, '(?i)(?:^|[._-])(zh|zho|chi|chs|cht|cn|zh-cn|zh-hans|zh-hant|chinese)(?:$|[._-])') AS zh FROM files""")
 def file_name_rules(spark, sf_dir):

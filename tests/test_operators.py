@@ -15,7 +15,7 @@ from cueloom.sources import subtitles as S
 TABLES = ["documents", "conversations", "orders", "lineitem", "events"]
 
 
-@pytest.mark.parametrize("name", ["group_by_gap", "segment_budgets", "split_overlong_cues", "merge_chunk_votes", "text_guards", "resolve_attempts", "track_layout", "match_subtitles", "render_srt", "fold_task_events", "render_ass", "parse_ass", "task_snapshots", "probe_metadata", "group_by_votes", "fold_task_log", "output_names", "classify_errors", "throttle_progress", "subtitle_files", "read_subtitle_files", "cache_entries", "overlapping_pairs", "parse_odd_srt", "parse_odd_ass", "parse_ass_time", "word_boundaries", "merge_cue_snapshots", "retry_plan", "startable_tasks", "task_summary", "alignment_segments", "alignment_metrics", "apply_glossary", "run_batches"])
+@pytest.mark.parametrize("name", ["group_by_gap", "segment_budgets", "split_overlong_cues", "merge_chunk_votes", "text_guards", "resolve_attempts", "track_layout", "match_subtitles", "render_srt", "fold_task_events", "render_ass", "parse_ass", "task_snapshots", "probe_metadata", "group_by_votes", "fold_task_log", "output_names", "classify_errors", "throttle_progress", "subtitle_files", "read_subtitle_files", "cache_entries", "overlapping_pairs", "parse_odd_srt", "parse_odd_ass", "parse_ass_time", "word_boundaries", "merge_cue_snapshots", "retry_plan", "startable_tasks", "task_summary", "alignment_segments", "alignment_metrics", "apply_glossary", "run_batches", "sample_text", "choose_subtitles", "english_scores"])
 def test_same_rows_as_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -324,3 +324,13 @@ def test_errors_without_a_message(spark):
     rows = spark.createDataFrame([(m,) for m in ("Error", "error", "AggregateError", "", None, "Error: x")], "m string")
     got = [(r.c.reason, r.c.action) for r in rows.select(T.classify_error(F.lit("odd"), F.col("m")).alias("c")).collect()]
     assert got == [("failed", "see the log")] * 5 + [("Error: x", None)]
+
+
+def test_lone_files_are_taken_only_if_they_are_english_and_nothing_matches(spark):
+    from cueloom.plans import jobs
+
+    english, other = "The lesson goes on with what you know.\n" * 12, "这是一个句子没有英文\n" * 12
+    files = [("a", "x.srt", ".srt", english), ("b", "x.srt", ".srt", other), ("c", "v.zh.srt", ".srt", other), ("d", "x.srt", ".srt", english), ("d", "y.srt", ".srt", english), ("e", "x.srt", ".srt", english), ("f", "v.srt", ".srt", None)]
+    videos = [(d, "v") for d in "abcdf"] + [("e", "v"), ("e", "w")]
+    made = jobs.choose_subtitles(spark.createDataFrame(videos, "dir string, stem string"), spark.createDataFrame(files, "dir string, filename string, ext string, content string"))
+    assert sorted(map(tuple, made.collect())) == [("a", "v", "x.srt", "lone"), ("c", "v", "v.zh.srt", "pattern"), ("f", "v", "v.srt", "exact")]
