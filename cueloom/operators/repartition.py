@@ -152,20 +152,30 @@ def repartition_cues(cues: DataFrame, segments: DataFrame, splits: DataFrame | N
     """Display cues: each segment's text cut anew (or by `splits(video_id, segment_id, lines)`) and timed
     by length; cues of no segment pass through; a segment without text loses its cues."""
     each = segments.select("video_id", "segment_id", F.posexplode("cue_ids").alias("k", "cue_id"))
-    claimed = each.join(cues, ["video_id", "cue_id"])
-    rows = claimed.groupBy("video_id", "segment_id").agg(F.sort_array(F.collect_list(F.struct("k", "start_us", "end_us", "text"))).alias("c"))
-    rows = rows.select("video_id", "segment_id", F.element_at("c", 1)["start_us"].alias("start_us"), F.element_at("c", -1)["end_us"].alias("end_us"), T.join_for_speech(F.col("c.text")).alias("joined"))
-    parts = partition_sentences("joined")
+    top = F.greatest(F.lit(0), F.max("cue_id").over(Window.partitionBy("video_id")))
+    lone = F.col("segment_id").isNull()
+    # one join gives both the segments' cues and, as groups of their own, those of none
+    rows = cues.select("video_id", "cue_id", "start_us", "end_us", "text", top.alias("top")).join(each, ["video_id", "cue_id"], "left")
+    rows = rows.groupBy("video_id", "segment_id", F.when(lone, F.col("cue_id")).alias("own")).agg(F.sort_array(F.collect_list(F.struct("k", "start_us", "end_us", "text"))).alias("c"), F.max("top").alias("top"))
+    rows = rows.withColumn("start_us", F.element_at("c", 1)["start_us"]).withColumn("end_us", F.element_at("c", -1)["end_us"])
+    parts = partition_sentences(F.when(~lone, T.join_for_speech(F.col("c.text"))))
     if splits is not None:
         rows = rows.join(splits.select("video_id", "segment_id", "lines"), ["video_id", "segment_id"], "left")
         parts = F.when(F.size("lines") > 0, F.col("lines")).otherwise(parts)
     rows = rows.withColumn("p", balance_parts(parts, F.greatest(F.lit(0), F.col("end_us") - F.col("start_us"))))
-    timed = allocate_timings(rows.select("video_id", "segment_id", "start_us", "end_us", F.posexplode("p").alias("idx", "text")), ["video_id", "segment_id"])
-    top = cues.groupBy("video_id").agg(F.greatest(F.lit(0), F.max("cue_id")).alias("top"))
-    number = F.row_number().over(Window.partitionBy("video_id").orderBy("segment_id", "idx"))
-    new = timed.join(top, "video_id").select("video_id", (F.col("top") + number).cast("long").alias("cue_id"), F.col("part_start_us").alias("start_us"), F.col("part_end_us").alias("end_us"), "text")
-    rest = cues.join(each.select("video_id", "cue_id"), ["video_id", "cue_id"], "left_anti").select("video_id", "cue_id", "start_us", "end_us", "text")
-    return new.unionByName(rest)
+    part = lambda text, start, end: F.struct(text.alias("text"), start.alias("start_us"), end.alias("end_us"))
+    shown = F.when(lone, F.transform("c", lambda x: part(x["text"], x["start_us"], x["end_us"]))).otherwise(F.transform("p", lambda t: part(t, F.col("start_us"), F.col("end_us"))))
+    key = ["video_id", "segment_id", "own"]
+    rows = allocate_timings(rows.select(*key, "top", F.posexplode(shown).alias("idx", "x")).select(*key, "top", "idx", "x.*"), key)
+    number = F.row_number().over(Window.partitionBy("video_id").orderBy(F.asc_nulls_last("segment_id"), "idx"))
+    fresh = lambda own, new: F.when(lone, own).otherwise(new)
+    return rows.select(
+        "video_id",
+        fresh(F.col("own"), F.col("top") + number).cast("long").alias("cue_id"),
+        fresh(F.col("start_us"), F.col("part_start_us")).alias("start_us"),
+        fresh(F.col("end_us"), F.col("part_end_us")).alias("end_us"),
+        "text",
+    )
 
 
 _WEAK = re.compile(r"[\W_]", re.U)

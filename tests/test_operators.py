@@ -334,3 +334,36 @@ def test_lone_files_are_taken_only_if_they_are_english_and_nothing_matches(spark
     videos = [(d, "v") for d in "abcdf"] + [("e", "v"), ("e", "w")]
     made = jobs.choose_subtitles(spark.createDataFrame(videos, "dir string, stem string"), spark.createDataFrame(files, "dir string, filename string, ext string, content string"))
     assert sorted(map(tuple, made.collect())) == [("a", "v", "x.srt", "lone"), ("c", "v", "v.zh.srt", "pattern"), ("f", "v", "v.srt", "exact")]
+
+
+def test_repartitioned_cues_match_a_plain_version(spark):
+    rng = np.random.default_rng(11)
+    words = ["你好。", "这是一个句子，", "很长的一句话没有标点", "hello ", "world. ", "", "😀！", "吗？"]
+    cues, segments, at = [], [], 0
+    for k in range(90):
+        length = int(rng.integers(1, 60)) * 100_000
+        cues.append((k % 3, k * 2 - 20, k, at, at + length, "".join(rng.choice(words, int(rng.integers(0, 9))))))
+        at += length
+    cues += [(0, 500, 90, 5, 9, "twice"), (0, 500, 91, 5, 9, "twice")]  # of no segment
+    for v in range(3):
+        ids = [c[1] for c in cues[:90] if c[0] == v]
+        segments += [(v, k // 4, ids[k : k + 4] + ([9999] if k == 8 else [])) for k in range(0, 24, 4)]
+    got = R.repartition_cues(spark.createDataFrame(cues, "video_id long, cue_id long, pos long, start_us long, end_us long, text string"), spark.createDataFrame(segments, "video_id long, segment_id long, cue_ids array<long>"))
+    want, claimed = [], {(v, c) for v, _, ids in segments for c in ids}
+    for v in range(3):
+        by_id, number = {c[1]: c for c in cues if c[0] == v}, max(0, *[c[1] for c in cues if c[0] == v])
+        for _, _, ids in sorted(s for s in segments if s[0] == v):
+            own = [by_id[i] for i in ids if i in by_id]
+            joined = ""
+            for t in (c[5].strip() for c in own):
+                stick = joined and t and R._WORD.match(joined[-1]) and R._WORD.match(t[0])
+                joined += (" " if stick else "") + t
+            parts = R.balanced(R.partition_text(joined), own[-1][4] - own[0][3])
+            sizes, done = [len(p.encode("utf-16-le")) // 2 for p in parts], 0
+            for k, p in enumerate(parts):
+                number += 1
+                span = own[-1][4] - own[0][3]
+                a, done = done, done + sizes[k]
+                want.append((v, number, own[0][3] + int(span * a / sum(sizes) + 0.5), own[-1][4] if k == len(parts) - 1 else own[0][3] + int(span * done / sum(sizes) + 0.5), p))
+        want += [(v, c[1], c[3], c[4], c[5]) for c in cues if c[0] == v and (v, c[1]) not in claimed]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
