@@ -94,26 +94,37 @@ def time_windows(spark, sf_dir):
     return C.time_windows(_segments(spark, sf_dir), _videos(cues)).select("video_id", "segment_id", "start_us", "deadline_us", "window_us")
 
 
-@query(
-    ["cues"],
-    _RISK
-    + """ SELECT video_id, segment_id, start_us, deadline_us, window_us, CAST(b AS BIGINT) AS budget_chars, risk,
-  CAST(greatest(1, b + least(CASE risk WHEN 'high' THEN 2 WHEN 'medium' THEN 4 ELSE 6 END, greatest(1, ceil(b * CASE risk WHEN 'high' THEN 0.02 WHEN 'medium' THEN 0.05 ELSE 0.1 END)))) AS BIGINT) AS max_chars FROM u""",
-    True,
-)
+_MAX_CHARS = """CAST(greatest(1, b + least(CASE risk WHEN 'high' THEN 2 WHEN 'medium' THEN 4 ELSE 6 END, greatest(1, ceil(b * CASE risk WHEN 'high' THEN 0.02 WHEN 'medium' THEN 0.05 ELSE 0.1 END)))) AS BIGINT) AS max_chars FROM u"""
+
+
+@query(["cues"], _RISK + " SELECT video_id, segment_id, start_us, deadline_us, window_us, CAST(b AS BIGINT) AS budget_chars, risk, " + _MAX_CHARS, True)
 def segment_budgets(spark, sf_dir):
     cues = table(spark, sf_dir, "cues")
     rows = jobs.with_budgets(C.time_windows(_segments(spark, sf_dir), _videos(cues)))
     return rows.select("video_id", "segment_id", "start_us", "deadline_us", "window_us", "budget_chars", "risk", "max_chars")
 
 
-@query()
+_SPLIT = r""",
+pl AS (SELECT *, row_number() OVER v - 1 AS k, count(*) OVER (PARTITION BY video_id, group_no) AS m, start_us - lag(end_us) OVER v AS gap, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS outer_n,
+  length(trim(regexp_replace(regexp_replace(rtrim(text), '[,;:\-–—]+$', ''), '\s+', ' ', 'g'))) AS inner_n FROM g WINDOW v AS (PARTITION BY video_id, group_no ORDER BY start_us, pos)),
+rg AS (SELECT video_id, group_no, CAST(0 AS BIGINT) AS a, m AS b FROM pl WHERE k = 0
+  UNION ALL SELECT video_id, group_no, unnest([a, cut.k]) AS a, unnest([cut.k, b]) AS b FROM (
+    SELECT rg.video_id, rg.group_no, rg.a, rg.b, min(struct_pack(g := -greatest(gap, -1), k := k)) FILTER (k > rg.a) AS cut, count(*) AS n, max(end_us) FILTER (k = rg.b - 1) - min(start_us) FILTER (k = rg.a) AS span,
+      sum(CASE WHEN k < rg.b - 1 THEN inner_n ELSE outer_n END) + count(*) FILTER (CASE WHEN k < rg.b - 1 THEN inner_n ELSE outer_n END > 0) - 1 AS chars
+    FROM rg JOIN pl ON pl.video_id = rg.video_id AND pl.group_no = rg.group_no AND pl.k >= rg.a AND pl.k < rg.b GROUP BY rg.video_id, rg.group_no, rg.a, rg.b)
+  WHERE n > 1 AND (span > 30000000 OR chars > 320)),
+lf AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY group_no, a) - 1 AS no FROM rg r WHERE NOT EXISTS (SELECT 1 FROM rg c WHERE c.video_id = r.video_id AND c.group_no = r.group_no AND c.a = r.a AND c.b < r.b)),
+sg AS (SELECT pl.video_id, cue_id, pos, start_us, end_us, text, no AS group_no FROM pl JOIN lf ON lf.video_id = pl.video_id AND lf.group_no = pl.group_no AND pl.k >= lf.a AND pl.k < lf.b)"""
+_PLANNED = _RISK.replace(_GROUPS, _GROUPS + _SPLIT, 1).replace("AS last_pos FROM g)", "AS last_pos FROM sg)", 1)
+
+
+@query(["cues"], _PLANNED + " SELECT video_id, segment_id, cue_ids, start_us, end_us, text_en, deadline_us, window_us, CAST(b AS BIGINT) AS budget_chars, risk, " + _MAX_CHARS, True)
 def plan_segments(spark, sf_dir):
     cues = table(spark, sf_dir, "cues")
     return _flat(jobs.plan_segments(cues, _videos(cues)), "cue_ids")
 
 
-@query()
+@query(["cues"], _GROUPS + _SPLIT + " SELECT video_id, cue_id, pos, start_us, end_us, text, group_no FROM sg", True)
 def split_large_groups(spark, sf_dir):
     return C.split_large_groups(C.group_by_gap(table(spark, sf_dir, "cues")))
 
