@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -374,10 +375,13 @@ def display_splits(spark, sf_dir):
     return X.cached_splits(segments, cache)[0].select("video_id", "segment_id", "key", F.array_join("lines", "|").alias("lines"))
 
 
-@query(["segments", "takes"], """j AS (SELECT t.*, s.window_us FROM takes t JOIN segments s USING (video_id, segment_id)),
+_TAKEN = """j AS (SELECT t.*, s.window_us FROM takes t JOIN segments s USING (video_id, segment_id)),
 ft AS (SELECT video_id, segment_id, min(attempt_no) AS attempt_no FROM j WHERE duration_us <= window_us GROUP BY 1, 2),
-sh AS (SELECT video_id, segment_id, arg_min(attempt_no, duration_us * 1000 + attempt_no) AS attempt_no FROM j GROUP BY 1, 2)
-SELECT sh.video_id, sh.segment_id, coalesce(ft.attempt_no, sh.attempt_no) AS attempt_no, j.duration_us, ft.attempt_no IS NULL AS clip FROM sh LEFT JOIN ft ON ft.video_id = sh.video_id AND ft.segment_id = sh.segment_id JOIN j ON j.video_id = sh.video_id AND j.segment_id = sh.segment_id AND j.attempt_no = coalesce(ft.attempt_no, sh.attempt_no)""")
+sh AS (SELECT video_id, segment_id, arg_min(attempt_no, duration_us * 1000 + attempt_no) AS attempt_no FROM j GROUP BY 1, 2),
+tk AS (SELECT sh.video_id, sh.segment_id, coalesce(ft.attempt_no, sh.attempt_no) AS attempt_no, j.duration_us, ft.attempt_no IS NULL AS clip FROM sh LEFT JOIN ft ON ft.video_id = sh.video_id AND ft.segment_id = sh.segment_id JOIN j ON j.video_id = sh.video_id AND j.segment_id = sh.segment_id AND j.attempt_no = coalesce(ft.attempt_no, sh.attempt_no))"""
+
+
+@query(["segments", "takes"], _TAKEN + " SELECT video_id, segment_id, attempt_no, duration_us, clip FROM tk")
 def select_take(spark, sf_dir):
     return A.select_take(table(spark, sf_dir, "takes"), table(spark, sf_dir, "segments"))
 
@@ -470,12 +474,59 @@ def trimmed_takes(spark, sf_dir):
     return made.select("video_id", "segment_id", "t.first_sample", "t.last_sample")
 
 
-@query()
+def _laid_out(segments: str, sized: str, cut_us: int) -> str:
+    """CTEs n3, tt and rr: the layout of sized(video_id, segment_id, n_samples) in a track that ends cut_us before the last deadline."""
+    return f"""n3 AS (SELECT s.video_id, s.segment_id, row_number() OVER (PARTITION BY s.video_id ORDER BY s.segment_id) AS i, CAST(floor(start_us * 48000 / 1000000 + 0.5) AS BIGINT) AS st, CAST(floor(deadline_us * 48000 / 1000000 + 0.5) AS BIGINT) AS dl, coalesce(n_samples, 0) AS len FROM {segments} s LEFT JOIN {sized} t ON t.video_id = s.video_id AND t.segment_id = s.segment_id),
+tt AS (SELECT video_id, CAST(ceil((max(deadline_us) - {cut_us}) / 1000000.0 * 48000) AS BIGINT) AS total FROM {segments} GROUP BY 1),
+rr AS (SELECT video_id, segment_id, i, st AS place, len, greatest(st + len, dl) AS cursor FROM n3 WHERE i = 1 UNION ALL SELECT n3.video_id, n3.segment_id, n3.i, greatest(n3.st, rr.cursor), n3.len, greatest(greatest(n3.st, rr.cursor) + n3.len, n3.dl) FROM rr JOIN n3 ON n3.video_id = rr.video_id AND n3.i = rr.i + 1),
+laid AS (SELECT rr.video_id, segment_id, place, len, total, CAST(greatest(0, least(len, total - place)) AS BIGINT) AS written FROM rr JOIN tt ON tt.video_id = rr.video_id)"""
+
+
+@query(
+    ["segments", "takes"],
+    _TAKEN
+    + ", sz AS (SELECT tk.video_id, tk.segment_id, attempt_no, clip, CAST(floor(CASE WHEN clip THEN least(duration_us, window_us) ELSE duration_us END * 48000 / 1000000 + 0.5) AS BIGINT) AS n_samples FROM tk JOIN segments USING (video_id, segment_id)), "
+    + _laid_out("segments", "sz", 0)
+    + " SELECT sz.*, place, written FROM sz JOIN laid USING (video_id, segment_id)",
+    True,
+)
 def finish_track(spark, sf_dir):
     segments = table(spark, sf_dir, "segments")
     return jobs.finish(segments, table(spark, sf_dir, "takes"), segments.groupBy("video_id").agg(F.max("deadline_us").alias("duration_us")))
 
 
+@query(
+    ["segments", "takes"],
+    _TAKEN
+    + """, ss AS (SELECT video_id, segment_id, start_us // 100 AS start_us, deadline_us // 100 AS deadline_us FROM segments),
+sz AS (SELECT video_id, segment_id, segment_id % 20001 - 10000 AS level, CAST(floor(duration_us // 100 * 48000 / 1000000 + 0.5) AS BIGINT) AS n_samples FROM tk), """
+    + _laid_out("ss", "sz", 1007)
+    + """, sm AS (SELECT laid.video_id, place, len, level, unnest(range(written)) AS i, least(480, len // 2) AS n FROM laid JOIN sz USING (video_id, segment_id) WHERE written > 0),
+sb AS (SELECT video_id, (place + i) // 48000 AS block, sum(CAST(floor(level * CASE WHEN i < n THEN i / n WHEN i >= len - n THEN (len - 1 - i) / n ELSE 1 END + 0.5) AS BIGINT)) AS s,
+  sum(CAST(floor(level * CASE WHEN i < n THEN i / n WHEN i >= len - n THEN (len - 1 - i) / n ELSE 1 END + 0.5) AS BIGINT) * ((place + i) % 48000)) AS w FROM sm GROUP BY 1, 2),
+gr AS (SELECT video_id, total, unnest(range(CAST(ceil(total / 48000) AS BIGINT))) AS block FROM tt)
+SELECT gr.video_id, gr.block, least(48000, total - gr.block * 48000) AS n_samples, CAST(coalesce(s, 0) AS BIGINT) AS total, CAST(coalesce(w, 0) AS BIGINT) AS weighted FROM gr LEFT JOIN sb USING (video_id, block)""",
+    True,
+)
+def assemble_track(spark, sf_dir):
+    """Tracks of a hundredth of the length, in blocks of a second, of takes that hold one level each; samples are summed,
+    also by their places."""
+    segments = table(spark, sf_dir, "segments").withColumns({c: F.floor(F.col(c) / 100).cast("long") for c in ("start_us", "deadline_us")})
+    takes = A.select_take(table(spark, sf_dir, "takes"), table(spark, sf_dir, "segments")).withColumn("n_samples", A.samples_of(F.floor(F.col("duration_us") / 100)))
+    videos = segments.groupBy("video_id").agg((F.max("deadline_us") - 1007).alias("duration_us"))
+    level = F.pmod(F.col("segment_id") % 20001 - 10000, F.lit(65536))
+    sample = F.concat(F.lpad(F.hex(level % 256), 2, "0"), F.lpad(F.hex(F.floor(level / 256)), 2, "0"))
+    pcm = F.unhex(F.repeat(sample, F.col("n_samples").cast("int")))
+    blocks = A.assemble_track(A.track_layout(segments, takes, videos), takes.select("video_id", "segment_id", pcm.alias("pcm")), videos, block_s=1)
+
+    def summed(batches):
+        for b in batches:
+            x = [np.frombuffer(p, "<i2").astype(np.int64) for p in b["pcm"]]
+            yield b[["video_id", "block"]].assign(n_samples=[len(v) for v in x], total=[int(v.sum()) for v in x], weighted=[int((v * np.arange(len(v))).sum()) for v in x])
+
+    return blocks.mapInPandas(summed, "video_id long, block long, n_samples long, total long, weighted long")
+
+
 def _library(spark, sf_dir):
     files = table(spark, sf_dir, "files").dropDuplicates(["dir", "filename"])
     return files.select("dir", "stem").distinct(), files.select("dir", "filename", "ext", "content")

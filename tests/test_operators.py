@@ -15,7 +15,7 @@ from cueloom.sources import subtitles as S
 TABLES = ["documents", "conversations", "orders", "lineitem", "events"]
 
 
-@pytest.mark.parametrize("name", ["group_by_gap", "segment_budgets", "split_overlong_cues", "merge_chunk_votes", "text_guards", "resolve_attempts", "track_layout", "match_subtitles", "render_srt", "fold_task_events", "render_ass", "parse_ass", "task_snapshots", "probe_metadata", "group_by_votes", "fold_task_log", "output_names", "classify_errors", "throttle_progress", "subtitle_files", "read_subtitle_files", "cache_entries", "overlapping_pairs", "parse_odd_srt", "parse_odd_ass", "parse_ass_time", "word_boundaries", "merge_cue_snapshots", "retry_plan", "startable_tasks", "task_summary", "alignment_segments", "alignment_metrics", "apply_glossary", "run_batches", "sample_text", "choose_subtitles", "english_scores"])
+@pytest.mark.parametrize("name", ["group_by_gap", "segment_budgets", "split_overlong_cues", "merge_chunk_votes", "text_guards", "resolve_attempts", "track_layout", "match_subtitles", "render_srt", "fold_task_events", "render_ass", "parse_ass", "task_snapshots", "probe_metadata", "group_by_votes", "fold_task_log", "output_names", "classify_errors", "throttle_progress", "subtitle_files", "read_subtitle_files", "cache_entries", "overlapping_pairs", "parse_odd_srt", "parse_odd_ass", "parse_ass_time", "word_boundaries", "merge_cue_snapshots", "retry_plan", "startable_tasks", "task_summary", "alignment_segments", "alignment_metrics", "apply_glossary", "run_batches", "sample_text", "choose_subtitles", "english_scores", "finish_track", "assemble_track", "split_large_groups"])
 def test_same_rows_as_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
