@@ -7,10 +7,10 @@ text, so that each block is judged in the context of the whole page.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -53,7 +53,93 @@ OTHER_PARTS = {
 }
 _NOT_MAIN = {"nav", "aside", "footer", "header", "form", "head", "title", "button", "select", "textarea", "noscript"} | {t for names in OTHER_PARTS.values() for n in names for t in re.split(r"[. -]", n)} - {"div", "ul", "ol", "section", "site", "top", "bottom", "body", "page", "list", "post", "posts", "text", "links", "meta", "tags", "toc", "li"}
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|iframe|noembed|noframes|xmp)(?=[\s/>])((?:"[^"]*+"|'[^']*+'|[^'">]++)*+)>(.*?)(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*+"|'[^']*+'|[^'">]++)*+)>|<[!?][^>]*(?:>|\Z)|</[^A-Za-z][^>]*>|</?[A-Za-z](?:"[^"]*+"|'[^']*+'|[^'"<>]++)*+(?:["'][^<>]*+)?(?:>|\Z)""", re.S | re.I)
+_RAW = re.compile(r"<(script|style|template|iframe|noembed|noframes|xmp)(?=[\s/>])", re.I)
+_TAG, _NAME_END, _SPECIAL = re.compile(r"<(/?)([A-Za-z])"), re.compile(r"[\s/>]"), re.compile(r"""["'<>]""")
+
+
+class _Markup:
+    """The markup of a page, from its start to its end in one go: where tags end behind whole quotes is worked out
+    once for all places, from the page's end back."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.places = places = [m.start() for m in _SPECIAL.finditer(page)]
+        n = len(places)
+        #: By special letter: the end of a tag that goes on there outside of quotes (None: it has none); the end of what
+        #: is left out for a tag that has none (-1: nothing is).
+        self.tag_end: list[int | None] = [None] * (n + 1)
+        self.rest_end: list[int] = [-1] * n + [len(page)]
+        after = {'"': n, "'": n}  # the next quote of a kind
+        angle = n  # the next < or >
+        self.quote = [n] * (n + 1)  # the next quote of any kind
+        for k in range(n - 1, -1, -1):
+            c = page[places[k]]
+            if c == ">":
+                self.tag_end[k] = self.rest_end[k] = places[k] + 1
+            elif c == "<":
+                self.tag_end[k] = self.tag_end[k + 1]
+            elif (other := after[c]) < n:
+                self.tag_end[k], self.rest_end[k] = self.tag_end[other + 1], self.rest_end[other + 1]
+            else:
+                self.rest_end[k] = len(page) if angle == n else places[angle] + 1 if page[places[angle]] == ">" else -1
+            if c in after:
+                after[c] = k
+            else:
+                angle = k
+            self.quote[k] = min(after.values())
+        self.name_end = 0
+
+    def _from(self, at: int) -> int:
+        return bisect.bisect_left(self.places, at)
+
+    def _name_ends(self, at: int) -> int:
+        if self.name_end < at:
+            m = _NAME_END.search(self.page, at)
+            self.name_end = m.start() if m else len(self.page)
+        return self.name_end
+
+    def _raw(self, start: int) -> tuple | None:
+        """An element whose content isn't markup: start, end, name, attributes, content."""
+        if not (m := _RAW.match(self.page, start)) or (end := self.tag_end[self._from(m.end())]) is None:
+            return None
+        close = re.compile(rf"</{m[1]}(?=[\s/>])", re.I).search(self.page, end)
+        stop = self.page.find(">", close.end()) if close else -1
+        upto, after = (len(self.page), len(self.page)) if stop < 0 else (close.start(), stop + 1)
+        return start, after, m[1], self.page[m.end() : end - 1], self.page[end:upto], "", "", ""
+
+    def __iter__(self) -> Iterator[tuple]:
+        """(start, end, raw name, its attributes, its content, slash, name, attributes) of each tag; of comments and the
+        like, and of tags that are left out, start and end only."""
+        page, at = self.page, 0
+        last_angle = page.rfind(">")
+        while (start := page.find("<", at)) >= 0:
+            found = None
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                found = (start, len(page) if end < 0 else end + 3, "", "", "", "", "", "")
+            elif m := _TAG.match(page, start):
+                found = self._raw(start)
+                if found is None:
+                    name = self._name_ends(m.end())
+                    end = self.tag_end[self._from(name)]
+                    if end is None and (k := self.quote[self._from(m.end())]) < len(self.places) and self.places[k] < name:
+                        name, end = self.places[k], self.tag_end[k]  # the name ends before its first quote
+                    if end is not None:
+                        found = (start, end, "", "", "", m[1], page[m.end() - 1 : name], page[name : end - 1])
+                    elif (end := self.rest_end[self._from(m.end())]) >= 0:
+                        found = (start, end, "", "", "", "", "", "")
+            elif page[start + 1 : start + 2] in ("!", "?"):
+                end = page.find(">", start + 2)
+                found = (start, len(page) if end < 0 else end + 1, "", "", "", "", "", "")
+            elif page[start + 1 : start + 2] == "/" and start + 3 <= last_angle:
+                found = (start, page.find(">", start + 3) + 1, "", "", "", "", "", "")
+            if found is None:
+                at = start + 1
+            else:
+                yield found
+                at = found[1]
+
+
 _UNQUOTED_END = re.compile(r"""=\s*[^\s"'=]*/\Z""")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -91,7 +177,9 @@ def read_blocks(page: str | None) -> list[Block]:
     links = linked = foreign = hidden = 0
     paths: list[tuple[str, ...]] = [()]  # of the elements on the stack that open blocks
     leaves: list[str] = [""]
-    opened: Counter[str] = Counter()  # how often a tag is on the stack
+    places: dict[str, list[int]] = {}  # of a tag on the stack
+    opens: list[int] = []  # places of elements that open blocks
+    roots: list[int] = []  # places of elements of SVG and MathML that change how content is read
 
     def flush() -> None:
         nonlocal linked
@@ -106,18 +194,25 @@ def read_blocks(page: str | None) -> list[Block]:
         nonlocal links, foreign, hidden
         for tag, names in stack[k:]:
             links -= tag == "a"
-            opened[tag] -= 1
+            places[tag].pop()
             if names:
                 paths.pop()
                 leaves.pop()
+                opens.pop()
+        while roots and roots[-1] >= k:
+            roots.pop()
         if foreign:
             foreign -= sum(tag in FOREIGN for tag, _ in stack[k:])
             hidden -= sum(names is None for _, names in stack[k:])
         del stack[k:]
 
     def push(tag: str, names: tuple[str, ...] | None) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag in FOREIGN or tag in HOLDS_HTML:
+            roots.append(len(stack))
+        if names:
+            opens.append(len(stack))
         stack.append((tag, names))
-        opened[tag] += 1
         if names:
             last = paths[-1]
             more = tuple(dict.fromkeys(n for n in names if n not in last))
@@ -126,14 +221,13 @@ def read_blocks(page: str | None) -> list[Block]:
 
     def root() -> int | None:
         """Place of the svg or math whose content the innermost element is."""
-        k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in FOREIGN or stack[k][0] in HOLDS_HTML), None)
-        return k if k is not None and stack[k][0] in FOREIGN else None
+        return roots[-1] if roots and stack[roots[-1]][0] in FOREIGN else None
 
     def open_block(tag: str, attributes: str) -> None:
         flush()
-        if tag in CLOSES_P and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][1]), None)) is not None and stack[k][0] == "p":
-            close(k)
-        if tag in SAME_END and any(opened[t] for t in SAME_END[tag]):
+        if tag in CLOSES_P and opens and stack[opens[-1]][0] == "p":
+            close(opens[-1])
+        if tag in SAME_END and any(places.get(t) for t in SAME_END[tag]):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in SCOPES[tag]:
                     break
@@ -144,28 +238,28 @@ def read_blocks(page: str | None) -> list[Block]:
             push(tag, _names(tag, attributes))
 
     at = 0
-    for m in _MARKUP.finditer(page):
-        if m.start() > at and not hidden:
-            text.append(page[at : m.start()])
+    for start, end, raw, raw_attributes, content, slash, name, attributes in _Markup(page):
+        if start > at and not hidden:
+            text.append(page[at:start])
             if links:
-                linked += m.start() - at
-        at = m.end()
-        if m[1] and m[1].lower() == "xmp":
+                linked += start - at
+        at = end
+        if raw.lower() == "xmp":
             if foreign and (k := root()) is not None:
                 flush()
                 close(k)
-            open_block("xmp", m[2])
-            text.append(m[3].replace("&", "&amp;"))
-            linked += len(m[3]) if links else 0
+            open_block("xmp", raw_attributes)
+            text.append(content.replace("&", "&amp;"))
+            linked += len(content) if links else 0
             flush()
             close(len(stack) - 1)
             continue
-        if not m[5]:
+        if not name:
             continue
-        tag = m[5].lower()
-        if m[4]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None) if opened[tag] else None
-            ends_blocks = k is not None and any(names for _, names in stack[k:])
+        tag = name.lower()
+        if slash:
+            k = places[tag][-1] if places.get(tag) else None
+            ends_blocks = k is not None and bool(opens) and opens[-1] >= k
             if tag in INLINE:
                 if ends_blocks:
                     continue  # an inline end tag doesn't close blocks
@@ -183,7 +277,7 @@ def read_blocks(page: str | None) -> list[Block]:
             kind = tag if tag in FOREIGN else stack[k][0]
             if tag not in FOREIGN and tag not in INLINE and tag not in ("tspan", "textpath"):
                 text.append(" ")  # texts of different elements are different words
-            if m[6].endswith("/") and not _UNQUOTED_END.search(m[6]):
+            if attributes.endswith("/") and not _UNQUOTED_END.search(attributes):
                 continue
             if tag not in INLINE:
                 foreign += tag in FOREIGN
@@ -198,7 +292,7 @@ def read_blocks(page: str | None) -> list[Block]:
                     links += 1
                 push(tag, ())
             continue
-        open_block(tag, m[6])
+        open_block(tag, attributes)
     if at < len(page) and not hidden:
         text.append(page[at:])
     flush()
