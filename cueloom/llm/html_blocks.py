@@ -54,6 +54,9 @@ OTHER_PARTS = {
 _NOT_MAIN = {"nav", "aside", "footer", "header", "form", "head", "title", "button", "select", "textarea", "noscript"} | {t for names in OTHER_PARTS.values() for n in names for t in re.split(r"[. -]", n)} - {"div", "ul", "ol", "section", "site", "top", "bottom", "body", "page", "list", "post", "posts", "text", "links", "meta", "tags", "toc", "li"}
 
 _RAW = re.compile(r"<(script|style|template|iframe|noembed|noframes|xmp)(?=[\s/>])", re.I)
+_RAW_NAMES = {"script", "style", "template", "iframe", "noembed", "noframes", "xmp"}
+#: A whole tag without < or > in its quotes: most are, and no attempt reads past the next of these letters.
+_PLAIN = re.compile(r"""<(/?)([A-Za-z][^\s/<>"']*)(?=[\s/>])((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
 _TAG, _NAME_END, _SPECIAL = re.compile(r"<(/?)([A-Za-z])"), re.compile(r"[\s/>]"), re.compile(r"""["'<>]""")
 
 
@@ -62,7 +65,10 @@ class _Markup:
     once for all places, from the page's end back."""
 
     def __init__(self, page: str):
-        self.page = page
+        self.page, self.places, self.name_end = page, None, 0
+
+    def _look(self) -> None:
+        page = self.page
         self.places = places = [m.start() for m in _SPECIAL.finditer(page)]
         n = len(places)
         #: By special letter: the end of a tag that goes on there outside of quotes (None: it has none); the end of what
@@ -87,7 +93,6 @@ class _Markup:
             else:
                 angle = k
             self.quote[k] = min(after.values())
-        self.name_end = 0
 
     def _from(self, at: int) -> int:
         return bisect.bisect_left(self.places, at)
@@ -98,14 +103,28 @@ class _Markup:
             self.name_end = m.start() if m else len(self.page)
         return self.name_end
 
-    def _raw(self, start: int) -> tuple | None:
-        """An element whose content isn't markup: start, end, name, attributes, content."""
-        if not (m := _RAW.match(self.page, start)) or (end := self.tag_end[self._from(m.end())]) is None:
-            return None
-        close = re.compile(rf"</{m[1]}(?=[\s/>])", re.I).search(self.page, end)
+    def _raw(self, start: int, name: str, attributes: str, end: int) -> tuple:
+        """An element whose content isn't markup, from its tag: start, end, name, attributes, content."""
+        close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(self.page, end)
         stop = self.page.find(">", close.end()) if close else -1
         upto, after = (len(self.page), len(self.page)) if stop < 0 else (close.start(), stop + 1)
-        return start, after, m[1], self.page[m.end() : end - 1], self.page[end:upto], "", "", ""
+        return start, after, name, attributes, self.page[end:upto], "", "", ""
+
+    def _odd_tag(self, start: int, m: re.Match) -> tuple | None:
+        """A tag with < or > in its quotes, or without an end."""
+        if self.places is None:
+            self._look()
+        page = self.page
+        if (raw := _RAW.match(page, start)) and (end := self.tag_end[self._from(raw.end())]) is not None:
+            return self._raw(start, raw[1], page[raw.end() : end - 1], end)
+        name = self._name_ends(m.end())
+        end = self.tag_end[self._from(name)]
+        if end is None and (k := self.quote[self._from(m.end())]) < len(self.places) and self.places[k] < name:
+            name, end = self.places[k], self.tag_end[k]  # the name ends before its first quote
+        if end is not None:
+            return start, end, "", "", "", m[1], page[m.end() - 1 : name], page[name : end - 1]
+        end = self.rest_end[self._from(m.end())]
+        return (start, end, "", "", "", "", "", "") if end >= 0 else None
 
     def __iter__(self) -> Iterator[tuple]:
         """(start, end, raw name, its attributes, its content, slash, name, attributes) of each tag; of comments and the
@@ -117,17 +136,11 @@ class _Markup:
             if page.startswith("<!--", start):
                 end = page.find("-->", start + 4)
                 found = (start, len(page) if end < 0 else end + 3, "", "", "", "", "", "")
+            elif m := _PLAIN.match(page, start):
+                raw = not m[1] and m[2].lower() in _RAW_NAMES
+                found = self._raw(start, m[2], m[3], m.end()) if raw else (start, m.end(), "", "", "", *m.groups())
             elif m := _TAG.match(page, start):
-                found = self._raw(start)
-                if found is None:
-                    name = self._name_ends(m.end())
-                    end = self.tag_end[self._from(name)]
-                    if end is None and (k := self.quote[self._from(m.end())]) < len(self.places) and self.places[k] < name:
-                        name, end = self.places[k], self.tag_end[k]  # the name ends before its first quote
-                    if end is not None:
-                        found = (start, end, "", "", "", m[1], page[m.end() - 1 : name], page[name : end - 1])
-                    elif (end := self.rest_end[self._from(m.end())]) >= 0:
-                        found = (start, end, "", "", "", "", "", "")
+                found = self._odd_tag(start, m)
             elif page[start + 1 : start + 2] in ("!", "?"):
                 end = page.find(">", start + 2)
                 found = (start, len(page) if end < 0 else end + 1, "", "", "", "", "", "")
