@@ -47,6 +47,8 @@ SMALL = 8
 CENTRES, TURNS = 4, 2
 #: Signatures that a task hands on at a time, and names of classes that it remembers.
 FRAME, SEEN = 1 << 17, 1 << 20
+#: Bits of a packed row that hold the signature, and those of a rounded number above them.
+SIG_BITS, CODE_BITS = 43, 10
 #: Keys of the broadcast semi-join that keeps most texts out of the exact join: at most so many rows.
 KEYS = 1 << 20
 
@@ -164,6 +166,38 @@ def enumerate_signatures(s: np.ndarray, ranks: np.ndarray | None) -> tuple[np.nd
     return (np.concatenate(found), np.concatenate(rests)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
+def _code(n: np.ndarray) -> np.ndarray:
+    """Numbers rounded down to six leading bits and a shift, in CODE_BITS bits; those under 64 as they are."""
+    n = n.astype(np.int64)
+    shift = np.maximum(np.frexp(n.astype(np.float64))[1].astype(np.int64) - 6, 0)
+    return shift * 32 + (n >> shift)
+
+
+def _number(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest and the largest number with a code."""
+    shift = np.maximum(code // 32 - 1, 0)
+    low = (code - 32 * shift) << shift
+    return low, low + (1 << shift) - 1
+
+
+def pack_signatures(x: np.ndarray, size: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """A signature, a set's size and its shingles of lower ranks (size - rest) in one number, both rounded down.
+
+    Unpacked, a size is never larger and a rest never smaller than before. Signatures that differ in their dropped
+    bits only, or numbers that round to the same, add candidates, which are compared in full later; none is lost.
+    """
+    low = (x & np.uint64((1 << SIG_BITS) - 1)).astype(np.int64)
+    return low | (_code(size) << SIG_BITS) | (_code(size - rest) << (SIG_BITS + CODE_BITS))
+
+
+def unpack_signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(sig, class, size, rest) of packed rows (key, class)."""
+    for batch in batches:
+        key = batch["key"].to_numpy()
+        (size, most), (own, _) = (_number((key >> at) & ((1 << CODE_BITS) - 1)) for at in (SIG_BITS, SIG_BITS + CODE_BITS))
+        yield pd.DataFrame({"sig": key & ((1 << SIG_BITS) - 1), "class": batch["class"].to_numpy(), "size": size.astype(np.int32), "rest": (most - own).astype(np.int32)})
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Sizes of intersection and union of two sorted sets."""
     both = np.concatenate((a, b))
@@ -222,7 +256,7 @@ def _signed(packed: bytes | None):
         def gathered() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*held)]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "class", "size", "rest"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "class"])
 
         for part in slices(batches):
             for text in part["text"]:
@@ -233,7 +267,7 @@ def _signed(packed: bytes | None):
                 x, rest = enumerate_signatures(s, ranks)
                 for at in range(0, len(x), FRAME):
                     some = x[at : at + FRAME]
-                    held.append((some.view(np.int64), np.full(len(some), name, np.int64), np.full(len(some), len(s), np.int32), rest[at : at + FRAME]))
+                    held.append((pack_signatures(some, np.full(len(some), len(s)), rest[at : at + FRAME]), np.full(len(some), name, np.int64)))
                     if sum(len(h[0]) for h in held) >= FRAME:
                         yield gathered()
             if len(seen) > SEEN:
@@ -388,21 +422,26 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     The texts are read twice and once more for the candidates only; shuffled are signatures, about
     0.4 for each shingle, and the sets of candidates. Tables between the steps are removed. Signatures of more than SMALL
     classes are settled by drawn centres first: classes linked with one are connected and need no
-    further comparison with each other; whatever is still apart afterwards is compared in full.
+    further comparison with each other; whatever is still apart afterwards is compared in full, by sketches first.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = stored(texts.mapInArrow(_described, "doc_id long, n_shingles long, class long, sketch binary, chunk int, counts binary"))
     rows = described.filter("chunk IS NULL").select("doc_id", "n_shingles", "class")
     ranks = _slot_ranks(described.filter("chunk IS NOT NULL"))
-    signed = texts.filter("doc_id IS NOT NULL").select("text").mapInArrow(_signed(ranks), "sig long, class long, size int, rest int")
-    met = stored(signed.repartition("sig").sortWithinPartitions("sig", "class").mapInPandas(_met, "a long, b long, size int, rest int"))
+    signed = texts.filter("doc_id IS NOT NULL").select("text").mapInArrow(_signed(ranks), "key long, class long")
+    sig = F.col("key").bitwiseAND(F.lit((1 << SIG_BITS) - 1))  # of a class's rows with the same one, that of the largest rest comes first and stays
+    ordered = signed.repartition(sig).sortWithinPartitions(sig, "class", "key")
+    met = stored(ordered.mapInPandas(lambda batches: _met(unpack_signatures(batches)), "a long, b long, size int, rest int"))
     some = met.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     named = described.filter("chunk IS NULL AND doc_id IS NOT NULL").join(some, "class", "left_semi")
     about = stored(named.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
 
     near = _near_pairs(met.filter("size IS NULL").select("a", "b").distinct(), about)
     # Large signatures with the same hub have nearly the same members: one group for all of them.
-    large = stored(met.filter("size IS NOT NULL").groupBy(F.col("a").alias("hub"), F.col("b").alias("class"), "size").agg(F.max("rest").alias("rest")))
+    # A member's size is known exactly from here on, and its shingles of lower ranks as they were packed.
+    own = F.expr("size + shiftleft(1, greatest(length(bin(size)) - 6, 0)) - 1 - rest")
+    hubs = met.filter("size IS NOT NULL").groupBy(F.col("a").alias("hub"), F.col("b").alias("class")).agg(F.min(own).alias("own"))
+    large = stored(hubs.join(about.select("class", "size"), "class").select("hub", "class", F.col("size").cast("int").alias("size"), (F.col("size") - F.col("own")).cast("int").alias("rest")))
     discard(met)
     wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).unionByName(large.select("class")).distinct()
     chosen = stored(about.join(wanted, "class", "left_semi").select("class", "doc_id"))
@@ -422,7 +461,7 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
             done = tries.join(both, (F.col("class") == F.col("a")) & (F.col("centre") == F.col("b")), "left_semi").select("hub", "class").distinct()
             rest = stored(rest.join(done, ["hub", "class"], "left_anti"))
-        links.append(_verify(_near_pairs(_still_apart(large, links), about), sets))
+        links.append(_verify(_still_apart(large, links, about), sets))
     discard(about, sets, large)
     found = links[0]
     for more in links[1:]:
@@ -430,9 +469,13 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, found.filter("linked").select("a", "b")
 
 
-def _still_apart(large: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """Pairs of a group that lie in different components so far and haven't been compared: one of the
-    two is outside the group's largest component."""
+def _still_apart(large: DataFrame, links: list[DataFrame], about: DataFrame) -> DataFrame:
+    """Pairs of a group that lie in different components so far, haven't been compared and may be similar by their
+    sizes and sketches: one of the two is outside the group's largest component.
+
+    Such pairs can be as many as a group's size squared. Sketches go to the groups with their members, so a pair
+    is judged where its members meet, and only one that passes is shuffled.
+    """
     tried = links[0]
     for more in links[1:]:
         tried = tried.unionByName(more)
@@ -440,12 +483,18 @@ def _still_apart(large: DataFrame, links: list[DataFrame]) -> DataFrame:
     placed = stored(large.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
     by_part = placed.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("n"))
     main = by_part.groupBy("hub").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).filter("parts > 1")
-    open_ = placed.join(main, "hub")
-    whole = open_.select("hub", "class", "component", "size", "rest")
-    minor = whole.join(main.select("hub", F.col("main").alias("component")), ["hub", "component"], "left_anti")
-    fit = fits(F.col("x.size"), F.col("y.size"), F.least("x.rest", "y.rest"))
-    pairs = minor.alias("x").join(whole.alias("y"), "hub").filter((F.col("x.component") != F.col("y.component")) & fit).select(*_pair(F.col("x.class"), F.col("y.class"))).distinct()
-    return pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    open_ = stored(placed.join(main, "hub").select("hub", "class", "component", "rest", (F.col("component") != F.col("main")).alias("minor")))
+    some = _prefiltered(about, "class", open_.select("class")).select("class", "size", "sketch")
+    whole = open_.join(some, "class")
+    x, y = (side.select("hub", *[F.col(c).alias(f"{c}_{end}") for c in ("class", "component", "rest", "minor", "size", "sketch")]) for side, end in ((whole.filter("minor"), "a"), (whole, "b")))
+    once = ~F.col("minor_b") | (F.col("class_a") < F.col("class_b"))
+    fit = fits(F.col("size_a"), F.col("size_b"), F.least("rest_a", "rest_b"))
+    met = x.join(y, "hub").filter((F.col("component_a") != F.col("component_b")) & once & fit)
+    near = met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_near, "a long, b long")
+    pairs = near.select(*_pair(F.col("a"), F.col("b"))).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = stored(pairs)
+    discard(placed, open_)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

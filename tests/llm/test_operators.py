@@ -100,6 +100,41 @@ def test_signatures_give_pairs_and_hubs_however_rows_are_cut():
         assert sorted(map(tuple, many.astype(int).values.tolist())) == sorted(hubs)
 
 
+def test_packed_signatures_lose_no_candidate():
+    import pandas as pd
+
+    rng = np.random.default_rng(11)
+    size = np.concatenate((np.arange(1, 300), rng.integers(1, 2**31 - 1, 2000)))
+    own = np.minimum(rng.integers(0, 2**31, len(size)), size - 1) // rng.integers(1, 50, len(size))
+    x = rng.integers(0, 2**63, len(size)).astype(np.uint64) * np.uint64(2)
+    key = ngram_join.pack_signatures(x, size, size - own)
+    assert (key >= 0).all()
+    got = next(ngram_join.unpack_signatures([pd.DataFrame({"key": key, "class": np.arange(len(x))})]))
+    assert (got["sig"].to_numpy().astype(np.uint64) == x % np.uint64(1 << ngram_join.SIG_BITS)).all()
+    assert (got["size"] <= size).all() and (got["rest"] >= size - own).all() and (got["size"] >= size * 31 / 32).all()
+    small = (size < 64) & (own < 64)
+    assert (got["size"][small] == size[small]).all() and (got["rest"][small] == (size - own)[small]).all()
+
+
+def test_unlike_members_of_a_large_group_are_never_stored_as_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 2**63, 60).astype(np.uint64)) for _ in range(150)]
+    sets[90] = np.unique(np.concatenate((sets[20][:58], sets[90][:2])))  # the only similar two
+    about = spark.createDataFrame([(k, k, len(s), ngram_join.parity_sketch(s)) for k, s in enumerate(sets)], "class long, doc_id long, size long, sketch binary")
+    large = spark.createDataFrame([(0, k, len(s), len(s)) for k, s in enumerate(sets)], "hub long, class long, size int, rest int")
+    links = [spark.createDataFrame([(1, 2, True), (3, 4, False)], "a long, b long, linked boolean")]
+    rows, stored = [], ngram_join.stored
+
+    def counted(df):
+        out = stored(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    got = sorted(map(tuple, ngram_join._still_apart(large, links, about).collect()))
+    assert got == [(20, 90)] and max(rows) <= 150
+
+
 def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((40, 16))
