@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cueloom.operators import audio as A
 
@@ -105,3 +106,15 @@ def test_alignment_by_segment_and_its_quantiles(spark):
     for q, v in zip((0.5, 0.95), whole.overrun_us):
         assert every[int(400 * q) - 12] <= v <= every[min(399, int(400 * q) + 12)]
     assert whole.n_segments == 400 and len(whole.utilization) == 2
+
+
+def test_quantiles_of_a_long_video_are_exact(spark):
+    n = 30_011
+    seg = spark.range(n).select(F.lit(1).cast("long").alias("video_id"), F.col("id").alias("segment_id"), (F.col("id") * 1_000_000).alias("start_us"), F.when(F.col("id") % 1000 == 0, 0).otherwise(500_000).cast("long").alias("window_us"))
+    takes = spark.range(n).select(F.lit(1).cast("long").alias("video_id"), F.col("id").alias("segment_id"), (500_000 + F.col("id") * 7919 % n).alias("duration_us"))
+    (row,) = A.alignment_metrics(seg, takes).collect()
+    spoken = [500_000 + k * 7919 % n for k in range(n)]
+    over = sorted(s - (0 if k % 1000 == 0 else 500_000) for k, s in enumerate(spoken))
+    used = sorted(s / 500_000 for k, s in enumerate(spoken) if k % 1000)
+    at = lambda values, p: values[-(-len(values) * p // 100) - 1]
+    assert (row.p95_overrun_us, row.p50_utilization, row.p95_utilization, row.p95_start_error_us) == (at(over, 95), at(used, 50), at(used, 95), 0)
