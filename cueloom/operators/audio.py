@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from cueloom.functions import text as T
@@ -259,35 +262,72 @@ def clip_to_window(takes: DataFrame) -> DataFrame:
     return given.select("video_id", "segment_id", "pcm", "window_us", "spoken_text", "boundaries").mapInPandas(run, schema)
 
 
+#: Bytes of finished blocks that a task holds before it hands them on.
+HELD = 8 << 20
+
+
+@lru_cache(maxsize=FADE + 1)
+def _ramp(n: int) -> np.ndarray:
+    return np.arange(n) / n
+
+
+def _fade_in_place(x: np.ndarray, first: int, length: int) -> None:
+    """What `_faded` does, to the samples from `first` on of a take of `length` samples."""
+    n = min(FADE, length // 2)
+    if first < n:
+        head = x[: n - first]
+        head[:] = np.floor(head * _ramp(n)[first : first + len(head)] + 0.5)
+    if n and first + len(x) > length - n:
+        at = max(0, length - n - first)
+        from_end = length - first - at
+        x[at:] = np.floor(x[at:] * _ramp(n)[from_end - len(x) + at : from_end][::-1] + 0.5)
+
+
+def _written(batches: Iterator[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (video_id, block, at, samples, first, pcm) in order: a block's first row, with an `at` of -1, has
+    its number of samples; the others are pieces of takes. Pieces of no block are left out."""
+    key, track = None, None
+    done: tuple[list, list, list] = ([], [], [])
+    held = 0
+    for batch in batches:
+        for video, block, at, samples, first, pcm in zip(*(c.to_pylist() for c in batch.columns)):
+            if at < 0:
+                if track is not None:
+                    for column, value in zip(done, (*key, track.tobytes())):
+                        column.append(value)
+                    held += track.nbytes
+                if held >= HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(done, out)], schema=out)
+                    done, held = ([], [], []), 0
+                key, track = (video, block), np.zeros(samples, "<i2")
+            elif key == (video, block):
+                piece = track[at : at + len(pcm) // 2]
+                piece[:] = np.frombuffer(pcm, "<i2")
+                _fade_in_place(piece, first, samples)
+    if track is not None:
+        for column, value in zip(done, (*key, track.tobytes())):
+            column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(done, out)], schema=out)
+
+
 def assemble_track(layout: DataFrame, takes: DataFrame, videos: DataFrame, block_s: int = 60) -> DataFrame:
     """(video_id, block, pcm): faded takes written at their places, in blocks of fixed length so that no
-    row holds a whole track. Silence fills the rest; only samples that a block needs are shuffled to it."""
+    row holds a whole track. Silence fills the rest; only samples that a block needs are shuffled to it, once and as
+    they are: takes are faded where they are written, so that even sound takes little room on the way."""
     size = block_s * RATE
-    blocks = videos.select("video_id", F.ceil(total_samples(F.col("duration_us")) / size).cast("long").alias("n"), total_samples(F.col("duration_us")).alias("total"))
-    grid = blocks.filter("n > 0").select("video_id", "total", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    ends = videos.select("video_id", total_samples(F.col("duration_us")).alias("total")).filter("total > 0")
+    grid = ends.select("video_id", "total", F.explode(F.expr(f"sequence(0L, (total - 1) div {size})")).alias("block"))
+    long = lambda c: c.cast("long")
+    grid = grid.select("video_id", "block", F.lit(-1).cast("long").alias("at"), long(F.least(F.lit(size), F.col("total") - F.col("block") * size)).alias("samples"), F.lit(0).cast("long").alias("first"), F.lit(None).cast("binary").alias("pcm"))
     rows = layout.filter("written > 0").join(takes.select(*SEG, "pcm"), SEG)
-
-    @F.pandas_udf("binary")
-    def fade(pcms: pd.Series, written: pd.Series) -> pd.Series:
-        return pd.Series([_faded(np.frombuffer(p, "<i2"))[:n].tobytes() for p, n in zip(pcms, written)])
-
-    rows = rows.withColumn("pcm", fade("pcm", "written"))
-    first, last = F.floor(F.col("place") / size), F.floor((F.col("place") + F.col("written") - 1) / size)
-    parts = rows.withColumn("block", F.explode(F.sequence(first, last)))
+    parts = rows.select("*", F.explode(F.expr(f"sequence(place div {size}, (place + written - 1) div {size})")).alias("block"))
     start = F.greatest(F.lit(0), F.col("block") * size - F.col("place"))
     stop = F.least(F.col("written"), (F.col("block") + 1) * size - F.col("place"))
-    parts = parts.select("video_id", "block", (F.col("place") + start - F.col("block") * size).alias("at"), F.expr(f"substring(pcm, CAST(2 * greatest(0, block * {size} - place) + 1 AS INT), CAST(2 * (least(written, (block + 1) * {size} - place) - greatest(0, block * {size} - place)) AS INT))").alias("pcm")).filter(F.octet_length("pcm") > 0)
-    nested = parts.groupBy("video_id", "block").agg(F.collect_list(F.struct("at", "pcm")).alias("p"))
-
-    @F.pandas_udf("binary")
-    def written(p: pd.Series, n: pd.Series) -> pd.Series:
-        out = []
-        for pieces, k in zip(p, n):
-            track = np.zeros(int(k), "<i2")
-            for piece in pieces if pieces is not None else []:
-                x = np.frombuffer(piece["pcm"], "<i2")
-                track[piece["at"] : piece["at"] + len(x)] = x
-            out.append(track.tobytes())
-        return pd.Series(out)
-
-    return grid.join(nested, ["video_id", "block"], "left").select("video_id", "block", written("p", F.least(F.lit(size), F.col("total") - F.col("block") * size)).alias("pcm"))
+    piece = F.substring("pcm", (2 * start + 1).cast("int"), (2 * (stop - start)).cast("int"))
+    parts = parts.select("video_id", "block", long(F.col("place") + start - F.col("block") * size).alias("at"), F.expr("CAST(octet_length(pcm) div 2 AS BIGINT)").alias("samples"), long(start).alias("first"), piece.alias("pcm"))
+    # as many partitions as are set, also where what is shuffled is far smaller than what is written
+    n = int(layout.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = grid.unionByName(parts.filter("pcm IS NOT NULL")).repartition(n, "video_id", "block").sortWithinPartitions("video_id", "block", "at")
+    schema = StructType([sent.schema["video_id"], StructField("block", LongType()), StructField("pcm", BinaryType())])
+    arrow = to_arrow_schema(schema)
+    return sent.mapInArrow(lambda batches: _written(batches, arrow), schema)

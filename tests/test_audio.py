@@ -1,5 +1,7 @@
 """Rules for sound, against plain versions and fixed cases."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +120,29 @@ def test_quantiles_of_a_long_video_are_exact(spark):
     used = sorted(s / 500_000 for k, s in enumerate(spoken) if k % 1000)
     at = lambda values, p: values[-(-len(values) * p // 100) - 1]
     assert (row.p95_overrun_us, row.p50_utilization, row.p95_utilization, row.p95_start_error_us) == (at(over, 95), at(used, 50), at(used, 95), 0)
+
+
+def test_even_sound_takes_little_room_on_its_way_into_blocks(spark):
+    """Takes travel once and unfaded; faded ones, all ramps here, don't compress."""
+    local = Path(spark.conf.get("spark.local.dir"))
+    shuffled = lambda: {p: p.stat().st_size for p in local.rglob("shuffle_*.data")}
+    n, k = 3000, F.col("id")
+    seg = spark.range(n).select(F.lit(1).cast("long").alias("video_id"), k.alias("segment_id"), (k * 20_000).alias("start_us"), (k * 20_000 + 20_000).alias("deadline_us"))
+    takes = seg.select("video_id", "segment_id", F.lit(960).cast("long").alias("n_samples"), F.expr("unhex(repeat(lpad(hex(segment_id + 5000), 4, '0'), 960))").alias("pcm"))
+    videos = seg.groupBy("video_id").agg(F.max("deadline_us").alias("duration_us"))
+    before = shuffled()
+    blocks = A.assemble_track(A.track_layout(seg, takes, videos), takes, videos, block_s=1).collect()
+    assert sum(size for p, size in shuffled().items() if p not in before) < 1_500_000 < len(blocks) * 2 * A.RATE
+    level = lambda k: np.frombuffer((k + 5000).to_bytes(2, "big") * 960, "<i2")
+    assert b"".join(b.pcm for b in sorted(blocks, key=lambda b: b.block)) == b"".join(A._faded(level(k)).tobytes() for k in range(n))
+
+
+def test_pieces_fade_as_whole_takes_do():
+    rng = np.random.default_rng(3)
+    for length in (0, 1, 2, 3, 7, 959, 960, 961, 1500):
+        x = rng.integers(-32768, 32768, length).astype("<i2")
+        for cuts in ([0, length], sorted([0, length, *rng.integers(0, length + 1, 5).tolist()])):
+            parts = [x[a:b].copy() for a, b in zip(cuts, cuts[1:])]
+            for at, part in zip(cuts, parts):
+                A._fade_in_place(part, at, length)
+            assert np.array_equal(np.concatenate(parts), A._faded(x))
