@@ -187,16 +187,37 @@ REQUESTS = 64
 
 def run_batches(requests: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, tries: int = 1, rows: int = REQUESTS) -> DataFrame:
     """Apply a user's function to requests, `rows` of them at a time. Where that raises, each of them is tried alone,
-    up to `tries` times; one that raises every time becomes a row of nulls with the request's keys, never a failed job."""
+    up to `tries` times; one that raises every time becomes a row of nulls with the request's keys, never a failed job.
+    What single requests give is handed on together."""
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def alone(row: pd.DataFrame) -> pd.DataFrame:
+    def joined(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        out = frames[0] if len(frames) == 1 else pd.concat(frames)
+        if missing := set(names) - set(out.columns):
+            raise KeyError(*missing)
+        return out
+
+    def alone(some: pd.DataFrame, k: int) -> pd.DataFrame | None:
         for _ in range(tries):
             try:
-                return pd.concat(list(fn(iter([row.copy()]))))[names]
+                return joined(list(fn(iter([some.iloc[k : k + 1].reset_index(drop=True)]))))
             except Exception:  # noqa: BLE001, S112  a user's function may fail in any way
                 continue
-        return pd.DataFrame({n: row[n] if n in row else pd.Series([None], dtype=object) for n in names})
+        return None
+
+    def each(some: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        made: dict[tuple, list[pd.DataFrame]] = {}  # of the same columns and types, so that none changes another's values
+        lost = []
+        for k in range(len(some)):
+            if (out := alone(some, k)) is None:
+                lost.append(k)
+            else:
+                made.setdefault((*out.columns, *out.dtypes), []).append(out)
+        for same in made.values():
+            yield pd.concat(same)[names]
+        if lost:
+            left = some.iloc[lost]
+            yield pd.DataFrame({n: left[n] if n in left else pd.Series([None] * len(lost), left.index, dtype=object) for n in names})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -204,9 +225,10 @@ def run_batches(requests: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iter
                 some = batch.iloc[at : at + rows].reset_index(drop=True)
                 try:
                     out = list(fn(iter([some.copy()])))
-                    yield pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+                    whole = joined(out)[names] if out else pd.DataFrame(columns=names)
                 except Exception:  # noqa: BLE001  as above
-                    for k in range(len(some)):
-                        yield alone(some.iloc[k : k + 1].reset_index(drop=True))
+                    yield from each(some)
+                else:
+                    yield whole
 
     return requests.mapInPandas(run, schema)

@@ -252,6 +252,21 @@ def test_run_batches_turns_errors_into_nulls(spark):
     assert silent.count() == 0
 
 
+def test_single_requests_are_handed_on_together():
+    def fn(batches):
+        for b in batches:
+            if b["k"].isin([5, 40, 41]).any():
+                raise ValueError
+            yield b.assign(n=b["k"] + 2**60 if b["k"][0] % 2 else b["k"] + 0.5)
+
+    caught = []
+    X.run_batches(type("Requests", (), {"mapInPandas": lambda self, run, schema: caught.append(run)})(), fn, "k long, n long")
+    sent = list(caught[0](iter([pd.DataFrame({"k": range(64)})])))
+    assert len(sent) == 3 and sorted(k for f in sent for k in f["k"]) == list(range(64))  # one by one: 64 frames
+    (exact,) = [f for f in sent if f["n"].dtype == "int64"]
+    assert sorted(exact["n"]) == [k + 2**60 for k in range(1, 64, 2) if k not in (5, 41)]  # not by way of doubles
+
+
 def test_glossary_of_ten_thousand_terms(spark):
     import re
 
