@@ -101,12 +101,13 @@ def group_by_gap(cues: DataFrame) -> DataFrame:
     over 30 s behind its group's start.
 
     The window leaves a video's cues in one partition, in order; the numbers are counted along them, from four small
-    columns, and nothing is gathered or shuffled again. Counting isn't deterministic to the optimizer, so that no
-    step moves below it."""
+    columns, and nothing is gathered. Counting isn't deterministic to the optimizer, so that no step moves below it.
+    To the optimizer a Python function loses the layout, too, so the rows are dealt by video_id once more: what follows
+    by video, group or segment keeps that layout and joins in it, without a shuffle for each step."""
     far = F.coalesce(F.col("start_us") - F.lag("end_us").over(_by_video("start_us", "pos")) > MERGE_GAP_US, F.lit(False))
     rows = cues.withColumn("_far", far)
     counted = F.arrow_udf(_numbered_groups, "long").asNondeterministic()
-    return rows.withColumn("group_no", counted(F.struct("video_id", "start_us", "end_us", "_far"))).drop("_far")
+    return rows.withColumn("group_no", counted(F.struct("video_id", "start_us", "end_us", "_far"))).drop("_far").repartition("video_id")
 
 
 def split_large_groups(groups: DataFrame) -> DataFrame:
@@ -175,8 +176,9 @@ def _halved(starts: pd.Series, ends: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([halves(list(s), list(e), list(t)) for s, e, t in zip(starts, ends, texts)])
 
 
-def build_segments(groups: DataFrame) -> DataFrame:
-    """One row per group: segment_id from 0, cue_ids, first start, the last cue's end, joined English."""
+def build_segments(groups: DataFrame, times: bool = False) -> DataFrame:
+    """One row per group: segment_id from 0, cue_ids, first start, the last cue's end, joined English; with `times`
+    also `cues`, an array of the cues' ids, places and times."""
     cue = F.struct("start_us", "pos", "cue_id", "end_us", "text")
     rows = groups.groupBy("video_id", "group_no").agg(F.sort_array(F.collect_list(cue)).alias("cues"))
     return rows.select(
@@ -186,6 +188,7 @@ def build_segments(groups: DataFrame) -> DataFrame:
         F.element_at("cues", 1)["start_us"].alias("start_us"),
         F.element_at("cues", -1)["end_us"].alias("end_us"),
         T.join_for_translation(F.col("cues.text")).alias("text_en"),
+        *([F.transform("cues", lambda c: F.struct(c["cue_id"].alias("cue_id"), c["pos"].alias("pos"), c["start_us"].alias("start_us"), c["end_us"].alias("end_us"))).alias("cues")] if times else []),
     )
 
 

@@ -147,12 +147,19 @@ def apply_glossary(rows: DataFrame, glossary: DataFrame, en: str, zh: str, out:
     return rows.withColumn("_terms", F.concat(*found)).withColumn(out, T.replace_terms(F.col(zh), F.col("_terms"))).drop("_terms")
 
 
-def map_translations_to_cues(cues: DataFrame, segments: DataFrame, translations: DataFrame, terms: Column | DataFrame) -> DataFrame:
+def map_translations_to_cues(cues: DataFrame | None, segments: DataFrame, translations: DataFrame | None, terms: Column | DataFrame) -> DataFrame:
     """Segment texts, with the glossary applied (an array of terms, or a table of them), cut over the segment's cues;
-    the cues keep their times."""
-    each = segments.select(*SEG, "text_en", F.posexplode("cue_ids").alias("k", "cue_id")).join(cues.select("video_id", "cue_id", "pos", "start_us", "end_us"), ["video_id", "cue_id"])
-    rows = each.groupBy(*SEG, "text_en").agg(F.sort_array(F.collect_list(F.struct("k", "cue_id", "pos", "start_us", "end_us"))).alias("c"))
-    rows = rows.join(translations.select(*SEG, "text"), SEG)
+    the cues keep their times. Texts stay with the segments: only ids and times go by cue. Segments with their cues'
+    times (`build_segments(groups, times=True)`) need no cues, and those with a column `text` no translations: then
+    nothing is shuffled."""
+    if cues is None:
+        rows = segments.withColumnRenamed("cues", "c")
+    else:
+        each = segments.select(*SEG, F.posexplode("cue_ids").alias("k", "cue_id")).join(cues.select("video_id", "cue_id", "pos", "start_us", "end_us"), ["video_id", "cue_id"])
+        rows = each.groupBy(*SEG).agg(F.sort_array(F.collect_list(F.struct("k", "cue_id", "pos", "start_us", "end_us"))).alias("c"))
+        rows = rows.join(segments.select(*SEG, "text_en", *(["text"] if translations is None else [])), SEG)
+    if translations is not None:
+        rows = rows.select(*SEG, "text_en", "c").join(translations.select(*SEG, "text"), SEG)
     rows = apply_glossary(rows, terms, "text_en", "text", "zh") if isinstance(terms, DataFrame) else rows.withColumn("zh", T.apply_terminology(F.col("text_en"), F.col("text"), terms))
     rows = rows.withColumn("p", split_text_across_cues("zh", F.transform("c", lambda x: x["end_us"] - x["start_us"])))
     flat = rows.select("video_id", F.explode(F.arrays_zip("c", "p")).alias("z"))

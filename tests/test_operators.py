@@ -382,3 +382,14 @@ def test_repartitioned_cues_match_a_plain_version(spark):
                 want.append((v, number, own[0][3] + int(span * a / sum(sizes) + 0.5), own[-1][4] if k == len(parts) - 1 else own[0][3] + int(span * done / sum(sizes) + 0.5), p))
         want += [(v, c[1], c[3], c[4], c[5]) for c in cues if c[0] == v and (v, c[1]) not in claimed]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_segments_that_carry_times_and_texts_map_without_a_shuffle(spark, sf_dir):
+    cues = table(spark, sf_dir, "cues")
+    terms = F.array(F.struct(F.lit("the").alias("en"), F.lit("这").alias("zh")))
+    segments = C.build_segments(C.group_by_gap(cues), times=True).withColumn("text", F.translate("text_en", "aeiou", "的一是在不"))
+    apart = X.map_translations_to_cues(cues, segments.drop("text", "cues"), segments.select("video_id", "segment_id", "text"), terms)
+    carried = X.map_translations_to_cues(None, segments, None, terms)
+    assert sorted(carried.collect()) == sorted(apart.collect()) == sorted(X.map_translations_to_cues(cues, segments.drop("cues"), None, terms).collect())
+    plan = Q.QUERIES["map_translations_to_cues"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan  # the cues' own, and one after their groups are counted
