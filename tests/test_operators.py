@@ -393,3 +393,17 @@ def test_segments_that_carry_times_and_texts_map_without_a_shuffle(spark, sf_dir
     assert sorted(carried.collect()) == sorted(apart.collect()) == sorted(X.map_translations_to_cues(cues, segments.drop("cues"), None, terms).collect())
     plan = Q.QUERIES["map_translations_to_cues"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2 and "Join" not in plan  # the cues' own, and one after their groups are counted
+
+
+def _shuffles(spark, name, sf_dir):
+    """How many shuffles of a query write rows."""
+    from pathlib import Path
+
+    found = lambda: {p.name.split("_")[1] for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data") if p.stat().st_size}
+    before = found()
+    Q.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    return len(found() - before)
+
+
+def test_retimed_cues_are_dealt_by_segment_once(spark, sf_dir):
+    assert _shuffles(spark, "retime_cues", sf_dir) <= 3  # lines by video, cues by segment, their times for the spans; 4 before
