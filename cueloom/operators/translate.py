@@ -99,12 +99,14 @@ def resolve_compression(items: DataFrame, attempts: DataFrame, tries: int = 3) -
     return rows.select(*SEG, F.when(F.col("k").isNotNull(), F.col("first")).otherwise(F.col("src")).alias("text"))
 
 
-def validate_split_responses(lines: DataFrame, items: DataFrame) -> DataFrame:
+def validate_split_responses(lines: DataFrame, items: DataFrame | None) -> DataFrame:
     """Of lines(video_id, segment_id, k, lines): the first split of each known item whose lines all have
-    text and lose nothing but punctuation and spaces."""
-    rows = lines.join(items.select(*SEG, F.col("text").alias("whole")), SEG)
+    text and lose nothing but punctuation and spaces. Without items the lines come with their items' texts in a column
+    `text`, and nothing is joined; their other columns are kept, of the row that is chosen."""
+    rows = lines.withColumnRenamed("text", "whole") if items is None else lines.join(items.select(*SEG, F.col("text").alias("whole")), SEG)
     fine = F.forall("lines", lambda s: F.coalesce(T.trim_ws(s) != "", F.lit(False))) & (F.size("lines") > 0) & T.punct_insensitive_equal(F.array_join("lines", ""), F.col("whole"))
-    return rows.filter(fine).groupBy(*SEG).agg(F.min_by("lines", "k").alias("lines"))
+    kept = ["lines"] if items is not None else [c for c in rows.columns if c not in (*SEG, "k", "whole")]
+    return rows.filter(fine).groupBy(*SEG).agg(F.min_by(F.struct(*kept), "k").alias("s")).select(*SEG, "s.*")
 
 
 #: Terms that one automaton finds.

@@ -407,3 +407,13 @@ def _shuffles(spark, name, sf_dir):
 
 def test_retimed_cues_are_dealt_by_segment_once(spark, sf_dir):
     assert _shuffles(spark, "retime_cues", sf_dir) <= 3  # lines by video, cues by segment, their times for the spans; 4 before
+
+
+def test_splits_that_carry_their_texts_are_validated_without_a_join(spark, sf_dir):
+    items = spark.createDataFrame([(1, k, t) for k, t in enumerate(["a b, c.", "a b", "", "x"])], "video_id long, segment_id long, text string")
+    lines = spark.createDataFrame([(1, 0, 1, ["a b", "c"]), (1, 0, 0, ["a b c"]), (1, 1, 0, ["a", " "]), (1, 1, 1, ["a"]), (1, 2, 0, []), (1, 3, 0, ["x", None]), (1, 3, 2, ["x"]), (1, 9, 0, ["x"])], "video_id long, segment_id long, k long, lines array<string>")
+    apart = X.validate_split_responses(lines, items)
+    carried = X.validate_split_responses(lines.join(items, ["video_id", "segment_id"]).withColumn("key", F.col("k") * 10), None)
+    assert sorted(map(tuple, apart.collect())) == [(1, 0, ["a b c"]), (1, 3, ["x"])]
+    assert sorted((*r[:2], r.lines, r.key) for r in carried.collect()) == [(1, 0, ["a b c"], 0), (1, 3, ["x"], 20)]
+    assert _shuffles(spark, "display_splits", sf_dir) <= 5  # 11 or 12 before
